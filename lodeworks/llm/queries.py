@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontam
 from .common import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hex_digits, near_duplicates
 
@@ -15,9 +22,34 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
+    prototypes = learn(docs.filter(~F.col("held_out")))
+    return identify(docs, prototypes, keep=["doc_id", "held_out"])
+
+
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_line_dedup": op7_line_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_benchmark_decontamination": decontam.ORACLE_SQL,
+}
