@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Words are runs of anything but these ASCII white-space characters.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -37,7 +39,12 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeworks/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the shuffle files of this plan serve nothing later
+    try:
+        (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was) if was is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
