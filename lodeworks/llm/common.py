@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,26 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def grouped(batches, keys: int):
+    """Groups of rows that are alike in their first ``keys`` columns; the rows must come sorted.
+
+    Yields (key, rows) with the rows as one record batch: a group must be of bounded size.
+    """
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.column_stack([batch.column(i).to_numpy() for i in range(keys)]).astype(np.int64)
+        starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        for a, b in zip(starts, starts[1:]):
+            now = tuple(key[a].tolist())
+            if held and now != last:
+                yield last, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield last, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
