@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam
-from .common import table
+from .common import shared_dir, table, written
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,13 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hex_digits, near_duplicates
 
@@ -47,6 +56,28 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches: all documents with an estimate for the BPE, its exact counts as revisions, all
+    documents' words, and the deletion of exact copies; the second batch is sent twice."""
+    from .tokencounts import DELETE, INSERT, REVISE, Rollup, changes, count_tokens
+
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "source", "lang", "text", F.sha2("text", 256).alias("digest"))
+    rows = docs.withColumn("guess", F.coalesce(F.floor(F.length("text") / 4), F.lit(0)))
+    counted = written(count_tokens(rows, ["doc_id", "source", "lang", "digest", "guess"]), "counted")
+    least = counted.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    copies = counted.join(least, "digest").filter("doc_id > least")
+    rollup = Rollup(spark, f"{shared_dir(spark)}/lodeworks/rollup-{uuid.uuid4().hex}")
+    bpe, words = "word_bpe_49k/1", "ascii_words/1"
+    revised = changes(counted, REVISE, bpe, F.col("bpe_tokens"), F.col("guess"))
+    rollup.commit("load", changes(counted, INSERT, bpe, F.col("guess")))
+    rollup.commit("recount", revised)
+    rollup.commit("words", changes(counted, INSERT, words, F.col("word_tokens")))
+    rollup.commit("recount", revised)
+    rollup.commit("copies", changes(copies, DELETE, bpe, F.col("bpe_tokens")).unionAll(changes(copies, DELETE, words, F.col("word_tokens"))))
+    return rollup.totals()
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
@@ -65,10 +96,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_secret_scan": op6_secret_scan,
     "op7_line_dedup": op7_line_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
