@@ -170,12 +170,12 @@ def identify(
     """``docs`` (its columns ``keep``, or all) with the predicted language and its cosine, 0 to 1
     (negative ones become 0).
 
-    A null text, or one without letters, is ``und`` with score 0; so is every text if nothing was
+    Columns of ``docs`` by these names are replaced.  A null text, or one without letters, is ``und`` with score 0; so is every text if nothing was
     learnt.  Equal cosines: the language first in alphabetical order.
     """
     names = np.array([*prototypes.languages, UNKNOWN], dtype=object)
     vectors, dimension, seed = prototypes.vectors, prototypes.dimension, prototypes.seed
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (lang_name, score_name)]
     width = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
