@@ -62,15 +62,9 @@ def check(spark: SparkSession, root: str, vocab_size: int, eos_id: int) -> dict:
         why = "root directory does not exist" if gone else "no token files found"
         return base | {"errors": [f"{why}: {root}"], "warnings": [], "sources": {}, "shards": [], "text": shards.report_text(root, 0, vocab_size, eos_id, [], {"errors": [why], "warnings": []})}
     listed = listing(spark, root)
-    bad = {r["path"]: r["error"] for r in listed.filter("error is not null").collect()}
-    whole = [f for f in files if f[0] not in bad]
-    parts = [read_shards(spark, f[0].rsplit("/", 1)[0]).filter(F.col("path") == f[0]) for f in whole] if bad else [read_shards(spark, root)]
-    scanned = None
-    for p in parts:
-        one = shards.scan(exploded(p), ["path"], "token", "position", eos_id, vocab_size)
-        scanned = one if scanned is None else scanned.unionByName(one)
+    scanned = shards.scan(exploded(read_shards(spark, root, bad="skip")), ["path"], "token", "position", eos_id, vocab_size)
     empty = listed.filter("error is not null").select("path", "bytes", F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("eos_tokens"), F.lit(None).cast("int").alias("min_token_id"), F.lit(None).cast("int").alias("max_token_id"), F.lit(False).alias("ends_with_eos"), "error", F.lit(None).cast("string").alias("warning"))
-    scanned = empty if scanned is None else scanned.unionByName(empty)
+    scanned = scanned.unionByName(empty)
     source, index = shards.name_parts(F.col("path"), root)
     scanned = scanned.withColumn("source", source).withColumn("shard_index", index).persist()
     sources = shards.source_report(scanned)

@@ -2,7 +2,8 @@
 
 Reading: a partition for every range of ``range_tokens`` tokens, so a shard of any size is read in
 parallel and in bounded memory; rows are (path, position, tokens) with at most ``batch_tokens`` ids.
-Empty files and files of odd size appear in ``listing`` and are an error to read.
+Empty files and files of odd size appear in ``listing`` and are an error to read, unless the option
+``bad`` is ``skip``.
 
 Writing: rows (split, source, shard_index, position, tokens); a file for each shard, written by one
 task under a temporary name and renamed when the job commits, so a lost or repeated task leaves no
@@ -57,11 +58,14 @@ class _Reader(DataSourceReader):
         self.root = options["path"]
         self.range = int(options.get("range_tokens", RANGE_TOKENS))
         self.batch = int(options.get("batch_tokens", BATCH_TOKENS))
+        self.skip = options.get("bad", "fail") == "skip"
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for path, size in list_files(self.root):
             if size == 0 or size % 2:
+                if self.skip:
+                    continue
                 raise ValueError(f"{path}: {'empty file' if not size else 'odd size'}")
             out += [TokenRange(path, a, min(a + self.range, size // 2)) for a in range(0, size // 2, self.range)]
         return out or [TokenRange("", 0, 0)]
