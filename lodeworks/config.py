@@ -8,9 +8,9 @@ from typing import Any, TypeVar
 T = TypeVar("T")
 
 _RULES = {
-    "positive": (lambda v: v > 0, "must be positive"),
-    "not_negative": (lambda v: v >= 0, "cannot be negative"),
-    "given": (lambda v: bool(v), "cannot be empty"),
+    "positive": (lambda v: v > 0, "is not positive"),
+    "not_negative": (lambda v: v >= 0, "is negative"),
+    "given": (lambda v: bool(v), "is empty"),
 }
 
 
@@ -50,7 +50,7 @@ class Model(Checked):
     def relations(self) -> None:
         for whole, part in (("n_embd", "n_head"), ("n_head", "n_head_kv")):
             if getattr(self, whole) % getattr(self, part):
-                raise ValueError(f"{whole} must be divisible by {part}")
+                raise ValueError(f"{whole} is no multiple of {part}")
 
     def resolved(self, tokenizer: Any) -> Model:
         """With the tokenizer's vocabulary size, which must agree with one that is set."""

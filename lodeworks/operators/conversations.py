@@ -150,5 +150,5 @@ def collate(examples: DataFrame, batch_size: int, pad_id: int, index: str = "exa
     def padded(name: str, fill: int) -> Column:
         return F.concat(name, F.array_repeat(F.lit(fill), F.col("width") - F.size(name)))
 
-    checked = F.when(F.col("_targets") > 0, F.col("width")).otherwise(F.raise_error(F.lit("batch contains no supervised target")).cast("int"))
+    checked = F.when(F.col("_targets") > 0, F.col("width")).otherwise(F.raise_error(F.lit("a batch holds no supervised target")).cast("int"))
     return made.select(*[c for c in examples.columns if c not in ("token_ids", "loss_mask")], "batch_id", checked.alias("width"), padded("token_ids", pad_id).alias("token_ids"), padded("loss_mask", 0).alias("loss_mask"))

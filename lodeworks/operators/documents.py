@@ -24,7 +24,7 @@ def segments(tokens: DataFrame, token: str, eos_id: int, order: list[str], by: l
 
 def require_complete(found: DataFrame) -> DataFrame:
     """``found``, or an error when it is read if some document has no end token."""
-    message = F.concat(F.lit("input ends with an incomplete document of "), F.col("n_tokens"), F.lit(" tokens without an end token"))
+    message = F.concat(F.lit("the last document is incomplete: "), F.col("n_tokens"), F.lit(" tokens without an end token"))
     return found.withColumn("complete", F.when(F.col("complete"), True).otherwise(F.raise_error(message).cast("boolean")))
 
 

@@ -65,7 +65,7 @@ def loglikelihood(requests: DataFrame, key: str, tokenizer: Tokenizer, end_id: i
     continuation without tokens, or too long for any context, is an error.
     """
     coded = encode_pairs(requests, tokenizer, end_id)
-    some = F.when(F.size("continuation_ids") > 0, F.col("continuation_ids")).otherwise(F.raise_error(F.lit("continuation produced no tokens")).cast("array<int>"))
+    some = F.when(F.size("continuation_ids") > 0, F.col("continuation_ids")).otherwise(F.raise_error(F.lit("a continuation has no tokens")).cast("array<int>"))
     coded = coded.select(key, left_truncated(F.col("context_ids"), some, limit).alias("c"), some.alias("t"))
     return metrics.sequence_scores(_scored(coded.select(key, F.concat("c", "t").alias("ids"), F.size("c").alias("first")), key, make, batch), key)
 

@@ -114,9 +114,9 @@ def scan(tokens: DataFrame, by: list[str], token: str, position: str, eos_id: in
         F.max(t).alias("max_token_id"),
         (F.max_by(t, F.col(position)) == eos_id).alias("ends_with_eos"),
     )
-    out = F.concat(F.lit("token ID range ["), F.col("min_token_id"), F.lit(", "), F.col("max_token_id"), F.lit(f"] exceeds vocabulary size {vocab_size}"))
+    out = F.concat(F.lit("ids "), F.col("min_token_id"), F.lit(" to "), F.col("max_token_id"), F.lit(f" do not fit vocabulary size {vocab_size}"))
     return made.withColumn("error", F.when((F.col("min_token_id") < 0) | (F.col("max_token_id") >= vocab_size), out)).withColumn(
-        "warning", F.when(F.col("eos_tokens") == 0, F.lit("no EOS token found"))
+        "warning", F.when(F.col("eos_tokens") == 0, F.lit("no end token in it"))
     )
 
 
@@ -136,10 +136,10 @@ def source_report(scanned: DataFrame, source: str = "source", index: str = "shar
         missing_indices(F.collect_set(F.col(index).cast("long"))).alias("missing"),
         F.count(index).alias("_named"),
     )
-    listed = F.concat(F.lit("missing shard indices: ["), F.array_join(F.transform("missing", lambda i: i.cast("string")), ", "), F.lit("]"))
+    listed = F.concat(F.lit("missing shard indices "), F.array_join(F.transform("missing", lambda i: i.cast("string")), ", "))
     return (
         made.withColumn("error", F.when(F.size("missing") > 0, listed))
-        .withColumn("warning", F.when(F.col("_named") == 0, F.lit("could not parse numeric shard indices")))
+        .withColumn("warning", F.when(F.col("_named") == 0, F.lit("no name has a shard index")))
         .drop("_named")
     )
 

@@ -44,8 +44,8 @@ bounds AS (SELECT source, CAST(row_number() OVER (ORDER BY source) - 1 AS INT) A
   CAST(sum(windows) OVER (ORDER BY source) - windows AS BIGINT) AS first_sample, CAST(sum(windows) OVER (ORDER BY source) AS BIGINT) AS end_sample FROM totals)"""
 _SCAN = f"""{_TOKENS}, scanned AS (SELECT source, shard_index, count(*) * 2 AS bytes, count(*) AS tokens, count(*) FILTER (token = 46) AS eos_tokens,
   min(token)::INT AS min_token_id, max(token)::INT AS max_token_id, arg_max(token, position) = 46 AS ends_with_eos FROM tokens GROUP BY ALL),
-noted AS (SELECT *, CASE WHEN max_token_id >= 245 THEN 'token ID range [' || min_token_id || ', ' || max_token_id || '] exceeds vocabulary size 245' END AS error,
-  CASE WHEN eos_tokens = 0 THEN 'no EOS token found' END AS warning, source || '_' || CASE WHEN shard_index < 10000 THEN lpad(shard_index::VARCHAR, 4, '0') ELSE shard_index::VARCHAR END || '.bin' AS path FROM scanned)"""
+noted AS (SELECT *, CASE WHEN max_token_id >= 245 THEN 'ids ' || min_token_id || ' to ' || max_token_id || ' do not fit vocabulary size 245' END AS error,
+  CASE WHEN eos_tokens = 0 THEN 'no end token in it' END AS warning, source || '_' || CASE WHEN shard_index < 10000 THEN lpad(shard_index::VARCHAR, 4, '0') ELSE shard_index::VARCHAR END || '.bin' AS path FROM scanned)"""
 _GAPS = """present AS (SELECT source, shard_index, tokens, eos_tokens FROM noted WHERE shard_index % 3 <> 1),
 span AS (SELECT source, min(shard_index) AS a, max(shard_index) AS b, count(*) AS shards, sum(tokens)::BIGINT AS tokens, sum(eos_tokens)::BIGINT AS eos_tokens FROM present GROUP BY source),
 gaps AS (SELECT s.source, u.i AS shard_index FROM span s, unnest(range(s.a, s.b + 1)) AS u(i) WHERE NOT EXISTS (SELECT 1 FROM present p WHERE p.source = s.source AND p.shard_index = u.i)),
@@ -113,7 +113,7 @@ ORACLE_SQL: dict[str, str] = {
     "source_check": f"WITH {_SCAN}, {_GAPS} SELECT s.source, s.shards, s.tokens, s.eos_tokens, coalesce(l.missing, '') AS missing FROM span s LEFT JOIN listed l USING (source)",
     "check_messages": f"""WITH {_SCAN}, {_GAPS} SELECT 'error' AS level, 0 AS place, path AS subject, path || ': ' || error AS message FROM noted WHERE error IS NOT NULL
       UNION ALL SELECT 'warning', 0, path, path || ': ' || warning FROM noted WHERE warning IS NOT NULL
-      UNION ALL SELECT 'error', 1, source, source || ': missing shard indices: [' || replace(missing, ',', ', ') || ']' FROM listed""",
+      UNION ALL SELECT 'error', 1, source, source || ': missing shard indices ' || replace(missing, ',', ', ') FROM listed""",
     "check_totals": f"WITH {_SCAN} SELECT count(*) AS files, sum(tokens)::BIGINT AS total_tokens, sum(eos_tokens)::BIGINT AS total_eos_tokens FROM noted",
     "shard_name_parse": r"""WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'root/' || source || '_1_' || lpad(doc_id::VARCHAR, 5, '0') || '.bin' WHEN 1 THEN 'root/train/' || source || '/part.bin'
         WHEN 2 THEN 'root/loose.bin' ELSE 'root/val/' || source || '_' || doc_id || '.bin' END AS path FROM documents),

@@ -40,8 +40,8 @@ def test_missing_index_empty_odd_and_unnamed_files(spark, tmp_path):
     (root / "odd_0000.bin").write_bytes(b"abc")
     got = pipelines.check(spark, str(root), 32000, 2)
     text = " | ".join(got["errors"])
-    assert "missing shard indices: [1]" in text and "empty file" in text and "two bytes" in text
-    assert any("no EOS token" in w for w in got["warnings"]) and any("numeric" in w for w in got["warnings"])
+    assert "missing shard indices 1" in text and "empty file" in text and "two bytes" in text
+    assert any("no end token" in w for w in got["warnings"]) and any("no name has" in w for w in got["warnings"])
     assert got["sources"]["other"]["tokens"] == 2 and got["sources"]["web"]["shards"] == 3
 
 
