@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def _swept(spark: SparkSession):
+    """Shuffle files of the plans run here are deleted with them: they serve nothing later."""
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, was) if was is not None else spark.conf.unset(_CLEANUP)
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Like ``written``, as a table bucketed by ``keys``: joins on them do not shuffle it again."""
+    spark = df.sparkSession
+    n, known = shuffle_width(spark), f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodeworks/{known}"
+    with _swept(spark):
+        df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).option("compression", "zstd").saveAsTable(known)
+    return spark.table(known)
+
+
 def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet below the shared folder and read it again.
 
@@ -41,12 +63,8 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeworks/{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")  # the shuffle files of this plan serve nothing later
-    try:
-        (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, was) if was is not None else spark.conf.unset(_CLEANUP)
+    with _swept(spark):
+        (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,9 +4,11 @@ Suffix automata of *all* reference text cannot be broadcast: their size and the
 documents) grow with the corpus.  So the reference shards are cut down and routed first:
 
 1. Every window has an anchor, the smallest hash among its 12-word grams, which is the same wherever
-   the window occurs.  Documents send one row for each anchor (about one in twelve words).
-2. Anchors that occur once cannot be inside a repeated window.  For the others the documents send the
-   segment of text that the anchor's windows cover; equal segments collapse, map-side first.
+   the window occurs.  Documents send one row for each anchor (about one in twelve words), with a
+   digest of its segment, the text that the anchor's windows cover.
+2. Anchors that occur once cannot be inside a repeated window.  If all segments of an anchor are
+   alike, all their windows are repeated.  For the others the documents send the segments themselves;
+   equal ones collapse, map-side first.
 3. The distinct segments of one anchor are a reference shard.  A shard of up to ``SHARD`` segments
    gets a suffix automaton with occurrence counts, and the segments stream through it for their
    matching statistics: windows that end in two or more places are repeated.  An anchor with more
@@ -14,8 +16,11 @@ documents) grow with the corpus.  So the reference shards are cut down and route
    its windows are counted one by one with an aggregation, and joined back.
 4. The repeated windows of each document are removed.
 
-All occurrences are judged on the input.  Hashes only choose what is compared: automata compare words,
-the large shards compare 128-bit digests.
+The documents are kept once, compressed and bucketed by their key, so that lists of anchors and of
+repeated windows come to the texts, and no text is shuffled twice.
+
+All occurrences are judged on the input.  Segments that are alike are told by 128 bits of digests (anchor and
+segment), as are the windows of large shards; automata compare words.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import discard, written
+from .common import bucketed, discard, written
 
 WINDOW, GRAM = 35, 12
 #: Distinct segments of an anchor that one automaton takes.
@@ -58,12 +63,13 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, n, lead) of each anchor: its windows start at first .. first + n - 1, and the
-    anchor itself at first + lead."""
+def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(hash, first, n, lead, digest) of each anchor: its windows start at first .. first + n - 1,
+    the anchor itself at first + lead; digest: of the segment and where in it the anchor is."""
     if len(words) < window:
-        return (np.zeros(0, np.int64),) * 4
-    flat = np.frombuffer(b" ".join(words), np.uint8)
+        return (np.zeros(0, np.int64),) * 5
+    text = b" ".join(words)
+    flat = np.frombuffer(text, np.uint8)
     power, inverse, value = _power_tables(len(flat))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -77,7 +83,10 @@ def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple
     step = 1 << 16
     least = np.concatenate([view[i : i + step].argmin(axis=1) for i in range(0, len(view), step)]) + np.arange(len(view))
     first = np.flatnonzero(np.diff(least, prepend=-1))
-    return g[least[first]].view(np.int64), first, np.diff(np.append(first, len(view))), least[first] - first
+    n, lead = np.diff(np.append(first, len(view))), least[first] - first
+    cuts = zip(starts[first].tolist(), ends[first + n + window - 2].tolist(), lead.tolist())
+    digests = np.frombuffer(b"".join([xxhash.xxh3_64_digest(text[a:b], seed=k) for a, b, k in cuts]), ">i8").astype(np.int64)
+    return g[least[first]].view(np.int64), first, n, lead, digests
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -91,9 +100,9 @@ def _send_anchors(window: int, gram: int):
         for batch in batches:
             own = [anchors(split_words(x.as_py()), window, gram) for x in batch.column(2)]
             row = pa.array(np.repeat(np.arange(len(own)), [len(a[0]) for a in own]))
-            h, first, n, lead = (np.concatenate([a[i] for a in own]) if own else np.zeros(0, np.int64) for i in range(4))
-            cols = [pa.array(h), batch.column(0).take(row), batch.column(1).take(row), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, ["h", "k1", "k2", "first", "n", "lead"])
+            h, first, n, lead, g = (np.concatenate([a[i] for a in own]) if own else np.zeros(0, np.int64) for i in range(5))
+            cols = [pa.array(h), pa.array(g), batch.column(0).take(row), batch.column(1).take(row), *(pa.array(x.astype(np.int32)) for x in (first, n, lead))]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "g", "k1", "k2", "first", "n", "lead"])
 
     return run
 
@@ -101,20 +110,19 @@ def _send_anchors(window: int, gram: int):
 def _send_segments(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, seg, sid, cols = [], [], [], ([], [], [], [])
+            rows, seg, cols = [], [], ([], [], [], [])
             for i, (text, at) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
                 words = split_words(text.as_py())
                 for a in at:
                     piece = b" ".join(words[a["first"] : a["first"] + a["n"] + window - 1])
                     rows.append(i)
                     seg.append(piece)
-                    sid.append(xxhash.xxh3_128_digest(piece, seed=a["lead"]) + a["h"].to_bytes(8, "big", signed=True))
-                    for held, name in zip(cols, ("h", "first", "n", "lead")):
+                    for held, name in zip(cols, ("h", "g", "first", "n")):
                         held.append(a[name])
             row = pa.array(rows, pa.int64())
-            parts = [pa.array(sid, pa.binary()), pa.array(seg, pa.binary()), batch.column(0).take(row), batch.column(1).take(row), pa.array(cols[0], pa.int64())]
-            parts += [pa.array(x, pa.int32()) for x in cols[1:]]
-            yield pa.RecordBatch.from_arrays(parts, ["sid", "seg", "k1", "k2", "h", "first", "n", "lead"])
+            parts = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(seg, pa.binary()), batch.column(0).take(row), batch.column(1).take(row)]
+            parts += [pa.array(x, pa.int32()) for x in cols[2:]]
+            yield pa.RecordBatch.from_arrays(parts, ["h", "g", "seg", "k1", "k2", "first", "n"])
 
     return run
 
@@ -138,17 +146,17 @@ def shard_masks(segments: list[tuple[bytes, int]], window: int = WINDOW) -> list
 
 
 def _judge(window: int):
-    """Rows come sorted by anchor; (sid, mask) of every segment with a repeated window."""
+    """Rows come sorted by anchor; (h, g, mask) of every segment with a repeated window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def done() -> list[tuple[bytes, int]]:
+        def done() -> list[tuple[int, int, int]]:
             masks = shard_masks([(seg, times) for _, _, seg, times in held], window)
-            return [(r[1], m) for r, m in zip(held, masks) if m]
+            return [(r[0], r[1], m) for r, m in zip(held, masks) if m]
 
-        def batch_of(out: list[tuple[bytes, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([m for _, m in out], pa.int64())], ["sid", "mask"])
+        def batch_of(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["h", "g", "mask"])
 
         for batch in batches:
             out = []
@@ -166,27 +174,31 @@ def _judge(window: int):
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(k1, k2, spans): for keyed documents, (first, mask) of every segment with repeated windows."""
-    sent = written(docs.select("k1", "k2", "text").mapInArrow(_send_anchors(window, gram), "h long, k1 long, k2 long, first int, n int, lead int"), "anchors")
-    twice = sent.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    lists = sent.join(twice, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "first", "n", "lead")).alias("at"))  # of one document
-    wanted = docs.select("k1", "k2", "text").join(lists, ["k1", "k2"])
-    kinds = "sid binary, seg binary, k1 long, k2 long, h long, first int, n int, lead int"
-    segments = written(wanted.mapInArrow(_send_segments(window), kinds), "segments")
+    sent = written(docs.select("k1", "k2", "text").mapInArrow(_send_anchors(window, gram), "h long, g long, k1 long, k2 long, first int, n int, lead int"), "anchors")
+    # anchors that occur again; mixed: in segments that differ
+    twice = sent.groupBy("h").agg(F.count("*").alias("c"), (F.min("g") != F.max("g")).alias("mixed")).filter("c > 1").select("h", "mixed")
+    again = written(sent.join(twice, "h").select("h", "g", "k1", "k2", "first", "n", "mixed"), "again")
     discard(sent)
-    distinct = written(segments.groupBy("sid").agg(F.first("h").alias("h"), F.first("seg").alias("seg"), F.first("n").alias("n"), F.count("*").alias("times")), "shards")
-    sizes = distinct.groupBy("h").agg(F.count("*").alias("d"), F.sum("times").alias("all")).filter(F.col("all") > 1)
+    # lists of one document each
+    lists = again.filter("mixed").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "g", "first", "n")).alias("at"))
+    wanted = docs.select("k1", "k2", "text").join(lists.hint("shuffle_hash"), ["k1", "k2"])
+    segments = wanted.mapInArrow(_send_segments(window), "h long, g long, seg binary, k1 long, k2 long, first int, n int")
+    distinct = written(segments.groupBy("h", "g").agg(F.first("seg").alias("seg"), F.first("n").alias("n"), F.count("*").alias("times")), "shards")
+    sizes = distinct.groupBy("h").agg(F.count("*").alias("d"))
     sized = distinct.join(sizes, "h")
-    alone = sized.filter(F.col("d") == 1).select("sid", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    few = sized.filter((F.col("d") > 1) & (F.col("d") <= shard)).select("h", "sid", "seg", "times")
-    judged = few.repartition("h").sortWithinPartitions("h").mapInArrow(_judge(window), "sid binary, mask long")
+    few = sized.filter(F.col("d") <= shard).select("h", "g", "seg", "times")
+    judged = few.repartition("h").sortWithinPartitions("h").mapInArrow(_judge(window), "h long, g long, mask long")
     words = F.split(F.col("seg").cast("string"), " ", -1)
-    many = sized.filter(F.col("d") > shard).select("sid", "times", "n", words.alias("w"))
-    each = many.select("sid", "times", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-    each = each.select("sid", "times", "j", F.md5(F.array_join(F.slice("w", F.col("j") + 1, window), " ").cast("binary")).alias("digest"))
+    many = sized.filter(F.col("d") > shard).select("h", "g", "times", "n", words.alias("w"))
+    each = many.select("h", "g", "times", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    each = each.select("h", "g", "times", "j", F.md5(F.array_join(F.slice("w", F.col("j") + 1, window), " ").cast("binary")).alias("digest"))
     common = each.groupBy("digest").agg(F.sum("times").alias("c")).filter("c > 1").select("digest")
-    counted = each.join(common, "digest").groupBy("sid").agg(F.sum(F.expr("shiftleft(1L, j)")).alias("mask"))
-    masks = alone.unionAll(judged).unionAll(counted)
-    return segments.select("sid", "k1", "k2", "first").join(masks, "sid").groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "mask")).alias("spans"))
+    counted = each.join(common, "digest").groupBy("h", "g").agg(F.sum(F.expr("shiftleft(1L, j)")).alias("mask"))
+    masks = written(judged.unionAll(counted), "masks")
+    discard(distinct)
+    mixed = again.filter("mixed").select("h", "g", "k1", "k2", "first").join(masks, ["h", "g"]).select("k1", "k2", "first", "mask")
+    alike = again.filter("not mixed").select("k1", "k2", "first", F.expr("shiftleft(1L, n) - 1").alias("mask"))
+    return mixed.unionAll(alike).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "mask")).alias("spans"))
 
 
 def covered(n_words: int, spans: list[tuple[int, int]], window: int = WINDOW) -> np.ndarray:
@@ -211,9 +223,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not gram <= window < gram + 63:
         raise ValueError("a window must hold a gram, and at most 62 words more")
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = bucketed(_keyed(docs, id_col, text_col), "texts", ["k1", "k2"])
     spans = repeated_windows(keyed, window, gram, shard)
-    joined = keyed.join(spans, ["k1", "k2"], "left").select("id", "text", "spans")
+    joined = keyed.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
