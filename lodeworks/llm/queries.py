@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontam
 from .common import shared_dir, table, written
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +106,3 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
-
-#: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {
-    "op5_benchmark_decontamination": decontam.ORACLE_SQL,
-}

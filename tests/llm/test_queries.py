@@ -1,0 +1,26 @@
+"""The registered queries that SQL can express, against DuckDB, on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from lodeworks.llm.queries import ORACLE_SQL, QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_every_operator_has_a_query():
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)] and set(ORACLE_SQL) <= set(QUERIES)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+    got = QUERIES[name](spark, FOLDER)
+    sql = c.sql(ORACLE_SQL[name])
+    order = [sql.columns.index(x) for x in got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in order) for r in sql.fetchall())
