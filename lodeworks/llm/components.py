@@ -2,8 +2,8 @@
 
 Both stars keep the components as they are and every round shrinks the depth of the trees, so the
 number of rounds is about logarithmic.  Nothing is collected: each round is two aggregations and
-two joins on a node id.  Minima are pre-aggregated before they are shuffled; the joins are plain
-sort-merge joins, so a hub's rows can be split by adaptive execution.
+two joins on a node id.  Minima are pre-aggregated before they are shuffled, and written, so that the
+joins have plain exchanges on both sides and adaptive execution can split a hub's rows.
 """
 
 from __future__ import annotations
@@ -17,17 +17,28 @@ from .common import discard, written
 MAX_ROUNDS = 60
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+    return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), least
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     # every row has b < a here: b is a smaller neighbour of a
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(links.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = links.join(least, "a").filter(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b")))
+    return moved.unionAll(least.select("a", F.col("m").alias("b"))), least
+
+
+def _round(links: DataFrame) -> DataFrame:
+    """Both stars, written; the tables in between are deleted."""
+    large, least = _large_star(links)
+    between = written(large.distinct(), "links")
+    small, lower = _small_star(between)
+    out = written(small.distinct(), "links")
+    for done in (links, least, between, lower):
+        discard(done)
+    return out
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -44,11 +55,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     mark = None
     for _ in range(MAX_ROUNDS):
-        new = written(_small_star(_large_star(now).distinct()).distinct(), "links")
+        now = _round(now)
         # done when a round changes nothing: same number of rows and same sum of hashes
-        seen = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(now)
-        now = new
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break
         mark = seen
