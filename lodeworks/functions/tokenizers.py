@@ -114,3 +114,12 @@ def check_narrow(tokenizer: Tokenizer) -> None:
     """Shards hold unsigned 16-bit ids."""
     if tokenizer.vocab_size >= 1 << 16:
         raise ValueError(f"a vocabulary of {tokenizer.vocab_size} ids does not fit 16 bits")
+
+
+def decoded(tokenizer: Tokenizer, ids: Column) -> Column:
+    """The texts of arrays of ids (Arrow-batched UDF); null stays null."""
+
+    def texts(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: None if x is None else tokenizer.decode([int(i) for i in x]))
+
+    return F.pandas_udf(texts, "string")(ids)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeworks import pipelines
 from lodeworks.functions import hashing
 from lodeworks.functions.text import casefolded, is_nonblank, stripped
-from lodeworks.functions.tokenizers import ByteTokenizer, CodepointTokenizer, check_narrow
+from lodeworks.functions.tokenizers import ByteTokenizer, CodepointTokenizer, FileTokenizer, check_narrow, decoded, with_end
 from lodeworks.operators import shards
 from lodeworks.sources.tokenfiles import read_shards, write_shards
 
@@ -136,3 +136,20 @@ def test_shard_names(spark):
     t, _ = shards.name_parts(F.col("p"))
     got = spark.createDataFrame([(p,) for p in paths], "p string").select(s.alias("s"), i.alias("i"), t.alias("t")).collect()
     assert [tuple(r) for r in got] == [("a_1", 2, "a_1"), ("<root>", None, "r"), ("x/y", None, "y"), ("a", 10000, "a"), ("<root>", None, "r")]
+
+
+def test_decoded_columns(spark):
+    texts = ["abc", "", "é漢", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(decoded(ByteTokenizer(), with_end(ByteTokenizer().ids(F.col("t")), ByteTokenizer())).alias("d")).collect()
+    assert [r["d"] for r in got] == texts
+
+
+def test_tokenizer_files(spark):
+    public = pytest.importorskip("public_tokenizers")
+    tok = FileTokenizer(public.path("byte_bpe_50k.json"), eos_token_id=50256)
+    check_narrow(tok)
+    texts = ["Hello world", "", "naïve"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(tok.ids(F.col("t")).alias("i"), tok.length(F.col("t")).alias("n")).collect()
+    assert [r["i"] for r in got] == [tok.encode(t) for t in texts] and [r["n"] for r in got] == [len(tok.encode(t)) for t in texts]
+    assert [tok.decode(tok.encode(t)) for t in texts] == texts
