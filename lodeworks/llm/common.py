@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from contextlib import contextmanager
 
@@ -18,7 +20,36 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` (they are never raised)."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def lean(run):
+    """A worker's batch function that gives freed memory back when its task ends: workers are kept,
+    and what their allocators hold would add up over the stages of a pipeline."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +67,7 @@ def _swept(spark: SparkSession):
 def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Like ``written``, as a table bucketed by ``keys``: joins on them do not shuffle it again."""
     spark = df.sparkSession
+    small_batches(spark)
     n, known = shuffle_width(spark), f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/lodeworks/{known}"
     with _swept(spark):
@@ -50,6 +82,7 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     files visible only when every task has succeeded, so a lost executor costs only its tasks.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/lodeworks/{name}-{uuid.uuid4().hex}"
     with _swept(spark):
         (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)

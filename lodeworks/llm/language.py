@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
+
 #: Dimension of the vectors, letters of an n-gram, seed of the letter vectors.
 DIMENSION, ORDER, SEED = 512, 3, 20_011
 #: Expected number of labelled rows that prototypes are learnt from (a documented bound; rows are
@@ -142,10 +144,12 @@ def learn(
     About ``rows`` of them are used (all, if there are fewer), chosen by a hash of id and text.
     Languages whose texts have no letters are not learnt.
     """
+    small_batches(labelled.sparkSession)
     usable = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     share = min(1.0, rows / max(1, usable.select(lang_col).count()))
     picked = usable.filter(F.pmod(F.xxhash64(id_col, lang_col), F.lit(1 << 30)) < int(share * (1 << 30)))
 
+    @lean
     def bundle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, sums = _profiler(dimension, seed), {}
         for frame in frames:
@@ -178,6 +182,7 @@ def identify(
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (lang_name, score_name)]
     width = len(keep)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _profiler(dimension, seed)
         for batch in batches:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, shuffle_width, written
+from .common import discard, lean, shuffle_width, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Bits of the broadcast filter for each line, and the most bits it may have (64 MB).
@@ -90,6 +90,7 @@ class TwiceSeen:
 def twice_seen(docs: DataFrame, text_col: str = "text", least: int = MIN_CHARS, max_bits: int = MAX_BITS) -> TwiceSeen:
     """Steps 1 and 2.  Collects at most ``max_bits`` bits."""
 
+    @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count = Counter(k for x in batch.column(0) for k in {k for _, k in line_keys(x.as_py(), least) if k})
@@ -124,6 +125,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (key, id) rows that were counted."""
     seen = twice_seen(docs, text_col, least, max_bits)
 
+    @lean
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, keys = [], []
@@ -190,6 +192,7 @@ def dedup_lines(
     if size <= broadcast_bytes:
         keeper = {bytes(r["key"]): r["keeper"] for r in decisions.collect()}
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield finish(batch, lambda i, key: key in keeper and keeper[key] != i)

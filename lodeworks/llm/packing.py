@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .wordtokens import WordTokenizer, default_vocabulary, steps
 
 CAPACITY = 4096
@@ -169,6 +169,7 @@ def token_pieces(
     path = vocabulary or default_vocabulary()
     end = np.array([end_id], "<u4")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = WordTokenizer.opened(path)
         for whole in batches:

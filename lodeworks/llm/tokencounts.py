@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
 from .wordtokens import WordTokenizer, default_vocabulary, steps
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -84,6 +85,7 @@ def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", vocab
     path = vocabulary or default_vocabulary()
     width = len(keep)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = WordTokenizer.opened(path)
         for whole in batches:

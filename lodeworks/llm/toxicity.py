@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 #: Bounds of the fit: labelled rows (expected number), and words.
 TRAIN_ROWS, FEATURES = 20_000, 1024
@@ -171,6 +171,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     """
     index = {w: i for i, w in enumerate(model.words)}
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

@@ -16,11 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks kept by a worker before it starts afresh (about 150 bytes each).
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 200_000
 #: Longest chunk that is kept in the cache.
 _LONG = 64
 #: Characters of text handled in one step.
-STEP_CHARS = 8_000_000
+STEP_CHARS = 4_000_000
 
 
 def default_vocabulary() -> str:
