@@ -176,15 +176,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sh
     """(k1, k2, spans): for keyed documents, (first, mask) of every segment with repeated windows."""
     sent = written(docs.select("k1", "k2", "text").mapInArrow(_send_anchors(window, gram), "h long, g long, k1 long, k2 long, first int, n int, lead int"), "anchors")
     # anchors that occur again; mixed: in segments that differ
-    twice = sent.groupBy("h").agg(F.count("*").alias("c"), (F.min("g") != F.max("g")).alias("mixed")).filter("c > 1").select("h", "mixed")
+    # written, so that the joins have plain exchanges on both sides and a hot anchor's rows can be split
+    twice = written(sent.groupBy("h").agg(F.count("*").alias("c"), (F.min("g") != F.max("g")).alias("mixed")).filter("c > 1").select("h", "mixed"), "twice")
     again = written(sent.join(twice, "h").select("h", "g", "k1", "k2", "first", "n", "mixed"), "again")
     discard(sent)
+    discard(twice)
     # lists of one document each
     lists = again.filter("mixed").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "g", "first", "n")).alias("at"))
     wanted = docs.select("k1", "k2", "text").join(lists.hint("shuffle_hash"), ["k1", "k2"])
     segments = wanted.mapInArrow(_send_segments(window), "h long, g long, seg binary, k1 long, k2 long, first int, n int")
     distinct = written(segments.groupBy("h", "g").agg(F.first("seg").alias("seg"), F.first("n").alias("n"), F.count("*").alias("times")), "shards")
-    sizes = distinct.groupBy("h").agg(F.count("*").alias("d"))
+    sizes = written(distinct.groupBy("h").agg(F.count("*").alias("d")), "sizes")
     sized = distinct.join(sizes, "h")
     few = sized.filter(F.col("d") <= shard).select("h", "g", "seg", "times")
     judged = few.repartition("h").sortWithinPartitions("h").mapInArrow(_judge(window), "h long, g long, mask long")
