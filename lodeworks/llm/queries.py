@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,15 +60,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four batches: all documents with an estimate for the BPE, its exact counts as revisions, all
-    documents' words, and the deletion of exact copies; the second batch is sent twice."""
+    documents' words, and the removal of exact copies (all rows of a text go, its first comes back);
+    the second batch is sent twice."""
     from .tokencounts import DELETE, INSERT, REVISE, Rollup, changes, count_tokens
 
     docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "source", "lang", "text", F.sha2("text", 256).alias("digest"))
     rows = docs.withColumn("guess", F.coalesce(F.floor(F.length("text") / 4), F.lit(0)))
     counted = written(count_tokens(rows, ["doc_id", "source", "lang", "digest", "guess"]), "counted")
-    least = counted.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    copies = counted.join(least, "digest").filter("doc_id > least")
+    texts = counted.filter("digest is not null")
+    first = F.min(F.struct("doc_id", "source", "lang", "bpe_tokens", "word_tokens")).alias("first")
+    firsts = texts.groupBy("digest").agg(first).select("first.*")
     rollup = Rollup(spark, f"{shared_dir(spark)}/lodeworks/rollup-{uuid.uuid4().hex}")
     bpe, words = "word_bpe_49k/1", "ascii_words/1"
     revised = changes(counted, REVISE, bpe, F.col("bpe_tokens"), F.col("guess"))
@@ -75,7 +78,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("recount", revised)
     rollup.commit("words", changes(counted, INSERT, words, F.col("word_tokens")))
     rollup.commit("recount", revised)
-    rollup.commit("copies", changes(copies, DELETE, bpe, F.col("bpe_tokens")).unionAll(changes(copies, DELETE, words, F.col("word_tokens"))))
+    moves = [changes(rows, op, name, F.col(n)) for name, n in ((bpe, "bpe_tokens"), (words, "word_tokens")) for rows, op in ((texts, DELETE), (firsts, INSERT))]
+    rollup.commit("copies", functools.reduce(DataFrame.unionAll, moves))
     return rollup.totals()
 
 
