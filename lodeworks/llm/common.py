@@ -10,16 +10,11 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Words are runs of anything but these ASCII white-space characters.
-ASCII_SPACE = " \t\n\x0b\x0c\r"
-
-
 #: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
 BATCH_ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -104,10 +99,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
-
-
 def grouped(batches, keys: int):
     """Groups of rows that are alike in their first ``keys`` columns; the rows must come sorted.
 
