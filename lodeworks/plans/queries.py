@@ -104,9 +104,7 @@ def pack_flush_before(spark, sf_dir):
 
 @query
 def tokenize_report(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    kept = within_budget(docs, "n_tokens", BUDGET, ["doc_id"], ["source"])
-    placed = shards.assign_shards(kept, CAP, shards.AFTER, ["source"], "doc_id")
+    placed = shards.assign_shards(_documents(spark, sf_dir), CAP, shards.AFTER, ["source"], "doc_id")
     return placed.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").cast("long").alias("total_tokens"), (F.max("shard_index") + 1).cast("long").alias("shards"))
 
 
