@@ -137,15 +137,14 @@ def shard_scan(spark, sf_dir):
 
 @query
 def source_check(spark, sf_dir):
-    gaps = _scanned(spark, sf_dir).filter("shard_index % 3 <> 1")
-    made = shards.source_report(gaps)
+    made = shards.source_report(_scanned(spark, sf_dir))
     return made.select("source", "shards", "tokens", "eos_tokens", F.array_join(F.transform("missing", lambda i: i.cast("string")), ",").alias("missing"))
 
 
 @query
 def check_messages(spark, sf_dir):
     scanned = _scanned(spark, sf_dir)
-    return shards.messages(scanned, shards.source_report(scanned.filter("shard_index % 3 <> 1")))
+    return shards.messages(scanned, shards.source_report(scanned))
 
 
 @query
@@ -166,8 +165,7 @@ def shard_name_parse(spark, sf_dir):
 
 @query
 def missing_shards(spark, sf_dir):
-    present = _shard_sizes(spark, sf_dir).filter("shard_index % 3 <> 1")
-    made = present.groupBy("source").agg(shards.missing_indices(F.collect_set("shard_index")).alias("m"))
+    made = _shard_sizes(spark, sf_dir).groupBy("source").agg(shards.missing_indices(F.collect_set("shard_index")).alias("m"))
     return made.select("source", F.explode("m").alias("shard_index"))
 
 
