@@ -476,7 +476,9 @@ def rolling_windows(spark, sf_dir):
 
 @query
 def left_truncate(spark, sf_dir):
-    made = _requests(spark, sf_dir).select("item_id", F.slice("ids", 1, 60).alias("context"), F.slice("ids", 61, 20).alias("continuation"))
+    """The last 20 ids of an item are its continuation, all before them its context."""
+    n = F.greatest(F.size("ids") - 20, F.lit(0))
+    made = _requests(spark, sf_dir).select("item_id", F.slice("ids", F.lit(1), n).alias("context"), F.slice("ids", n + 1, F.size("ids") - n).alias("continuation"))
     cut = decoding.left_truncated(F.col("context"), F.col("continuation"), 48)
     return made.select("item_id", F.size(cut).cast("long").alias("n_context"), _sum_of(cut).alias("id_sum"))
 

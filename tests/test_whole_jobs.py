@@ -51,3 +51,15 @@ def test_check_messages_name_the_real_gaps(spark, gapped):
     folder, _, gaps = gapped
     got = queries.QUERIES["check_messages"](spark, folder).collect()
     assert sorted(r["message"] for r in got if r["place"] == 1) == sorted(f"{s}: missing shard indices {', '.join(map(str, k))}" for s, k in gaps.items() if k)
+
+
+def test_left_truncate_splits_the_whole_item(spark, tmp_path):
+    texts = ["", "short", "x" * 19, "y" * 20, "".join(chr(33 + i % 90) for i in range(47)), "".join(chr(33 + i * i % 90) for i in range(226))]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {}
+    for i, t in enumerate(texts):
+        ids = [2, *map(ord, t)]
+        context = ids[:-20][-28:]
+        want[i] = (len(context), sum(context))
+    got = {r["item_id"]: (r["n_context"], r["id_sum"]) for r in queries.QUERIES["left_truncate"](spark, str(tmp_path)).collect()}
+    assert got == want
