@@ -3,8 +3,9 @@
 The patterns find what has a known form.  The entropy method then looks at candidate strings, runs of
 at least ``WIDTH`` characters of the base64 and hex alphabets: a window of ``WIDTH`` characters slides
 over each, its Shannon entropy kept up by the counts of the one character that enters and the one
-that leaves.  Windows that reach the threshold of their character class make spans, unless the
-allow-list knows the string.  Spans that lie inside a pattern's span are not repeated.
+that leaves.  Each window has a class of its own: hex, base64 (both cases), lower or upper case with
+digits (base36, base32).  Windows that reach the threshold of their class make spans, unless the
+allow-list knows the string; one without a digit or without a letter has no class.  Spans that lie inside a pattern's span are not repeated.
 """
 
 from __future__ import annotations
@@ -26,16 +27,20 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 #: Characters in a window.
 WIDTH = 20
-#: Least entropy (bits a character) of a window by its class, and what the class needs in a window.
-THRESHOLDS = {"hex": 3.0, "base64": 3.7}
+#: Least entropy (bits a character) of a window by its class.
+THRESHOLDS = {"hex": 3.0, "base64": 3.7, "lower": 3.4, "upper": 3.3}
+_LEAST = min(THRESHOLDS.values())
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % WIDTH)
 _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _LOG = [0.0] + [n * math.log2(n) for n in range(1, WIDTH + 1)]
+#: A word, a number, or both in less than ``WIDTH`` characters (python3, 2nd).
+_WORD = r"(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+|(?:[a-z]{1,15}|[A-Z]{1,15}|[A-Z][a-z]{1,14})[0-9]{1,4}|[0-9]{1,15}(?:[a-z]{1,4}|[A-Z]{1,4}))"
 #: Strings that are no secrets though they look random: whole-string patterns.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
     r"[A-Za-z]+([-_/][A-Za-z]+)*",  # words and paths of words
     r"[0-9]+([-_/][0-9]+)*",  # numbers, dates, phone numbers
+    r"[-_/+=]*{0}([-_/+=]+{0})*[-_/+=]*".format(_WORD),  # words and numbers in a row, paths
     r".*(?i:example|placeholder|changeme|your[-_]?(key|token|secret)|x{6,}|0{8,}).*",
     r".*(?:abcdefghij|ABCDEFGHIJ|0123456789).*",  # alphabets
 )
@@ -62,6 +67,16 @@ def windows_of_entropy(text: str, width: int = WIDTH) -> list[float]:
     return out
 
 
+def window_class(window: str) -> str | None:
+    """The class of ``THRESHOLDS`` that a window is judged by; None: not judged."""
+    digits, lower, upper = (any(f(c) for c in window) for f in (str.isdigit, str.islower, str.isupper))
+    if not digits or not (lower or upper):
+        return None
+    if _HEX_ONLY.fullmatch(window):
+        return "hex"
+    return "base64" if lower and upper else "lower" if lower else "upper"
+
+
 def entropy_spans(text: str, allowed: re.Pattern) -> list[tuple[int, int]]:
     """Merged windows of high entropy in candidates that the allow-list does not know."""
     spans = []
@@ -69,14 +84,12 @@ def entropy_spans(text: str, allowed: re.Pattern) -> list[tuple[int, int]]:
         run = m.group()
         if run.isalpha() or allowed.fullmatch(run):
             continue
-        kind = "hex" if _HEX_ONLY.fullmatch(run) else "base64"
         start = m.start()
         for i, h in enumerate(windows_of_entropy(run)):
-            if h < THRESHOLDS[kind]:
+            if h < _LEAST:
                 continue
-            w = run[i : i + WIDTH]
-            digits, lower, upper = (any(f(c) for c in w) for f in (str.isdigit, str.islower, str.isupper))
-            if not (digits and (lower or upper) if kind == "hex" else digits and lower and upper):
+            kind = window_class(run[i : i + WIDTH])
+            if kind is None or h < THRESHOLDS[kind]:
                 continue
             a, b = start + i, start + i + WIDTH
             if spans and spans[-1][1] >= a:

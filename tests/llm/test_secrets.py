@@ -1,3 +1,4 @@
+import random
 import re
 
 import helpers
@@ -47,3 +48,19 @@ def test_scan(spark):
 
 def test_no_documents(spark):
     assert secrets.scan(helpers.empty(spark)).count() == 0
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+@pytest.mark.parametrize("before", ["", "key-"])
+@pytest.mark.parametrize("letters", [DIGITS + LOWER, DIGITS + UPPER, UPPER + "234567", LOWER + "234567", DIGITS + "ABCDEF", DIGITS + "abcdef", DIGITS + LOWER + UPPER])
+def test_random_strings_of_every_alphabet_are_found(letters, before):
+    rnd = random.Random(7)
+    found = sum(bool(secrets.entropy_spans(f"is {before}{''.join(rnd.choices(letters, k=40))} ok", ALLOW)) for _ in range(300))
+    assert found >= 298
+
+
+@pytest.mark.parametrize("run", ["how-to-install-python3-on-windows10-in-2024", "/usr/lib/python3/dist-packages/utf8", "CHAPTER_12_OF_THE_SECOND_VOLUME_1999", "Users/john/projects/my-app-2/src", "page=12/sort=ascending/limit=100", "12345678901234567890123"])
+def test_words_and_numbers_are_left_out(run):
+    assert not secrets.entropy_spans(f"see {run} there", ALLOW)
