@@ -29,7 +29,7 @@ from .common import grouped, written
 from .components import connected_components
 from .simhash import forest
 
-THRESHOLD, RECALL, CELL, BLOCK = 0.9, 0.985, 64, 256
+THRESHOLD, RECALL, CELL, BLOCK = 0.9, 0.9999, 64, 256
 #: Bits of a code: the dimension padded to a multiple of 64, twice over.  Standard errors allowed.
 PADDING, ERRORS = 2, 4.0
 _PLANES = 4

@@ -75,3 +75,22 @@ def test_estimates_are_unbiased_and_bounded():
 
 def test_no_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_pairs_just_above_the_threshold_are_met(spark):
+    rng = np.random.default_rng(4)
+    n, d = 4000, 64
+    base = rng.standard_normal((n, d))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((n, d))
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = np.linspace(0.9001, 0.92, n)[:, None]
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side])
+    bits, tables = embeddings.tables_for(51_282)
+    key = embeddings.cells(x, bits, tables)
+    assert (key[:n] == key[n:]).any(axis=1).mean() >= 0.9995
+    some = np.concatenate([x[:n:8], x[n::8]])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(some)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+    assert sum(got[i + n // 8] == (1, i) and got[i] == (1, i) for i in range(n // 8)) >= n // 8 - 1
