@@ -46,7 +46,7 @@ _SCAN = f"""{_TOKENS}, scanned AS (SELECT source, shard_index, count(*) * 2 AS b
   min(token)::INT AS min_token_id, max(token)::INT AS max_token_id, arg_max(token, position) = 46 AS ends_with_eos FROM tokens GROUP BY ALL),
 noted AS (SELECT *, CASE WHEN max_token_id >= 245 THEN 'ids ' || min_token_id || ' to ' || max_token_id || ' do not fit vocabulary size 245' END AS error,
   CASE WHEN eos_tokens = 0 THEN 'no end token in it' END AS warning, source || '_' || CASE WHEN shard_index < 10000 THEN lpad(shard_index::VARCHAR, 4, '0') ELSE shard_index::VARCHAR END || '.bin' AS path FROM scanned)"""
-_GAPS = """present AS (SELECT source, shard_index, tokens, eos_tokens FROM noted WHERE shard_index % 3 <> 1),
+_GAPS = """present AS (SELECT source, shard_index, tokens, eos_tokens FROM noted),
 span AS (SELECT source, min(shard_index) AS a, max(shard_index) AS b, count(*) AS shards, sum(tokens)::BIGINT AS tokens, sum(eos_tokens)::BIGINT AS eos_tokens FROM present GROUP BY source),
 gaps AS (SELECT s.source, u.i AS shard_index FROM span s, unnest(range(s.a, s.b + 1)) AS u(i) WHERE NOT EXISTS (SELECT 1 FROM present p WHERE p.source = s.source AND p.shard_index = u.i)),
 listed AS (SELECT source, string_agg(shard_index::VARCHAR, ',' ORDER BY shard_index) AS missing FROM gaps GROUP BY source)"""
@@ -106,7 +106,7 @@ ORACLE_SQL: dict[str, str] = {
     "token_budget": f"WITH {_DOCS}, {_BUDGET} SELECT * FROM kept",
     "pack_flush_after": f"WITH RECURSIVE {_DOCS}, {_packed('after', 'docs', ['source'], 'doc_id')} SELECT source, doc_id, n_tokens, shard_index FROM packed",
     "pack_flush_before": f"WITH RECURSIVE {_DOCS}, {_packed('before', 'docs', ['source'], 'doc_id')} SELECT source, doc_id, n_tokens, shard_index FROM packed",
-    "tokenize_report": f"""WITH RECURSIVE {_DOCS}, {_BUDGET}, {_packed('after', 'kept', ['source'], 'doc_id')}
+    "tokenize_report": f"""WITH RECURSIVE {_DOCS}, {_packed('after', 'docs', ['source'], 'doc_id')}
       SELECT source, count(*) AS documents, CAST(sum(n_tokens) AS BIGINT) AS total_tokens, max(shard_index) + 1 AS shards FROM packed GROUP BY source""",
     "stream_packing": f"""WITH RECURSIVE {_DOCS}, {_packed('after', 'docs', ['source'], 'doc_id')} SELECT source, doc_id, n_tokens, rn - 1 AS doc_index, shard_index FROM packed""",
     "shard_scan": f"WITH {_SCAN} SELECT * FROM noted",
@@ -181,7 +181,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT l.vec_id // 10 AS request, round(sum(l.logit - z.z), 6) AS log_likelihood, bool_and(l.token = z.best) AS is_greedy FROM logits l JOIN z USING (vec_id) WHERE l.token = l.vec_id % 64 GROUP BY 1""",
     "rolling_windows": f"""WITH {_REQUESTS}, r AS (SELECT item_id, ids, s AS target_start, least(s + 49, len(ids)) AS target_end FROM requests, unnest(range(1, len(ids), 49)) AS u(s))
       SELECT item_id, target_start::BIGINT AS target_start, target_end::BIGINT AS target_end, (target_end - target_start + 1)::BIGINT AS width, list_sum(ids[target_start:target_end])::BIGINT AS id_sum FROM r""",
-    "left_truncate": f"""WITH {_REQUESTS}, c AS (SELECT item_id, ids[1:60] AS a, ids[61:80] AS b FROM requests), d AS (SELECT item_id, a, least(48 - len(b), len(a)) AS n FROM c)
+    "left_truncate": f"""WITH {_REQUESTS}, c AS (SELECT item_id, ids[1:greatest(len(ids) - 20, 0)] AS a, ids[greatest(len(ids) - 20, 0) + 1:] AS b FROM requests), d AS (SELECT item_id, a, least(48 - len(b), len(a)) AS n FROM c)
       SELECT item_id, n::BIGINT AS n_context, coalesce(list_sum(a[len(a) - n + 1:len(a)]), 0)::BIGINT AS id_sum FROM d""",
     "stop_strings": r"""SELECT doc_id, length(split_part(split_part(split_part(text, chr(10), 1), '. ', 1), ',', 1)) AS n_chars FROM documents""",
     "rmsnorm": "WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE)) / len(embedding) + 1e-6) AS s FROM embeddings) SELECT vec_id, (i - 1)::INT AS i, round(embedding[i]::DOUBLE / s, 6) AS x FROM n, unnest(range(1, len(embedding) + 1)) AS u(i)",
