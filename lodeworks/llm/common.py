@@ -9,7 +9,9 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
@@ -59,15 +61,22 @@ def _swept(spark: SparkSession):
         spark.conf.set(_CLEANUP, was) if was is not None else spark.conf.unset(_CLEANUP)
 
 
-def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Like ``written``, as a table bucketed by ``keys``: joins on them do not shuffle it again."""
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """Like ``written``, as a table bucketed by ``keys``: joins on them do not shuffle it again.
+
+    The catalog forgets the table at once (its files stay): the frame that is returned knows its
+    files and buckets itself, so no session or metastore fills up with such tables.
+    """
     spark = df.sparkSession
     small_batches(spark)
-    n, known = shuffle_width(spark), f"{name}_{uuid.uuid4().hex}"
+    known = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/lodeworks/{known}"
     with _swept(spark):
-        df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).option("compression", "zstd").saveAsTable(known)
-    return spark.table(known)
+        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).option("compression", "zstd").saveAsTable(known)
+    out = spark.table(known)
+    out.schema  # analysed: what follows needs no catalog
+    spark.sql(f"DROP TABLE {known}")
+    return out
 
 
 def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
@@ -95,6 +104,20 @@ def discard(df: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def row_keyed(df: DataFrame, name: str) -> tuple[DataFrame, list]:
+    """(frame, columns): columns that tell every row of the frame apart, also equal ones.
+
+    Rows of files are told by file and row number; a frame that no files are behind is written once.
+    """
+    try:
+        place = df.select("_metadata.file_path", "_metadata.row_index").schema
+    except AnalysisException:
+        place = None
+    if place is None:
+        return written(df.withColumn("_row", F.monotonically_increasing_id()), name), [F.lit(0).cast("long"), F.col("_row")]
+    return df, [F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

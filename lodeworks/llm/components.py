@@ -2,7 +2,7 @@
 
 Both stars keep the components as they are and every round shrinks the depth of the trees, so the
 number of rounds is about logarithmic.  Nothing is collected: each round is two aggregations and
-two joins on a node id.  Minima are pre-aggregated before they are shuffled, and written, so that the
+two joins on a node id, and one aggregation tells whether only stars are left.  Minima are pre-aggregated before they are shuffled, and written, so that the
 joins have plain exchanges on both sides and adaptive execution can split a hub's rows.
 """
 
@@ -41,11 +41,19 @@ def _round(links: DataFrame) -> DataFrame:
     return out
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _is_forest_of_stars(links: DataFrame) -> bool:
+    """Whether every node has one link at most to a smaller one, which has none itself."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(links.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.filter("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has a link.
 
     Nulls and self-links are ignored; nodes without links do not appear.  The links may be given
-    in any direction and repeatedly.
+    in any direction and repeatedly.  Links that are stars already, or none, take no round.  More than
+    ``rounds`` rounds are an error, never an unfinished result.
     """
     now = written(
         links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
@@ -53,15 +61,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct(),
         "links",
     )
-    mark = None
-    for _ in range(MAX_ROUNDS):
-        now = _round(now)
-        # done when a round changes nothing: same number of rows and same sum of hashes
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark or not seen[0]:
+    done = _is_forest_of_stars(now)
+    for _ in range(rounds):
+        if done:
             break
-        mark = seen
-    # at the fixed point every node has one link, to its component's smallest node
-    members = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+        now = _round(now)
+        done = _is_forest_of_stars(now)
+    if not done:
+        raise RuntimeError(f"components are unfinished after {rounds} rounds")
+    # a star's nodes have one link each, to its smallest node
+    members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return members.unionAll(roots)
