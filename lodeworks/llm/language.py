@@ -24,95 +24,93 @@ from .common import lean, small_batches
 #: Dimension of the vectors, letters of an n-gram, seed of the letter vectors.
 DIMENSION, ORDER, SEED = 512, 3, 20_011
 #: Expected number of labelled rows that prototypes are learnt from (a documented bound; rows are
-#: chosen by a hash of their id, evenly over the table).
+#: chosen by a hash of their id and text, evenly over the table).
 TRAIN_ROWS = 20_000
+#: Share of held-out rows that ``least_score`` leaves below it, and the fewest rows that can tell.
+REJECT_SHARE, LEAST_HELD = 0.001, 50
 UNKNOWN = "und"
-#: Letter slots: 0 is the boundary between words; the most usual letters have a slot each, others
-#: share the last slots by code point.
-_SLOTS = 64
-_KNOWN = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøùúûüßœ"
+_BITS = 21  # of a code point; 0 is the boundary between words
 _TABLE_SIZE = 0x250
-#: n-gram vectors that a worker keeps, and texts that are multiplied together.
-_KEPT, _TOGETHER = 16_384, 64
+#: Letters whose vectors a worker keeps, texts that are multiplied together, n-grams in a slice.
+_KEPT, _TOGETHER, _SLICE = 8_192, 64, 8_192
 
 
-def _slot(code: int) -> int:
+def _letter(code: int) -> int:
+    """The letter (its lower case's first code point) that a code point stands for; 0 if for none."""
     c = chr(code)
-    if not c.isalpha():
-        return 0
-    low = c.lower()[:1]
-    if low in _KNOWN:
-        return 1 + _KNOWN.index(low)
-    free = _SLOTS - 1 - len(_KNOWN)
-    return 1 + len(_KNOWN) + ord(low) % free
+    return ord(c.lower()[0]) if c.isalpha() else 0
 
 
 class Profiler:
     """Bundled n-gram vectors of texts."""
 
     def __init__(self, dimension: int = DIMENSION, seed: int = SEED):
-        letters = np.random.default_rng(seed).integers(0, 2, (_SLOTS, dimension), dtype=np.int8) * 2 - 1
-        # the place of a letter in the n-gram rolls its vector
-        self.placed = [np.roll(letters, ORDER - 1 - k, axis=1) for k in range(ORDER)]
-        self.table = np.array([_slot(c) for c in range(_TABLE_SIZE)], np.uint8)
-        self.dimension = dimension
+        self.dimension, self.seed = dimension, seed
+        self.table = np.array([_letter(c) for c in range(_TABLE_SIZE)], np.int64)
         self._forget()
 
     def _forget(self) -> None:
-        self.row_of = np.full(_SLOTS**ORDER, -1, np.int32)
-        self.rows = np.zeros((_KEPT, self.dimension), np.float32)
-        self.used = 0
+        self.known = np.zeros(0, np.int64)  # letters, ascending
+        self.rows = np.zeros((0, self.dimension), np.int8)
+
+    def letter(self, code: int) -> np.ndarray:
+        """A letter's own vector of ones and minus ones; it depends on the seed and the letter alone."""
+        return np.random.default_rng([self.seed, code]).integers(0, 2, self.dimension, dtype=np.int8) * 2 - 1
+
+    def _learn(self, codes: np.ndarray) -> None:
+        new = np.setdiff1d(codes, self.known)
+        if not len(new):
+            return
+        if len(self.known) + len(new) > _KEPT:
+            self._forget()
+            new = np.unique(codes)
+        known = np.concatenate([self.known, new])
+        rows = np.concatenate([self.rows, np.stack([self.letter(int(c)) for c in new])])
+        order = np.argsort(known)
+        self.known, self.rows = known[order], rows[order]
+        # the place of a letter in the n-gram rolls its vector
+        self.placed = [np.roll(self.rows, ORDER - 1 - k, axis=1) for k in range(ORDER)]
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams (as numbers) and their counts; nothing if the text has no letter."""
+        """Distinct n-grams (three code points in a number) and their counts; nothing if the text
+        has no letter."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        slots = self.table[np.minimum(codes, _TABLE_SIZE - 1)]
+        letters = self.table[np.minimum(codes, _TABLE_SIZE - 1)]
         far = np.flatnonzero(codes >= _TABLE_SIZE)
         if len(far):
             seen, back = np.unique(codes[far], return_inverse=True)
-            slots[far] = np.array([_slot(int(c)) for c in seen], np.uint8)[back]
-        slots = np.concatenate(([0], slots, [0])).astype(np.int32)
-        slots = slots[1:][(slots[1:] != 0) | (slots[:-1] != 0)]  # runs of boundaries are one
-        if not slots.any():
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        slots = np.concatenate(([0], slots)) if slots[0] else slots
-        gram = (slots[:-2] * _SLOTS + slots[1:-1]) * _SLOTS + slots[2:]
+            letters[far] = np.array([_letter(int(c)) for c in seen], np.int64)[back]
+        letters = np.concatenate(([0], letters, [0]))
+        letters = letters[1:][(letters[1:] != 0) | (letters[:-1] != 0)]  # runs of boundaries are one
+        if not letters.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        letters = np.concatenate(([0], letters)) if letters[0] else letters
+        gram = (letters[:-2] << 2 * _BITS) | (letters[1:-1] << _BITS) | letters[2:]
         gram.sort()
         first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         return gram[first], np.diff(np.append(first, len(gram)))
 
-    def vectors(self, grams: np.ndarray) -> np.ndarray:
+    def bound(self, grams: np.ndarray) -> np.ndarray:
         """The bound vectors of distinct n-grams."""
-        if len(grams) > _KEPT:
-            return self._bound(grams)
-        new = grams[self.row_of[grams] < 0]
-        if self.used + len(new) > _KEPT:
-            self._forget()
-            new = grams
-        self.row_of[new] = np.arange(self.used, self.used + len(new))
-        self.rows[self.used : self.used + len(new)] = self._bound(new)
-        self.used += len(new)
-        return self.rows[self.row_of[grams]]
-
-    def _bound(self, grams: np.ndarray) -> np.ndarray:
-        a, b, c = self.placed
-        return (a[grams // _SLOTS**2] * b[grams // _SLOTS % _SLOTS] * c[grams % _SLOTS]).astype(np.float32)
+        mask = (1 << _BITS) - 1
+        parts = [grams >> 2 * _BITS, grams >> _BITS & mask, grams & mask]
+        self._learn(np.unique(np.concatenate([np.unique(p) for p in parts])))
+        a, b, c = (placed[np.searchsorted(self.known, p)] for placed, p in zip(self.placed, parts))
+        return (a * b * c).astype(np.float32)
 
     def unit(self, texts: list[str]) -> np.ndarray:
         """One bundled vector of length 1 for each text; zero for a text without letters."""
         out = np.zeros((len(texts), self.dimension), np.float32)
         for at in range(0, len(texts), _TOGETHER):
             own = [self.grams(x) for x in texts[at : at + _TOGETHER]]
-            all_grams = np.concatenate([g for g, _ in own])
-            if not len(all_grams):
-                continue
-            mark = np.zeros(_SLOTS**ORDER, bool)
-            mark[all_grams] = True
-            union = np.flatnonzero(mark).astype(np.int32)
-            counts = np.zeros((len(own), len(union)), np.float32)
-            for i, (g, n) in enumerate(own):
-                counts[i, np.searchsorted(union, g)] = n
-            out[at : at + len(own)] = counts @ self.vectors(union)
+            grams, counts = (np.concatenate([o[i] for o in own]) for i in (0, 1))
+            union, place = np.unique(grams, return_inverse=True)
+            row = np.repeat(np.arange(len(own)), [len(g) for g, _ in own])
+            for low in range(0, len(union), _SLICE):  # bounded, however many distinct n-grams there are
+                inside = (place >= low) & (place < low + _SLICE)
+                table = np.zeros((len(own), min(_SLICE, len(union) - low)), np.float32)
+                table[row[inside], place[inside] - low] = counts[inside]
+                out[at : at + len(own)] += table @ self.bound(union[low : low + _SLICE])
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
@@ -136,18 +134,22 @@ class Prototypes:
     seed: int = SEED
 
 
+def _sampled(usable: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
+    share = min(1.0, rows / max(1, usable.select(F.lit(1)).count()))
+    return usable if share == 1.0 else usable.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def learn(
     labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS, dimension: int = DIMENSION, seed: int = SEED
 ) -> Prototypes:
     """Prototypes from the labelled rows: those with text and a language.
 
-    About ``rows`` of them are used (all, if there are fewer), chosen by a hash of id and text.
-    Languages whose texts have no letters are not learnt.
+    About ``rows`` of them are used (all, if there are fewer), chosen by a hash of id and text: rows
+    that repeat an id, or have none, are chosen singly as far as their texts differ, and rows alike in
+    both are used all or none.  Languages whose texts have no letters are not learnt.
     """
     small_batches(labelled.sparkSession)
-    usable = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    share = min(1.0, rows / max(1, usable.select(lang_col).count()))
-    picked = usable.filter(F.pmod(F.xxhash64(id_col, lang_col), F.lit(1 << 30)) < int(share * (1 << 30)))
+    picked = _sampled(labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), id_col, text_col, rows)
 
     @lean
     def bundle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,17 +171,19 @@ def learn(
 
 
 def identify(
-    docs: DataFrame, prototypes: Prototypes, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score", keep: list[str] | None = None
+    docs: DataFrame, prototypes: Prototypes, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score", keep: list[str] | None = None, lead_name: str = "lead"
 ) -> DataFrame:
-    """``docs`` (its columns ``keep``, or all) with the predicted language and its cosine, 0 to 1
-    (negative ones become 0).
+    """``docs`` (its columns ``keep``, or all) with the predicted language, its cosine, 0 to 1
+    (negative ones become 0), and its lead: how far the next language's cosine is behind.
 
-    Columns of ``docs`` by these names are replaced.  A null text, or one without letters, is ``und`` with score 0; so is every text if nothing was
-    learnt.  Equal cosines: the language first in alphabetical order.
+    Columns of ``docs`` by these names are replaced.  A null text, or one without letters, is ``und``
+    with score and lead 0; so is every text if nothing was learnt.  With one language learnt the lead is
+    the score.  Equal cosines: the language first in alphabetical order.  Repeated rows are predicted alike.
     """
     names = np.array([*prototypes.languages, UNKNOWN], dtype=object)
     vectors, dimension, seed = prototypes.vectors, prototypes.dimension, prototypes.seed
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (lang_name, score_name)]
+    added = (lang_name, score_name, lead_name)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     width = len(keep)
 
     @lean
@@ -187,16 +191,28 @@ def identify(
         own = _profiler(dimension, seed)
         for batch in batches:
             units = own.unit([x or "" for x in batch.column(width).to_pylist()])
-            which, score = np.full(len(units), len(vectors)), np.zeros(len(units))
+            which, score, lead = np.full(len(units), len(vectors)), np.zeros(len(units)), np.zeros(len(units))
             some = units.any(axis=1)
             if len(vectors) and some.any():
                 cosines = units[some] @ vectors.T
                 which[some] = cosines.argmax(axis=1)
-                score[some] = np.clip(cosines.max(axis=1), 0, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(names[which].tolist(), pa.string()), pa.array(score)], [*keep, lang_name, score_name])
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{fields}, `{lang_name}` string, `{score_name}` double")
+                ordered = np.sort(np.clip(cosines, 0, 1), axis=1)
+                score[some] = ordered[:, -1]
+                lead[some] = ordered[:, -1] - (ordered[:, -2] if len(vectors) > 1 else 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(names[which].tolist(), pa.string()), pa.array(score), pa.array(lead)], [*keep, *added])
+
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{fields}`{lang_name}` string, `{score_name}` double, `{lead_name}` double")
+
+
+def least_score(held: DataFrame, prototypes: Prototypes, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", share: float = REJECT_SHARE, rows: int = TRAIN_ROWS) -> float:
+    """The score that all but ``share`` of labelled rows kept apart from learning reach: a text below it
+    is less like any language than they are.  About ``rows`` of them are used; 0 if they are
+    fewer than ``LEAST_HELD``."""
+    picked = _sampled(held.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), id_col, text_col, rows)
+    found = identify(picked.select(F.col(text_col).alias("text")), prototypes, keep=["text"])
+    least, n = found.filter(F.col("lang_pred") != UNKNOWN).agg(F.percentile("score", share), F.count("*")).first()
+    return least if n >= LEAST_HELD else 0.0
 
 
 def held_out(id_col: str = "doc_id"):

@@ -95,7 +95,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
     prototypes = learn(docs.filter(~F.col("held_out")))
-    return identify(docs, prototypes, keep=["doc_id", "held_out"])
+    return identify(docs, prototypes, keep=["doc_id", "held_out"]).drop("lead")
 
 
 QUERIES = {
