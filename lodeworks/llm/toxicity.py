@@ -99,13 +99,24 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, f
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """(text, label) of about ``rows`` labelled rows with text, by a hash of their id."""
+    """(key, text, label) of about ``rows`` distinct labelled texts, by hashes of id and text.
+
+    Ids may have any type.  Null ids, labels and texts are left out; a text with several labels, by
+    repeated labels or repeated documents, has the highest; a text counts once, however often it comes.
+    """
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null")
     share = min(1.0, rows / max(1, usable.count()))
     picked = usable.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("id").agg(F.max("label").alias("label"))
     few = picked.count() <= 2 * rows + 1000
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    return held.join(F.broadcast(picked) if few else picked, "id").select("id", "text", "label")
+    met = held.join(F.broadcast(picked) if few else picked, "id").groupBy("text").agg(F.max("label").alias("label"))
+    return met.select(F.xxhash64("text").alias("key"), "text", "label")
+
+
+def bounded(picked: DataFrame, rows: int) -> DataFrame:
+    """``picked``, or about ``rows`` of it by a hash if ids that repeat made it larger than twice that."""
+    n = picked.count()
+    return picked if n <= 2 * rows + 1000 else picked.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
 
 
 def _word_table(picked: DataFrame, features: int, least: int) -> list[tuple[str, float]]:
@@ -139,8 +150,11 @@ def severity_grades(labels: np.ndarray, marks: np.ndarray, grades: int = GRADES)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, features: int = FEATURES, graded: bool = False) -> OrdinalModel:
-    """Fit on labelled rows; ``graded``: labels are grades 0, 1, ... already, else 0 or 1."""
-    picked = written(sample(docs, labels, id_col, text_col, label_col, rows), "labelled")
+    """Fit on labelled rows (see ``sample``); ``graded``: labels are grades 0, 1, ... already, else 0 or 1.
+
+    Without labelled texts, or without toxic ones, the model calls nothing toxic.
+    """
+    picked = bounded(written(sample(docs, labels, id_col, text_col, label_col, rows), "labelled"), rows)
     best = _word_table(picked, features, LEAST_ROWS)
     index = {w: i for i, (w, _) in enumerate(best)}
 
@@ -148,10 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             rows = [sparse(x.as_py(), index) for x in batch.column(0)]
             cols = [batch.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64())), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(cols, ["label", "i", "v", "id"])
+            yield pa.RecordBatch.from_arrays(cols, ["label", "i", "v", "key"])
 
     # a bounded sample: at most `rows` or so, of at most `features` numbers each
-    got = picked.select("text", "label", "id").mapInArrow(run, "label int, i array<int>, v array<double>, id long").orderBy("id").toPandas()
+    got = picked.select("text", "label", "key").mapInArrow(run, "label int, i array<int>, v array<double>, key long").toPandas().sort_values("key")
     matrix = [(np.asarray(i, np.int64), np.asarray(v, np.float64)) for i, v in zip(got["i"], got["v"])]
     labels_ = got["label"].to_numpy(dtype=np.int64)
     if not graded:

@@ -51,3 +51,47 @@ def test_odd_rows_and_empty_tables(spark):
     assert toxicity.score(helpers.empty(spark), model).count() == 0
     none = toxicity.train(docs, labels.filter("false"))
     assert not any(r["toxic"] for r in toxicity.score(docs, none).collect())
+
+
+def plain_score(text, model):
+    """Probabilities, expected severity and grade by the definition, word after word."""
+    import collections
+    import math
+    import re
+
+    words = re.sub(r"[\x00-\x40\x5b-\x60\x7b-\x7f]", " ", (text or "").lower()).split()
+    at = {w: i for i, w in enumerate(model.words)}
+    x = sum(model.weights[at[w]] * (1 + math.log(n)) for w, n in collections.Counter(words).items() if w in at)
+    over = [1 / (1 + math.exp(min(500, max(-500, c - x)))) for c in model.cuts]
+    each = [a - b for a, b in zip([1.0, *over], [*over, 0.0])]
+    return sum(over), max(range(len(each)), key=lambda k: (each[k], -k)), over[0] >= 0.5
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    from lodeworks.llm.queries import QUERIES
+
+    docs, labels = corpus(spark, 200)
+    odd = [(900, None), (901, ""), (902, "scoundrel " * 3000), (903, "x" * 100_000), (None, "dunce nitwit vermin dunce"), (5, "word1 word2")]
+    docs = docs.unionAll(spark.createDataFrame(odd, docs.schema))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = QUERIES["op3_toxicity"](spark, str(tmp_path)).collect()
+    model = toxicity.train(docs, labels)
+    want = [(i, *plain_score(t, model)) for i, t in docs.collect()]
+    assert len(got) == len(want) == 206
+
+    def key(row):
+        return str(row[0]), round(row[1], 6)
+
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key)):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 and a[2:] == b[2:]
+
+
+def test_ids_of_any_type_and_repeated_ids_stay_within_the_bound(spark):
+    rows = [("same", f"word{i} word{i + 1} other{i}") for i in range(9000)] + [("same", "scoundrel")] * 50
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([("same", 1, 0), ("same", 1, 1)], "doc_id string, quality int, toxic int")
+    picked = toxicity.sample(docs, labels, "doc_id", "text", "toxic", 100)
+    assert picked.count() == 9001 and {r["label"] for r in picked.collect()} == {1}
+    assert 40 < toxicity.bounded(picked, 100).count() < 200
+    assert toxicity.score(docs, toxicity.train(docs, labels, rows=100)).count() == len(rows)
