@@ -121,14 +121,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset (long): every piece in a sequence of ``capacity``.
 
-    ``keys`` tell pieces apart and order those of one length; pieces alike in all keys are placed in
-    any order.  Lengths must be 1 to ``capacity``.  ``pieces`` is read twice and must give the same
+    ``keys`` tell pieces apart, spread those of one length over buckets and order them there; pieces
+    alike in all keys share a bucket, in any order.  Lengths must be 1 to ``capacity``.  ``pieces`` is read twice and must give the same
     rows each time: pass a written table.
     """
     counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # at most `capacity` rows
     todo = plan(counts, capacity)
     buckets = max(_BUCKETS, -(-max(counts.values(), default=0) // _RANKED))
-    # spread by all columns: repeated rows alike in everything may share a bucket, others do not
     spread = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     sizes = spread.groupBy(length, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(length).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -210,7 +209,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     An empty table gives no rows.  Rows with null or repeated ids are packed like any other.  Other
     columns are ignored.
     """
-    return pack(written(token_pieces(docs, id_col, text_col, capacity=capacity, **how), "pieces"), [id_col, "piece", "ids_crc32"], capacity=capacity)
+    pieces = token_pieces(docs, id_col, text_col, capacity=capacity, **how).withColumn("_place", F.monotonically_increasing_id())
+    return pack(written(pieces, "pieces"), ["_place"], capacity=capacity).drop("_place")  # equal rows are told apart too
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -89,3 +89,14 @@ def test_sequences_put_pieces_together(spark):
 
 def test_no_documents(spark):
     assert packing.pack_documents(helpers.empty(spark)).count() == 0
+
+
+def test_equal_rows_are_spread_over_buckets_and_long_texts_are_cut(spark):
+    docs = spark.createDataFrame([(None, "")] * 400 + [(1, "z" * 200_000), (2, "a b " * 20_000)], "doc_id long, text string")
+    rows = packing.pack_documents(docs).collect()
+    assert sum(r["doc_id"] is None for r in rows) == 400 and all(r["length"] == 1 for r in rows if r["doc_id"] is None)
+    at = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == at.get(r["sequence_id"], 0)
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(at.values()) <= packing.CAPACITY
