@@ -35,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import bucketed, discard, written
+from .common import bucketed, discard, shuffle_width, written
 
 WINDOW, GRAM = 35, 12
 #: Distinct segments of an anchor that one automaton takes.
 SHARD = 128
+#: Text in a bucket of the documents' table, on average.
+BUCKET_BYTES = 256 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -90,19 +92,25 @@ def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and text with a join key that no null or repeated id upsets."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("k1"), F.xxhash64(text_col).alias("k2"))
+    """id and text with a key of each row, so that null, repeated and hot ids are rows like any other;
+    it holds once it is written."""
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("k"))
+
+
+def _buckets(docs: DataFrame, text_col: str) -> int:
+    """Buckets for the texts: as many as shuffles have, and no fewer than keep one at ``BUCKET_BYTES``."""
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(shuffle_width(docs.sparkSession), -(-size // BUCKET_BYTES))
 
 
 def _send_anchors(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [anchors(split_words(x.as_py()), window, gram) for x in batch.column(2)]
+            own = [anchors(split_words(x.as_py()), window, gram) for x in batch.column(1)]
             row = pa.array(np.repeat(np.arange(len(own)), [len(a[0]) for a in own]))
-            h, first, n, lead, g = (np.concatenate([a[i] for a in own]) if own else np.zeros(0, np.int64) for i in range(5))
-            cols = [pa.array(h), pa.array(g), batch.column(0).take(row), batch.column(1).take(row), *(pa.array(x.astype(np.int32)) for x in (first, n, lead))]
-            yield pa.RecordBatch.from_arrays(cols, ["h", "g", "k1", "k2", "first", "n", "lead"])
+            h, first, n, _, g = (np.concatenate([a[i] for a in own]) if own else np.zeros(0, np.int64) for i in range(5))
+            cols = [pa.array(h), pa.array(g), batch.column(0).take(row), *(pa.array(x.astype(np.int32)) for x in (first, n))]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "g", "k", "first", "n"])
 
     return run
 
@@ -110,19 +118,16 @@ def _send_anchors(window: int, gram: int):
 def _send_segments(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, seg, cols = [], [], ([], [], [], [])
-            for i, (text, at) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
+            seg, cols = [], ([], [], [], [])
+            for text, at in (zip(batch.column(1), batch.column(2).to_pylist())):
                 words = split_words(text.as_py())
                 for a in at:
                     piece = b" ".join(words[a["first"] : a["first"] + a["n"] + window - 1])
-                    rows.append(i)
                     seg.append(piece)
                     for held, name in zip(cols, ("h", "g", "first", "n")):
                         held.append(a[name])
-            row = pa.array(rows, pa.int64())
-            parts = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(seg, pa.binary()), batch.column(0).take(row), batch.column(1).take(row)]
-            parts += [pa.array(x, pa.int32()) for x in cols[2:]]
-            yield pa.RecordBatch.from_arrays(parts, ["h", "g", "seg", "k1", "k2", "first", "n"])
+            parts = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(seg, pa.binary()), pa.array(cols[3], pa.int32())]
+            yield pa.RecordBatch.from_arrays(parts, ["h", "g", "seg", "n"])
 
     return run
 
@@ -173,18 +178,18 @@ def _judge(window: int):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """(k1, k2, spans): for keyed documents, (first, mask) of every segment with repeated windows."""
-    sent = written(docs.select("k1", "k2", "text").mapInArrow(_send_anchors(window, gram), "h long, g long, k1 long, k2 long, first int, n int, lead int"), "anchors")
+    """(k, spans): for keyed documents, (first, mask) of every segment with repeated windows."""
+    sent = written(docs.select("k", "text").mapInArrow(_send_anchors(window, gram), "h long, g long, k long, first int, n int"), "anchors")
     # anchors that occur again; mixed: in segments that differ
     # written, so that the joins have plain exchanges on both sides and a hot anchor's rows can be split
     twice = written(sent.groupBy("h").agg(F.count("*").alias("c"), (F.min("g") != F.max("g")).alias("mixed")).filter("c > 1").select("h", "mixed"), "twice")
-    again = written(sent.join(twice, "h").select("h", "g", "k1", "k2", "first", "n", "mixed"), "again")
+    again = written(sent.join(twice, "h").select("h", "g", "k", "first", "n", "mixed"), "again")
     discard(sent)
     discard(twice)
     # lists of one document each
-    lists = again.filter("mixed").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "g", "first", "n")).alias("at"))
-    wanted = docs.select("k1", "k2", "text").join(lists.hint("shuffle_hash"), ["k1", "k2"])
-    segments = wanted.mapInArrow(_send_segments(window), "h long, g long, seg binary, k1 long, k2 long, first int, n int")
+    lists = again.filter("mixed").groupBy("k").agg(F.collect_set(F.struct("h", "g", "first", "n")).alias("at"))
+    wanted = docs.select("k", "text").join(lists.hint("shuffle_hash"), "k")
+    segments = wanted.mapInArrow(_send_segments(window), "h long, g long, seg binary, n int")
     distinct = written(segments.groupBy("h", "g").agg(F.first("seg").alias("seg"), F.first("n").alias("n"), F.count("*").alias("times")), "shards")
     sizes = written(distinct.groupBy("h").agg(F.count("*").alias("d")), "sizes")
     sized = distinct.join(sizes, "h")
@@ -198,9 +203,22 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sh
     counted = each.join(common, "digest").groupBy("h", "g").agg(F.sum(F.expr("shiftleft(1L, j)")).alias("mask"))
     masks = written(judged.unionAll(counted), "masks")
     discard(distinct)
-    mixed = again.filter("mixed").select("h", "g", "k1", "k2", "first").join(masks, ["h", "g"]).select("k1", "k2", "first", "mask")
-    alike = again.filter("not mixed").select("k1", "k2", "first", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    return mixed.unionAll(alike).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "mask")).alias("spans"))
+    mixed = again.filter("mixed").select("h", "g", "k", "first").join(masks, ["h", "g"]).select("k", "first", "mask")
+    alike = again.filter("not mixed").select("k", "first", F.expr("shiftleft(1L, n) - 1").alias("mask"))
+    return mixed.unionAll(alike).groupBy("k").agg(F.collect_set(F.struct("first", "mask")).alias("spans"))
+
+
+def ways(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+    """(way, anchors, windows): which way decides how many windows of ``docs``; see the module's text.
+
+    once: the anchor occurs once; alike: all its segments are; automaton: its distinct segments make a
+    shard; counted: they are more than that.  For reports; the operator itself does not need it.
+    """
+    keyed = _keyed(docs, id_col, text_col).select("k", "text")
+    sent = keyed.mapInArrow(_send_anchors(window, gram), "h long, g long, k long, first int, n int")
+    each = sent.groupBy("h", "g").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("h").agg(F.sum("c").alias("c"), F.count("*").alias("d"), F.sum("n").alias("n"))
+    way = F.when(F.col("c") == 1, "once").when(F.col("d") == 1, "alike").when(F.col("d") <= shard, "automaton").otherwise("counted")
+    return each.groupBy(way.alias("way")).agg(F.sum("c").alias("anchors"), F.sum("n").alias("windows"))
 
 
 def covered(n_words: int, spans: list[tuple[int, int]], window: int = WINDOW) -> np.ndarray:
@@ -220,14 +238,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are runs of anything but ASCII white space, unchanged; kept words are joined by one space.
     Null, empty or short texts lose nothing; repeated rows are repeats of each other, whatever their
-    ids.  ``digest``: kept_sha256 (lowercase hex, UTF-8) in place of kept_text.  Windows have 3 to 63
+    ids, which may be of any type.  An empty table gives no rows.  ``digest``: kept_sha256 (lowercase hex, UTF-8) in place of kept_text.  Windows have 3 to 63
     more words than grams at most.  Other columns are ignored.
     """
     if not gram <= window < gram + 63:
         raise ValueError("a window must hold a gram, and at most 62 words more")
-    keyed = bucketed(_keyed(docs, id_col, text_col), "texts", ["k1", "k2"])
+    keyed = bucketed(_keyed(docs, id_col, text_col), "texts", ["k"], _buckets(docs, text_col))
     spans = repeated_windows(keyed, window, gram, shard)
-    joined = keyed.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("id", "text", "spans")
+    joined = keyed.join(spans.hint("shuffle_hash"), "k", "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -65,3 +65,30 @@ def test_matching_statistics():
 
 def test_no_documents(spark):
     assert substrings.remove_repeats(helpers.empty(spark)).count() == 0
+
+
+def test_ids_of_any_type_and_hot_rows(spark):
+    texts = [(r["doc_id"], r["text"]) for r in helpers.awkward(spark).collect()]
+    rows = [(None if i is None else f"doc-{i}", t) for i, t in texts] + [("same", helpers.PASSAGE)] * 40
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(map(tuple, substrings.remove_repeats(docs).collect()), key=str) == plain(rows, 35)
+
+
+def test_very_long_texts(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(0, "x" * 3_000_000), (1, " ".join(f"n{i}" for i in range(200_000)) + f" {passage}"), (2, f"{passage} end"), (3, " \t\n" * 500_000)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).collect()}
+    assert got == {0: (1, 0), 1: (200_060, 60), 2: (61, 60), 3: (0, 0)}
+
+
+def test_the_catalog_keeps_no_table(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    substrings.remove_repeats(helpers.documents(spark)).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_ways_count_every_window(spark):
+    docs = helpers.documents(spark)
+    got = {r["way"]: r["windows"] for r in substrings.ways(docs, shard=1).collect()}
+    words = [len(helpers.WORD.findall(r["text"] or "")) for r in docs.collect()]
+    assert sum(got.values()) == sum(max(0, n - 34) for n in words) and got["alike"] + got["counted"] > 0
