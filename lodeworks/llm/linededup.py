@@ -1,14 +1,20 @@
 """Line dedup with two Bloom filters.
 
-1. Every batch of documents sends the 64-bit hashes of its distinct line keys (eight bytes a line;
-   a key that several of its documents hold is sent twice), filed under 1024 hash ranges.
+1. Every task sends the 64-bit hashes of its distinct line keys (eight bytes a line; a key that
+   several of its documents hold is sent twice), filed under hash ranges, whose number follows the
+   size of the text so that none holds more than about ``RANGE_LINES``.
 2. Each hash range fills two filters of its own: bits of once-seen keys, and bits of keys that were
-   already in the first.  Only the second, of twice-seen keys, is kept.  Its size follows the
-   number of lines up to ``MAX_BITS`` and never passes it: beyond that more lines are suspected
-   than need be, and the result stays exact.
-3. The documents are read again; only lines that the second filter suspects are shuffled, as text,
-   and counted exactly per key, pre-aggregated, with the largest id that holds the key.
-4. Keys in enough documents lose their lines everywhere but in that document.  The list of such
+   already in the first.  Only the second, of twice-seen keys, is kept, at 16 bits a line.
+3. The documents are read again, and lines that the second filter suspects are picked:
+   * If the filters of all ranges have ``MAX_BITS`` or less, they go to the executors.
+   * Beyond that they stay where they are: the documents' line hashes are filed under the same ranges
+     and pass by their range's filter, and what it suspects comes back as a list of hashes for each
+     document.  Hashes that very many tasks send, whose rows would crowd one range, are suspects
+     without that way, as a list of at most ``HOT_KEYS``.  No text is shuffled, and the filters suspect
+     as few lines as before, at any size.
+4. Suspected lines are shuffled, as text, and counted exactly per key, pre-aggregated, with the
+   largest id that holds the key.
+5. Keys in enough documents lose their lines everywhere but in that document.  The list of such
    keys goes to the executors if its measured size is at most ``BROADCAST_BYTES``; a longer list is
    joined by key and by document instead.
 """
@@ -28,11 +34,15 @@ from pyspark.sql import functions as F
 from .common import discard, lean, shuffle_width, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Bits of the broadcast filter for each line, and the most bits it may have (64 MB).
+#: Bits of a filter for each line, and the most bits that are broadcast (64 MB).
 BITS_PER_LINE, MAX_BITS = 16, 1 << 29
 #: A list of repeated keys of more bytes than this is joined, not broadcast.
 BROADCAST_BYTES = 16 << 20
-_RANGE_BITS, _PROBES, _SPACE = 10, 4, b" \t\n\x0b\x0c\r"
+#: Lines of a hash range, at most about; hashes that a task gathers before it sends them.
+RANGE_LINES, _GATHERED = 1 << 22, 1 << 20
+#: A key is hot if so many sendings hold it; so many hot keys go to all executors.
+HOT_TIMES, HOT_KEYS = 256, 1 << 20
+_LEAST_RANGES, _PROBES, _SPACE, _CHUNK = 10, 4, b" \t\n\x0b\x0c\r", 1 << 16
 
 
 def line_keys(text: str | None, least: int = MIN_CHARS) -> list[tuple[bytes, bytes]]:
@@ -75,70 +85,198 @@ class BloomPair:
 class TwiceSeen:
     """The twice-seen filter of all hash ranges, packed; what executors get."""
 
-    def __init__(self, ranges: dict[int, bytes], bits: int):
-        self.bits = bits
-        self.packed = np.zeros((1 << _RANGE_BITS, bits // 8), np.uint8)
+    def __init__(self, ranges: dict[int, bytes], range_bits: int, bits: int):
+        self.range_bits, self.bits = range_bits, bits
+        self.packed = np.zeros((1 << range_bits, bits // 8), np.uint8)
         for k, v in ranges.items():
             self.packed[k] = np.frombuffer(v, np.uint8)
 
     def suspects(self, hashes: np.ndarray) -> np.ndarray:
         at = _places(hashes, self.bits)
-        own = (hashes >> np.uint64(64 - _RANGE_BITS))[:, None]
-        return (self.packed[own, at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=1)
+        own = (hashes >> np.uint64(64 - self.range_bits))[:, None]
+        return _set_bits(self.packed[own, at >> np.uint64(3)], at)
+
+
+def _set_bits(held: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (held >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=1)
+
+
+def range_bits_for(text_bytes: int, least: int = MIN_CHARS, lines: int = RANGE_LINES) -> int:
+    """Bits of the hash that name its range: no text has more keys than bytes by their least length."""
+    return max(_LEAST_RANGES, (text_bytes // (least + 1) // lines).bit_length())
+
+
+def _pieces(h: np.ndarray, range_bits: int, *more: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(ranges, bytes): sorted hashes, with what belongs to each, cut at range borders and in chunks."""
+    ranges = (h >> np.uint64(64 - range_bits)).astype(np.int32)
+    starts = np.flatnonzero(np.diff(ranges, prepend=-1)).tolist()
+    ends = [*starts[1:], len(h)]
+    each = _CHUNK // (8 + 8 * len(more))
+    cuts = [(i, min(i + each, b)) for a, b in zip(starts, ends) for i in range(a, b, each)]
+    return ranges[[a for a, _ in cuts]], [b"".join(x[a:b].tobytes() for x in (h, *more)) for a, b in cuts]
+
 
+def _by_range(batches: Iterator[pa.RecordBatch], start: Callable, take: Callable, end: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by range: a range's state is made, fed, and closed before the next one."""
+    now, state = None, None
+    for batch in batches:
+        for i, k in enumerate(batch.column(0).to_pylist()):
+            if k != now:
+                if now is not None:
+                    yield from end(now, state)
+                now, state = k, start(k)
+            yield from take(state, batch, i)
+    if now is not None:
+        yield from end(now, state)
 
-def twice_seen(docs: DataFrame, text_col: str = "text", least: int = MIN_CHARS, max_bits: int = MAX_BITS) -> TwiceSeen:
-    """Steps 1 and 2.  Collects at most ``max_bits`` bits."""
+
+def _send_hashes(range_bits: int, least: int):
+    """(range, hashes) of a task's distinct keys, those of several documents twice."""
 
     @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count = Counter(k for x in batch.column(0) for k in {k for _, k in line_keys(x.as_py(), least) if k})
-            h = _hashes(count)
+        def packed(count: Counter) -> pa.RecordBatch:
+            h = np.fromiter(count, np.uint64, len(count))
             h = np.sort(np.concatenate([h, h[np.fromiter(count.values(), np.int64, len(count)) > 1]]))
-            ranges = (h >> np.uint64(64 - _RANGE_BITS)).astype(np.int32)
-            starts = np.flatnonzero(np.diff(ranges, prepend=-1))
-            parts = [x.tobytes() for x in np.split(h, starts[1:])] if len(starts) else []
-            yield pa.RecordBatch.from_arrays([pa.array(ranges[starts]), pa.array(parts, pa.binary())], ["range", "hashes"])
+            ranges, parts = _pieces(h, range_bits)
+            return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(parts, pa.binary())], ["range", "hashes"])
+
+        count: Counter = Counter()
+        for batch in batches:
+            for x in batch.column(0):
+                count.update(_hashes({k for _, k in line_keys(x.as_py(), least) if k}).tolist())
+            if len(count) >= _GATHERED:
+                yield packed(count)
+                count = Counter()
+        if count:
+            yield packed(count)
 
-    sent = written(docs.select(text_col).mapInArrow(send, "range int, hashes binary"), "linehashes")
+    return send
+
+
+def twice_seen(docs: DataFrame, text_col: str = "text", least: int = MIN_CHARS, hot_times: int = HOT_TIMES) -> tuple[DataFrame, int, int]:
+    """(filters, range bits, bits of a range): steps 1 and 2.
+
+    ``filters``, written: range, kind and data; kind 0: chunks (``part``, in order) of the packed
+    twice-seen bits; kind 1: a hot hash, with how many sendings held it as ``part``.
+    """
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    range_bits = range_bits_for(size, least)
+    sent = written(docs.select(text_col).mapInArrow(_send_hashes(range_bits, least), "range int, hashes binary"), "linehashes")
     n = (sent.agg(F.sum(F.length("hashes"))).first()[0] or 0) // 8
-    total = 1 << max(17, int(n * BITS_PER_LINE - 1).bit_length() if n else 0)
-    bits = min(total, max_bits) >> _RANGE_BITS
+    bits = 1 << max(17 - range_bits, 3, int(n * BITS_PER_LINE - 1).bit_length() - range_bits if n else 0)
 
+    def start(_):
+        return BloomPair(bits), []
+
+    def take(state, batch, i):
+        h = np.frombuffer(batch.column(1)[i].as_py(), np.uint64)
+        state[0].add(h)
+        state[1].append(h)
+        return ()
+
+    def end(k, state):
+        packed = np.packbits(state[0].twice, bitorder="little").tobytes()
+        chunks = [(0, at // _CHUNK, packed[at : at + _CHUNK]) for at in range(0, len(packed), _CHUNK)]
+        seen, times = np.unique(np.concatenate(state[1]), return_counts=True)
+        chunks += [(1, int(c), h.tobytes()) for h, c in zip(seen[times >= hot_times], times[times >= hot_times])]
+        kinds, parts, data = zip(*chunks)
+        yield pa.RecordBatch.from_arrays([pa.array([k] * len(chunks), pa.int32()), pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array(data, pa.binary())], ["range", "kind", "part", "data"])
+
+    @lean
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, BloomPair] = {}
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own.setdefault(k, BloomPair(bits)).add(np.frombuffer(x.as_py(), np.uint64))
-        packed = [np.packbits(p.twice, bitorder="little").tobytes() for p in own.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array(packed, pa.binary())], ["range", "twice"])
+        yield from _by_range(batches, start, take, end)
 
-    filled = sent.repartition(shuffle_width(docs.sparkSession), "range").mapInArrow(fill, "range int, twice binary")
-    got = TwiceSeen({r["range"]: bytes(r["twice"]) for r in filled.collect()}, bits)  # max_bits at most
+    dealt = sent.repartition(shuffle_width(docs.sparkSession), "range").sortWithinPartitions("range")
+    filters = written(dealt.mapInArrow(fill, "range int, kind int, part int, data binary"), "twiceseen")
     discard(sent)
-    return got
+    return filters, range_bits, bits
+
+
+def broadcast_filter(filters: DataFrame, range_bits: int, bits: int) -> TwiceSeen:
+    """All filters on the driver: bits << range_bits bits."""
+    ranges: dict[int, bytes] = {}
+    for r in filters.filter("kind = 0").sort("range", "part").toLocalIterator():
+        ranges[r["range"]] = ranges.get(r["range"], b"") + bytes(r["data"])
+    return TwiceSeen(ranges, range_bits, bits)
+
+
+def suspects_by_range(docs: DataFrame, filters: DataFrame, range_bits: int, bits: int, least: int) -> tuple[DataFrame, np.ndarray]:
+    """(lists, hot): for each document (k) the hashes of its lines that their range's filter suspects,
+    but for hot ones, which are listed once.  ``docs``: k, text; documents that share a k share a list."""
+    most = filters.filter("kind = 1").orderBy(F.col("part").desc(), "data").limit(HOT_KEYS).select("data").collect()  # the rest takes the common way
+    hot = np.sort(np.array([np.frombuffer(bytes(r["data"]), np.uint64)[0] for r in most], np.uint64))
+
+    @lean
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.array(sorted(set(_hashes({k for _, k in line_keys(x.as_py(), least) if k}).tolist())), np.uint64) for x in batch.column(1)]
+            h = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            k = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+            some = ~np.isin(h, hot)
+            order = np.argsort(h[some], kind="stable")
+            ranges, parts = _pieces(h[some][order], range_bits, k[some][order])
+            yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array([2] * len(parts), pa.int32()), pa.array([0] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["range", "kind", "part", "data"])
+
+    def start(_):
+        return []
+
+    def take(chunks, batch, i):
+        if batch.column(1)[i].as_py() == 0:
+            chunks.append(np.frombuffer(batch.column(3)[i].as_py(), np.uint8))
+            return
+        both = np.frombuffer(batch.column(3)[i].as_py(), np.uint64).reshape(2, -1)
+        if len(chunks) > 1:
+            chunks[:] = [np.concatenate(chunks)]
+        at = _places(both[0], bits)
+        found = _set_bits(chunks[0][at >> np.uint64(3)], at) if chunks else np.zeros(both.shape[1], bool)
+        yield pa.RecordBatch.from_arrays([pa.array(both[1][found].view(np.int64)), pa.array(both[0][found].view(np.int64))], ["k", "h"])
+
+    @lean
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_range(batches, start, take, lambda k, state: ())
+
+    met = filters.filter("kind = 0").unionAll(docs.select("k", "text").mapInArrow(send, "range int, kind int, part int, data binary"))
+    dealt = met.repartition("range").sortWithinPartitions("range", "kind", "part")
+    lists = dealt.mapInArrow(probe, "k long, h long").groupBy("k").agg(F.collect_set("h").alias("maybe"))
+    return written(lists, "suspectlists"), hot
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS, hot_times: int = HOT_TIMES) -> tuple[DataFrame, DataFrame]:
     """(decisions, suspects): key and keeper of every key in at least ``min_docs`` documents, and the
     (key, id) rows that were counted."""
-    seen = twice_seen(docs, text_col, least, max_bits)
+    filters, range_bits, bits = twice_seen(docs, text_col, least, hot_times)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if bits << range_bits <= max_bits:
+        seen, hot = broadcast_filter(filters, range_bits, bits), None
+    else:
+        seen = None
+        keyed = rows.withColumn("k", F.xxhash64("id", "text"))  # rows that clash only share a list of suspects
+        lists, hot = suspects_by_range(keyed, filters, range_bits, bits, least)
+        rows = keyed.join(lists, "k", "left").select("id", "text", "maybe")
+
+    def suspected(h: np.ndarray, maybe) -> np.ndarray:
+        if seen is not None:
+            return seen.suspects(h)
+        own = np.array(maybe.as_py() or [], np.int64).view(np.uint64)
+        return np.isin(h, own) | np.isin(h, hot)
 
     @lean
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys = [], []
+            keys, at = [], []
             for i, x in enumerate(batch.column(1)):
-                own = {k for _, k in line_keys(x.as_py(), least) if k}
+                own = list({k for _, k in line_keys(x.as_py(), least) if k})
+                if seen is None and own:
+                    own = [own[j] for j in np.flatnonzero(suspected(_hashes(own), batch.column(2)[i]))]
                 keys.extend(own)
-                rows.extend([i] * len(own))
-            maybe = np.flatnonzero(seen.suspects(_hashes(keys))) if keys else []
-            ids = batch.column(0).take(pa.array([rows[i] for i in maybe], pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in maybe], pa.binary()), ids], ["key", "id"])
+                at.extend([i] * len(own))
+            some = range(len(keys)) if seen is None or not keys else np.flatnonzero(suspected(_hashes(keys), None))
+            ids = batch.column(0).take(pa.array([at[i] for i in some], pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.binary()), ids], ["key", "id"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    suspects = written(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(pick, f"key binary, id {kind}"), "suspects")
+    suspects = written(rows.mapInArrow(pick, f"key binary, id {kind}"), "suspects")
     counted = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
     return written(counted.filter(F.col("n") >= min_docs).select("key", "keeper"), "repeated"), suspects
 
@@ -175,7 +313,7 @@ def dedup_lines(
     text) in place of kept_text, so that no text leaves the executors.
     """
     keep = [id_col] if keep is None else keep
-    decisions, suspects = repeated_lines(docs, id_col, text_col, least, min_docs, max_bits)
+    decisions, suspects = repeated_lines(docs, id_col, text_col, least, min_docs, max_bits, HOT_TIMES)
     size = decisions.agg(F.sum(F.length("key") + 64)).first()[0] or 0
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     out = f"{fields}, {'kept_sha256' if digest else 'kept_text'} string, n_lines long, n_dropped long"

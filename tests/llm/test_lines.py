@@ -36,10 +36,35 @@ def test_against_a_plain_version(spark, table, broadcast_bytes):
     assert sorted(r["kept_sha256"] for r in digests) == sorted(hashlib.sha256(t.encode()).hexdigest() for _, t, *_ in want)
 
 
-def test_full_filters_only_cost_work(spark):
-    docs = helpers.documents(spark)
-    tight = linededup.dedup_lines(docs, max_bits=1 << 13).collect()
-    assert sorted(tight, key=str) == sorted(linededup.dedup_lines(docs).collect(), key=str)
+@pytest.mark.parametrize("hot_times", [1, 2, 256])
+@pytest.mark.parametrize("table", [helpers.documents, helpers.awkward])
+def test_filters_beyond_the_broadcast_bound_stay_with_their_ranges(spark, table, hot_times, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT_TIMES", hot_times)
+    docs = table(spark).repartition(3)
+    far = linededup.dedup_lines(docs, max_bits=0).collect()
+    assert sorted(map(tuple, far), key=str) == plain([(r["doc_id"], r["text"]) for r in docs.collect()])
+    _, suspects = linededup.repeated_lines(docs, max_bits=0, hot_times=hot_times)
+    lines = collections.Counter(k for r in docs.collect() for k in {helpers.lower_az(x.strip(helpers.SPACE)) for x in (r["text"] or "").split("\n")} if len(k) >= 20)
+    found = {bytes(r["key"]).decode() for r in suspects.collect()}
+    assert found >= {k for k, n in lines.items() if n > 1}
+    if hot_times > 1:
+        assert len(found - {k for k, n in lines.items() if n > 1}) <= 2
+
+
+def test_ranges_follow_the_text():
+    assert linededup.range_bits_for(0) == linededup.range_bits_for(10**9) == 10
+    for size in (10**13, 10**14, 10**15):
+        assert linededup.RANGE_LINES / 2 <= size / 21 / 2 ** linededup.range_bits_for(size) <= linededup.RANGE_LINES
+
+
+@pytest.mark.parametrize("max_bits", [0, linededup.MAX_BITS])
+def test_many_lines_long_lines_and_string_ids(spark, max_bits):
+    long = "q" * 2_000_000
+    rows = [(f"d{i}", "\n".join(f"line number {j} of the common block" for j in range(i, i + 40)) + f"\n{long if i % 9 == 0 else 'short'}") for i in range(60)] + [(None, long), ("d3", long)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    got = linededup.dedup_lines(docs, max_bits=max_bits, digest=True).collect()
+    want = [(i, hashlib.sha256(t.encode()).hexdigest(), n, d) for i, t, n, d in plain(rows)]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
 
 
 def test_bloom_pair_has_no_false_negative():
