@@ -8,8 +8,9 @@ five-word shingles, wherever in the document they are.
   the partition's upper size.  A document that lacks all k lacks more than it may, so the MinHash
   search has no false negatives, however long the document is.
 * Documents stream once past the index, inside one generated stage: words, shingle hashes, lookup.
-* Only documents that hit are read again, and their shingles are compared as text: exact shingle
-  containment decides.
+* A hit keeps the item whose hash it was.  Only documents that hit are read again, and only against
+  the shingles of those items, as text: exact shingle containment decides each (document, item) pair.
+  A passage that thousands of items share meets the items that hit, not all of them.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 WIDTH, THRESHOLD = 5, 0.8
-#: A side of a join is broadcast only if it was counted to have at most so many rows.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only if it was counted to have at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 _WORD = r"[\p{L}\p{N}]+"
 
 
@@ -57,7 +58,10 @@ def item_index(items: DataFrame, id_col: str, text_col: str, width: int, thresho
 
 
 def _small(df: DataFrame, most: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
+    """``df``, marked for broadcast if it is small enough in rows and in bytes."""
+    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) + 32 if f.dataType.simpleString() == "string" else F.lit(16) for f in df.schema), F.lit(16))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and size <= BROADCAST_BYTES else df
 
 
 def contaminated(
@@ -81,10 +85,12 @@ def contaminated(
     minima, shingles = item_index(items, item_id, item_text, width, threshold)
     minima, shingles = written(minima, "minima"), written(shingles, "shingles")
     hashes = _shingled(docs, "id", "text", width).select("key", F.xxhash64(*_parts(width)).alias("h"))
-    hits = written(hashes.join(_small(minima, broadcast_rows), "h").select(F.col("key").alias("id")).distinct(), "hits")
-    again = docs.join(_small(hits, broadcast_rows), "id", "left_semi")
+    hits = written(hashes.join(_small(minima, broadcast_rows), "h").select("key", "item").distinct(), "hits")
+    ids = written(hits.select(F.col("key").alias("id")).distinct(), "hitids")
+    wanted = written(hits.join(_small(shingles, broadcast_rows), "item"), "wanted")  # the shingles of each pair's item
+    again = docs.join(_small(ids, broadcast_rows), "id", "left_semi")
     held = _shingled(again, "id", "text", width).select("key", F.concat_ws(" ", *_parts(width)).alias("shingle"))
-    shared = held.join(_small(shingles, broadcast_rows), "shingle").select("key", "item", "n", "shingle").distinct()
+    shared = held.join(_small(wanted, broadcast_rows), ["key", "shingle"]).select("key", "item", "n", "shingle").distinct()
     counted = shared.groupBy("key", "item", "n").agg(F.count("*").alias("n_shared"))
     share = F.col("n_shared").cast("double") / F.col("n").cast("double")
     return counted.filter(share >= threshold).select(

@@ -47,3 +47,12 @@ def test_no_documents_or_items(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontam.contaminated(helpers.empty(spark), items).count() == 0
     assert decontam.contaminated(helpers.documents(spark), items.filter("false")).count() == 0
+
+
+def test_a_passage_that_many_items_share_meets_those_that_hit(spark):
+    """Three hundred items begin alike; a document holds that beginning, and one item whole."""
+    shared = " ".join(f"template{i}" for i in range(12))
+    items = [(j, f"{shared} " + " ".join(f"own{j}x{i}" for i in range(12))) for j in range(300)]
+    docs = [("a", f"before {shared} after"), ("b", f"in front {items[7][1]} behind"), ("b", items[9][1]), (None, items[3][1]), ("c", "y" * 500_000), ("d", None)]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["containment"]) for r in got) == [("b", 7, 1.0), ("b", 9, 1.0)]
