@@ -29,9 +29,9 @@ from .common import grouped, written
 from .components import connected_components
 from .simhash import forest
 
-THRESHOLD, RECALL, CELL, BLOCK = 0.9, 0.9999, 64, 256
-#: Bits of a code: the dimension padded to a multiple of 64, twice over.  Standard errors allowed.
-PADDING, ERRORS = 2, 4.0
+THRESHOLD, RECALL, CELL, BLOCK = 0.9, 0.9999, 256, 512
+#: Bits of a code: the dimension padded to a multiple of 64, so many times.  Standard errors allowed.
+PADDING, ERRORS = 1, 4.0
 _PLANES = 4
 
 
@@ -104,8 +104,25 @@ def _pairs(own: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(own == i), np.flatnonzero(own == j)
 
 
+def _group(t: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return t.astype(np.int64) << 32 | cell
+
+
+def _count(dimension: int, bits: int, tables: int):
+    """(g, n): how many vectors of a batch are in each cell of each table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                key = cells(_unit(batch.column(0), dimension), bits, tables)
+                g, n = np.unique(_group(np.arange(tables)[None, :], key), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], ["g", "n"])
+
+    return run
+
+
 def _file(dimension: int, bits: int, tables: int, code_bits: int):
-    """For every vector and table a row with its code."""
+    """For every vector and table a row (g: table and cell) with its code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = rotation(dimension, code_bits)
@@ -114,10 +131,10 @@ def _file(dimension: int, bits: int, tables: int, code_bits: int):
                 continue
             unit = _unit(batch.column(1), dimension)
             c, key = Codes.of(unit, turn), cells(unit, bits, tables)
-            packed = [np.concatenate([c.code[k].view(np.uint8), c.query[k].reshape(-1).view(np.uint8), np.array([c.factor[k], c.low[k], c.step[k], c.total[k]]).view(np.uint8)]).tobytes() for k in range(len(unit))]
+            packed = [np.concatenate([c.code[k].view(np.uint8), c.query[k].reshape(-1).view(np.uint8), np.array([c.factor[k], c.low[k], c.step[k], c.total[k]], np.float32).view(np.uint8)]).tobytes() for k in range(len(unit))]
             row = pa.array(np.repeat(np.arange(len(unit)), tables))
-            cols = [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(unit))), pa.array(key.ravel()), batch.column(0).take(row), pa.array(packed, pa.binary()).take(row)]
-            yield pa.RecordBatch.from_arrays(cols, ["t", "cell", "id", "code"])
+            cols = [pa.array(_group(np.arange(tables)[None, :], key).ravel()), batch.column(0).take(row), pa.array(packed, pa.binary()).take(row)]
+            yield pa.RecordBatch.from_arrays(cols, ["g", "id", "code"])
 
     return run
 
@@ -127,15 +144,15 @@ def _unpack(column: pa.Array, code_bits: int) -> Codes:
     words = code_bits // 64
     code = np.ascontiguousarray(raw[:, : words * 8]).view(np.uint64)
     query = np.ascontiguousarray(raw[:, words * 8 : words * 8 * (1 + _PLANES)]).view(np.uint64).reshape(-1, _PLANES, words)
-    return Codes(code, *(lambda r: (r[:, 0], query, r[:, 1], r[:, 2], r[:, 3]))(np.ascontiguousarray(raw[:, words * 8 * (1 + _PLANES) :]).view(np.float64)))
+    return Codes(code, *(lambda r: (r[:, 0], query, r[:, 1], r[:, 2], r[:, 3]))(np.ascontiguousarray(raw[:, words * 8 * (1 + _PLANES) :]).view(np.float32).astype(np.float64)))
 
 
 def _screen(code_bits: int, threshold: float, errors: float):
-    """Of each group (t, cell, i, j) the rows that have a pair which may reach the threshold."""
+    """Of each group (g, p: blocks i and j) the rows that have a pair which may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (t, cell, i, j), rows in grouped(batches, 4):
-            c, own = _unpack(rows.column(6), code_bits), rows.column(4).to_numpy()
+        for (_, p), rows in grouped(batches, 2):
+            c, own, i, j = _unpack(rows.column(4), code_bits), rows.column(2).to_numpy(), p >> 32, p & 0xFFFFFFFF
             a, b = _pairs(own, i, j)
             if not len(a) or not len(b) or rows.num_rows < 2:
                 continue
@@ -149,7 +166,7 @@ def _screen(code_bits: int, threshold: float, errors: float):
             keep[b[may.any(axis=0)]] = True
             if keep.any():
                 kept = rows.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([kept.column(k) for k in range(6)], ["t", "cell", "i", "j", "own", "id"])
+                yield pa.RecordBatch.from_arrays([kept.column(k) for k in range(4)], ["g", "p", "own", "id"])
 
     return run
 
@@ -158,9 +175,9 @@ def _confirm(dimension: int, bits: int, tables: int, threshold: float):
     """Exact cosines of each group: forests (kind 0: id, other id) and counts (kind 1: id, links)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (t, _, i, j), rows in grouped(batches, 4):
-            ids, own = rows.column(5).to_numpy(), rows.column(4).to_numpy()
-            unit, times = _unit(rows.column(6), dimension), rows.column(7).to_numpy()
+        for (g, p), rows in grouped(batches, 2):
+            own, ids, t, i, j = rows.column(2).to_numpy(), rows.column(3).to_numpy(), g >> 32, p >> 32, p & 0xFFFFFFFF
+            unit, times = _unit(rows.column(4), dimension), rows.column(5).to_numpy()
             a, b = _pairs(own, i, j)
             linked = unit[a] @ unit[b].T >= threshold
             if i == j:
@@ -194,20 +211,19 @@ def embedding_links(distinct: DataFrame, dimension: int, threshold: float = THRE
     """(kind, x, y) of distinct vectors (id long, v array, times long); see ``_confirm``."""
     bits, tables = tables_for(distinct.count(), threshold, recall)
     code_bits = -(-dimension // 64) * 64 * PADDING
-    filed = distinct.select("id", "v").mapInArrow(_file(dimension, bits, tables, code_bits), "t int, cell int, id long, code binary")
-    sizes = filed.groupBy("t", "cell").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = distinct.select("v").mapInArrow(_count(dimension, bits, tables), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1")
+    filed = distinct.select("id", "v").mapInArrow(_file(dimension, bits, tables, code_bits), "g long, id long, code binary")
+    cuts = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
     dealt = (
-        filed.join(sizes, ["t", "cell"])
-        .withColumn("cuts", F.ceil(F.col("n") / F.lit(float(block))).cast("int"))
+        filed.join(sizes.withColumn("cuts", cuts), "g")
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        .select("t", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "code")
+        .select("g", (F.shiftleft(F.least("own", "other").cast("long"), 32) + F.greatest("own", "other")).alias("p"), "own", "id", "code")
     )
-    keys = ["t", "cell", "i", "j"]
-    screened = written(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_screen(code_bits, threshold, ERRORS), "t int, cell int, i int, j int, own int, id long"), "screened")
-    # (i, j) groups of one block each hold that block's rows; groups of two hold both
-    full = screened.join(distinct, "id").select(*keys, "own", "id", "v", "times")
-    return written(full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirm(dimension, bits, tables, threshold), "kind int, x long, y long"), "links")
+    # groups (i, i) hold one block's rows; groups of two blocks hold both
+    screened = written(dealt.repartition("g", "p").sortWithinPartitions("g", "p").mapInArrow(_screen(code_bits, threshold, ERRORS), "g long, p long, own int, id long"), "screened")
+    full = screened.join(distinct, "id").select("g", "p", "own", "id", "v", "times")
+    return written(full.repartition("g", "p").sortWithinPartitions("g", "p").mapInArrow(_confirm(dimension, bits, tables, threshold), "kind int, x long, y long"), "links")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -216,16 +232,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n_links: other rows with cosine of at least ``threshold``, copies counted singly; component_id:
     the smallest id reachable, itself included; kept: it is that one.  Vectors that are null, zero or
     hold null or non-finite components link with nothing.  Vectors of different dimension do not
-    link.  Rows with a null id have no links and a null component.  Rows that repeat an id are
-    copies of each other if their vectors are equal, and are taken as linked otherwise.
+    link.  Ids may have any type that can be ordered.  Rows with a null id have no links and a null
+    component.  Rows that repeat an id are vectors like any other.  An empty table gives no rows.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     able = rows.filter(usable("v") & F.col("id").isNotNull())
-    distinct = written(able.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("times")).select("id", "v", "times"), "vectors")
+    # keys of the distinct vectors hold once they are written
+    distinct = written(able.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("times")).withColumn("id", F.monotonically_increasing_id()), "vectors")
     sizes = [r[0] for r in distinct.select(F.size("v")).distinct().collect()]  # dimensions, not vectors
     found = None
     for dimension in sorted(sizes):
-        own = embedding_links(distinct.filter(F.size("v") == dimension), dimension, threshold, recall)
+        own = embedding_links(distinct.filter(F.size("v") == dimension).select("id", "v", "times"), dimension, threshold, recall)
         found = own if found is None else found.unionAll(own)
     if found is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -234,9 +251,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     named = (
         distinct.join(counts, "id", "left")
         .join(comps.withColumnRenamed("node", "id"), "id", "left")
-        .select("v", (F.coalesce("c", F.lit(0)) + F.col("times") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
+        .select("v", "least", (F.coalesce("c", F.lit(0)) + F.col("times") - 1).alias("n"), F.coalesce("component", "id").alias("root"))
     )
-    linked = able.join(named, "v").select("id", "n", "component")
+    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
+    linked = able.join(named.join(smallest, "root"), "v").select("id", "n", "component")
     rest = rows.filter(~(usable("v") & F.col("id").isNotNull())).select("id", F.lit(0).cast("long"), "id")
     return linked.unionAll(rest).select(
         F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")

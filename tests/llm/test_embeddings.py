@@ -63,7 +63,7 @@ def test_large_cells_are_compared_in_blocks(spark):
 def test_estimates_are_unbiased_and_bounded():
     x = planted(3, 150).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    c = embeddings.Codes.of(x, embeddings.rotation(64, 128))
+    c = embeddings.Codes.of(x, embeddings.rotation(64, 64 * embeddings.PADDING))
     at = np.arange(len(x))
     estimate, error = c.estimates(at, at)
     true = x @ x.T
@@ -94,3 +94,36 @@ def test_pairs_just_above_the_threshold_are_met(spark):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(some)], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
     assert sum(got[i + n // 8] == (1, i) and got[i] == (1, i) for i in range(n // 8)) >= n // 8 - 1
+
+
+def test_query_and_its_sql_on_vectors_that_link(spark, tmp_path):
+    """Groups at 0.9 to 1.0, copies and chains, in the registered query and in its SQL."""
+    import duckdb
+
+    from lodeworks.llm.queries import ORACLE_SQL, QUERIES
+
+    x = planted(9, 80)
+    rng = np.random.default_rng(1)
+    chain = [rng.standard_normal(64)]
+    for _ in range(6):  # neighbours at 0.93, ends far apart
+        u = chain[-1] / np.linalg.norm(chain[-1])
+        side = rng.standard_normal(64)
+        side -= side @ u * u
+        chain.append(0.93 * u + math.sqrt(1 - 0.93**2) * side / np.linalg.norm(side))
+    rows = [*x, *chain, *x[:5], *(x[:5] * 3)]
+    spark.createDataFrame([(i, "c", [float(v) for v in np.float32(r)]) for i, r in enumerate(rows)], "vec_id long, label string, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(map(tuple, QUERIES["op2_embedding_near_dedup"](spark, str(tmp_path)).collect()))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    sql = c.sql(ORACLE_SQL["op2_embedding_near_dedup"])
+    order = [sql.columns.index(n) for n in ("vec_id", "n_links", "component_id", "kept")]
+    assert got == sorted(tuple(r[i] for i in order) for r in sql.fetchall())
+    assert sum(n for _, n, *_ in got) > 300 and any(n == 0 for _, n, *_ in got)
+
+
+def test_ids_of_any_type(spark):
+    x = planted(5, 10)
+    ids = [f"v{i:03}" for i in range(len(x) - 1)] + [None]
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id string, embedding array<double>")).collect()
+    want = {i: (n, c) for i, n, c in plain([(i, list(map(float, r))) for i, r in zip(ids, x)])}
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
