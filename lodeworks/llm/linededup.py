@@ -22,7 +22,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ BITS_PER_LINE, MAX_BITS = 16, 1 << 29
 #: A list of repeated keys of more bytes than this is joined, not broadcast.
 BROADCAST_BYTES = 16 << 20
 #: Lines of a hash range, at most about; hashes that a task gathers before it sends them.
-RANGE_LINES, _GATHERED = 1 << 22, 1 << 20
+RANGE_LINES, _GATHERED = 1 << 22, 1 << 18
 #: A key is hot if so many sendings hold it; so many hot keys go to all executors.
 HOT_TIMES, HOT_KEYS = 256, 1 << 20
 _LEAST_RANGES, _PROBES, _SPACE, _CHUNK = 10, 4, b" \t\n\x0b\x0c\r", 1 << 16
@@ -135,21 +134,23 @@ def _send_hashes(range_bits: int, least: int):
 
     @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(count: Counter) -> pa.RecordBatch:
-            h = np.fromiter(count, np.uint64, len(count))
-            h = np.sort(np.concatenate([h, h[np.fromiter(count.values(), np.int64, len(count)) > 1]]))
+        def packed() -> pa.RecordBatch:
+            own, times = np.unique(np.concatenate(held), return_counts=True)
+            h = np.sort(np.concatenate([own, own[times > 1]]))
             ranges, parts = _pieces(h, range_bits)
             return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(parts, pa.binary())], ["range", "hashes"])
 
-        count: Counter = Counter()
+        held: list[np.ndarray] = []
+        n = 0
         for batch in batches:
             for x in batch.column(0):
-                count.update(_hashes({k for _, k in line_keys(x.as_py(), least) if k}).tolist())
-            if len(count) >= _GATHERED:
-                yield packed(count)
-                count = Counter()
-        if count:
-            yield packed(count)
+                held.append(_hashes({k for _, k in line_keys(x.as_py(), least) if k}))
+                n += len(held[-1])
+            if n >= _GATHERED:
+                yield packed()
+                held, n = [], 0
+        if n:
+            yield packed()
 
     return send
 
