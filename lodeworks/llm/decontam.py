@@ -22,7 +22,7 @@ from .common import written
 
 WIDTH, THRESHOLD = 5, 0.8
 #: A side of a join is broadcast only if it was counted to have at most so many rows and bytes.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 _WORD = r"[\p{L}\p{N}]+"
 
 
