@@ -46,6 +46,8 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
         if verb == "check":
             p.add_argument("--root", required=True)
             p.add_argument("--vocab-size", type=int)
+            p.add_argument("--decode-sample", action="store_true", help="decode the first document of every shard")
+            p.add_argument("--max-characters", type=int, default=500)
         if verb == "split":
             p.add_argument("--input-root", required=True)
             p.add_argument("--output-root", required=True)
@@ -71,7 +73,14 @@ def main(argv: list[str] | None = None) -> int:
     elif a.verb == "check":
         report = pipelines.check(spark, a.root, a.vocab_size or tok.vocab_size, a.eos_id)
         print(report.pop("text"))
-        code = 1 if report["errors"] else 0
+        code = 1 if report["error_count"] else 0
+        tables = {name: report.pop(name) for name in ("shard_table", "message_table") if name in report}
+        if a.report:  # all rows, beside the report
+            for name, rows in tables.items():
+                rows.write.mode("overwrite").json(f"{a.report}.{name}")
+        if a.decode_sample and report["files_found"]:
+            for r in pipelines.samples(spark, a.root, tok, a.eos_id, a.max_characters).orderBy("path").toLocalIterator():
+                print(f"{r['path']}: {r['n_tokens']:,} tokens in the first document\n    {r['sample']!r}")
     elif a.verb == "split":
         report = pipelines.split(spark, a.input_root, a.output_root, a.eos_id, a.seed, a.validation_fraction, a.output_shard_tokens)
     else:

@@ -19,7 +19,7 @@ class Tokenizer(Protocol):
     eos_token_id: int | None
 
     def encode(self, text: str) -> list[int]: ...
-    def decode(self, ids: list[int]) -> str: ...
+    def decode(self, ids: list[int], skip_special: bool = False) -> str: ...
     def ids(self, text: Column) -> Column: ...
     def length(self, text: Column) -> Column: ...
 
@@ -32,7 +32,7 @@ class ByteTokenizer:
     def encode(self, text: str) -> list[int]:
         return [b + 3 for b in text.encode("utf-8")]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int], skip_special: bool = False) -> str:
         return bytes(i - 3 for i in ids if i >= 3).decode("utf-8", "replace")
 
     def ids(self, text: Column) -> Column:
@@ -53,8 +53,8 @@ class CodepointTokenizer:
     def encode(self, text: str) -> list[int]:
         return [ord(c) % 256 for c in text]
 
-    def decode(self, ids: list[int]) -> str:
-        return "".join(map(chr, ids))
+    def decode(self, ids: list[int], skip_special: bool = False) -> str:
+        return "".join(chr(i) for i in ids if not (skip_special and i in (self.bos_token_id, self.eos_token_id)))
 
     def ids(self, text: Column) -> Column:
         letters = F.filter(F.split(text, ""), lambda c: c != "")
@@ -84,17 +84,21 @@ class FileTokenizer:
     def vocab_size(self) -> int:
         return self._file(self.path).get_vocab_size(with_added_tokens=True)
 
-    def encode(self, text: str) -> list[int]:
-        return self._file(self.path).encode(text, add_special_tokens=False).ids
+    def encode(self, text: str, add_special: bool = False) -> list[int]:
+        return self._file(self.path).encode(text, add_special_tokens=add_special).ids
 
-    def decode(self, ids: list[int]) -> str:
-        return self._file(self.path).decode(ids, skip_special_tokens=False)
+    def decode(self, ids: list[int], skip_special: bool = False) -> str:
+        return self._file(self.path).decode(ids, skip_special_tokens=skip_special)
 
-    def ids(self, text: Column) -> Column:
+    def save(self, path: str) -> None:
+        """The tokenizer as a file of its own."""
+        self._file(self.path).save(path)
+
+    def ids(self, text: Column, add_special: bool = False) -> Column:
         path = self.path
 
         def encoded(column: pd.Series) -> pd.Series:
-            got = FileTokenizer._file(path).encode_batch([x or "" for x in column], add_special_tokens=False)
+            got = FileTokenizer._file(path).encode_batch([x or "" for x in column], add_special_tokens=add_special)
             return pd.Series([None if x is None else e.ids for x, e in zip(column, got)])
 
         return F.pandas_udf(encoded, "array<int>")(text)
@@ -116,10 +120,10 @@ def check_narrow(tokenizer: Tokenizer) -> None:
         raise ValueError(f"a vocabulary of {tokenizer.vocab_size} ids does not fit 16 bits")
 
 
-def decoded(tokenizer: Tokenizer, ids: Column) -> Column:
+def decoded(tokenizer: Tokenizer, ids: Column, skip_special: bool = False) -> Column:
     """The texts of arrays of ids (Arrow-batched UDF); null stays null."""
 
     def texts(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: None if x is None else tokenizer.decode([int(i) for i in x]))
+        return column.map(lambda x: None if x is None else tokenizer.decode([int(i) for i in x], skip_special))
 
     return F.pandas_udf(texts, "string")(ids)

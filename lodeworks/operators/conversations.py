@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import casefolded, is_nonblank, stripped
 from ..functions.tokenizers import Tokenizer
-from .ordered import with_prefix_sum
+from .ordered import with_prefix_sums
 
 # fixed values: role names, and the role that must follow each
 ROLE_NAMES = {"system": "system", "user": "user", "human": "user", "assistant": "assistant", "gpt": "assistant", "bot": "assistant"}
@@ -117,8 +117,7 @@ def offsets(examples: DataFrame, conv: str = "conv_id", width: int = 100_000) ->
     """Retained examples with example_index and the start and end of their tokens in one array."""
     kept = examples.filter(F.col("status") == RETAINED)
     one = kept.withColumn("_all", F.lit(0))
-    started = with_prefix_sum(one, F.col("n_tokens"), "start", [conv], ["_all"], width=width)
-    placed = with_prefix_sum(started, F.lit(1), "example_index", [conv], ["_all"], width=width).drop("_all")
+    placed = with_prefix_sums(one, {"start": F.col("n_tokens"), "example_index": F.lit(1)}, [conv], ["_all"], width=width).drop("_all")
     return placed.withColumn("end", F.col("start") + F.col("n_tokens"))
 
 

@@ -77,11 +77,12 @@ def encode_pairs(requests: DataFrame, tokenizer: Tokenizer, end_id: int, context
     return requests.withColumn("_e", encoded(context, continuation)).select(*requests.columns, "_e.context_ids", "_e.continuation_ids")
 
 
-def rms_norm(values: Column, epsilon: float = 1e-6) -> Column:
-    """Each component over the root mean square (weights of one)."""
+def rms_norm(values: Column, epsilon: float = 1e-6, weights: Column | None = None) -> Column:
+    """Each component over the root mean square, times its weight (one, if none are given)."""
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     scale = F.sqrt(total / F.size(values) + epsilon)
-    return F.transform(values, lambda x: x.cast("double") / scale)
+    normed = F.transform(values, lambda x: x.cast("double") / scale)
+    return normed if weights is None else F.zip_with(normed, weights, lambda x, w: x * w.cast("double"))
 
 
 def rotated(values: Column, position: Column, base: float = 10_000.0) -> Column:
@@ -101,3 +102,8 @@ def rotated(values: Column, position: Column, base: float = 10_000.0) -> Column:
 
 def silu(x: Column) -> Column:
     return x / (F.lit(1.0) + F.exp(-x))
+
+
+def swiglu(gate: Column, up: Column) -> Column:
+    """The gated unit of two arrays, component by component."""
+    return F.zip_with(gate, up, lambda g, u: silu(g.cast("double")) * u.cast("double"))

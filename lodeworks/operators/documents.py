@@ -5,21 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import with_prefix_sum
+from ..functions.tokenizers import Tokenizer, decoded
+from .ordered import null_safe_join, with_prefix_sums
 
+#: So many pieces at most have their places broadcast.
+BROADCAST_PIECES = 1_000_000
 
-def segment(tokens: DataFrame, token: str, eos_id: int, order: list[str], by: list[str], block: Column | None = None) -> DataFrame:
-    """``tokens`` with doc_index: the number of end tokens before each, over all shards of a group.
-
-    A document ends with, and includes, its end token, and may span shards.
-    """
-    return with_prefix_sum(tokens, (F.col(token) == eos_id).cast("long"), "doc_index", order, by, block)
 
+def fragments(pieces: DataFrame, tokens: str, eos_id: int, order: list[str], by: list[str], block: Column | None = None, broadcast_pieces: int = BROADCAST_PIECES) -> DataFrame:
+    """(by..., doc_index, at, n_tokens, complete, tokens): pieces of shards cut behind their end tokens.
 
-def segments(tokens: DataFrame, token: str, eos_id: int, order: list[str], by: list[str], block: Column | None = None) -> DataFrame:
-    """Per document: n_tokens, and whether it is complete (ends with the end token)."""
-    marked = segment(tokens, token, eos_id, order, by, block)
-    return marked.groupBy(*by, "doc_index").agg(F.count("*").alias("n_tokens"), F.bool_or(F.col(token) == eos_id).alias("complete"))
+    A document ends with, and includes, its end token, and may span pieces and shards; doc_index counts
+    the end tokens before it in its group, at: the tokens.  ``complete``: this fragment has the end.
+    Ends are found inside the arrays; only their number for each piece is put in order (and goes back by
+    a broadcast, if the pieces are counted to be few enough), so no token becomes a row, and a document
+    of any length stays in fragments of at most a piece.
+    """
+    t = F.col(tokens)
+    places = [*by, *order]
+    sizes = pieces.select(*places, F.size(t).alias("_n"), F.size(F.filter(t, lambda x: x == eos_id)).alias("_e"))
+    bases = with_prefix_sums(sizes, {"_doc": F.col("_e"), "_at": F.col("_n")}, order, by, block).select(*places, "_doc", "_at")
+    few = pieces.select(F.lit(1)).count() <= broadcast_pieces
+    met = null_safe_join(pieces.select(*places, t.alias("_t")), F.broadcast(bases) if few else bases, places)
+    marked = met.withColumn("_ends", F.filter(F.transform("_t", lambda x, i: F.when(x == eos_id, i + 1)), lambda i: i.isNotNull()))
+    starts = F.concat(F.array(F.lit(0)), F.col("_ends"))
+    stops = F.concat(F.col("_ends"), F.array(F.size("_t")))
+    each = marked.select("*", F.posexplode(F.arrays_zip(starts.alias("a"), stops.alias("b"))).alias("_k", "_cut")).filter("_cut.b > _cut.a")
+    a, n = F.col("_cut.a"), F.col("_cut.b") - F.col("_cut.a")
+    return each.select(
+        *by,
+        (F.col("_doc") + F.col("_k")).alias("doc_index"),
+        (F.col("_at") + a).alias("at"),
+        n.cast("long").alias("n_tokens"),
+        (F.col("_k") < F.size("_ends")).alias("complete"),
+        F.slice("_t", a + 1, n).alias("tokens"),
+    )
+
+
+def segments(pieces: DataFrame, tokens: str, eos_id: int, order: list[str], by: list[str], block: Column | None = None) -> DataFrame:
+    """Per document: start (tokens before it in its group), n_tokens, and whether it is complete."""
+    return documents_of(fragments(pieces, tokens, eos_id, order, by, block), by)
+
+
+def documents_of(found: DataFrame, by: list[str]) -> DataFrame:
+    """The documents of ``fragments``, which come together as numbers, without their tokens."""
+    return found.groupBy(*by, "doc_index").agg(F.min("at").alias("start"), F.sum("n_tokens").cast("long").alias("n_tokens"), F.bool_or("complete").alias("complete"))
 
 
 def require_complete(found: DataFrame) -> DataFrame:
@@ -28,14 +58,24 @@ def require_complete(found: DataFrame) -> DataFrame:
     return found.withColumn("complete", F.when(F.col("complete"), True).otherwise(F.raise_error(message).cast("boolean")))
 
 
-def first_document(tokens: DataFrame, token: str, eos_id: int, position: str, by: list[str], scan: int = 2_000_000, fallback: int = 256) -> DataFrame:
+def first_document(pieces: DataFrame, tokens: str, eos_id: int, position: str, by: list[str], scan: int = 2_000_000, fallback: int = 256) -> DataFrame:
     """(by..., ids): the tokens before a shard's first end token, or its first ``fallback`` tokens if
-    there is none among the first ``scan``.  Positions are 0-based."""
-    seen = tokens.filter(F.col(position) < scan)
-    ends = seen.groupBy(*by).agg(F.min(F.when(F.col(token) == eos_id, F.col(position))).alias("_end"))
-    kept = seen.join(ends, by).filter(F.col(position) < F.coalesce("_end", F.lit(fallback)))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(token).alias("t")))), lambda s: s["t"])
-    return ends.select(*by).join(kept.groupBy(*by).agg(ids.alias("ids")), by, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    there is none among the first ``scan``.  ``pieces``: arrays with their 0-based position."""
+    seen = pieces.filter(F.col(position) < scan).select(*by, F.col(position).cast("long").alias("_p"), F.col(tokens).alias("_t"))
+    found = F.array_position("_t", eos_id)
+    at = F.col("_p") + found - 1
+    ends = seen.groupBy(*by).agg(F.min(F.when((found > 0) & (at < scan), at)).alias("_end")).withColumn("_end", F.coalesce("_end", F.lit(fallback)))
+    kept = null_safe_join(seen, ends, by).filter(F.col("_p") < F.col("_end"))
+    part = F.slice("_t", F.lit(1), F.least(F.size("_t").cast("long"), F.col("_end") - F.col("_p")).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct("_p", part.alias("t"))))  # at most ``scan`` tokens
+    ids = kept.groupBy(*by).agg(F.flatten(F.transform(parts, lambda x: x["t"])).alias("ids"))
+    return null_safe_join(ends.select(*by), ids, by, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+
+
+def decoded_samples(pieces: DataFrame, tokenizer: Tokenizer, eos_id: int, by: list[str], max_characters: int = 500, tokens: str = "tokens", position: str = "position") -> DataFrame:
+    """(by..., n_tokens, sample): each shard's first document, decoded, cut to ``max_characters``."""
+    found = first_document(pieces, tokens, eos_id, position, by)
+    return found.select(*by, F.size("ids").cast("long").alias("n_tokens"), F.substring(decoded(tokenizer, F.col("ids")), 1, max_characters).alias("sample"))
 
 
 def split_report(docs: DataFrame, source: str = "source", split: str = "split", length: str = "n_tokens", shard: str | None = None) -> DataFrame:

@@ -40,10 +40,17 @@ def supervised(examples: DataFrame, keys: list[str], values: list[str], mask: st
     return rows.filter(F.col("cell.on") == 1).select(*keys, (F.col("p") + 1).alias("p"), *[F.col(f"cell.{v}").alias(v) for v in values])
 
 
-def masked_loss(examples: DataFrame, loss: str = "loss", mask: str = "loss_mask", by: list[str] | None = None) -> DataFrame:
-    """Mean loss over supervised targets and their number; without any target the mean is null."""
+def masked_loss(examples: DataFrame, loss: str = "loss", mask: str = "loss_mask", by: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """Mean loss over supervised targets and their number.
+
+    ``strict``: no target at all is an error when the result is read, as in training; otherwise the
+    mean is then null (or the group not there).
+    """
     rows = supervised(examples, by or [], [loss], mask)
-    aggs = [F.avg(loss).alias("mean_loss"), F.count("*").alias("targets")]
+    mean = F.avg(loss)
+    if strict:
+        mean = F.when(F.count("*") > 0, mean).otherwise(F.raise_error(F.lit("no supervised target")).cast("double"))
+    aggs = [mean.alias("mean_loss"), F.count("*").alias("targets")]
     return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
 
 

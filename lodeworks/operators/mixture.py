@@ -10,10 +10,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_seed
+from .ordered import with_index
+
+#: Ranges of the hash in which the windows of a pass are ranked.
+HASH_BLOCKS = 1024
 
 
 def check_weights(weights: dict[str, float], exact: float = 1e-6) -> None:
@@ -116,23 +120,39 @@ def pass_order(passes: DataFrame, seed: int) -> DataFrame:
     return passes.select("source", "pass", "windows").mapInPandas(permuted, "source string, pass long, rank long, window_index long")
 
 
-def hashed_order(passes: DataFrame, seed: int) -> DataFrame:
-    """The same by hash, in generated code: windows of a pass in order of SHA-256."""
-    each = passes.withColumn("window_index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("windows") - 1)))
+def hashed_order(passes: DataFrame, seed: int, chunk: int = 65_536) -> DataFrame:
+    """The same by hash, in generated code: windows of a pass in order of SHA-256.
+
+    Two levels: windows are listed in chunks, and each finds its rank within a range of the hash, of
+    which there are ``HASH_BLOCKS``; so no task lists or sorts a whole pass.
+    """
+    most = F.col("windows") - 1
+    starts = passes.filter(most >= 0).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), most, F.lit(chunk).cast("long"))))
+    # a pass of more than a chunk is dealt out before it is listed
+    dealt = starts.repartition("source", "pass", "_from")
+    each = dealt.withColumn("window_index", F.explode(F.sequence("_from", F.least(most, F.col("_from") + chunk - 1))))
     key = F.sha2(F.concat_ws("|", F.lit(str(seed)), "source", F.col("pass").cast("string"), F.col("window_index").cast("string")), 256)
-    rank = F.row_number().over(Window.partitionBy("source", "pass").orderBy(key)) - 1
-    return each.select("source", "pass", rank.cast("long").alias("rank"), "window_index")
+    hashed = each.select("source", "pass", "window_index", key.alias("_h"))
+    block = F.floor(F.conv(F.substring("_h", 1, 6), 16, 10).cast("long") * HASH_BLOCKS / F.lit(1 << 24))
+    return with_index(hashed, "rank", ["_h"], ["source", "pass"], block=block).select("source", "pass", "rank", "window_index")
 
 
-def batches(spark: SparkSession, windows: DataFrame, weights: dict[str, float], batch_size: int, seed: int, first: int, end: int) -> DataFrame:
+def batches(
+    spark: SparkSession, windows: DataFrame, weights: dict[str, float], batch_size: int, seed: int, first: int, end: int, per_pass: DataFrame | None = None, order: str = "permuted"
+) -> DataFrame:
     """(step, slot, source, window_index, tokens) of the mixture's batches.
 
-    ``windows``: source, window_index (0-based over the source's shards) and tokens.
+    ``windows``: source, window_index (0-based over the source's shards) and tokens; ``per_pass``:
+    source and windows, where they are known already (``windows.window_counts``).  ``order``: permuted
+    is a seeded permutation, which one worker makes for a whole pass (eight bytes a window); hashed, for
+    sources too large for that, has two levels.
     """
-    per_pass = windows.groupBy("source").agg(F.count("*").alias("windows"))
+    if order not in ("permuted", "hashed"):
+        raise ValueError(f"an order is permuted or hashed, not {order!r}")
+    per_pass = windows.groupBy("source").agg(F.count("*").alias("windows")) if per_pass is None else per_pass.select("source", "windows")
     plan = draws(label_plan(spark, batch_size, weights, seed, first, end), per_pass)
     passes = plan.select("source", "pass").distinct().join(F.broadcast(per_pass), "source")
-    placed = plan.join(pass_order(passes, seed), ["source", "pass", "rank"])
+    placed = plan.join((pass_order if order == "permuted" else hashed_order)(passes, seed), ["source", "pass", "rank"])
     return placed.join(windows, ["source", "window_index"]).select("step", "slot", "source", "window_index", "tokens")
 
 

@@ -9,30 +9,80 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-#: Width of a block of the order key.
-BLOCK = 100_000
+#: Rows of a block, about; the most blocks, by even steps of a dense key or by cuts from a sample.
+BLOCK, MOST_STEPS, MOST_CUTS = 100_000, 4096, 1024
+_SAMPLED, _GROUP = 32, 32
 
 
-def with_prefix_sum(df: DataFrame, value: Column, name: str, order: list[str], by: list[str], block: Column | None = None, width: int = BLOCK) -> DataFrame:
-    """``df`` with the sum of ``value`` over all earlier rows (long; 0 for the first).
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on ``keys`` in which nulls are alike; the keys come from the left."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def block_column(df: DataFrame, key: str, width: int = BLOCK) -> Column | None:
+    """Blocks of about ``width`` rows, ascending with ``key``; None if one block is enough.
+
+    A dense whole-number key is cut in even steps, any other (sparse, hashed, text) at quantiles of a
+    sample of at most a few ten thousand keys.  Rows of one key share a block; a null key is in the
+    first one or in one of its own before it, as nulls sort.
+    """
+    n, low, high = df.agg(F.count("*"), F.min(key), F.max(key)).first()
+    if n <= width or low is None:
+        return None
+    blocks = -(-n // width)
+    if isinstance(df.schema[key].dataType, IntegralType) and high - low < 4 * n:
+        step = max(1, (high - low + 1) // min(blocks, MOST_STEPS))
+        return F.floor((F.col(key) - F.lit(low)) / F.lit(step))
+    blocks = min(blocks, MOST_CUTS)
+    picked = df.select(key).filter(F.col(key).isNotNull()).sample(min(1.0, _SAMPLED * blocks / n), seed=17)
+    keys = [r[0] for r in picked.orderBy(key).collect()]
+    cuts = sorted(set(keys[:: max(1, len(keys) // blocks)]))
+    if not cuts:
+        return None
+
+    # two steps of at most ``_GROUP`` comparisons or so, not one for each cut
+    def up_to(values: list) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, values)), lambda b: b <= F.col(key)))
 
-    ``order``: whole-number or other columns, the first of which fixes the block (``block`` overrides
+    groups = [cuts[i : i + _GROUP] for i in range(0, len(cuts), _GROUP)]
+    group = up_to([g[0] for g in groups])
+    inner = F.size(F.filter(F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), group - 1), lambda b: b <= F.col(key)))
+    return F.when(group < 1, F.lit(0)).otherwise((group - 1) * _GROUP + inner)
+
+
+def with_prefix_sums(df: DataFrame, sums: dict[str, Column], order: list[str], by: list[str], block: Column | None = None, width: int = BLOCK) -> DataFrame:
+    """``df`` with, for each name of ``sums``, the sum of its value over all earlier rows (long; 0 for
+    the first).
+
+    ``order``: columns of any type that can be ordered; the first fixes the block (``block`` overrides
     it and must not decrease in that order).  Ties are broken by the remaining columns.
     """
-    block = F.floor(F.col(order[0]) / F.lit(width)) if block is None else block
-    keyed = df.withColumn("_block", block).withColumn("_value", value.cast("long"))
+    block = block_column(df, order[0], width) if block is None else block
+    keyed = df.withColumn("_block", F.lit(0) if block is None else block)
+    for name, value in sums.items():
+        keyed = keyed.withColumn(f"_v_{name}", value.cast("long"))
     inside = Window.partitionBy(*by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = keyed
+    for name in sums:
+        local = local.withColumn(name, F.coalesce(F.sum(f"_v_{name}").over(inside), F.lit(0)).cast("long"))
+    if block is None:
+        return local.select(*df.columns, *sums)
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = keyed.groupBy(*by, "_block").agg(F.sum("_value").alias("_sum"))
-    bases = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_block").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_block").eqNullSafe(F.col("_at"))]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    local = keyed.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    out = local.join(bases, on).withColumn(name, (F.col("_base") + F.col("_local")).cast("long"))
-    return out.select(*df.columns, name)
+    totals = keyed.groupBy(*by, "_block").agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
+    bases = totals.select(*by, "_block", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums])
+    met = null_safe_join(local, bases, [*by, "_block"])
+    return met.select(*df.columns, *[(F.col(name) + F.col(f"_b_{name}")).cast("long").alias(name) for name in sums])
+
+
+def with_prefix_sum(df: DataFrame, value: Column, name: str, order: list[str], by: list[str], block: Column | None = None, width: int = BLOCK) -> DataFrame:
+    """``with_prefix_sums`` of one value."""
+    return with_prefix_sums(df, {name: value}, order, by, block, width)
 
 
 def with_index(df: DataFrame, name: str, order: list[str], by: list[str], **how) -> DataFrame:

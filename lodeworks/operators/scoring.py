@@ -80,7 +80,8 @@ def rolling_loglikelihood(requests: DataFrame, key: str, tokenizer: Tokenizer, e
 
 
 def generate_until(requests: DataFrame, key: str, tokenizer: Tokenizer, end_id: int, limit: int, make: ScorerFactory, stops: list[str], most: int = 256, context: str = "context", batch: int = 8) -> DataFrame:
-    """(key, text): greedy continuations, cut at the stop strings; an empty context is the end token."""
+    """(key, text): greedy continuations without special tokens, cut at the stop strings; an empty
+    context is the end token."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make()
@@ -88,8 +89,7 @@ def generate_until(requests: DataFrame, key: str, tokenizer: Tokenizer, end_id:
             for a in range(0, len(frame), batch):
                 part = frame.iloc[a : a + batch]
                 heads = [(tokenizer.encode(c or "") or [end_id])[-limit:] for c in part[context]]
-                made = [[t for t in own if t != end_id] for own in scorer.generate(heads, most)]
-                yield pd.DataFrame({key: part[key].to_numpy(), "text": [tokenizer.decode(m) for m in made]})
+                yield pd.DataFrame({key: part[key].to_numpy(), "text": [tokenizer.decode(own, skip_special=True) for own in scorer.generate(heads, most)]})
 
     kind = requests.schema[key].dataType.simpleString()
     made = requests.select(key, context).mapInPandas(run, f"`{key}` {kind}, text string")

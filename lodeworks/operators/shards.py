@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from .ordered import BLOCK, block_column, null_safe_join
 
 AFTER, BEFORE = "after", "before"
 
 
+def _cut_from(total: np.ndarray, start, cap: int, rule: str):
+    """Where the shards that begin at ``start`` (with nothing in them) close: the index of the next
+    shard's first document.  ``total``: running sums of lengths, from 0."""
+    if rule == AFTER:
+        return np.searchsorted(total, total[start] + cap, side="left")
+    # the next document would pass the cap, and the shard holds something
+    return np.maximum(np.searchsorted(total[1:], total[start] + cap, side="right"), np.searchsorted(total, total[start], side="right"))
+
+
+def _first_cut(total: np.ndarray, held: int, cap: int, rule: str) -> int:
+    """The same for the open shard, which holds ``held`` tokens already."""
+    if rule == AFTER:
+        return int(np.searchsorted(total, cap - held, side="left"))
+    return int(np.searchsorted(total[1:], cap - held, side="right") if held else _cut_from(total, 0, cap, rule))
+
+
 def cut_points(lengths: np.ndarray, cap: int, rule: str, held: int = 0) -> tuple[np.ndarray, int]:
     """(new, held): which documents begin a new shard, given the tokens already in the open one.
 
@@ -19,61 +42,183 @@ def cut_points(lengths: np.ndarray, cap: int, rule: str, held: int = 0) -> tuple
     before: a shard closes if the next document would pass the cap, so only a single long document
     can.  A greedy walk: one binary search over running totals for every shard, not a step a row.
     """
+    return _walk(lengths, cap, rule, held)[:2]
+
+
+def _walk(lengths: np.ndarray, cap: int, rule: str, held: int) -> tuple[np.ndarray, int, bool]:
+    """``cut_points``, and whether the last document closed its shard."""
     total = np.concatenate(([0], np.cumsum(lengths)))
-    new = np.zeros(len(lengths), bool)
-    at = 0
+    new, last = np.zeros(len(lengths), bool), None
+    at = _first_cut(total, held, cap, rule)
     while at < len(lengths):
-        goal = total[at] - held + cap
-        if rule == AFTER:
-            stop = int(np.searchsorted(total, goal, side="left"))  # documents up to here fill it
-            stop = max(stop, at)
-        else:
-            stop = int(np.searchsorted(total, goal, side="right")) - 1
-            stop = max(stop, at if held else at + 1)
-        if stop > len(lengths) or (rule == BEFORE and stop == len(lengths)):
-            return new, held + int(total[-1] - total[at])
-        if stop < len(lengths):
-            new[stop] = True
-        elif rule == AFTER:
-            return new, 0 if total[-1] >= goal else held + int(total[-1] - total[at])
-        at, held = stop, 0
-    return new, held
-
-
-def assign_shards(docs: DataFrame, cap: int, rule: str, by: list[str], order: str, length: str = "n_tokens") -> DataFrame:
-    """(by..., order, length, shard_index): greedy packing of each group's documents in order.
-
-    Only lengths are moved, and a group streams through its task in batches, so memory is bounded by
-    a batch however many documents a source has.  The greedy rule itself is sequential in a source.
+        new[at], last = True, at
+        at = int(_cut_from(total, at, cap, rule))
+    if rule == AFTER and at == len(lengths):  # closed by the last document
+        return new, 0, True
+    return new, int(total[-1] - total[last]) if last is not None else held + int(total[-1]), False
+
+
+@dataclass
+class Transfer:
+    """What a run of documents does to the open shard: tokens held on entry give the cuts made and the
+    tokens held on exit.  Where the first cut falls decides the rest, so a few edges say it all: edge k
+    is the largest running total at which a first cut has outcome k."""
+
+    edges: list[int]
+    cuts: list[int]
+    held: list[int]
+    total: int
+    fresh_cuts: int
+    fresh_held: int
+
+    @classmethod
+    def of(cls, lengths: np.ndarray, cap: int, rule: str) -> Transfer:
+        m = len(lengths)
+        total = np.concatenate(([0], np.cumsum(lengths)))
+        following = np.minimum(_cut_from(total, np.arange(m), cap, rule), m + 1).tolist()
+        ends = total.tolist()
+        cuts, held = [0] * (m + 1), [0] * (m + 1)  # of a shard that begins at each document; at m: closed
+        for i in range(m - 1, -1, -1):
+            j = following[i]
+            if j < m or (j == m and rule == AFTER):
+                cuts[i], held[i] = 1 + cuts[j], held[j]
+            else:
+                cuts[i], held[i] = 0, ends[m] - ends[i]
+        out = cls([], [], [], ends[m], cuts[0] if m else 0, held[0] if m else 0)
+        for p in range(1, m + 1):
+            first = p if rule == AFTER else p - 1  # the first cut, found by the running total at p
+            made = 1 + cuts[first], held[first]
+            if out.edges and (out.cuts[-1], out.held[-1]) == made:
+                out.edges[-1] = ends[p]
+            else:
+                out.edges.append(ends[p])
+                out.cuts.append(made[0])
+                out.held.append(made[1])
+            if ends[p] >= cap:  # no entry finds a later one
+                break
+        return out
+
+    def apply(self, held: int, cap: int, rule: str) -> tuple[int, int]:
+        """(cuts, held on exit)."""
+        if rule == BEFORE and not held:
+            return self.fresh_cuts, self.fresh_held
+        k = (bisect_left if rule == AFTER else bisect_right)(self.edges, cap - held)
+        return (self.cuts[k], self.held[k]) if k < len(self.edges) else (0, held + self.total)
+
+
+def _group_edges(batch: pa.RecordBatch, keys: int) -> list[int]:
+    """Where rows differ from the one before in their first ``keys`` columns; 0 and the end, too."""
+    differs = np.zeros(max(0, batch.num_rows - 1), bool)
+    for i in range(keys):
+        code = pa.compute.fill_null(batch.column(i).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        differs |= code[1:] != code[:-1]
+    return [0, *(np.flatnonzero(differs) + 1).tolist(), batch.num_rows]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(key, last column) of each group of sorted rows."""
+    now, held = None, []
+    for batch in batches:
+        edges = _group_edges(batch, keys)
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            key = tuple(batch.column(i)[a].as_py() for i in range(keys))
+            if held and key != now:
+                yield now, np.concatenate(held)
+                held = []
+            now = key
+            held.append(batch.column(batch.num_columns - 1).to_numpy()[a:b])
+    if held:
+        yield now, np.concatenate(held)
+
+
+def _entries(slim: DataFrame, cap: int, rule: str, by: list[str], order: str, length: str) -> DataFrame:
+    """(by..., _block, _shard, _held): the open shard on entry to each block.
+
+    Every block is summed up as a ``Transfer`` on its own; only those are walked through in order.
+    """
+    kinds = "".join(f"`{c}` {slim.schema[c].dataType.simpleString()}, " for c in [*by, "_block"])
+    n, names = len(by) + 1, [*by, "_block"]
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, lengths in _gathered(batches, n):
+            t = Transfer.of(lengths, cap, rule)
+            row = dict(zip(names, key)) | {"edges": t.edges, "cuts": t.cuts, "held": t.held, "total": t.total, "fresh_cuts": t.fresh_cuts, "fresh_held": t.fresh_held}
+            yield pa.RecordBatch.from_pylist([row], summed)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard, held = None, 0, 0
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                key = tuple(row[c] for c in by)
+                if key != now:
+                    now, shard, held = key, 0, 0
+                out.append({c: row[c] for c in names} | {"_shard": shard, "_held": held})
+                t = Transfer(*(row[c] for c in ("edges", "cuts", "held", "total", "fresh_cuts", "fresh_held")))
+                made, held = t.apply(held, cap, rule)
+                shard += made
+            yield pa.RecordBatch.from_pylist(out, entered)
+
+    longs = "edges array<bigint>, cuts array<bigint>, held array<bigint>, total bigint, fresh_cuts bigint, fresh_held bigint"
+    summed = to_arrow_schema(_parse_datatype_string(kinds + longs))
+    entered = to_arrow_schema(_parse_datatype_string(kinds + "_shard bigint, _held bigint"))
+    sums = slim.select(*names, order, length).repartition(*names).sortWithinPartitions(*names, order).select(*names, length).mapInArrow(sum_up, kinds + longs)
+    dealt = sums.repartition(*by) if by else sums.coalesce(1)
+    return dealt.sortWithinPartitions(*names).mapInArrow(walk, kinds + "_shard long, _held long")
+
+
+def assign_shards(docs: DataFrame, cap: int, rule: str, by: list[str], order: str, length: str = "n_tokens", keep: list[str] | None = None, width: int = BLOCK) -> DataFrame:
+    """(by..., order, keep..., length, shard_index, position): greedy packing of each group's documents
+    in order; position: the tokens before a document in its shard.
+
+    The rule is sequential, but a group is not: its blocks (about ``width`` documents, or a 4096th of
+    the table) say in parallel what they do to the shard that is open when they begin (``Transfer``),
+    those sums are put in a row, and then all blocks are placed in parallel.  Only lengths are moved.
+    Null groups are groups; ``order`` must tell a group's documents apart.
     """
     if cap <= 0:
         raise ValueError("a shard must hold some tokens")
-    slim = docs.select(*by, order, F.col(length).cast("long").alias(length))
-    n = len(by)
+    keep = keep or []
+    slim = docs.select(*by, order, *keep, F.col(length).cast("long").alias(length))
+    block = block_column(slim, order, width)
+    n = len(by) + 1
+    if block is None:
+        keyed = slim.select(*by, F.lit(0).alias("_block"), F.lit(0).cast("long").alias("_shard"), F.lit(0).cast("long").alias("_held"), order, *keep, length)
+    else:
+        marked = slim.withColumn("_block", block)
+        keyed = null_safe_join(marked, _entries(marked, cap, rule, by, order, length), [*by, "_block"]).select(*by, "_block", "_shard", "_held", order, *keep, length)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, shard, held, pending = None, 0, 0, False
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard, held = None, 0, 0
         for batch in batches:
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(n)))) if n else [()] * batch.num_rows
-            lengths = batch.column(n + 1).to_numpy()
-            edges = [0, *(i for i in range(1, len(rows)) if rows[i] != rows[i - 1]), len(rows)]
-            out = np.zeros(len(rows), np.int64)
+            edges = _group_edges(batch, n)
+            lengths, out, at = batch.column(batch.num_columns - 1).to_numpy(), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for a, b in zip(edges, edges[1:]):
                 if a == b:
                     continue
-                if rows[a] != key:
-                    key, shard, held, pending = rows[a], 0, 0, False
-                new, left = cut_points(lengths[a:b], cap, rule, held)
-                if pending:  # the last shard closed exactly at the end of the batch before
-                    new[0] = True
-                out[a:b] = shard + np.cumsum(new)
-                shard, held = int(out[b - 1]), left
-                pending = rule == AFTER and left == 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*by, order, length, "shard_index"])
+                key = tuple(batch.column(i)[a].as_py() for i in range(n))
+                if key != now:
+                    now, shard, held = key, batch.column(n)[a].as_py(), batch.column(n + 1)[a].as_py()
+                own = lengths[a:b]
+                out[a:b], at[a:b], shard, held = placed(own, cap, rule, shard, held)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 1], *batch.columns[n + 2 :], pa.array(out), pa.array(at)], names)
 
+    names = [*by, order, *keep, length, "shard_index", "position"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
-    dealt = slim.repartition(*by) if by else slim.coalesce(1)
-    return dealt.sortWithinPartitions(*by, order).mapInArrow(run, f"{fields}, shard_index long")
+    dealt = keyed.repartition(*by, "_block") if by or block is not None else keyed.coalesce(1)
+    return dealt.sortWithinPartitions(*by, "_block", order).mapInArrow(place, f"{fields}, shard_index long, position long")
+
+
+def placed(lengths: np.ndarray, cap: int, rule: str, shard: int, held: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(shards, positions, shard, held): places of the next documents, and the open shard after them."""
+    new, left, closed = _walk(lengths, cap, rule, held)
+    before = np.concatenate(([0], np.cumsum(lengths)))
+    last = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+    shards = shard + np.cumsum(new)
+    positions = np.where(last < 0, held + before[:-1], before[:-1] - before[last])
+    return shards, positions, int(shards[-1]) + closed if len(shards) else shard, left
 
 
 def shard_path(source: Column, index: Column) -> Column:
@@ -103,16 +248,23 @@ def name_parts(path: Column, root: str | None = None) -> tuple[Column, Column]:
     return F.when(fits, F.regexp_extract(name, _NAME, 1)).otherwise(other), index
 
 
-def scan(tokens: DataFrame, by: list[str], token: str, position: str, eos_id: int, vocab_size: int) -> DataFrame:
-    """Per shard: bytes, tokens, eos_tokens, min and max id, ends_with_eos, error, warning."""
-    t = F.col(token)
-    made = tokens.groupBy(*by).agg(
-        (F.count("*") * 2).alias("bytes"),
-        F.count("*").alias("tokens"),
-        F.count_if(t == eos_id).alias("eos_tokens"),
-        F.min(t).alias("min_token_id"),
-        F.max(t).alias("max_token_id"),
-        (F.max_by(t, F.col(position)) == eos_id).alias("ends_with_eos"),
+def scan(pieces: DataFrame, by: list[str], tokens: str, position: str, eos_id: int, vocab_size: int) -> DataFrame:
+    """Per shard: bytes, tokens, eos_tokens, min and max id, ends_with_eos, error, warning.
+
+    ``pieces``: arrays of tokens with their position in the shard; each is summed up where it is, so no
+    token becomes a row, and a shard is a few numbers for every piece.
+    """
+    t = F.col(tokens)
+    some = pieces.filter(F.size(t) > 0)
+    n, ends = F.size(t).cast("long"), F.size(F.filter(t, lambda x: x == eos_id)).cast("long")
+    each = some.select(*by, F.col(position).alias("_p"), n.alias("_n"), ends.alias("_e"), F.array_min(t).alias("_low"), F.array_max(t).alias("_high"), F.element_at(t, -1).alias("_last"))
+    made = each.groupBy(*by).agg(
+        (F.sum("_n") * 2).alias("bytes"),
+        F.sum("_n").alias("tokens"),
+        F.sum("_e").alias("eos_tokens"),
+        F.min("_low").alias("min_token_id"),
+        F.max("_high").alias("max_token_id"),
+        (F.max_by("_last", "_p") == eos_id).alias("ends_with_eos"),
     )
     out = F.concat(F.lit("ids "), F.col("min_token_id"), F.lit(" to "), F.col("max_token_id"), F.lit(f" do not fit vocabulary size {vocab_size}"))
     return made.withColumn("error", F.when((F.col("min_token_id") < 0) | (F.col("max_token_id") >= vocab_size), out)).withColumn(
@@ -120,25 +272,38 @@ def scan(tokens: DataFrame, by: list[str], token: str, position: str, eos_id: in
     )
 
 
-def missing_indices(indices: Column) -> Column:
-    """Indices between the smallest and largest that are absent, ascending."""
-    known = F.filter(indices, lambda i: i.isNotNull())
-    gaps = F.array_except(F.sequence(F.array_min(known), F.array_max(known)), known)
-    return F.when(F.size(known) > 0, F.array_sort(gaps)).otherwise(F.array().cast("array<long>"))
+def missing_ranges(shards: DataFrame, source: str = "source", index: str = "shard_index") -> DataFrame:
+    """(source, first, last): the gaps between a source's shard indices, as ranges, so that one stray
+    index costs a row and not a row for each that is missing."""
+    known = shards.filter(F.col(index).isNotNull()).select(source, F.col(index).cast("long").alias("_i")).distinct()
+    after = F.lead("_i").over(Window.partitionBy(source).orderBy("_i"))
+    return known.withColumn("_j", after).filter(F.col("_j") > F.col("_i") + 1).select(source, (F.col("_i") + 1).alias("first"), (F.col("_j") - 1).alias("last"))
+
+
+def listed(missing: Column, separator: str) -> Column:
+    """An array of ranges in words: one or two indices singly, more as first-last."""
+
+    def words(r: Column) -> Column:
+        first, last = r["first"].cast("string"), r["last"].cast("string")
+        return F.when(r["last"] == r["first"], first).when(r["last"] == r["first"] + 1, F.concat(first, F.lit(separator), last)).otherwise(F.concat(first, F.lit("-"), last))
+
+    return F.array_join(F.transform(missing, words), separator)
 
 
 def source_report(scanned: DataFrame, source: str = "source", index: str = "shard_index") -> DataFrame:
-    """Per source: shards, tokens, eos_tokens, missing indices and the messages that follow."""
+    """Per source: shards, tokens, eos_tokens, missing (ranges of indices) and the messages that follow."""
     made = scanned.groupBy(source).agg(
         F.count("*").alias("shards"),
         F.sum("tokens").cast("long").alias("tokens"),
         F.sum("eos_tokens").cast("long").alias("eos_tokens"),
-        missing_indices(F.collect_set(F.col(index).cast("long"))).alias("missing"),
         F.count(index).alias("_named"),
     )
-    listed = F.concat(F.lit("missing shard indices "), F.array_join(F.transform("missing", lambda i: i.cast("string")), ", "))
+    gaps = missing_ranges(scanned, source, index).groupBy(source).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("missing"))
+    met = null_safe_join(made, gaps, [source], "left")
+    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
+    met = met.withColumn("missing", F.coalesce("missing", none))
     return (
-        made.withColumn("error", F.when(F.size("missing") > 0, listed))
+        met.withColumn("error", F.when(F.size("missing") > 0, F.concat(F.lit("missing shard indices "), listed(F.col("missing"), ", "))))
         .withColumn("warning", F.when(F.col("_named") == 0, F.lit("no name has a shard index")))
         .drop("_named")
     )
@@ -156,15 +321,19 @@ def messages(scanned: DataFrame, sources: DataFrame, path: str = "path", source:
     return out
 
 
-def report_text(root: str, files: int, vocab_size: int, eos_id: int, sources: list[dict], notes: dict[str, list[str]], most: int = 20) -> str:
-    """The check's report for people, with the first messages of each level and the verdict."""
+def report_text(root: str, files: int, vocab_size: int, eos_id: int, sources: list[dict], notes: dict[str, list[str]], counts: dict[str, int] | None = None, most: int = 20) -> str:
+    """The check's report for people, with the first messages of each level and the verdict.
+
+    ``notes``: messages by level, the first ones at least; ``counts``: how many there are in all.
+    """
+    counts = {level: len(own) for level, own in notes.items()} | (counts or {})
     lines = [f"shards below {root}: {files:,} files, vocabulary {vocab_size:,}, end token {eos_id}"]
     for s in sources:
         lines.append(f"{s['source']:<24}{s['shards']:>8,} shards{s['tokens']:>18,} tokens{s['eos_tokens']:>14,} ends")
     for level, own in sorted(notes.items()):
-        lines.append(f"{len(own)} {level}")
+        lines.append(f"{counts[level]} {level}")
         lines += [f"    {m}" for m in own[:most]]
-        if len(own) > most:
-            lines.append(f"    and {len(own) - most} more")
-    lines.append("RESULT: FAILED" if notes.get("errors") else "RESULT: PASSED")
+        if counts[level] > most:
+            lines.append(f"    and {counts[level] - most} more")
+    lines.append("RESULT: FAILED" if counts.get("errors") else "RESULT: PASSED")
     return "\n".join(lines)

@@ -9,18 +9,13 @@ from .functions.hashing import blake2b_share, split_name
 from .functions.text import is_nonblank
 from .functions.tokenizers import Tokenizer, check_narrow, with_end
 from .operators import documents, shards
-from .operators.ordered import with_index, with_prefix_sum, within_budget
+from .operators.ordered import null_safe_join, with_index, within_budget
+from .session import stored
 from .sources.tokenfiles import list_files, listing, read_shards, write_shards
 
 SHARD_TOKENS = 100_000_000
 
 
-def _shard_pieces(docs: DataFrame, placed: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """Documents with their shard and their position in it."""
-    met = docs.join(placed.select(*keys, "shard_index"), keys)
-    return with_prefix_sum(met, F.col("n_tokens"), "position", [keys[-1]], [*by, "shard_index"])
-
-
 def tokenize(docs: DataFrame, tokenizer: Tokenizer, output: str, shard_tokens: int = SHARD_TOKENS, max_tokens: int | None = None) -> dict:
     """Documents (doc_id, source, text) into shards; returns the run's report.
 
@@ -29,28 +24,35 @@ def tokenize(docs: DataFrame, tokenizer: Tokenizer, output: str, shard_tokens: i
     """
     check_narrow(tokenizer)
     usable = docs.select("source", "doc_id", "text").filter(is_nonblank(F.col("text")))
-    made = usable.select("source", "doc_id", with_end(tokenizer.ids(F.col("text")), tokenizer).alias("tokens")).withColumn("n_tokens", F.size("tokens").cast("long")).persist()
-    try:
-        kept = within_budget(made, "n_tokens", max_tokens, ["doc_id"], ["source"]) if max_tokens else made
-        placed = shards.assign_shards(kept, shard_tokens, shards.AFTER, ["source"], "doc_id")
-        write_shards(_shard_pieces(kept, placed, ["source", "doc_id"], ["source"]).withColumn("split", F.lit(None).cast("string")), output)
-        last = kept.groupBy("source").agg(F.max("doc_id").alias("last"), F.sum("n_tokens").alias("n"))
-        stopped = F.lit(False) if max_tokens is None else F.col("n") >= max_tokens
-        blank = docs.filter(~is_nonblank(F.col("text"))).join(last, "source", "left").filter(~F.coalesce(stopped, F.lit(False)) | (F.col("doc_id") < F.col("last")))
-        row = kept.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total_tokens")).first()
-        n_shards = placed.select("source", "shard_index").distinct().count()
-        return {"documents": row["documents"], "skipped": blank.count(), "total_tokens": row["total_tokens"], "shards": n_shards}
-    finally:
-        made.unpersist()
-
-
-def exploded(pieces: DataFrame) -> DataFrame:
-    """(path, position, token) of pieces of shards."""
-    return pieces.select("path", "position", F.posexplode("tokens").alias("i", "token")).select("path", (F.col("position") + F.col("i")).alias("position"), "token")
-
-
-def check(spark: SparkSession, root: str, vocab_size: int, eos_id: int) -> dict:
-    """Scan every shard below a folder: per-shard and per-source figures, errors and warnings."""
+    made = stored(usable.select("source", "doc_id", with_end(tokenizer.ids(F.col("text")), tokenizer).alias("tokens")).withColumn("n_tokens", F.size("tokens").cast("long")), "tokens")
+    lengths = made.select("source", "doc_id", "n_tokens")
+    kept = within_budget(lengths, "n_tokens", max_tokens, ["doc_id"], ["source"]) if max_tokens else lengths
+    placed = stored(shards.assign_shards(kept, shard_tokens, shards.AFTER, ["source"], "doc_id"), "placed")
+    pieces = null_safe_join(made.select("source", "doc_id", "tokens"), placed, ["source", "doc_id"])
+    write_shards(pieces.withColumn("split", F.lit(None).cast("string")), output)
+    last = placed.groupBy("source").agg(F.max("doc_id").alias("last"), F.sum("n_tokens").alias("n"))
+    stopped = F.lit(False) if max_tokens is None else F.col("n") >= max_tokens
+    blank = null_safe_join(docs.filter(~is_nonblank(F.col("text"))), last, ["source"], "left").filter(~F.coalesce(stopped, F.lit(False)) | (F.col("doc_id") < F.col("last")))
+    row = placed.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total_tokens")).first()
+    n_shards = placed.groupBy("source").agg((F.max("shard_index") + 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return {"documents": row["documents"], "skipped": blank.count(), "total_tokens": row["total_tokens"], "shards": n_shards}
+
+
+def scanned_shards(spark: SparkSession, root: str, vocab_size: int, eos_id: int) -> DataFrame:
+    """A row for every file below a folder, unreadable ones too: its scan, source and shard index."""
+    scanned = shards.scan(read_shards(spark, root, bad="skip"), ["path"], "tokens", "position", eos_id, vocab_size)
+    nothing = {"tokens": "long", "eos_tokens": "long", "min_token_id": "int", "max_token_id": "int"}
+    bad = listing(spark, root).filter("error is not null").select("path", "bytes", *[F.lit(None if c.startswith("m") else 0).cast(t).alias(c) for c, t in nothing.items()], F.lit(False).alias("ends_with_eos"), "error", F.lit(None).cast("string").alias("warning"))
+    source, index = shards.name_parts(F.col("path"), root)
+    return scanned.unionByName(bad).withColumn("source", source).withColumn("shard_index", index)
+
+
+def check(spark: SparkSession, root: str, vocab_size: int, eos_id: int, most: int = 20) -> dict:
+    """Scan every shard below a folder: per-shard and per-source figures, errors and warnings.
+
+    ``shard_table`` and ``message_table`` hold all rows and messages; of those the report itself carries
+    the first ``most`` (shards by path, messages of each level in order) and their numbers.
+    """
     try:
         files = list_files(root)
     except FileNotFoundError:
@@ -60,39 +62,49 @@ def check(spark: SparkSession, root: str, vocab_size: int, eos_id: int) -> dict:
     base = {"root": root, "vocab_size": vocab_size, "eos_id": eos_id, "files_found": len(files)}
     if not files:
         why = "root directory does not exist" if gone else "no token files found"
-        return base | {"errors": [f"{why}: {root}"], "warnings": [], "sources": {}, "shards": [], "text": shards.report_text(root, 0, vocab_size, eos_id, [], {"errors": [why], "warnings": []})}
-    listed = listing(spark, root)
-    scanned = shards.scan(exploded(read_shards(spark, root, bad="skip")), ["path"], "token", "position", eos_id, vocab_size)
-    empty = listed.filter("error is not null").select("path", "bytes", F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("eos_tokens"), F.lit(None).cast("int").alias("min_token_id"), F.lit(None).cast("int").alias("max_token_id"), F.lit(False).alias("ends_with_eos"), "error", F.lit(None).cast("string").alias("warning"))
-    scanned = scanned.unionByName(empty)
-    source, index = shards.name_parts(F.col("path"), root)
-    scanned = scanned.withColumn("source", source).withColumn("shard_index", index).persist()
+        return base | {"errors": [f"{why}: {root}"], "warnings": [], "error_count": 1, "warning_count": 0, "sources": {}, "shards": [], "text": shards.report_text(root, 0, vocab_size, eos_id, [], {"errors": [why], "warnings": []})}
+    scanned = stored(scanned_shards(spark, root, vocab_size, eos_id), "scan")
     sources = shards.source_report(scanned)
-    notes = {level + "s": [r["message"] for r in shards.messages(scanned, sources).filter(F.col("level") == level).orderBy("place", "subject").collect()] for level in ("error", "warning")}
-    rows, per = [r.asDict() for r in scanned.orderBy("path").collect()], [r.asDict() for r in sources.orderBy("source").collect()]
-    scanned.unpersist()
-    text = shards.report_text(root, len(files), vocab_size, eos_id, per, notes)
-    return base | notes | {"sources": {s["source"]: s for s in per}, "shards": rows, "total_tokens": sum(s["tokens"] for s in per), "total_eos_tokens": sum(s["eos_tokens"] for s in per), "text": text}
+    told = stored(shards.messages(scanned, sources), "messages")
+    n = {r["level"]: r["count"] for r in told.groupBy("level").count().collect()}
+    notes = {level + "s": [r["message"] for r in told.filter(F.col("level") == level).orderBy("place", "subject").limit(most).collect()] for level in ("error", "warning")}
+    counts = {level + "s": n.get(level, 0) for level in ("error", "warning")}
+    per = [r.asDict(recursive=True) for r in sources.orderBy("source").collect()]  # a row for each source
+    rows = [r.asDict() for r in scanned.orderBy("path").limit(most).collect()]
+    text = shards.report_text(root, len(files), vocab_size, eos_id, per, notes, counts, most)
+    totals = {"total_tokens": sum(s["tokens"] for s in per), "total_eos_tokens": sum(s["eos_tokens"] for s in per)}
+    tables = {"shard_table": scanned, "message_table": told}
+    return base | notes | {"error_count": counts["errors"], "warning_count": counts["warnings"], "sources": {s["source"]: s for s in per}, "shards": rows, "text": text} | totals | tables
+
 
+def samples(spark: SparkSession, root: str, tokenizer: Tokenizer, eos_id: int, max_characters: int = 500) -> DataFrame:
+    """(path, n_tokens, sample): the first document of every shard below a folder, decoded."""
+    return documents.decoded_samples(read_shards(spark, root, bad="skip"), tokenizer, eos_id, ["path"], max_characters)
 
-def split(spark: SparkSession, root: str, output: str, eos_id: int, seed: int = 42, fraction: float = 0.01, shard_tokens: int = SHARD_TOKENS) -> dict:
-    """Shards into train and val shards by a keyed hash of each document's index in its source."""
-    pieces = read_shards(spark, root)
+
+def shard_fragments(spark: SparkSession, root: str, eos_id: int) -> DataFrame:
+    """(source, doc_index, at, n_tokens, complete, tokens) of all shards, in order of their paths."""
     source, _ = shards.name_parts(F.col("path"))
     order = spark.createDataFrame([(p, i) for i, (p, _) in enumerate(list_files(root))], "path string, file_order int")
-    tokens = exploded(pieces).join(F.broadcast(order), "path").withColumn("source", source)
-    marked = documents.segment(tokens, "token", eos_id, ["file_order", "position"], ["source"], F.col("file_order") * 1_000_000 + F.floor(F.col("position") / 100_000))
-    each = F.struct("file_order", "position", "token")
-    docs = marked.groupBy("source", "doc_index").agg(F.transform(F.array_sort(F.collect_list(each)), lambda t: t["token"]).alias("tokens"))
-    docs = docs.withColumn("n_tokens", F.size("tokens").cast("long")).withColumn("complete", F.element_at("tokens", -1) == eos_id)
-    docs = documents.require_complete(docs).filter("complete").withColumn("split", split_name(blake2b_share(F.col("source"), F.col("doc_index"), seed), fraction)).persist()
-    try:
-        placed = shards.assign_shards(docs, shard_tokens, shards.BEFORE, ["split", "source"], "doc_index")
-        write_shards(_shard_pieces(docs, placed, ["split", "source", "doc_index"], ["split", "source"]), output)
-        report = documents.split_report(docs.join(placed.select("split", "source", "doc_index", "shard_index"), ["split", "source", "doc_index"]), shard="shard_index")
-        return {"seed": seed, "validation_fraction": fraction, "sources": {r["source"]: r.asDict() for r in report.collect()}}
-    finally:
-        docs.unpersist()
+    pieces = read_shards(spark, root).join(F.broadcast(order), "path").withColumn("source", source)
+    return documents.fragments(pieces, "tokens", eos_id, ["file_order", "position"], ["source"], F.col("file_order"))
+
+
+def split(spark: SparkSession, root: str, output: str, eos_id: int, seed: int = 42, fraction: float = 0.01, shard_tokens: int = SHARD_TOKENS, share=blake2b_share) -> dict:
+    """Shards into train and val shards by a keyed hash of each document's index in its source.
+
+    Only numbers of documents are sorted and packed; their fragments are written where they belong, so a
+    document longer than a row, or a source without end tokens, is never gathered.  ``share``: the keyed
+    hash, a column from 0 to 1 of source, index and seed.
+    """
+    found = shard_fragments(spark, root, eos_id)
+    docs = documents.require_complete(documents.documents_of(found, ["source"])).filter("complete")
+    docs = stored(docs.withColumn("split", split_name(share(F.col("source"), F.col("doc_index"), seed), fraction)), "documents")
+    placed = stored(shards.assign_shards(docs, shard_tokens, shards.BEFORE, ["split", "source"], "doc_index", keep=["start"]), "placed")
+    met = found.select("source", "doc_index", "at", "tokens").join(placed, ["source", "doc_index"])
+    write_shards(met.withColumn("position", F.col("position") + F.col("at") - F.col("start")), output)
+    report = documents.split_report(placed, shard="shard_index")
+    return {"seed": seed, "validation_fraction": fraction, "sources": {r["source"]: r.asDict() for r in report.collect()}}
 
 
 def numbered(docs: DataFrame) -> DataFrame:

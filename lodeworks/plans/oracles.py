@@ -49,7 +49,8 @@ noted AS (SELECT *, CASE WHEN max_token_id >= 245 THEN 'ids ' || min_token_id ||
 _GAPS = """present AS (SELECT source, shard_index, tokens, eos_tokens FROM noted),
 span AS (SELECT source, min(shard_index) AS a, max(shard_index) AS b, count(*) AS shards, sum(tokens)::BIGINT AS tokens, sum(eos_tokens)::BIGINT AS eos_tokens FROM present GROUP BY source),
 gaps AS (SELECT s.source, u.i AS shard_index FROM span s, unnest(range(s.a, s.b + 1)) AS u(i) WHERE NOT EXISTS (SELECT 1 FROM present p WHERE p.source = s.source AND p.shard_index = u.i)),
-listed AS (SELECT source, string_agg(shard_index::VARCHAR, ',' ORDER BY shard_index) AS missing FROM gaps GROUP BY source)"""
+ranges AS (SELECT source, shard_index + 1 AS a, lead(shard_index) OVER (PARTITION BY source ORDER BY shard_index) - 1 AS b FROM present),
+listed AS (SELECT source, string_agg(CASE WHEN b = a THEN a::VARCHAR WHEN b = a + 1 THEN a || ',' || b ELSE a || '-' || b END, ',' ORDER BY a) AS missing FROM ranges WHERE b >= a GROUP BY source)"""
 _TILES = f"""{_TOKENS}, whole AS (SELECT source, shard_index, position // 65 AS window_index, position % 65 AS p, token FROM tokens),
 tiles AS (SELECT source, shard_index, window_index, max(token) FILTER (p = 0) AS x_first, sum(token) FILTER (p < 64)::BIGINT AS x_sum, max(token) FILTER (p = 64) AS y_last,
   sum(token) FILTER (p > 0)::BIGINT AS y_sum, sum(token)::BIGINT AS token_sum FROM whole GROUP BY ALL HAVING count(*) = 65)"""
@@ -91,7 +92,11 @@ _LOGITS = """logits AS (SELECT vec_id, CAST(i - 1 AS INT) AS token, CAST(embeddi
 _SOFT = f"""{_LOGITS}, tops AS (SELECT vec_id, max(logit) AS top FROM logits GROUP BY vec_id)"""
 _REQUESTS = r"""requests AS (SELECT item_id, list_prepend(2, list_transform(range(1, length(text) + 1), lambda k: (unicode(substr(text, k::INT, 1)) % 256)::INT)) AS ids FROM benchmark)"""
 _PARAMS = """params AS (SELECT p_partkey, 'layers.' || p_size || CASE p_partkey % 3 WHEN 0 THEN '.bias' WHEN 1 THEN '.weight' ELSE '.embedding' END AS name, p_partkey % 3 AS dimensions, p_size AS elements, p_partkey % 5 > 0 AS trainable FROM part)"""
-_WEIGHTS = "w(source, weight) AS (VALUES ('cosmopedia', 0.15), ('fineweb', 0.75), ('python', 0.10))"
+_WEIGHTS = "w(source, weight) AS (VALUES ('books', 0.25), ('code', 0.125), ('web', 0.625))"
+
+
+#: The least whole number of batches that gives the smallest weight a place for each source.
+_UNIT = "(ceil(ceil((SELECT count(*) / min(weight::DOUBLE) FROM w)) / b.batch_size) * b.batch_size)::INT"
 
 
 def _quota(sizes: str) -> str:
@@ -141,9 +146,13 @@ ORACLE_SQL: dict[str, str] = {
       placed AS (SELECT (b.first_sample + c.first_window + t.window_index)::BIGINT AS sample_index, t.source, b.source_id, t.shard_index, t.window_index, t.token_sum FROM tiles t JOIN counts c USING (source, shard_index) JOIN bounds b ON b.source = t.source)
       SELECT sample_index, sample_index // 5 AS batch_id, source, source_id, shard_index, window_index, token_sum FROM placed""",
     "source_quotas": f"WITH {_quota('(1), (2), (7), (8), (30), (32), (100)')} SELECT batch_size::INT AS batch_size, source, (low + CASE WHEN k <= spare THEN 1 ELSE 0 END)::INT AS quota FROM ordered",
-    "unit_labels": f"""WITH {_quota('(30), (32)')}, b(batch_size, unit_size) AS (VALUES (1, 30), (8, 32), (32, 32))
-      SELECT b.batch_size::INT AS batch_size, o.source, (o.low + CASE WHEN o.k <= o.spare THEN 1 ELSE 0 END)::INT AS labels, b.unit_size::INT AS unit_size FROM b JOIN ordered o ON o.batch_size = b.unit_size""",
-    "resume_position": f"""WITH {_COUNTS}, totals AS (SELECT source, sum(windows)::BIGINT AS windows FROM counts GROUP BY source), u(source, per_unit, unit_size) AS (VALUES ('assistant', 12, 24), ('system', 3, 24), ('user', 9, 24)),
+    "unit_labels": f"""WITH {_WEIGHTS}, b(batch_size) AS (VALUES (1), (8), (32)), s AS (SELECT b.batch_size AS batch, {_UNIT} AS batch_size FROM b),
+      base AS (SELECT batch, batch_size, source, CAST(weight AS DOUBLE) * batch_size AS raw, floor(CAST(weight AS DOUBLE) * batch_size) AS low FROM s, w),
+      ordered AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY low - raw, source) AS k, batch_size - sum(low) OVER (PARTITION BY batch) AS spare FROM base)
+      SELECT batch::INT AS batch_size, source, (low + CASE WHEN k <= spare THEN 1 ELSE 0 END)::INT AS labels, batch_size::INT AS unit_size FROM ordered""",
+    "resume_position": f"""WITH {_COUNTS}, totals AS (SELECT source, sum(windows)::BIGINT AS windows FROM counts GROUP BY source), w(source, weight) AS (VALUES ('assistant', 0.5), ('system', 0.125), ('user', 0.375)),
+      b(batch_size) AS (VALUES (8)), z AS (SELECT {_UNIT} AS unit_size FROM b),
+      u AS (SELECT source, unit_size, (weight * unit_size)::BIGINT AS per_unit FROM w, z),
       s AS (SELECT source, (1500 * 8 // unit_size * per_unit)::BIGINT AS served, windows FROM u JOIN totals USING (source)) SELECT source, served, served // windows AS pass, served % windows AS cursor FROM s""",
     "hashed_pass_order": f"""WITH {_COUNTS}, totals AS (SELECT source, sum(windows)::BIGINT AS windows FROM counts GROUP BY source), each AS (SELECT source, i AS window_index FROM totals, unnest(range(0, windows)) AS u(i))
       SELECT source, 0 AS pass, row_number() OVER (PARTITION BY source ORDER BY sha256('42|' || source || '|0|' || window_index)) - 1 AS rank, window_index FROM each""",

@@ -19,7 +19,7 @@ from ..session import shared_dir
 from ..streaming import ingest
 
 BYTES, POINTS = ByteTokenizer(), CodepointTokenizer()
-WEIGHTS = {"fineweb": 0.75, "cosmopedia": 0.15, "python": 0.10}
+WEIGHTS = {"web": 0.625, "books": 0.25, "code": 0.125}
 SEED, FRACTION, CAP, BUDGET, BLOCK = 42, 0.05, 20_000, 100_000, 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -43,15 +43,7 @@ def _turn_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as code-point tokens with their place: source = role, shard = conversation over 20."""
     turns = _table(spark, sf_dir, "conversations").filter(is_nonblank(F.col("text")))
     made = turns.select(F.col("role").alias("source"), F.floor(F.col("conv_id") / 20).cast("long").alias("shard_index"), "conv_id", "turn", POINTS.ids(F.col("text")).alias("tokens"))
-    order = F.col("conv_id") * 10_000 + F.col("turn")
-    keyed = made.withColumn("o", order)
-    return with_prefix_sum(keyed, F.size("tokens"), "start", ["o"], ["source", "shard_index"]).drop("o")
-
-
-def _shard_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = _turn_pieces(spark, sf_dir)
-    each = pieces.select("source", "shard_index", "start", F.posexplode("tokens").alias("i", "token"))
-    return each.select("source", "shard_index", (F.col("start") + F.col("i")).alias("position"), "token")
+    return with_prefix_sum(made, F.size("tokens"), "start", ["conv_id", "turn"], ["source", "shard_index"], F.col("conv_id"))
 
 
 def _shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,12 +86,12 @@ def token_budget(spark, sf_dir):
 
 @query
 def pack_flush_after(spark, sf_dir):
-    return shards.assign_shards(_documents(spark, sf_dir), CAP, shards.AFTER, ["source"], "doc_id")
+    return shards.assign_shards(_documents(spark, sf_dir), CAP, shards.AFTER, ["source"], "doc_id").drop("position")
 
 
 @query
 def pack_flush_before(spark, sf_dir):
-    return shards.assign_shards(_documents(spark, sf_dir), CAP, shards.BEFORE, ["source"], "doc_id")
+    return shards.assign_shards(_documents(spark, sf_dir), CAP, shards.BEFORE, ["source"], "doc_id").drop("position")
 
 
 @query
@@ -126,7 +118,7 @@ _VOCAB, _END = 245, 46
 
 
 def _scanned(spark, sf_dir):
-    made = shards.scan(_shard_tokens(spark, sf_dir), ["source", "shard_index"], "token", "position", _END, _VOCAB)
+    made = shards.scan(_turn_pieces(spark, sf_dir), ["source", "shard_index"], "tokens", "start", _END, _VOCAB)
     return made.withColumn("path", shards.shard_path(F.col("source"), F.col("shard_index")))
 
 
@@ -138,7 +130,7 @@ def shard_scan(spark, sf_dir):
 @query
 def source_check(spark, sf_dir):
     made = shards.source_report(_scanned(spark, sf_dir))
-    return made.select("source", "shards", "tokens", "eos_tokens", F.array_join(F.transform("missing", lambda i: i.cast("string")), ",").alias("missing"))
+    return made.select("source", "shards", "tokens", "eos_tokens", shards.listed(F.col("missing"), ",").alias("missing"))
 
 
 @query
@@ -165,13 +157,13 @@ def shard_name_parse(spark, sf_dir):
 
 @query
 def missing_shards(spark, sf_dir):
-    made = _shard_sizes(spark, sf_dir).groupBy("source").agg(shards.missing_indices(F.collect_set("shard_index")).alias("m"))
-    return made.select("source", F.explode("m").alias("shard_index"))
+    made = shards.missing_ranges(_shard_sizes(spark, sf_dir))
+    return made.select("source", F.explode(F.sequence("first", "last")).alias("shard_index"))
 
 
 @query
 def first_documents(spark, sf_dir):
-    found = documents.first_document(_shard_tokens(spark, sf_dir), "token", _END, "position", ["source", "shard_index"])
+    found = documents.first_document(_turn_pieces(spark, sf_dir), "tokens", _END, "start", ["source", "shard_index"])
     return found.select("source", "shard_index", F.size("ids").cast("long").alias("n_tokens"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
 
 
@@ -185,9 +177,8 @@ def document_index(spark, sf_dir):
 
 @query
 def doc_segments(spark, sf_dir):
-    tokens = _shard_tokens(spark, sf_dir)
-    block = F.col("shard_index")
-    return documents.segments(tokens, "token", _END, ["shard_index", "position"], ["source"], block)
+    made = documents.segments(_turn_pieces(spark, sf_dir), "tokens", _END, ["shard_index", "start"], ["source"], F.col("shard_index"))
+    return made.select("source", "doc_index", "n_tokens", "complete")
 
 
 @query
@@ -208,7 +199,7 @@ def split_assignment_md5(spark, sf_dir):
 
 @query
 def split_shards(spark, sf_dir):
-    return shards.assign_shards(_md5_split(spark, sf_dir), CAP, shards.BEFORE, ["split", "source"], "doc_index")
+    return shards.assign_shards(_md5_split(spark, sf_dir), CAP, shards.BEFORE, ["split", "source"], "doc_index").drop("position")
 
 
 @query
@@ -272,22 +263,25 @@ def unit_labels(spark, sf_dir):
     return spark.createDataFrame(rows, "batch_size int, source string, labels int, unit_size int")
 
 
+def _per_pass(spark, sf_dir):
+    counts = windows.window_counts(_shard_sizes(spark, sf_dir), BLOCK, ["source"])
+    return counts.groupBy("source").agg(F.sum("windows").cast("long").alias("windows"))
+
+
 def _role_weights():
     return {"assistant": 0.5, "system": 0.125, "user": 0.375}
 
 
 @query
 def source_draws(spark, sf_dir):
-    per_pass = windows.window_counts(_shard_sizes(spark, sf_dir), BLOCK, ["source"]).groupBy("source").agg(F.sum("windows").cast("long").alias("windows"))
-    return mixture.draws(mixture.label_plan(spark, 8, _role_weights(), SEED, 10, 200), per_pass)
+    return mixture.draws(mixture.label_plan(spark, 8, _role_weights(), SEED, 10, 200), _per_pass(spark, sf_dir))
 
 
 @query
 def resume_position(spark, sf_dir):
     unit = mixture.unit_schedule(8, _role_weights())
-    per_pass = windows.window_counts(_shard_sizes(spark, sf_dir), BLOCK, ["source"]).groupBy("source").agg(F.sum("windows").cast("long").alias("windows"))
     counts = spark.createDataFrame([(s, unit.count(s), len(unit)) for s in sorted(_role_weights())], "source string, per_unit int, unit_size int")
-    return mixture.resume_position(counts.join(per_pass, "source"), 3 * 500, 8)
+    return mixture.resume_position(counts.join(_per_pass(spark, sf_dir), "source"), 3 * 500, 8)
 
 
 def _source_windows(spark, sf_dir):
@@ -298,19 +292,17 @@ def _source_windows(spark, sf_dir):
 
 @query
 def pass_order(spark, sf_dir):
-    per_pass = _source_windows(spark, sf_dir).groupBy("source").agg(F.count("*").alias("windows"))
-    return mixture.pass_order(per_pass.withColumn("pass", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))), SEED)
+    return mixture.pass_order(_per_pass(spark, sf_dir).withColumn("pass", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))), SEED)
 
 
 @query
 def hashed_pass_order(spark, sf_dir):
-    per_pass = windows.window_counts(_shard_sizes(spark, sf_dir), BLOCK, ["source"]).groupBy("source").agg(F.sum("windows").cast("long").alias("windows"))
-    return mixture.hashed_order(per_pass.withColumn("pass", F.lit(0)), SEED)
+    return mixture.hashed_order(_per_pass(spark, sf_dir).withColumn("pass", F.lit(0)), SEED)
 
 
 @query
 def mixture_batches(spark, sf_dir):
-    made = mixture.batches(spark, _source_windows(spark, sf_dir), _role_weights(), 8, SEED, 5, 25)
+    made = mixture.batches(spark, _source_windows(spark, sf_dir), _role_weights(), 8, SEED, 5, 25, _per_pass(spark, sf_dir))
     return made.select("step", "slot", "source", "window_index", _sum("tokens").alias("token_sum"))
 
 

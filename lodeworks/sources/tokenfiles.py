@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 RANGE_TOKENS, BATCH_TOKENS = 8_000_000, 65_536
 READ_SCHEMA = "path string, position long, tokens array<int>"
@@ -87,7 +87,7 @@ class _Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.root = options["path"].rstrip("/")
         if overwrite:
@@ -99,29 +99,33 @@ class _Writer(DataSourceWriter):
         if there:
             raise FileExistsError(f"{self.root} holds token files already")
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         import uuid
 
         files, base = _filesystem(self.root)
         done, out, now, end = [], None, None, 0
-        for r in rows:  # sorted by shard and position
-            key = (r.split, r.source, r.shard_index)
-            if key != now:
-                if out:
-                    out.close()
-                folder = posixpath.join(base, *[x for x in (r.split, r.source) if x])
-                files.create_dir(folder, recursive=True)
-                final = posixpath.join(folder, f"{r.source}_{r.shard_index:04d}.bin")
-                part = f"{final}.{uuid.uuid4().hex}.tmp"
-                out, now, end = files.open_output_stream(part), key, 0
-                done.append((part, final))
-            ids = np.asarray(r.tokens, np.int64)
-            if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
-                raise OverflowError(f"{now}: a token id does not fit 16 bits")
-            if r.position != end:
-                raise ValueError(f"{now}: tokens are missing before position {r.position}")
-            end += len(ids)
-            out.write(ids.astype(np.uint16).tobytes())
+        for batch in batches:  # rows sorted by shard and position
+            split, source, shard, position = (batch.column(i).to_pylist() for i in range(4))
+            lists = batch.column(4)
+            bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for i in range(batch.num_rows):
+                key = split[i], source[i], shard[i]
+                if key != now:
+                    if out:
+                        out.close()
+                    folder = posixpath.join(base, *[x for x in key[:2] if x])
+                    files.create_dir(folder, recursive=True)
+                    final = posixpath.join(folder, f"{source[i]}_{shard[i]:04d}.bin")
+                    part = f"{final}.{uuid.uuid4().hex}.tmp"
+                    out, now, end = files.open_output_stream(part), key, 0
+                    done.append((part, final))
+                ids = values[bounds[i] : bounds[i + 1]]
+                if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
+                    raise OverflowError(f"{now}: a token id does not fit 16 bits")
+                if position[i] != end:
+                    raise ValueError(f"{now}: tokens are missing before position {position[i]}")
+                end += len(ids)
+                out.write(ids.astype(np.uint16).tobytes())
         if out:
             out.close()
         return _Written(done)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.shards import AFTER, placed
+
 _OUT = "source string, doc_id long, n_tokens long, doc_index long, shard_index long"
 _STATE = "documents long, shard long, held long, total long"
 
@@ -25,16 +28,16 @@ def packed(docs: DataFrame, cap: int, budget: int | None = None) -> DataFrame:
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         documents, shard, held, total = state.get if state.exists else (0, 0, 0, 0)
-        out = []
-        for doc_id, n in pd.concat(list(frames)).sort_values("doc_id")[["doc_id", "n_tokens"]].itertuples(index=False):
-            if budget is not None and total >= budget:
-                break
-            out.append((key[0], int(doc_id), int(n), documents, shard))
-            documents, held, total = documents + 1, held + int(n), total + int(n)
-            if held >= cap:
-                shard, held = shard + 1, 0
-        state.update((documents, shard, held, total))
-        yield pd.DataFrame(out, columns=["source", "doc_id", "n_tokens", "doc_index", "shard_index"])
+        # two numbers a row; a micro-batch is bounded by its trigger
+        ids, lengths = (np.concatenate(x) for x in zip(*[(f["doc_id"].to_numpy(), f["n_tokens"].to_numpy()) for f in frames]))
+        order = np.argsort(ids, kind="stable")
+        ids, lengths = ids[order], lengths[order]
+        if budget is not None:
+            before = total + np.cumsum(lengths) - lengths
+            ids, lengths = ids[before < budget], lengths[before < budget]
+        where, _, shard, held = placed(lengths, cap, AFTER, shard, held)
+        yield pd.DataFrame({"source": key[0], "doc_id": ids, "n_tokens": lengths, "doc_index": documents + np.arange(len(ids)), "shard_index": where})
+        state.update((documents + len(ids), int(shard), int(held), total + int(lengths.sum())))
 
     return docs.select("source", "doc_id", "n_tokens").groupBy("source").applyInPandasWithState(fold, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.operators import shards
-from lodeworks.operators.ordered import with_index, with_prefix_sum, within_budget
+from lodeworks.operators.ordered import block_column, with_index, with_prefix_sum, with_prefix_sums, within_budget
 
 
 def greedy(lengths, cap, rule):
@@ -66,3 +66,69 @@ def test_budget_keeps_the_document_that_reaches_it(spark):
         assert within_budget(df, "n", budget, ["doc_id"], ["source"]).count() == kept
     with pytest.raises(ValueError):
         within_budget(df, "n", 0, ["doc_id"], ["source"])
+
+
+@pytest.mark.parametrize("rule", [shards.AFTER, shards.BEFORE])
+@pytest.mark.parametrize("seed", range(60))
+def test_transfers_put_in_a_row_give_the_greedy_walk(rule, seed):
+    rnd = random.Random(seed)
+    lengths, cap = [rnd.choice([0, *range(1, 9), 25]) for _ in range(rnd.randint(1, 60))], rnd.randint(1, 30)
+    cuts = sorted({0, len(lengths), *(rnd.randint(0, len(lengths)) for _ in range(4))})
+    out, at, shard, held = [], [], 0, 0
+    for a, b in zip(cuts, cuts[1:]):
+        own = np.array(lengths[a:b])
+        made, after = shards.Transfer.of(own, cap, rule).apply(held, cap, rule)
+        got, positions, next_shard, left = shards.placed(own, cap, rule, shard, held)
+        out += got.tolist()
+        at += positions.tolist()
+        assert (shard + made, after) == (next_shard, left)
+        shard, held = next_shard, left
+    assert out == greedy(lengths, cap, rule)
+    for i, s in enumerate(out):
+        assert at[i] == sum(n for n, x in zip(lengths[:i], out) if x == s)
+
+
+@pytest.mark.parametrize("width", [7, 1000])
+@pytest.mark.parametrize("rule", [shards.AFTER, shards.BEFORE])
+def test_packing_in_blocks_of_sparse_and_text_keys(spark, rule, width):
+    rnd = random.Random(3)
+    rows = [(rnd.randint(0, 10**15), "hot" if rnd.random() < 0.7 else rnd.choice(["b", None]), rnd.choice([1, 2, 3, 9, 40])) for _ in range(300)]
+    want = {}
+    for s in ("hot", "b", None):
+        own = sorted((k, n) for k, x, n in rows if x == s)
+        want |= dict(zip((k for k, _ in own), greedy([n for _, n in own], 33, rule)))
+    df = spark.createDataFrame(rows, "k long, source string, n_tokens long")
+    got = shards.assign_shards(df.repartition(5), 33, rule, ["source"], "k", width=width).collect()
+    assert {r["k"]: r["shard_index"] for r in got} == want
+    text = df.withColumn("k", F.lpad(F.col("k").cast("string"), 16, "0"))
+    got = shards.assign_shards(text, 33, rule, ["source"], "k", keep=["n_tokens"][:0], width=width).collect()
+    assert {int(r["k"]): r["shard_index"] for r in got} == want
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "double"])
+def test_prefix_sums_of_sparse_keys(spark, kind):
+    rnd = random.Random(5)
+    keys = rnd.sample(range(10**12), 200)
+    df = spark.createDataFrame([(k, "a" if k % 4 else None, k % 11) for k in keys] + [(None, "a", 5)], "k long, g string, v long").withColumn("k", F.lpad(F.col("k").cast("string"), 13, "0") if kind == "string" else F.col("k").cast(kind))
+    got = with_prefix_sums(df, {"before": F.col("v"), "i": F.lit(1)}, ["k"], ["g"], width=9).collect()
+    for g in ("a", None):
+        total = 0
+        for n, r in enumerate(sorted((r for r in got if r["g"] == g), key=lambda r: (r["k"] is not None, r["k"]))):
+            assert (r["before"], r["i"]) == (total, n)
+            total += r["v"]
+
+
+def test_blocks_are_even_whatever_the_keys(spark):
+    df = spark.range(5000).select((F.col("id") * F.col("id") * 977 + 10**9).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    for key in ("k", "h"):
+        sizes = [r["count"] for r in df.groupBy(block_column(df, key, 200).alias("b")).count().collect()]
+        assert len(sizes) >= 15 and max(sizes) <= 1000
+    assert block_column(df, "k", 5000) is None
+
+
+def test_gaps_are_ranges(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 2), ("a", 5), ("a", 10**9), ("b", 4), ("b", None), (None, 1), (None, 3)], "source string, shard_index long")
+    got = {(r["source"], r["first"], r["last"]) for r in shards.missing_ranges(df).collect()}
+    assert got == {("a", 1, 1), ("a", 3, 4), ("a", 6, 10**9 - 1), (None, 2, 2)}
+    report = {r["source"]: r["error"] for r in shards.source_report(df.withColumn("tokens", F.lit(1)).withColumn("eos_tokens", F.lit(1))).collect()}
+    assert report == {"a": "missing shard indices 1, 3, 4, 6-999999999", "b": None, None: "missing shard indices 2"}
