@@ -514,3 +514,6 @@ def lr_pretrain(spark, sf_dir):
 def lr_sft(spark, sf_dir):
     steps = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("step"))
     return steps.select("step", F.round(schedules.warmup_constant(F.col("step"), 3e-5, 500), 14).alias("lr"))
+
+
+from . import jobs  # noqa: E402, F401 (they register themselves)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.tokenizers import Tokenizer
+from ..operators.conversations import classify
 from ..operators.shards import AFTER, placed
 
 _OUT = "source string, doc_id long, n_tokens long, doc_index long, shard_index long"
@@ -49,3 +51,17 @@ def file_stream(spark, folder: str, schema, files_per_batch: int = 1) -> DataFra
 def totals(docs: DataFrame) -> DataFrame:
     """Running documents and tokens of each source (complete output mode)."""
     return docs.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
+
+
+def write_examples(conversations: DataFrame, tokenizer: Tokenizer, max_length: int, folder: str, state: str) -> None:
+    """A stream of conversations (conv_id, messages: turn, role, content) into classified examples.
+
+    Each micro-batch is one pass over its conversations and writes a folder of its own, which a
+    repeated batch replaces, so nothing is written twice.  Offsets are a matter of reading.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        turns = batch.select("conv_id", F.explode("messages").alias("m")).select("conv_id", "m.turn", "m.role", F.col("m.content").alias("text"))
+        classify(turns, tokenizer, max_length).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    conversations.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

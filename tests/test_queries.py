@@ -6,11 +6,13 @@ import os
 import duckdb
 import pytest
 
-from lodeworks.plans.oracles import ORACLE_SQL
+from lodeworks.plans.job_oracles import JOB_SQL
+from lodeworks.plans.oracles import ORACLE_SQL as OWN_SQL
 from lodeworks.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+ORACLE_SQL = OWN_SQL | JOB_SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
@@ -30,7 +32,7 @@ def plain(value):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE_SQL) == {"split_assignment_blake2b", "source_draws", "pass_order", "mixture_batches"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"split_assignment_blake2b", "source_draws", "pass_order", "mixture_batches", "tokenizer_file_ids"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
