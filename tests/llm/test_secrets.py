@@ -64,3 +64,66 @@ def test_random_strings_of_every_alphabet_are_found(letters, before):
 @pytest.mark.parametrize("run", ["how-to-install-python3-on-windows10-in-2024", "/usr/lib/python3/dist-packages/utf8", "CHAPTER_12_OF_THE_SECOND_VOLUME_1999", "Users/john/projects/my-app-2/src", "page=12/sort=ascending/limit=100", "12345678901234567890123"])
 def test_words_and_numbers_are_left_out(run):
     assert not secrets.entropy_spans(f"see {run} there", ALLOW)
+
+
+def plain_entropy_spans(text):
+    """Every window of every candidate by the definitions, one by one."""
+    from math import log2
+
+    rules = [(r"(?=.*[0-9])(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)", 3.0), (r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).+", 3.7), (r"(?=.*[0-9])(?=.*[a-z])[^A-Z]+", 3.4), (r"(?=.*[0-9])(?=.*[A-Z])[^a-z]+", 3.3)]
+    marked = set()
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        if len(m[0]) < 20 or any(re.fullmatch(x, m[0]) for x in secrets.ALLOWED):
+            continue
+        for i in range(len(m[0]) - 19):
+            w = m[0][i : i + 20]
+            entropy = -sum(w.count(c) / 20 * log2(w.count(c) / 20) for c in set(w))
+            least = next((t for p, t in rules if re.fullmatch(p, w)), None)
+            if least is not None and entropy >= least - 1e-12:
+                marked.update(range(m.start() + i, m.start() + i + 20))
+                marked.add((m.start() + i, m.start() + i + 20))
+    whole = sorted(x for x in marked if isinstance(x, tuple))
+    out = []
+    for a, b in whole:
+        if out and out[-1][1] >= a:
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+    return [tuple(x) for x in out]
+
+
+def random_text(seed):
+    rnd = random.Random(seed)
+    alphabets = [DIGITS + LOWER, DIGITS + UPPER, DIGITS + "abcdef", DIGITS + LOWER + UPPER + "+/_=-", LOWER, "ab1", DIGITS, "aB3-"]
+    words = ["plain", "words", "é漢", "token=", "AKIA", "path/to/some-file_2", "password: "]
+    return "".join(rnd.choice(words) + rnd.choice([" ", "\n", ""]) if rnd.random() < 0.4 else "".join(rnd.choices(rnd.choice(alphabets), k=rnd.randint(1, 60))) + rnd.choice([" ", ".", "\n"]) for _ in range(40))
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_entropy_spans_against_brute_force(seed):
+    text = random_text(seed)
+    assert secrets.entropy_spans(text, ALLOW) == plain_entropy_spans(text)
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    import hashlib
+
+    from lodeworks.llm.queries import QUERIES
+
+    texts = [*helpers.TEXTS[:11], *MORE, *map(random_text, range(100, 130)), "a1" * 50_000, "k-" * 50_000, "Zz9+" * 2000]
+    spark.createDataFrame(list(enumerate(texts)) + [(None, texts[8]), (3, texts[8])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op6_secret_scan"](spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) + 2
+    order = ["assign", "access", "hex", "entropy"]
+    some = 0
+    for r in got:
+        text = (texts[8] if r["doc_id"] is None else texts[r["doc_id"]]) or ""
+        if r["doc_id"] == 3:
+            continue
+        base = [(k, *m.span()) for k, p, ok in PLAIN for m in p.finditer(text) if ok(m)]
+        more = [("entropy", a, b) for a, b in plain_entropy_spans(text) if not any(s <= a and b <= e for _, s, e in base)]
+        said = [",".join(":".join(map(str, s)) for s in sorted(x, key=lambda s: (s[1], order.index(s[0]), s[2]))) for x in (base, base + more)]
+        assert (r["base_sha256"], r["spans"]) == (hashlib.sha256(said[0].encode()).hexdigest(), said[1])
+        assert [r[f"n_{k}"] for k in order[:3]] == [sum(k == b[0] for b in base) for k in order[:3]]
+        some += len(more)
+    assert some > 20

@@ -72,3 +72,20 @@ def test_near_duplicates(spark, table):
 
 def test_no_documents(spark):
     assert simhash.near_duplicates(helpers.empty(spark)).count() == 0
+
+
+def test_unfinished_components_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="unfinished"):
+        connected_components(path, rounds=1)
+    assert {r["component"] for r in connected_components(path).collect()} == {0}
+    stars = spark.createDataFrame([(9, 1), (1, 8), (5, 5), (4, None), (7, 6)], "a long, b long")
+    assert {tuple(r) for r in connected_components(stars, rounds=0).collect()} == {(9, 1), (8, 1), (1, 1), (7, 6), (6, 6)}
+    assert connected_components(stars.filter("false"), rounds=0).count() == 0
+
+
+def test_ids_of_any_type_and_very_long_texts(spark):
+    words = " ".join(f"w{i}" for i in range(150_000))
+    rows = [("b", words), ("a", words), (None, words), ("c", "x" * 3_000_000), ("d", "")]
+    got = {(r["doc_id"], r["component"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("b", "a"), ("a", "a"), (None, "a"), ("c", "c"), ("d", "d")}
