@@ -125,8 +125,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow:
     """(id, base, found): arrays of (kind, start, end) of each whole text; null and empty have none.
 
     ``base`` are the patterns' spans alone, ``found`` those and the entropy method's.  ``allow``:
-    whole-string patterns of candidates to suppress; the patterns' spans always stay.  Rows with
-    null or repeated ids are scanned like any other; other columns are ignored.
+    whole-string patterns of candidates to suppress; the patterns' spans always stay.  Spans that start
+    together are in order of kind (assign, access, hex, entropy), then of end.  Rows with null or
+    repeated ids, of any type, and repeated rows are scanned like any other; an empty table gives no
+    rows; other columns are ignored.
     """
     pattern = "|".join(f"(?:{x})" for x in allow) or r"(?!)"
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
