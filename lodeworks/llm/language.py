@@ -33,6 +33,8 @@ _BITS = 21  # of a code point; 0 is the boundary between words
 _TABLE_SIZE = 0x250
 #: Letters whose vectors a worker keeps, texts that are multiplied together, n-grams in a slice.
 _KEPT, _TOGETHER, _SLICE = 8_192, 64, 8_192
+#: Code points of a text that are looked at in one go.
+_PART = 1 << 16
 
 
 def _letter(code: int) -> int:
@@ -71,24 +73,37 @@ class Profiler:
         # the place of a letter in the n-gram rolls its vector
         self.placed = [np.roll(self.rows, ORDER - 1 - k, axis=1) for k in range(ORDER)]
 
-    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams (three code points in a number) and their counts; nothing if the text
-        has no letter."""
+    def _letters(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         letters = self.table[np.minimum(codes, _TABLE_SIZE - 1)]
         far = np.flatnonzero(codes >= _TABLE_SIZE)
         if len(far):
             seen, back = np.unique(codes[far], return_inverse=True)
             letters[far] = np.array([_letter(int(c)) for c in seen], np.int64)[back]
-        letters = np.concatenate(([0], letters, [0]))
-        letters = letters[1:][(letters[1:] != 0) | (letters[:-1] != 0)]  # runs of boundaries are one
-        if not letters.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        letters = np.concatenate(([0], letters)) if letters[0] else letters
-        gram = (letters[:-2] << 2 * _BITS) | (letters[1:-1] << _BITS) | letters[2:]
-        gram.sort()
-        first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-        return gram[first], np.diff(np.append(first, len(gram)))
+        return letters
+
+    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams (three code points in a number) and their counts; nothing if the text
+        has no letter.  A text of any length is taken ``_PART`` code points at a time."""
+        parts, held = [], np.zeros(1, np.int64)  # the letters that the next part's n-grams begin with
+        for at in range(0, len(text) + 1, _PART):
+            own = self._letters(text[at : at + _PART])
+            if at + _PART > len(text):
+                own = np.append(own, 0)  # a boundary at the end
+            letters = np.concatenate((held, own))
+            keep = np.ones(len(letters), bool)
+            keep[len(held) :] = (letters[len(held) :] != 0) | (letters[len(held) - 1 : -1] != 0)  # runs of boundaries are one
+            letters = letters[keep]
+            gram = (letters[:-2] << 2 * _BITS) | (letters[1:-1] << _BITS) | letters[2:]
+            gram.sort()
+            first = np.flatnonzero(np.diff(gram, prepend=-1))
+            parts.append((gram[first], np.diff(np.append(first, len(gram)))))
+            held = letters[-2:]
+        if len(parts) == 1:
+            return parts[0]
+        grams, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        union, place = np.unique(grams, return_inverse=True)
+        return union, np.bincount(place, weights=counts).astype(np.int64)
 
     def bound(self, grams: np.ndarray) -> np.ndarray:
         """The bound vectors of distinct n-grams."""

@@ -75,6 +75,16 @@ def test_many_distinct_ngrams_in_slices(monkeypatch):
     assert np.allclose(language.Profiler().unit(texts), want, atol=1e-5)
 
 
+@pytest.mark.parametrize("part", [1, 2, 3, 7])
+def test_texts_in_parts(monkeypatch, part):
+    p = language.Profiler()
+    want = [p.grams(t) for t in ODD]
+    monkeypatch.setattr(language, "_PART", part)
+    for text, (g, n) in zip(ODD, want):
+        a, b = p.grams(text)
+        assert a.tolist() == g.tolist() and b.tolist() == n.tolist(), text
+
+
 def test_query_against_brute_force(spark, tmp_path):
     """The registered query: prototypes and cosines by the definition, over every row."""
     from lodeworks.llm.queries import QUERIES
