@@ -10,6 +10,7 @@ five-word shingles, wherever in the document they are.
 * Documents stream once past the index, inside one generated stage: words, shingle hashes, lookup.
 * A hit keeps the item whose hash it was.  Only documents that hit are read again, and only against
   the shingles of those items, as text: exact shingle containment decides each (document, item) pair.
+  Of their shingles only those that some item has are shuffled.
   A passage that thousands of items share meets the items that hit, not all of them.
 """
 
@@ -90,7 +91,8 @@ def contaminated(
     wanted = written(hits.join(_small(shingles, broadcast_rows), "item"), "wanted")  # the shingles of each pair's item
     again = docs.join(_small(ids, broadcast_rows), "id", "left_semi")
     held = _shingled(again, "id", "text", width).select("key", F.concat_ws(" ", *_parts(width)).alias("shingle"))
-    shared = held.join(_small(wanted, broadcast_rows), ["key", "shingle"]).select("key", "item", "n", "shingle").distinct()
+    held = held.join(_small(shingles.select("shingle").distinct(), broadcast_rows), "shingle", "left_semi").distinct()  # others prove nothing
+    shared = held.join(wanted, ["key", "shingle"])
     counted = shared.groupBy("key", "item", "n").agg(F.count("*").alias("n_shared"))
     share = F.col("n_shared").cast("double") / F.col("n").cast("double")
     return counted.filter(share >= threshold).select(
