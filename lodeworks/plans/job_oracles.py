@@ -56,7 +56,8 @@ JOB_SQL: dict[str, str] = {
     "artifact_examples": f'WITH {_OFFSETS} SELECT example_index, start, start + n_tokens AS "end", id_sum, assistant_tokens AS mask_sum FROM kept',
     "artifact_metadata": f"""WITH {_EXAMPLES} SELECT 'points' AS tokenizer, 2048::BIGINT AS max_length, count(*) AS scanned, count(*) FILTER (status = 'retained') AS retained, count(*) FILTER (status = 'dropped') AS dropped,
       count(*) FILTER (status = 'invalid') AS invalid, coalesce(sum(n_tokens) FILTER (status = 'retained'), 0)::BIGINT AS total_tokens, coalesce(sum(assistant_tokens) FILTER (status = 'retained'), 0)::BIGINT AS assistant_tokens FROM examples""",
-    "blob_texts": "SELECT doc_id, doc_id % 7 <> 0 AND doc_id % 11 <> 0 AS has_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 5 = 0 THEN '' ELSE 'text of content/' || doc_id END AS text FROM documents",
+    "blob_texts": """SELECT doc_id, doc_id % 7 <> 0 AND doc_id % 11 <> 0 AS has_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 5 = 0 THEN '' ELSE 'text of content/' || doc_id END AS text,
+      doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 5 = 0 AS failed FROM documents""",
     "ensured_quotas": """WITH w(source, weight) AS (VALUES ('a', 0.9::DOUBLE), ('b', 0.05::DOUBLE), ('c', 0.05::DOUBLE)), s(n) AS (VALUES (3), (5), (10), (20), (40)),
       base AS (SELECT n, source, weight * n AS raw, floor(weight * n) AS low FROM s, w),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY low - raw, source) AS k, n - sum(low) OVER (PARTITION BY n) AS spare FROM base),

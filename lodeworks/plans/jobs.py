@@ -245,8 +245,8 @@ def _stub_store():
 def blob_texts(spark, sf_dir):
     i = F.col("doc_id")
     ids = q._table(spark, sf_dir, "documents").select("doc_id", F.when(i % 7 == 0, None).when(i % 11 == 0, "").otherwise(i.cast("string")).alias("blob_id"))
-    made = blobs.with_blob_text(ids, "blob_id", _stub_store, 4, 64)
-    return made.select("doc_id", blobs.is_blob_id(F.col("blob_id")).alias("has_id"), "text")
+    made = blobs.with_blob_text(ids, "blob_id", _stub_store, 4, 64, failed="failed")
+    return made.select("doc_id", blobs.is_blob_id(F.col("blob_id")).alias("has_id"), "text", "failed")
 
 
 # --- mixtures: what SQL can say of permuted orders --------------------------------------------------

@@ -22,10 +22,14 @@ def is_blob_id(column):
 
 def fetch_text(get: Callable[[str], bytes], blob_id: str, prefix: str = "content/") -> str:
     """Decompressed text, without undecodable bytes; empty if anything goes wrong."""
+    return _fetched(get, blob_id, prefix) or ""
+
+
+def _fetched(get: Callable[[str], bytes], blob_id: str, prefix: str = "content/") -> str | None:
     try:
         return gzip.decompress(get(prefix + blob_id)).decode("utf-8", errors="ignore")
     except Exception:
-        return ""
+        return None
 
 
 def unsigned_s3(bucket: str, region: str) -> ClientFactory:
@@ -42,8 +46,10 @@ def unsigned_s3(bucket: str, region: str) -> ClientFactory:
     return make
 
 
-def with_blob_text(ids: DataFrame, id_col: str, client: ClientFactory, threads: int = THREADS, batch: int = BATCH, name: str = "text") -> DataFrame:
-    """``ids`` with the text of each blob, row for row; rows without an id get an empty text."""
+def with_blob_text(ids: DataFrame, id_col: str, client: ClientFactory, threads: int = THREADS, batch: int = BATCH, name: str = "text", failed: str | None = None) -> DataFrame:
+    """``ids`` with the text of each blob, row for row; rows without an id, and blobs that cannot be
+    fetched or unpacked, get an empty text.  ``failed``: a column that tells the latter apart, so that
+    they can be counted."""
     if threads <= 0 or batch <= 0:
         raise ValueError("threads and batch must be positive")
 
@@ -53,8 +59,9 @@ def with_blob_text(ids: DataFrame, id_col: str, client: ClientFactory, threads:
             for frame in frames:
                 for a in range(0, len(frame), batch):
                     part = frame.iloc[a : a + batch]
-                    texts = pool.map(lambda i: fetch_text(get, i) if isinstance(i, str) and i else "", part[id_col])
-                    yield part.assign(**{name: list(texts)})
+                    texts = list(pool.map(lambda i: _fetched(get, i) if isinstance(i, str) and i else "", part[id_col]))
+                    more = {failed: [t is None for t in texts]} if failed else {}
+                    yield part.assign(**{name: [t or "" for t in texts]}, **more)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema)
-    return ids.mapInPandas(run, f"{fields}, `{name}` string")
+    return ids.mapInPandas(run, f"{fields}, `{name}` string" + (f", `{failed}` boolean" if failed else ""))
