@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -29,3 +34,35 @@ def observed(df: DataFrame, name: str = "progress", **counts) -> tuple[DataFrame
     """``df`` and an observation of its rows (and ``counts``) as they pass, without another job."""
     watch = Observation(name)
     return df.observe(watch, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in counts.items()]), watch
+
+
+@contextmanager
+def progress(df: DataFrame, every: int, say: Callable[[int], None], pause: float = 0.2) -> Iterator[DataFrame]:
+    """``df`` as it is, while ``say`` is told the rows so far each time that they pass a multiple of
+    ``every``; rows count when their task ends, and once for every time that ``df`` is run."""
+    if every <= 0:
+        raise ValueError("progress is told every so many rows")
+    seen, over = df.sparkSession.sparkContext.accumulator(0), threading.Event()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def watch() -> None:
+        told = 0
+        while True:
+            last = over.wait(pause)
+            if seen.value // every > told:
+                told = seen.value // every
+                say(seen.value)
+            if last:
+                return
+
+    teller = threading.Thread(target=watch, daemon=True)
+    teller.start()
+    try:
+        yield df.mapInArrow(count, df.schema)
+    finally:
+        over.set()
+        teller.join()

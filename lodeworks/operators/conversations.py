@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import casefolded, is_nonblank, stripped
 from ..functions.tokenizers import Tokenizer
-from .ordered import with_prefix_sums
+from .ordered import null_safe_join, with_prefix_sums
 
 # fixed values: role names, and the role that must follow each
 ROLE_NAMES = {"system": "system", "user": "user", "human": "user", "assistant": "assistant", "gpt": "assistant", "bot": "assistant"}
@@ -59,11 +59,12 @@ def first_error(messages: str, end: str = "assistant") -> Column:
     )
 
 
-def assembled(turns: DataFrame, tokenizer: Tokenizer, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", bos: bool = True) -> DataFrame:
-    """(conv, token_ids, loss_mask, roles) of valid conversations' turns.
+def _coded(turns: DataFrame, tokenizer: Tokenizer, conv: str, turn: str, role: str, content: str) -> DataFrame:
+    """(conv, messages): as ``gather`` gives them, with the ids and mask of each turn.
 
     Prefix, content and newline of a turn are encoded apart, so masks fall on their borders.  An
-    assistant's content, newline and end token are targets; nothing else is.
+    assistant's content, newline and end token are targets; nothing else is.  A turn that cannot be
+    encoded has null ids, and its conversation an error.
     """
     if tokenizer.eos_token_id is None:
         raise ValueError("the tokenizer has no end token")
@@ -75,14 +76,25 @@ def assembled(turns: DataFrame, tokenizer: Tokenizer, conv: str = "conv_id", tur
     end = F.when(mine, F.array(F.lit(int(tokenizer.eos_token_id)))).otherwise(F.array().cast("array<int>"))
     made = named.withColumn("_p", prefix).withColumn("_b", F.concat(body, end))
     mask = F.concat(F.array_repeat(F.lit(0), F.size("_p")), F.array_repeat(mine.cast("int"), F.size("_b")))
-    each = F.struct(F.col(turn).alias("t"), F.concat("_p", "_b").alias("ids"), mask.alias("mask"), F.col("_role").alias("role"))
-    got = made.groupBy(conv).agg(F.array_sort(F.collect_list(each)).alias("m"))
+    each = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content"), F.concat("_p", "_b").alias("ids"), mask.alias("mask"), F.col("_role").alias("known"))
+    return made.groupBy(conv).agg(F.array_sort(F.collect_list(each)).alias("messages"))
+
+
+def _joined(field: str, start: list[int]) -> Column:
+    return F.concat(F.array(*map(F.lit, start)).cast("array<int>"), F.flatten(F.transform("messages", lambda x: x[field])))
+
+
+def _tokens(tokenizer: Tokenizer, bos: bool = True) -> tuple[Column, Column]:
+    """(token_ids, loss_mask) of a coded conversation."""
     first = [tokenizer.bos_token_id] if bos and tokenizer.bos_token_id is not None else []
+    return _joined("ids", first), _joined("mask", [0] * len(first))
 
-    def joined(field: str, start: list[int]) -> Column:
-        return F.concat(F.array(*map(F.lit, start)).cast("array<int>"), F.flatten(F.transform("m", lambda x: x[field])))
 
-    return got.select(conv, joined("ids", first).alias("token_ids"), joined("mask", [0] * len(first)).alias("loss_mask"), F.transform("m", lambda x: x["role"]).alias("roles"))
+def assembled(turns: DataFrame, tokenizer: Tokenizer, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", bos: bool = True) -> DataFrame:
+    """(conv, token_ids, loss_mask, roles) of valid conversations' turns."""
+    ids, mask = _tokens(tokenizer, bos)
+    got = _coded(turns, tokenizer, conv, turn, role, content)
+    return got.select(conv, ids.alias("token_ids"), mask.alias("loss_mask"), F.transform("messages", lambda x: x["known"]).alias("roles"))
 
 
 def generation_prompts(turns: DataFrame, tokenizer: Tokenizer, conv: str = "conv_id", **names) -> DataFrame:
@@ -103,12 +115,12 @@ def classify(turns: DataFrame, tokenizer: Tokenizer, max_length: int, conv: str
     """
     if max_length <= 0 or (max_examples is not None and max_examples <= 0):
         raise ValueError("lengths and counts must be positive")
-    held = gather(turns, conv)
     if max_examples is not None:
-        held = held.join(held.select(conv).orderBy(conv).limit(max_examples), conv, "left_semi")
-    judged = held.select(conv, first_error("messages").alias("error"))
-    good = turns.join(judged.filter(F.col("error").isNull()), conv, "left_semi")
-    made = judged.join(assembled(good, tokenizer, conv), conv, "left")
+        turns = null_safe_join(turns, turns.select(conv).distinct().orderBy(conv).limit(max_examples), [conv], "left_semi")
+    # one pass: turns are encoded where they are, and come together once
+    coded = _coded(turns, tokenizer, conv, "turn", "role", "text").withColumn("error", first_error("messages"))
+    ids, mask = (F.when(F.col("error").isNull(), x) for x in _tokens(tokenizer))
+    made = coded.select(conv, "error", ids.alias("token_ids"), mask.alias("loss_mask"))
     status = F.when(F.col("error").isNotNull(), INVALID).when(F.size("token_ids") > max_length, DROPPED).otherwise(RETAINED)
     return made.select(conv, "error", status.alias("status"), "token_ids", "loss_mask", F.size("token_ids").cast("long").alias("n_tokens"), mask_total().cast("long").alias("assistant_tokens"))
 

@@ -104,6 +104,22 @@ def resume_position(unit_counts: DataFrame, steps: int, batch_size: int) -> Data
     return unit_counts.select("source", served.cast("long").alias("served"), F.floor(served / F.col("windows")).cast("long").alias("pass"), (served % F.col("windows")).cast("long").alias("cursor"))
 
 
+def position_at(spark: SparkSession, batch_size: int, weights: dict[str, float], seed: int, step: int, windows_per_pass: DataFrame) -> DataFrame:
+    """Position of each source before any ``step``: served, pass, cursor.
+
+    Whole cycles count in closed form; of the cycle that the step falls in, only the labels before it
+    are looked at (a unit of a few batches, whatever the step).
+    """
+    check_weights(weights)
+    unit = unit_schedule(batch_size, weights)
+    cycle, rest = divmod(step * batch_size, len(unit))
+    labels = list(unit)
+    np.random.default_rng(np.random.SeedSequence([seed, cycle])).shuffle(labels)
+    served = spark.createDataFrame([(s, cycle * unit.count(s) + labels[:rest].count(s)) for s in sorted(weights)], "source string, served long")
+    met = served.join(windows_per_pass.select("source", "windows"), "source")
+    return met.select("source", "served", F.floor(F.col("served") / F.col("windows")).cast("long").alias("pass"), (F.col("served") % F.col("windows")).cast("long").alias("cursor"))
+
+
 def pass_order(passes: DataFrame, seed: int) -> DataFrame:
     """(source, pass, rank, window_index): each pass's permutation of a source's windows.
 

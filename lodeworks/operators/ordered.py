@@ -22,7 +22,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
+    met = left.join(named, on, how)
+    return met if how in ("left_semi", "left_anti") else met.drop(*[f"_r_{k}" for k in keys])
 
 
 def block_column(df: DataFrame, key: str, width: int = BLOCK) -> Column | None:

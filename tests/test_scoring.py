@@ -66,3 +66,12 @@ def test_progress_is_observed(spark):
     df, watch = batches.observed(spark.range(7), odd=F.count_if(F.col("id") % 2 == 1))
     df.collect()
     assert watch.get == {"rows": 7, "odd": 3}
+
+
+def test_progress_is_told_every_so_many_rows(spark):
+    told = []
+    with batches.progress(spark.range(0, 1000, 1, 8), 200, told.append, pause=0.01) as rows:
+        assert rows.count() == 1000
+    assert told == sorted(told) and told[-1] == 1000 and len({n // 200 for n in told}) == len(told)
+    with pytest.raises(ValueError), batches.progress(spark.range(1), 0, told.append):
+        pass

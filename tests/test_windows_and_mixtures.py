@@ -117,3 +117,23 @@ def test_guards(spark):
     with pytest.raises(Exception, match="no full window"):
         mixture.draws(mixture.label_plan(spark, 8, WEIGHTS, 1, 0, 4), spark.createDataFrame([("fineweb", 4)], "source string, windows long")).collect()
     assert [r["source"] for r in mixture.missing_sources(spark, WEIGHTS, spark.createDataFrame([("fineweb",)], "source string")).collect()] == ["cosmopedia", "python"]
+
+
+@pytest.mark.parametrize("step", [0, 1, 3, 7, 29, 120])
+def test_position_at_any_step(spark, step):
+    per_pass = spark.createDataFrame([("cosmopedia", 5), ("fineweb", 40), ("python", 3)], "source string, windows long")
+    served = {r["source"]: r["count"] for r in mixture.label_plan(spark, 8, WEIGHTS, 11, 0, step).groupBy("source").count().collect()}
+    got = {r["source"]: (r["served"], r["pass"], r["cursor"]) for r in mixture.position_at(spark, 8, WEIGHTS, 11, step, per_pass).collect()}
+    assert got == {s: (served.get(s, 0), *divmod(served.get(s, 0), n)) for s, n in (("cosmopedia", 5), ("fineweb", 40), ("python", 3))}
+
+
+def test_hashed_batches_serve_every_window_once_a_pass(spark):
+    counts = {"cosmopedia": 5, "fineweb": 40, "python": 3}
+    got = mixture.batches(spark, table(spark, counts), WEIGHTS, 8, 42, 0, 40, order="hashed").collect()
+    for s, n in counts.items():
+        own = [r["window_index"] for r in sorted((r for r in got if r["source"] == s), key=lambda r: (r["step"], r["slot"]))]
+        for p in range(len(own) // n):
+            assert sorted(own[p * n : p * n + n]) == list(range(n))
+    big = spark.createDataFrame([("a", 0, 1000), ("b", 1, 0)], "source string, pass long, windows long")
+    order = mixture.hashed_order(big, 7, chunk=64).collect()
+    assert sorted(r["rank"] for r in order) == sorted(r["window_index"] for r in order) == list(range(1000))
