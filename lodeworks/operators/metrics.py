@@ -91,3 +91,10 @@ def decays(name: Column, dimensions: Column) -> Column:
 def parameter_count(parameters: DataFrame, elements: str = "elements", trainable: str = "trainable") -> DataFrame:
     n = F.col(elements)
     return parameters.agg(F.sum(n).cast("long").alias("parameters"), F.coalesce(F.sum(F.when(F.col(trainable), n)), F.lit(0)).cast("long").alias("trainable_parameters"))
+
+
+def plain_names(parameters: DataFrame, name: str = "name", prefix: str = "module.") -> DataFrame:
+    """``parameters`` without a prefix that all names have; if only some have it, names stay."""
+    tables = parameters.agg(F.bool_and(F.startswith(F.col(name), F.lit(prefix))).alias("_all"))
+    short = F.when(F.col("_all"), F.substring(F.col(name), F.lit(len(prefix) + 1), F.length(name))).otherwise(F.col(name))
+    return parameters.crossJoin(F.broadcast(tables)).withColumn(name, short).drop("_all")  # one row on the right

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import stable_seed
 from ..functions.text import cut_at_stops
 from ..functions.tokenizers import Tokenizer
 from . import metrics
@@ -79,6 +80,63 @@ def rolling_loglikelihood(requests: DataFrame, key: str, tokenizer: Tokenizer, e
     return requests.select(key).join(sums, key, "left").withColumn("log_likelihood", F.coalesce("log_likelihood", F.lit(0.0)))
 
 
+def chosen(logits: np.ndarray, draws: np.ndarray | None, temperature: float = 1.0, top_k: int | None = None, top_p: float | None = None) -> np.ndarray:
+    """The next token of each row: the best one (the first of equals), or, given a number in [0, 1) for
+    each row, one drawn by probability among those that ``top_k`` (ties kept) and then ``top_p`` leave."""
+    z = np.asarray(logits, np.float64)
+    if draws is None:
+        return z.argmax(axis=1)
+    if temperature <= 0:
+        raise ValueError("a temperature must be positive")
+    z = z / temperature
+    if top_k is not None:
+        least = np.sort(z, axis=1)[:, -min(top_k, z.shape[1])]
+        z = np.where(z < least[:, None], -np.inf, z)
+    order = np.argsort(-z, axis=1, kind="stable")
+    p = np.exp(np.take_along_axis(z, order, axis=1) - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    if top_p is not None and top_p < 1.0:
+        p[np.cumsum(p, axis=1) - p > top_p] = 0.0  # what comes before a token has passed top_p
+        p /= p.sum(axis=1, keepdims=True)
+    at = (np.cumsum(p, axis=1) <= draws[:, None]).sum(axis=1)
+    return np.take_along_axis(order, np.minimum(at, (p > 0).sum(axis=1) - 1)[:, None], axis=1)[:, 0]
+
+
+def generate_tokens(
+    requests: DataFrame, key: str, make: ScorerFactory, limit: int, most: int, end_id: int | None = None, seed: int | None = None, temperature: float = 1.0, top_k: int | None = None, top_p: float | None = None, ids: str = "ids", batch: int = 8
+) -> DataFrame:
+    """(key, token_ids): up to ``most`` new tokens after each row's ``ids``, one after another.
+
+    The model sees the last ``limit`` tokens.  Without a ``seed`` the best token is taken, else one is
+    drawn by a number fixed by seed, key and step.  A row ends with its own end token, so that it does
+    not depend on the rows that happen to be in its batch.
+    """
+    if limit <= 0 or most < 0:
+        raise ValueError("a limit must be positive and a number of tokens not negative")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = make()
+        for frame in frames:
+            for a in range(0, len(frame), batch):
+                part = frame.iloc[a : a + batch]
+                held = [list(map(int, x)) for x in part["ids"]]
+                new: list[list[int]] = [[] for _ in held]
+                names = part[key].tolist()
+                for step in range(most):
+                    live = [i for i, own in enumerate(new) if not own or own[-1] != end_id]
+                    if not live:
+                        break
+                    last = np.stack([np.asarray(z)[-1] for z in scorer.logits([held[i][-limit:] for i in live])])
+                    draws = None if seed is None else np.array([stable_seed(seed, names[i], step) / 2.0**64 for i in live])
+                    for i, t in zip(live, chosen(last, draws, temperature, top_k, top_p).tolist()):
+                        held[i].append(t)
+                        new[i].append(t)
+                yield pd.DataFrame({key: part[key].to_numpy(), "token_ids": new})
+
+    kind = requests.schema[key].dataType.simpleString()
+    return requests.select(key, F.col(ids).alias("ids")).mapInPandas(run, f"`{key}` {kind}, token_ids array<int>")
+
+
 def generate_until(requests: DataFrame, key: str, tokenizer: Tokenizer, end_id: int, limit: int, make: ScorerFactory, stops: list[str], most: int = 256, context: str = "context", batch: int = 8) -> DataFrame:
     """(key, text): greedy continuations without special tokens, cut at the stop strings; an empty
     context is the end token."""

@@ -52,6 +52,12 @@ JOB_SQL: dict[str, str] = {
     "generated_texts": """WITH c AS (SELECT item_id, unicode(right(text, 1)) % 256 AS c FROM benchmark),
       made AS (SELECT item_id, array_to_string(list_transform(list_filter(list_transform(range(1, 7), lambda k: ((c + k) % 256)::INT), lambda x: x NOT IN (1, 2)), lambda x: chr(x)), '') AS t FROM c)
       SELECT item_id, split_part(split_part(t, 'e', 1), '|', 1) AS text FROM made""",
+    "generated_tokens": """WITH c AS (SELECT item_id, unicode(right(text, 1)) % 256 AS c FROM benchmark),
+      made AS (SELECT item_id, list_transform(range(1, 7), lambda k: ((c + k) % 256)::INT) AS t FROM c)
+      SELECT item_id, array_to_string(CASE WHEN list_position(t, 52) > 0 THEN t[1:list_position(t, 52)] ELSE t END, ',') AS tokens FROM made""",
+    "sampled_tokens": """WITH c AS (SELECT item_id, unicode(right(text, 1)) % 256 AS c FROM benchmark)
+      SELECT item_id, array_to_string(list_transform(range(1, 5), lambda k: ((c + k) % 256)::INT), ',') AS tokens FROM c""",
+    "parameter_names": "SELECT p_partkey, p_brand AS name, CASE WHEN p_partkey % 2 = 0 THEN 'module.' ELSE '' END || p_brand AS other FROM part",
     "first_scanned": f"WITH {_EXAMPLES} SELECT conv_id, status, n_tokens, assistant_tokens FROM examples WHERE conv_id IN (SELECT DISTINCT conv_id FROM conversations ORDER BY conv_id LIMIT 40)",
     "artifact_examples": f'WITH {_OFFSETS} SELECT example_index, start, start + n_tokens AS "end", id_sum, assistant_tokens AS mask_sum FROM kept',
     "artifact_metadata": f"""WITH {_EXAMPLES} SELECT 'points' AS tokenizer, 2048::BIGINT AS max_length, count(*) AS scanned, count(*) FILTER (status = 'retained') AS retained, count(*) FILTER (status = 'dropped') AS dropped,

@@ -15,7 +15,7 @@ from .. import pipelines
 from ..functions.hashing import md5_share
 from ..functions.text import is_nonblank, shown_reply
 from ..functions.tokenizers import FileTokenizer, decoded
-from ..operators import batches, decoding, mixture, scoring, windows
+from ..operators import batches, decoding, metrics, mixture, scoring, windows
 from ..operators import conversations as chat
 from ..session import shared_dir
 from ..sources import artifacts, blobs
@@ -200,6 +200,29 @@ def generated_texts(spark, sf_dir):
     return scoring.generate_until(prompts, "item_id", POINTS, 2, 4096, NextPoint, ["e", "|"], 6)
 
 
+@query
+def generated_tokens(spark, sf_dir):
+    """Six new tokens after each item by the best next one, or until a line's end."""
+    made = scoring.generate_tokens(q._requests(spark, sf_dir), "item_id", NextPoint, 64, 6, end_id=52)
+    return made.select("item_id", F.array_join(F.transform("token_ids", lambda t: t.cast("string")), ",").alias("tokens"))
+
+
+@query
+def sampled_tokens(spark, sf_dir):
+    """Drawn tokens; the two best of the model are one and the ties of all others, so top-p keeps the one."""
+    made = scoring.generate_tokens(q._requests(spark, sf_dir), "item_id", NextPoint, 64, 4, seed=SEED, temperature=0.1, top_k=2, top_p=0.5)
+    return made.select("item_id", F.array_join(F.transform("token_ids", lambda t: t.cast("string")), ",").alias("tokens"))
+
+
+@query
+def parameter_names(spark, sf_dir):
+    """Names with a prefix that all have, and names that only some have it of."""
+    parts = q._table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    all_have = metrics.plain_names(parts.withColumn("name", F.concat(F.lit("module."), "p_brand")))
+    some_have = metrics.plain_names(parts.withColumn("other", F.concat(F.when(F.col("p_partkey") % 2 == 0, "module.").otherwise(""), "p_brand")), "other")
+    return all_have.select("p_partkey", "name").join(some_have.select("p_partkey", "other"), "p_partkey")
+
+
 # --- examples and artifacts -----------------------------------------------------------------------
 
 

@@ -75,3 +75,27 @@ def test_progress_is_told_every_so_many_rows(spark):
     assert told == sorted(told) and told[-1] == 1000 and len({n // 200 for n in told}) == len(told)
     with pytest.raises(ValueError), batches.progress(spark.range(1), 0, told.append):
         pass
+
+
+def test_choices_among_what_the_filters_leave():
+    z = np.log(np.array([[0.5, 0.25, 0.15, 0.1]]))
+
+    def seen(**how):
+        return [int(scoring.chosen(z, np.array([x]), **how)[0]) for x in np.linspace(0, 0.999, 200)]
+
+    assert scoring.chosen(z, None).tolist() == [0] and scoring.chosen(np.zeros((1, 4)), None).tolist() == [0]
+    assert [seen().count(t) / 200 for t in range(4)] == pytest.approx([0.5, 0.25, 0.15, 0.1], abs=0.02)
+    assert set(seen(top_k=2)) == {0, 1} and set(seen(top_p=0.4)) == {0} and set(seen(top_p=0.5)) == {0, 1} and set(seen(top_p=1.0)) == {0, 1, 2, 3}
+    tied = np.zeros((1, 4))
+    assert {int(scoring.chosen(tied, np.array([x]), top_k=1)[0]) for x in np.linspace(0, 0.999, 50)} == {0, 1, 2, 3}  # ties are kept
+    assert seen(temperature=0.05).count(0) == 200
+    with pytest.raises(ValueError):
+        scoring.chosen(z, np.array([0.1]), temperature=0)
+
+
+def test_generated_tokens_end_with_a_rows_own_end_and_do_not_depend_on_batches(spark):
+    df = spark.createDataFrame([(i, [5, i]) for i in range(20)], "k long, ids array<int>")
+    got = {r["k"]: r["token_ids"] for r in scoring.generate_tokens(df.repartition(3), "k", NextLetter, 4, 5, end_id=9).collect()}
+    assert got[7] == [8, 9] and got[1] == [2, 3, 4, 5, 6] and got[9] == [10, 11, 12, 13, 14]
+    one, other = ({r["k"]: tuple(r["token_ids"]) for r in scoring.generate_tokens(df.repartition(n), "k", NextLetter, 4, 5, seed=3, batch=b).collect()} for n, b in ((1, 20), (7, 2)))
+    assert one == other and len(set(one.values())) > 10
