@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions.hashing import stable_seed
 from lodeworks.operators import mixture, windows
 
-WEIGHTS = {"cosmopedia": 0.15, "fineweb": 0.75, "python": 0.10}
+WEIGHTS = {"books": 0.15, "news": 0.75, "scripts": 0.10}
 
 
 def pieces(spark, sizes, cut=7):
@@ -87,7 +87,7 @@ def plain(counts, batch, seed, first, end):
 
 
 def test_batches_equal_a_plain_stream_and_resume(spark):
-    counts = {"cosmopedia": 5, "fineweb": 40, "python": 3}
+    counts = {"books": 5, "news": 40, "scripts": 3}
     w = table(spark, counts)
     got = lambda a, b: sorted(tuple(r)[:4] for r in mixture.batches(spark, w, WEIGHTS, 8, 42, a, b).collect())
     want = plain(counts, 8, 42, 0, 25)
@@ -115,20 +115,20 @@ def test_guards(spark):
     with pytest.raises(ValueError):
         mixture.label_plan(spark, 0, WEIGHTS, 1, 0, 1)
     with pytest.raises(Exception, match="no full window"):
-        mixture.draws(mixture.label_plan(spark, 8, WEIGHTS, 1, 0, 4), spark.createDataFrame([("fineweb", 4)], "source string, windows long")).collect()
-    assert [r["source"] for r in mixture.missing_sources(spark, WEIGHTS, spark.createDataFrame([("fineweb",)], "source string")).collect()] == ["cosmopedia", "python"]
+        mixture.draws(mixture.label_plan(spark, 8, WEIGHTS, 1, 0, 4), spark.createDataFrame([("news", 4)], "source string, windows long")).collect()
+    assert [r["source"] for r in mixture.missing_sources(spark, WEIGHTS, spark.createDataFrame([("news",)], "source string")).collect()] == ["books", "scripts"]
 
 
 @pytest.mark.parametrize("step", [0, 1, 3, 7, 29, 120])
 def test_position_at_any_step(spark, step):
-    per_pass = spark.createDataFrame([("cosmopedia", 5), ("fineweb", 40), ("python", 3)], "source string, windows long")
+    per_pass = spark.createDataFrame([("books", 5), ("news", 40), ("scripts", 3)], "source string, windows long")
     served = {r["source"]: r["count"] for r in mixture.label_plan(spark, 8, WEIGHTS, 11, 0, step).groupBy("source").count().collect()}
     got = {r["source"]: (r["served"], r["pass"], r["cursor"]) for r in mixture.position_at(spark, 8, WEIGHTS, 11, step, per_pass).collect()}
-    assert got == {s: (served.get(s, 0), *divmod(served.get(s, 0), n)) for s, n in (("cosmopedia", 5), ("fineweb", 40), ("python", 3))}
+    assert got == {s: (served.get(s, 0), *divmod(served.get(s, 0), n)) for s, n in (("books", 5), ("news", 40), ("scripts", 3))}
 
 
 def test_hashed_batches_serve_every_window_once_a_pass(spark):
-    counts = {"cosmopedia": 5, "fineweb": 40, "python": 3}
+    counts = {"books": 5, "news": 40, "scripts": 3}
     got = mixture.batches(spark, table(spark, counts), WEIGHTS, 8, 42, 0, 40, order="hashed").collect()
     for s, n in counts.items():
         own = [r["window_index"] for r in sorted((r for r in got if r["source"] == s), key=lambda r: (r["step"], r["slot"]))]
