@@ -113,11 +113,25 @@ def _ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def outside(spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Those of ``spans`` (ascending) that lie inside no span of ``base``: one sweep over both, so a
+    long text with many of each takes no pairs."""
+    held = sorted((s, e) for _, s, e in base)
+    out, at, reach = [], 0, -1
+    for a, b in spans:
+        while at < len(held) and held[at][0] <= a:
+            reach = max(reach, held[at][1])
+            at += 1
+        if reach < b:
+            out.append((a, b))
+    return out
+
+
 def find_secrets(text: str | None, allowed: re.Pattern) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans): kind, start, end in code points, end exclusive, in order of start."""
     text = text or ""
     base = base_spans(text)
-    more = [("entropy", a, b) for a, b in entropy_spans(text, allowed) if not any(s <= a and b <= e for _, s, e in base)]
+    more = [("entropy", a, b) for a, b in outside(entropy_spans(text, allowed), base)]
     return _ordered(base), _ordered(base + more)
 
 

@@ -127,3 +127,20 @@ def test_query_against_brute_force(spark, tmp_path):
         assert [r[f"n_{k}"] for k in order[:3]] == [sum(k == b[0] for b in base) for k in order[:3]]
         some += len(more)
     assert some > 20
+
+
+def test_containment_is_a_sweep():
+    rng = random.Random(5)
+    for _ in range(300):
+        base = [(rng.choice(secrets.KINDS[:3]), a, a + rng.randrange(1, 30)) for a in (rng.randrange(120) for _ in range(rng.randrange(8)))]
+        spans, at = [], 0
+        while at < 120:
+            at += rng.randrange(1, 20)
+            spans.append((at, at := at + rng.randrange(1, 20)))
+        assert secrets.outside(spans, base) == [(a, b) for a, b in spans if not any(s <= a and b <= e for _, s, e in base)]
+
+
+def test_many_spans_in_one_text():
+    n = 200_000  # pairs of these would take hours
+    base = [("hex", 70 * i, 70 * i + 64) for i in range(n)]
+    assert secrets.outside([(a, b) for _, a, b in base] + [(70 * n, 70 * n + 40)], base) == [(70 * n, 70 * n + 40)]
