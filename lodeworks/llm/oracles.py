@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, divergence
+from . import decontam, divergence, search
 
 LINES = r"""
 WITH lines AS (SELECT doc_id, u.i, string_split(coalesce(text, ''), chr(10))[u.i] AS line FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(i)),
@@ -41,4 +41,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": LINES,
     "op9_substring_dedup": SUBSTRINGS,
     "op12_source_divergence": divergence.ORACLE_SQL,
+    "op13_ranked_search": search.ORACLE_SQL,
 }
