@@ -98,6 +98,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, prototypes, keep=["doc_id", "held_out"]).drop("lead")
 
 
+def op11_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .windowpack import pack_windows
+
+    return pack_windows(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import audit
 
@@ -121,6 +127,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
+    "op11_window_packing": op11_window_packing,
     "op12_source_divergence": op12_source_divergence,
     "op13_ranked_search": op13_ranked_search,
 }

@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_every_operator_has_a_query():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)] + ["op12", "op13"] and set(ORACLE_SQL) <= set(QUERIES)
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 14)] and set(ORACLE_SQL) <= set(QUERIES)
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
