@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,9 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .ordered import BLOCK, block_column, null_safe_join
+from ..session import stored
+from .ordered import BLOCK, block_column, null_safe_join, with_prefix_sums
 
 AFTER, BEFORE = "after", "before"
+#: Documents of a stretch, about: a task holds two numbers for each.  Jumps that are joined to one.
+STRETCH, _FAN = 4_000_000, 64
 
 
 def _cut_from(total: np.ndarray, start, cap: int, rule: str):
@@ -59,51 +61,70 @@ def _walk(lengths: np.ndarray, cap: int, rule: str, held: int) -> tuple[np.ndarr
 
 
 @dataclass
-class Transfer:
-    """What a run of documents does to the open shard: tokens held on entry give the cuts made and the
-    tokens held on exit.  Where the first cut falls decides the rest, so a few edges say it all: edge k
-    is the largest running total at which a first cut has outcome k."""
-
-    edges: list[int]
-    cuts: list[int]
-    held: list[int]
-    total: int
-    fresh_cuts: int
-    fresh_held: int
+class Jump:
+    """What a stretch of documents does to the shard that is open when it begins.
+
+    The open shard is known by its target: the running total at which the next one may begin, i.e. that
+    of its first document and the cap.  A target up to ``edges[k]`` (and beyond the edge before) makes
+    ``starts[k]`` shards begin here and leaves ``targets[k]``; one beyond all edges passes through.  Only
+    documents at which the first of these shards can begin have an edge, a cap's worth of tokens however
+    long the stretch, and those that lead to the same last shard share one.
+    """
+
+    edges: np.ndarray
+    targets: np.ndarray
+    starts: np.ndarray
 
     @classmethod
-    def of(cls, lengths: np.ndarray, cap: int, rule: str) -> Transfer:
-        m = len(lengths)
-        total = np.concatenate(([0], np.cumsum(lengths)))
-        following = np.minimum(_cut_from(total, np.arange(m), cap, rule), m + 1).tolist()
-        ends = total.tolist()
-        cuts, held = [0] * (m + 1), [0] * (m + 1)  # of a shard that begins at each document; at m: closed
-        for i in range(m - 1, -1, -1):
-            j = following[i]
-            if j < m or (j == m and rule == AFTER):
-                cuts[i], held[i] = 1 + cuts[j], held[j]
-            else:
-                cuts[i], held[i] = 0, ends[m] - ends[i]
-        out = cls([], [], [], ends[m], cuts[0] if m else 0, held[0] if m else 0)
-        for p in range(1, m + 1):
-            first = p if rule == AFTER else p - 1  # the first cut, found by the running total at p
-            made = 1 + cuts[first], held[first]
-            if out.edges and (out.cuts[-1], out.held[-1]) == made:
-                out.edges[-1] = ends[p]
-            else:
-                out.edges.append(ends[p])
-                out.cuts.append(made[0])
-                out.held.append(made[1])
-            if ends[p] >= cap:  # no entry finds a later one
-                break
-        return out
-
-    def apply(self, held: int, cap: int, rule: str) -> tuple[int, int]:
-        """(cuts, held on exit)."""
-        if rule == BEFORE and not held:
-            return self.fresh_cuts, self.fresh_held
-        k = (bisect_left if rule == AFTER else bisect_right)(self.edges, cap - held)
-        return (self.cuts[k], self.held[k]) if k < len(self.edges) else (0, held + self.total)
+    def of(cls, before: np.ndarray, lengths: np.ndarray, begin: int, cap: int, rule: str) -> Jump:
+        """``before``: running totals of documents whose stretch is from ``begin`` on, ascending."""
+        after = before + lengths
+        key, side = _entry(before, after, rule)
+        first = np.arange(min(len(key), int(np.searchsorted(key, begin + cap, side)) + 1))
+        at, starts, moving = first.copy(), np.ones(len(first), np.int64), first
+        while len(moving):  # all entries at once, a shard at a time
+            following = _next_start(before, after, at[moving], cap, rule)
+            moving, following = moving[following < len(key)], following[following < len(key)]
+            at[moving] = following
+            starts[moving] += 1
+        return cls(key[first], before[at] + cap, starts).joined()
+
+    def joined(self) -> Jump:
+        last = np.append((self.targets[1:] != self.targets[:-1]) | (self.starts[1:] != self.starts[:-1]), True)[: len(self.edges)]
+        return Jump(self.edges[last], self.targets[last], self.starts[last])
+
+    def apply(self, target: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+        """(targets, starts) behind the stretch."""
+        k = np.searchsorted(self.edges, target, _SIDE[rule])
+        inside = np.minimum(k, len(self.edges) - 1)
+        here = k < len(self.edges)
+        return np.where(here, self.targets[inside], target), np.where(here, self.starts[inside], 0)
+
+    def then(self, rest: Jump, until: int, rule: str) -> Jump:
+        """This stretch and the next: twice as far, no more edges.  ``until``: no target is beyond it."""
+        targets, more = rest.apply(self.targets, rule)
+        passing = rest.edges > self.edges[-1]  # of targets that pass through this stretch
+        passing &= np.concatenate(([True], rest.edges[:-1] < until))
+        return Jump(np.concatenate((self.edges, rest.edges[passing])), np.concatenate((targets, rest.targets[passing])), np.concatenate((self.starts + more, rest.starts[passing]))).joined()
+
+
+#: A shard may begin with the first document whose running total is at least the target (after), or
+#: whose end is beyond it (before).
+_SIDE = {AFTER: "left", BEFORE: "right"}
+#: The target of the first shard.
+_FIRST = {AFTER: 0, BEFORE: -1}
+
+
+def _entry(before: np.ndarray, after: np.ndarray, rule: str) -> tuple[np.ndarray, str]:
+    return (before if rule == AFTER else after), _SIDE[rule]
+
+
+def _next_start(before: np.ndarray, after: np.ndarray, at: np.ndarray, cap: int, rule: str) -> np.ndarray:
+    """Where the shards behind those that begin at ``at`` begin."""
+    key, side = _entry(before, after, rule)
+    found = np.searchsorted(key, before[at] + cap, side)
+    # a shard that may not pass its cap holds something all the same
+    return found if rule == AFTER else np.maximum(found, np.searchsorted(before, before[at], "right"))
 
 
 def _group_edges(batch: pa.RecordBatch, keys: int) -> list[int]:
@@ -115,8 +136,8 @@ def _group_edges(batch: pa.RecordBatch, keys: int) -> list[int]:
     return [0, *(np.flatnonzero(differs) + 1).tolist(), batch.num_rows]
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, np.ndarray]]:
-    """(key, last column) of each group of sorted rows."""
+def _gathered(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(key, rows) of each group of sorted rows."""
     now, held = None, []
     for batch in batches:
         edges = _group_edges(batch, keys)
@@ -125,70 +146,154 @@ def _gathered(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tu
                 continue
             key = tuple(batch.column(i)[a].as_py() for i in range(keys))
             if held and key != now:
-                yield now, np.concatenate(held)
+                yield now, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held = []
             now = key
-            held.append(batch.column(batch.num_columns - 1).to_numpy()[a:b])
+            held.append(batch.slice(a, b - a))
     if held:
-        yield now, np.concatenate(held)
+        yield now, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _entries(slim: DataFrame, cap: int, rule: str, by: list[str], order: str, length: str) -> DataFrame:
-    """(by..., _block, _shard, _held): the open shard on entry to each block.
+_JUMP = "edges array<bigint>, targets array<bigint>, starts array<bigint>"
+
+
+def _kinds(df: DataFrame, names: list[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in names)
+
+
+def _jumps_in(rows: pa.RecordBatch) -> list[Jump]:
+    """The jumps of a batch, by its last three columns."""
+    lists = rows.columns[-3:]
+    cuts = [x.offsets.to_numpy() for x in lists]
+    flat = [x.values.to_numpy(zero_copy_only=False) for x in lists]
+    return [Jump(*(f[c[i] : c[i + 1]] for f, c in zip(flat, cuts))) for i in range(rows.num_rows)]
+
+
+def _jump_row(key: list, jump: Jump, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([*key, jump.edges, jump.targets, jump.starts], schema)], schema=schema)
+
+
+def jumps(summed: DataFrame, cap: int, rule: str, by: list[str], length: str, span: int) -> DataFrame:
+    """(by..., _stretch, edges, targets, starts): the ``Jump`` of every stretch of ``span`` tokens; each is
+    made where its documents' lengths are."""
+    kinds, n = _kinds(summed, [*by, "_stretch"]), len(by) + 1
+    schema = to_arrow_schema(_parse_datatype_string(kinds + _JUMP))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _gathered(batches, n):
+            yield _jump_row(list(key), Jump.of(rows.column(n).to_numpy(), rows.column(n + 1).to_numpy(), key[-1] * span, cap, rule), schema)
+
+    slim = summed.select(*by, "_stretch", "_before", length).repartition(*by, "_stretch").sortWithinPartitions(*by, "_stretch", "_before", length)
+    return slim.mapInArrow(run, kinds + _JUMP)
+
+
+def _lifted(made: DataFrame, cap: int, rule: str, by: list[str], span: int) -> DataFrame:
+    """Jumps over ``_FAN`` stretches at a time."""
+    kinds, n = _kinds(made, [*by, "_stretch"]), len(by) + 1
+    schema = to_arrow_schema(_parse_datatype_string(kinds + _JUMP))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _gathered(batches, n):
+            own, begins = _jumps_in(rows), rows.column(n).to_numpy() * span
+            whole = own[-1]
+            for jump, begin in zip(own[-2::-1], begins[-2::-1]):
+                whole = jump.then(whole, int(begin) + cap, rule)
+            yield _jump_row(list(key), whole, schema)
+
+    group = F.floor(F.col("_stretch") / _FAN).cast("long")
+    dealt = made.select(*by, group.alias("_group"), "_stretch", *("edges", "targets", "starts")).repartition(*by, "_group").sortWithinPartitions(*by, "_group", "_stretch")
+    return dealt.mapInArrow(run, kinds + _JUMP)
 
-    Every block is summed up as a ``Transfer`` on its own; only those are walked through in order.
-    """
-    kinds = "".join(f"`{c}` {slim.schema[c].dataType.simpleString()}, " for c in [*by, "_block"])
-    n, names = len(by) + 1, [*by, "_block"]
 
-    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, lengths in _gathered(batches, n):
-            t = Transfer.of(lengths, cap, rule)
-            row = dict(zip(names, key)) | {"edges": t.edges, "cuts": t.cuts, "held": t.held, "total": t.total, "fresh_cuts": t.fresh_cuts, "fresh_held": t.fresh_held}
-            yield pa.RecordBatch.from_pylist([row], summed)
+def _entries(made: DataFrame, cap: int, rule: str, by: list[str], span: int) -> DataFrame:
+    """(by..., _stretch, _target, _shards): the open shard's target on entry to each stretch, and the shards
+    begun before it.
+
+    Jumps are lifted until a group has few; from there the chain is walked down again, level by level,
+    all stretches of a level in parallel.
+    """
+    most = made.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    names, n = [*by, "_stretch"], len(by)
+    if most > _FAN * _FAN:
+        above = _entries(stored(_lifted(made, cap, rule, by, span), "jumps"), cap, rule, by, span * _FAN).withColumnRenamed("_stretch", "_group")
+        grouped = null_safe_join(made.withColumn("_group", F.floor(F.col("_stretch") / _FAN).cast("long")), above, [*by, "_group"])
+    else:
+        grouped = made.withColumns({"_group": F.lit(0).cast("long"), "_target": F.lit(_FIRST[rule]).cast("long"), "_shards": F.lit(0).cast("long")})
+    kinds = _kinds(made, names) + "_target bigint, _shards bigint"
+    schema = to_arrow_schema(_parse_datatype_string(kinds))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, shard, held = None, 0, 0
+        now, target, shards = None, 0, 0
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                key = tuple(row[c] for c in by)
-                if key != now:
-                    now, shard, held = key, 0, 0
-                out.append({c: row[c] for c in names} | {"_shard": shard, "_held": held})
-                t = Transfer(*(row[c] for c in ("edges", "cuts", "held", "total", "fresh_cuts", "fresh_held")))
-                made, held = t.apply(held, cap, rule)
-                shard += made
-            yield pa.RecordBatch.from_pylist(out, entered)
-
-    longs = "edges array<bigint>, cuts array<bigint>, held array<bigint>, total bigint, fresh_cuts bigint, fresh_held bigint"
-    summed = to_arrow_schema(_parse_datatype_string(kinds + longs))
-    entered = to_arrow_schema(_parse_datatype_string(kinds + "_shard bigint, _held bigint"))
-    sums = slim.select(*names, order, length).repartition(*names).sortWithinPartitions(*names, order).select(*names, length).mapInArrow(sum_up, kinds + longs)
-    dealt = sums.repartition(*by) if by else sums.coalesce(1)
-    return dealt.sortWithinPartitions(*names).mapInArrow(walk, kinds + "_shard long, _held long")
-
-
-def assign_shards(docs: DataFrame, cap: int, rule: str, by: list[str], order: str, length: str = "n_tokens", keep: list[str] | None = None, width: int = BLOCK) -> DataFrame:
-    """(by..., order, keep..., length, shard_index, position): greedy packing of each group's documents
-    in order; position: the tokens before a document in its shard.
-
-    The rule is sequential, but a group is not: its blocks (about ``width`` documents, or a 4096th of
-    the table) say in parallel what they do to the shard that is open when they begin (``Transfer``),
-    those sums are put in a row, and then all blocks are placed in parallel.  Only lengths are moved.
-    Null groups are groups; ``order`` must tell a group's documents apart.
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(n + 4))))
+            for key, jump in zip(keys, _jumps_in(batch)):
+                if key[: n + 1] != now:
+                    now, target, shards = key[: n + 1], key[n + 2], key[n + 3]
+                out.append((*key[:n], key[n + 1], target, shards))
+                a, b = jump.apply(np.array([target]), rule)
+                target, shards = int(a[0]), shards + int(b[0])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema)
+
+    dealt = grouped.select(*by, "_group", "_stretch", "_target", "_shards", "edges", "targets", "starts").repartition(*by, "_group").sortWithinPartitions(*by, "_group", "_stretch")
+    return dealt.mapInArrow(walk, kinds)
+
+
+def assign_shards(
+    docs: DataFrame, cap: int, rule: str, by: list[str], order: str, length: str = "n_tokens", keep: list[str] | None = None, width: int = BLOCK, stretch: int = STRETCH, ties: list[str] | None = None
+) -> DataFrame:
+    """(by..., order, ties..., keep..., length, shard_index, position): greedy packing of each group's
+    documents in order; position: the tokens before a document in its shard.
+
+    The rule is sequential, but a group is not.  Running totals are summed in blocks of about ``width``
+    documents.  Stretches of about ``stretch`` documents (two shards at least) say in parallel where a
+    shard that is open when they begin leads to (``Jump``); only the chain of these jumps is followed, and
+    then all stretches are placed in parallel.  Only lengths are moved.  Null groups are groups; ``order``
+    and ``ties`` must tell a group's documents apart, or alike ones come in any order.
     """
     if cap <= 0:
         raise ValueError("a shard must hold some tokens")
-    keep = keep or []
-    slim = docs.select(*by, order, *keep, F.col(length).cast("long").alias(length))
+    keep, ties = keep or [], ties or []
+    slim = docs.select(*by, order, *ties, *keep, F.col(length).cast("long").alias(length))
+    names = [*by, order, *ties, *keep, length, "shard_index", "position"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema) + ", shard_index long, position long"
     block = block_column(slim, order, width)
-    n = len(by) + 1
     if block is None:
-        keyed = slim.select(*by, F.lit(0).alias("_block"), F.lit(0).cast("long").alias("_shard"), F.lit(0).cast("long").alias("_held"), order, *keep, length)
-    else:
-        marked = slim.withColumn("_block", block)
-        keyed = null_safe_join(marked, _entries(marked, cap, rule, by, order, length), [*by, "_block"]).select(*by, "_block", "_shard", "_held", order, *keep, length)
+        dealt = slim.repartition(*by) if by else slim.coalesce(1)
+        return dealt.sortWithinPartitions(*by, order, *ties).mapInArrow(_place_whole(len(by), cap, rule, names), fields)
+    n, total = slim.agg(F.count("*"), F.sum(length)).first()
+    caps = max(2, stretch * max(1, total) // max(1, n * cap))
+    span = caps * cap
+    summed = with_prefix_sums(slim, {"_before": F.col(length)}, [order, *ties], by, block).withColumn("_stretch", F.call_function("div", F.col("_before"), F.lit(span).cast("long")))
+    summed = stored(summed, "running_totals")
+    entered = _entries(stored(jumps(summed, cap, rule, by, length, span), "jumps"), cap, rule, by, span)
+    met = null_safe_join(summed, entered, [*by, "_stretch"]).select(*by, "_stretch", "_target", "_shards", "_before", order, *ties, *keep, length)
+    k = len(by)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _gathered(batches, k + 1):
+            before, lengths = rows.column(k + 3).to_numpy(), rows.column(rows.num_columns - 1).to_numpy()
+            shard, position = _along(before, lengths, rows.column(k + 1)[0].as_py(), rows.column(k + 2)[0].as_py(), cap, rule)
+            yield pa.RecordBatch.from_arrays([*rows.columns[:k], *rows.columns[k + 4 :], pa.array(shard), pa.array(position)], names)
+
+    return met.repartition(*by, "_stretch").sortWithinPartitions(*by, "_stretch", "_before", length).mapInArrow(place, fields)
+
+
+def _along(before: np.ndarray, lengths: np.ndarray, target: int, shards: int, cap: int, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, position) of a stretch's documents, given the open shard's target and the shards so far."""
+    after = before + lengths
+    key, side = _entry(before, after, rule)
+    new = np.zeros(len(key), bool)
+    at = int(np.searchsorted(key, target, side))
+    while at < len(key):
+        new[at] = True
+        at = int(_next_start(before, after, np.array([at]), cap, rule)[0])
+    last = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+    return shards - 1 + np.cumsum(new), before - np.where(last < 0, target - cap, before[last])
+
+
+def _place_whole(n: int, cap: int, rule: str, names: list[str]):
+    """Places groups that are small enough to be followed row by row."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, shard, held = None, 0, 0
@@ -200,15 +305,11 @@ def assign_shards(docs: DataFrame, cap: int, rule: str, by: list[str], order: st
                     continue
                 key = tuple(batch.column(i)[a].as_py() for i in range(n))
                 if key != now:
-                    now, shard, held = key, batch.column(n)[a].as_py(), batch.column(n + 1)[a].as_py()
-                own = lengths[a:b]
-                out[a:b], at[a:b], shard, held = placed(own, cap, rule, shard, held)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 1], *batch.columns[n + 2 :], pa.array(out), pa.array(at)], names)
-
-    names = [*by, order, *keep, length, "shard_index", "position"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
-    dealt = keyed.repartition(*by, "_block") if by or block is not None else keyed.coalesce(1)
-    return dealt.sortWithinPartitions(*by, "_block", order).mapInArrow(place, f"{fields}, shard_index long, position long")
+                    now, shard, held = key, 0, 0
+                out[a:b], at[a:b], shard, held = placed(lengths[a:b], cap, rule, shard, held)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out), pa.array(at)], names)
+
+    return place
 
 
 def placed(lengths: np.ndarray, cap: int, rule: str, shard: int, held: int) -> tuple[np.ndarray, np.ndarray, int, int]:

@@ -68,26 +68,61 @@ def test_budget_keeps_the_document_that_reaches_it(spark):
         within_budget(df, "n", 0, ["doc_id"], ["source"])
 
 
+def stretches(lengths, span):
+    """(number, totals before, lengths) of the stretches that hold a document."""
+    before = np.concatenate(([0], np.cumsum(lengths)))[:-1].astype(np.int64)
+    return [(int(k), before[before // span == k], np.array(lengths)[before // span == k]) for k in np.unique(before // span)]
+
+
 @pytest.mark.parametrize("rule", [shards.AFTER, shards.BEFORE])
 @pytest.mark.parametrize("seed", range(60))
-def test_transfers_put_in_a_row_give_the_greedy_walk(rule, seed):
+def test_jumps_put_in_a_row_give_the_greedy_walk(rule, seed):
     rnd = random.Random(seed)
-    lengths, cap = [rnd.choice([0, *range(1, 9), 25]) for _ in range(rnd.randint(1, 60))], rnd.randint(1, 30)
-    cuts = sorted({0, len(lengths), *(rnd.randint(0, len(lengths)) for _ in range(4))})
-    out, at, shard, held = [], [], 0, 0
-    for a, b in zip(cuts, cuts[1:]):
-        own = np.array(lengths[a:b])
-        made, after = shards.Transfer.of(own, cap, rule).apply(held, cap, rule)
-        got, positions, next_shard, left = shards.placed(own, cap, rule, shard, held)
+    lengths, cap = [rnd.choice([0, *range(1, 9), 25, 90]) for _ in range(rnd.randint(1, 80))], rnd.randint(1, 30)
+    span = cap * rnd.randint(2, 4)
+    out, at, target, begun = [], [], shards._FIRST[rule], 0
+    for k, before, own in stretches(lengths, span):
+        got, positions = shards._along(before, own, target, begun, cap, rule)
         out += got.tolist()
         at += positions.tolist()
-        assert (shard + made, after) == (next_shard, left)
-        shard, held = next_shard, left
+        jump = shards.Jump.of(before, own, k * span, cap, rule)
+        assert len(jump.edges) <= (before < k * span + cap).sum() + 1 or rule == shards.BEFORE
+        target, more = (int(x[0]) for x in jump.apply(np.array([target]), rule))
+        begun += more
     assert out == greedy(lengths, cap, rule)
     for i, s in enumerate(out):
         assert at[i] == sum(n for n, x in zip(lengths[:i], out) if x == s)
 
 
+@pytest.mark.parametrize("rule", [shards.AFTER, shards.BEFORE])
+@pytest.mark.parametrize("seed", range(40))
+def test_a_lifted_jump_does_what_its_parts_do(rule, seed):
+    rnd = random.Random(seed)
+    lengths, cap = [rnd.choice([0, 1, 2, 5, 60]) for _ in range(rnd.randint(20, 90))], rnd.randint(2, 20)
+    span = 2 * cap
+    parts = [(k * span, shards.Jump.of(before, own, k * span, cap, rule)) for k, before, own in stretches(lengths, span)]
+    whole = parts[-1][1]
+    for begin, jump in parts[-2::-1]:
+        whole = jump.then(whole, begin + cap, rule)
+    for target in range(-1, cap):  # those that the open shard before can have
+        want, begun = np.array([target]), 0
+        for _, jump in parts:
+            want, more = jump.apply(want, rule)
+            begun += int(more[0])
+        got, n = whole.apply(np.array([target]), rule)
+        assert (int(got[0]), int(n[0])) == (int(want[0]), begun)
+
+
+@pytest.mark.parametrize("rule", [shards.AFTER, shards.BEFORE])
+def test_jumps_are_small_at_the_default_cap(rule):
+    """Four million documents of 665 tokens: far fewer numbers than documents."""
+    rng = np.random.default_rng(2)
+    lengths = np.minimum(rng.pareto(1.5, 4_000_000) * 330 + 2, 200_000).astype(np.int64)
+    before = np.cumsum(lengths) - lengths
+    jump = shards.Jump.of(before, lengths, 0, 100_000_000, rule)
+    assert 3 * 8 * len(jump.edges) * 100_000 / len(lengths) < 25_000  # bytes for 100,000 documents; lengths alone: 800,000
+
+
 @pytest.mark.parametrize("width", [7, 1000])
 @pytest.mark.parametrize("rule", [shards.AFTER, shards.BEFORE])
 def test_packing_in_blocks_of_sparse_and_text_keys(spark, rule, width):
@@ -98,10 +133,10 @@ def test_packing_in_blocks_of_sparse_and_text_keys(spark, rule, width):
         own = sorted((k, n) for k, x, n in rows if x == s)
         want |= dict(zip((k for k, _ in own), greedy([n for _, n in own], 33, rule)))
     df = spark.createDataFrame(rows, "k long, source string, n_tokens long")
-    got = shards.assign_shards(df.repartition(5), 33, rule, ["source"], "k", width=width).collect()
+    got = shards.assign_shards(df.repartition(5), 33, rule, ["source"], "k", width=width, stretch=width).collect()
     assert {r["k"]: r["shard_index"] for r in got} == want
     text = df.withColumn("k", F.lpad(F.col("k").cast("string"), 16, "0"))
-    got = shards.assign_shards(text, 33, rule, ["source"], "k", keep=["n_tokens"][:0], width=width).collect()
+    got = shards.assign_shards(text, 33, rule, ["source"], "k", width=width, stretch=width).collect()
     assert {int(r["k"]): r["shard_index"] for r in got} == want
 
 
@@ -132,3 +167,22 @@ def test_gaps_are_ranges(spark):
     assert got == {("a", 1, 1), ("a", 3, 4), ("a", 6, 10**9 - 1), (None, 2, 2)}
     report = {r["source"]: r["error"] for r in shards.source_report(df.withColumn("tokens", F.lit(1)).withColumn("eos_tokens", F.lit(1))).collect()}
     assert report == {"a": "missing shard indices 1, 3, 4, 6-999999999", "b": None, None: "missing shard indices 2"}
+
+
+@pytest.mark.parametrize("rule", [shards.AFTER, shards.BEFORE])
+def test_lifted_levels_and_equal_keys(spark, rule, monkeypatch):
+    """Chains over several levels of jumps; documents alike in their key are told apart by another."""
+    monkeypatch.setattr(shards, "_FAN", 3)
+    rnd = random.Random(11)
+    rows = [(i // 3, i, "hot" if rnd.random() < 0.8 else None, rnd.choice([0, 1, 2, 3, 70])) for i in range(500)]
+    want = {}
+    for s in ("hot", None):
+        own = [(i, n) for _, i, x, n in rows if x == s]
+        want |= dict(zip((i for i, _ in own), greedy([n for _, n in own], 10, rule)))
+    df = spark.createDataFrame(rows, "k long, i long, source string, n_tokens long")
+    got = shards.assign_shards(df.repartition(3), 10, rule, ["source"], "k", width=9, stretch=5, ties=["i"]).collect()
+    assert {r["i"]: r["shard_index"] for r in got} == want
+    held = {}
+    for r in sorted(got, key=lambda r: r["i"]):
+        assert r["position"] == held.get((r["source"], r["shard_index"]), 0)
+        held[r["source"], r["shard_index"]] = r["position"] + r["n_tokens"]
