@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_seed
 from .ordered import with_index
+from .permutation import place_of
 
 #: Ranges of the hash in which the windows of a pass are ranked.
 HASH_BLOCKS = 1024
@@ -161,17 +162,26 @@ def batches(
     ``windows``: source, window_index (0-based over the source's shards) and tokens; ``per_pass``:
     source and windows, where they are known already (``windows.window_counts``).  ``order``: permuted
     is a seeded permutation, which one worker makes for a whole pass (eight bytes a window); hashed, for
-    sources too large for that, has two levels.
+    sources too large for that, has two levels; keyed computes each window from its rank, so no pass is
+    listed at all and only the rows of the steps asked for are planned (``permutation``).
     """
-    if order not in ("permuted", "hashed"):
-        raise ValueError(f"an order is permuted or hashed, not {order!r}")
+    if order not in ("permuted", "hashed", "keyed"):
+        raise ValueError(f"an order is permuted, hashed or keyed, not {order!r}")
     per_pass = windows.groupBy("source").agg(F.count("*").alias("windows")) if per_pass is None else per_pass.select("source", "windows")
     plan = draws(label_plan(spark, batch_size, weights, seed, first, end), per_pass)
+    if order == "keyed":
+        return keyed_draws(plan, per_pass, seed).join(windows, ["source", "window_index"]).select("step", "slot", "source", "window_index", "tokens")
     passes = plan.select("source", "pass").distinct().join(F.broadcast(per_pass), "source")
     placed = plan.join((pass_order if order == "permuted" else hashed_order)(passes, seed), ["source", "pass", "rank"])
     return placed.join(windows, ["source", "window_index"]).select("step", "slot", "source", "window_index", "tokens")
 
 
+def keyed_draws(plan: DataFrame, per_pass: DataFrame, seed: int) -> DataFrame:
+    """Drawn ranks (``draws``) with the window that each is in its pass's keyed permutation."""
+    met = plan.join(per_pass.select("source", F.col("windows").alias("_n")), "source")  # a row for each source
+    return met.withColumn("window_index", place_of(F.col("rank"), F.col("_n"), F.lit(str(seed)), F.col("source"), F.col("pass"))).drop("_n")
+
+
 def missing_sources(spark: SparkSession, weights: dict[str, float], present: DataFrame) -> DataFrame:
     """Weighted sources without shards."""
     return spark.createDataFrame([(s,) for s in sorted(weights)], "source string").join(present.select("source"), "source", "left_anti")

@@ -96,3 +96,28 @@ def within_budget(df: DataFrame, length: str, budget: int, order: list[str], by:
     if budget <= 0:
         raise ValueError("a token budget must be positive")
     return with_prefix_sum(df, F.col(length), "_before", order, by, **how).filter(F.col("_before") < budget).drop("_before")
+
+
+def within_ranges(points: DataFrame, ranges: DataFrame, point: str, first: str, end: str, by: list[str] | None = None) -> DataFrame:
+    """``points`` with the columns of the range (first <= point < end) that holds them; points in none are
+    left out.  Ranges of a group ``by`` must not overlap; empty ones hold nothing.
+
+    Every range is filed under the one or two bins that it meets of a width of its own size, the next power
+    of two, and a point looks into the bin that it is in at each of the widths that there are.  So the
+    join is on equal bins: a bin holds at most three ranges, however uneven they are.
+    """
+    by = by or []
+    size = F.col(end) - F.col(first)
+    level = F.ceil(F.log2(size.cast("double"))).cast("int")
+    filed = ranges.filter(size > 0).withColumn("_level", level)
+    levels = sorted(r[0] for r in filed.select("_level").distinct().collect())  # 63 at most
+    wide = F.expr("shiftleft(1L, _level)")
+    bins = filed.withColumn("_bin", F.explode(F.sequence(F.call_function("div", F.col(first), wide), F.call_function("div", F.col(end) - 1, wide))))
+    named = bins.select(*[F.col(c).alias(f"_g_{c}") for c in by], "_level", "_bin", *[c for c in ranges.columns if c not in by])
+    at = F.array(*[F.struct(F.lit(n).alias("_level"), F.expr(f"shiftright(`{point}`, {n})").cast("long").alias("_bin")) for n in levels])
+    looked = points.withColumn("_at", F.explode(at if levels else F.array().cast("array<struct<_level:int,_bin:bigint>>")))
+    on = (F.col("_at._level") == F.col("_level")) & (F.col("_at._bin") == F.col("_bin"))
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    met = looked.join(named, on).filter((F.col(point) >= F.col(first)) & (F.col(point) < F.col(end)))
+    return met.drop("_at", "_level", "_bin", *[f"_g_{c}" for c in by])

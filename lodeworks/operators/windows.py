@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import within_ranges
+
 
 def window_counts(shards: DataFrame, block_size: int, by: list[str], index: str = "shard_index", tokens: str = "tokens") -> DataFrame:
     """Per shard: its whole windows of ``block_size`` + 1 tokens, and the windows before it in its
@@ -71,3 +73,34 @@ def scoring_windows(requests: DataFrame, ids: str, limit: int) -> DataFrame:
     cut = requests.filter(n >= 2).withColumn("target_start", F.explode(starts))
     end = F.least(F.col("target_start") + (limit - 1), n)
     return cut.withColumn("target_end", end).withColumn("window", F.slice(ids, F.col("target_start"), end - F.col("target_start") + 1))
+
+
+def locate_windows(asked: DataFrame, counts: DataFrame, block_size: int, index: str = "source_window", source: str = "source", shard: str = "shard_index") -> DataFrame:
+    """``asked`` (a source and the number of a window in it) with the shard that holds the window, its
+    window_index there and ``start``, the tokens before it in the shard.
+
+    ``counts``: see ``window_counts``.  A number that is not one of the source's is an error.
+    """
+    ranges = counts.select(source, shard, "first_window", (F.col("first_window") + F.col("windows")).alias("_end"))
+    met = within_ranges(_inside(asked, counts, index, source), ranges, index, "first_window", "_end", [source])
+    at = F.col(index) - F.col("first_window")
+    return met.withColumn("window_index", at).withColumn("start", at * (block_size + 1)).drop("first_window", "_end")
+
+
+def locate_samples(asked: DataFrame, counts: DataFrame, block_size: int, index: str = "sample_index", source: str = "source", shard: str = "shard_index") -> DataFrame:
+    """``asked`` (numbers of samples of the full split) with source_id, source, the shard that holds each,
+    its window_index there and ``start``.  A number that is no sample's is an error."""
+    bounds = source_bounds(counts, source)
+    of = within_ranges(_inside(asked, counts, index, None), bounds, index, "first_sample", "end_sample").drop("end_sample")
+    inner = of.withColumn("_inner", F.col(index) - F.col("first_sample")).drop("first_sample")
+    return locate_windows(inner, counts, block_size, "_inner", source, shard).drop("_inner")
+
+
+def _inside(asked: DataFrame, counts: DataFrame, index: str, source: str | None) -> DataFrame:
+    """``asked``, or an error when it is read if some number is out of bounds."""
+    totals = counts.groupBy(*[source] if source else []).agg(F.coalesce(F.sum("windows"), F.lit(0)).cast("long").alias("_all"))
+    met = asked.join(totals, source, "left") if source else asked.withColumn("_all", F.lit(totals.first()[0]))
+    n = F.coalesce("_all", F.lit(0).cast("long"))
+    told = F.concat(F.lit("no window "), F.col(index), F.lit(" among "), n)
+    checked = F.when((F.col(index) >= 0) & (F.col(index) < n), F.col(index)).otherwise(F.raise_error(told).cast("long"))
+    return met.withColumn(index, checked).drop("_all")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import _BUDGET, _COUNTS, _DOCS, _EXAMPLES, _INDEXED, _LOGITS, _OFFSETS, _SPLIT, ORACLE_SQL, _packed
+from .oracles import _BOUNDS, _BUDGET, _COUNTS, _DOCS, _EXAMPLES, _INDEXED, _LOGITS, _OFFSETS, _SPLIT, ORACLE_SQL, _packed
 
 _AFTER = f"{_DOCS}, {_packed('after', 'docs', ['source'], 'doc_id')}"
 _NUMBER = "CASE WHEN shard_index < 10000 THEN lpad(shard_index::VARCHAR, 4, '0') ELSE shard_index::VARCHAR END"
@@ -25,6 +25,24 @@ def _grouped(n: str, width: int) -> str:
     return f"lpad({head} || {' || '.join(parts)}, {width}, ' ')"
 
 
+_RANGES = f"""{_COUNTS}, {_BOUNDS}, filled AS (SELECT *, first_window AS low FROM counts WHERE windows > 0)"""
+
+
+def _permuted(n: str, key: str, rounds: int = 4) -> str:
+    """One step of the keyed permutation of p in ``ranks`` (x and y over rows and columns of a rectangle)."""
+    made = "SELECT *, p // columns AS x, p % columns AS y FROM here"
+    for r in range(1, rounds + 1):
+        made = f"SELECT * REPLACE ((x + ('0x' || substr(md5({key} || '|{r}|x|' || y), 1, 12))::BIGINT % n_rows) % n_rows AS x) FROM ({made})"
+        made = f"SELECT * REPLACE ((y + ('0x' || substr(md5({key} || '|{r}|y|' || x), 1, 12))::BIGINT % columns) % columns AS y) FROM ({made})"
+    return f"SELECT source, pass, rank, {n}, n_rows, columns, x * columns + y AS p FROM ({made})"
+
+
+_KEYED = f"""WITH RECURSIVE {_COUNTS}, totals AS (SELECT source, sum(windows)::BIGINT AS n, ceil(sqrt(sum(windows)))::BIGINT AS n_rows FROM counts GROUP BY source HAVING sum(windows) > 0),
+ranks AS (SELECT source, u.pass, r.rank, n, n_rows, (n + n_rows - 1) // n_rows AS columns FROM totals, (VALUES (0), (1)) u(pass), unnest(range(n)) AS r(rank)),
+walk AS ({_permuted("n", "'42|' || source || '|' || pass").replace("FROM here", "FROM (SELECT *, rank AS p FROM ranks)")}
+  UNION ALL {_permuted("n", "'42|' || source || '|' || pass").replace("FROM here", "FROM walk WHERE p >= n")})
+SELECT source, pass::BIGINT AS pass, rank, p AS window_index, true AS found_again FROM walk WHERE p < n"""
+
 JOB_SQL: dict[str, str] = {
     "tokenize_job": f"""WITH RECURSIVE {_AFTER} SELECT count(*) AS documents, (SELECT count(*) FROM documents) - count(*) AS skipped, sum(n_tokens)::BIGINT AS total_tokens,
       (SELECT sum(m)::BIGINT FROM (SELECT max(shard_index) + 1 AS m FROM packed GROUP BY source)) AS shards FROM packed""",
@@ -87,4 +105,11 @@ JOB_SQL: dict[str, str] = {
       SELECT vec_id, (i - 1)::INT AS i, round(embedding[i]::DOUBLE / s * (((i - 1) % 3 + 1)::DOUBLE / 2), 6) AS x FROM n, unnest(range(1, len(embedding) + 1)) AS u(i)""",
     "swiglu": f"""WITH {_LOGITS}, n AS (SELECT vec_id, count(*) AS n FROM logits GROUP BY vec_id)
       SELECT a.vec_id, a.token AS i, round(a.logit / (1.0 + exp(-a.logit)) * b.logit, 9) AS x FROM logits a JOIN n USING (vec_id) JOIN logits b ON b.vec_id = a.vec_id AND b.token = n.n - 1 - a.token""",
+    "keyed_pass_order": _KEYED,
+    "keyed_batches": _MIXED,
+    "sample_lookup": f"""WITH {_RANGES}, ask AS (SELECT doc_id, doc_id * 7919 % (SELECT sum(windows)::BIGINT FROM counts) AS sample_index FROM documents),
+        placed AS (SELECT f.source, f.shard_index, b.source_id, (b.first_sample + f.low)::BIGINT AS low FROM filled f JOIN bounds b USING (source))
+      SELECT doc_id, sample_index::BIGINT AS sample_index, source_id, source, shard_index, (sample_index - low)::BIGINT AS window_index, ((sample_index - low) * 65)::BIGINT AS start FROM ask ASOF JOIN placed ON sample_index >= low""",
+    "window_lookup": f"""WITH {_RANGES}, ask AS (SELECT doc_id, b.source, (doc_id * 104729 % b.windows)::BIGINT AS source_window FROM documents d JOIN (SELECT * FROM bounds JOIN totals USING (source)) b ON b.source_id = d.doc_id % 3)
+      SELECT doc_id, a.source, source_window, shard_index, (source_window - low)::BIGINT AS window_index, ((source_window - low) * 65)::BIGINT AS start FROM ask a ASOF JOIN filled f ON a.source = f.source AND source_window >= low""",
 }

@@ -17,6 +17,7 @@ from ..functions.text import is_nonblank, shown_reply
 from ..functions.tokenizers import FileTokenizer, decoded
 from ..operators import batches, decoding, metrics, mixture, scoring, windows
 from ..operators import conversations as chat
+from ..operators.permutation import place_of, rank_of
 from ..session import shared_dir
 from ..sources import artifacts, blobs
 from ..sources.tokenfiles import listing
@@ -324,6 +325,48 @@ def hashed_batches(spark, sf_dir):
     return each.groupBy("source").agg(F.sum("n").alias("served"), F.count("*").alias("windows"), F.min("n").alias("fewest"), F.max("n").alias("most"))
 
 
+@query
+def keyed_pass_order(spark, sf_dir):
+    """Two passes over each source by the keyed permutation, and back."""
+    passes = q._per_pass(spark, sf_dir).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    ranks = passes.filter("windows > 0").withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("windows") - 1)))
+    key = [F.lit(str(SEED)), F.col("source"), F.col("pass")]
+    made = ranks.withColumn("window_index", place_of(F.col("rank"), F.col("windows"), *key))
+    back = rank_of(F.col("window_index"), F.col("windows"), *key) == F.col("rank")
+    return made.select("source", "pass", "rank", "window_index", back.alias("found_again"))
+
+
+@query
+def keyed_batches(spark, sf_dir):
+    """Windows served by the batches of 9000 steps, each computed from its rank."""
+    wins = q._source_windows(spark, sf_dir).select("source", "window_index", F.size("tokens").alias("tokens"))
+    made = mixture.batches(spark, wins, q._role_weights(), 8, SEED, 0, 9000, q._per_pass(spark, sf_dir), "keyed")
+    each = made.groupBy("source", "window_index").agg(F.count("*").alias("n"))
+    return each.groupBy("source").agg(F.sum("n").alias("served"), F.count("*").alias("windows"), F.min("n").alias("fewest"), F.max("n").alias("most"))
+
+
+# --- lookups --------------------------------------------------------------------------------------
+
+
+@query
+def sample_lookup(spark, sf_dir):
+    """A sample of the full split for every document, looked up by its number."""
+    counts = windows.window_counts(q._shard_sizes(spark, sf_dir), BLOCK, ["source"])
+    total = counts.agg(F.sum("windows").alias("_n"))  # one row
+    asked = q._table(spark, sf_dir, "documents").select("doc_id").join(F.broadcast(total)).select("doc_id", (F.col("doc_id") * 7919 % F.col("_n")).alias("sample_index"))
+    return windows.locate_samples(asked, counts, BLOCK).select("doc_id", "sample_index", "source_id", "source", "shard_index", "window_index", "start")
+
+
+@query
+def window_lookup(spark, sf_dir):
+    """A window of one of the sources for every document."""
+    counts = windows.window_counts(q._shard_sizes(spark, sf_dir), BLOCK, ["source"])
+    bounds = windows.source_bounds(counts).select("source_id", "source", (F.col("end_sample") - F.col("first_sample")).alias("windows"))
+    docs = q._table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3).alias("source_id"))
+    asked = docs.join(bounds, "source_id").select("doc_id", "source", (F.col("doc_id") * 104_729 % F.col("windows")).alias("source_window"))
+    return windows.locate_windows(asked, counts, BLOCK).select("doc_id", "source", "source_window", "shard_index", "window_index", "start")
+
+
 # --- batches, streams, layers -----------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.hashing import stable_seed
 from lodeworks.operators import mixture, windows
+from lodeworks.operators.permutation import place_of, rank_of
 
 WEIGHTS = {"books": 0.15, "news": 0.75, "scripts": 0.10}
 
@@ -137,3 +138,64 @@ def test_hashed_batches_serve_every_window_once_a_pass(spark):
     big = spark.createDataFrame([("a", 0, 1000), ("b", 1, 0)], "source string, pass long, windows long")
     order = mixture.hashed_order(big, 7, chunk=64).collect()
     assert sorted(r["rank"] for r in order) == sorted(r["window_index"] for r in order) == list(range(1000))
+
+
+def test_lookup_in_uneven_ranges(spark):
+    """One range of a million numbers, many of one, empty ones: each number finds its own."""
+    sizes = [1, 0, 1, 1, 1_000_000, 3, 0, 1, 7, 1, 1, 1, 64, 65, 1]
+    ends = np.cumsum(sizes)
+    counts = spark.createDataFrame([(s, i, n, int(e - n)) for s in ("a", None) for i, (n, e) in enumerate(zip(sizes, ends))], "source string, shard_index long, windows long, first_window long")
+    rnd = np.random.default_rng(1)
+    numbers = [*range(12), *map(int, rnd.integers(0, ends[-1], 50)), *range(int(ends[-1]) - 150, int(ends[-1]))]
+    asked = spark.createDataFrame([(n, "a") for n in numbers], "source_window long, source string")
+    found = windows.locate_windows(asked, counts, 16)
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {r["source_window"]: (r["shard_index"], r["window_index"], r["start"]) for r in found.collect()}
+    for n in numbers:
+        shard = int(np.searchsorted(ends, n, side="right"))
+        at = n - int(ends[shard] - sizes[shard])
+        assert got[n] == (shard, at, at * 17)
+
+
+def test_lookup_of_samples(spark):
+    made = pieces(spark, [("b", 0, 51), ("a", 0, 34), ("a", 1, 5), ("a", 2, 17), ("c", 0, 51)])
+    counts = windows.window_counts(made.groupBy("source", "shard_index").agg(F.sum(F.size("tokens")).alias("tokens")), 16, ["source"])
+    tiles = windows.tile(made, 16, ["source", "shard_index"], "start", "tokens")
+    want = {tuple(r) for r in windows.full_split(tiles, counts, 5).select("sample_index", "source_id", "source", "shard_index", "window_index").collect()}
+    asked = spark.range(9).select(F.col("id").alias("sample_index"))
+    got = windows.locate_samples(asked, counts, 16)
+    assert {tuple(r) for r in got.select("sample_index", "source_id", "source", "shard_index", "window_index").collect()} == want and len(want) == 9
+    for wrong in (-1, 9):
+        with pytest.raises(Exception, match="no window"):
+            windows.locate_samples(spark.range(1).select(F.lit(wrong).cast("long").alias("sample_index")), counts, 16).collect()
+
+
+def test_keyed_permutations(spark):
+    sizes = [1, 2, 3, 5, 16, 17, 30, 101, 1025]
+    each = spark.createDataFrame([(n,) for n in sizes], "n long").withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    made = each.crossJoin(spark.createDataFrame([("a",), ("b",)], "key string"))
+    made = made.withColumn("place", place_of(F.col("rank"), F.col("n"), F.lit("7"), F.col("key"))).withColumn("back", rank_of(F.col("place"), F.col("n"), F.lit("7"), F.col("key")))
+    rows = made.collect()
+    assert all(r["back"] == r["rank"] for r in rows)
+    orders = {}
+    for r in rows:
+        orders.setdefault((r["n"], r["key"]), {})[r["rank"]] = r["place"]
+    for (n, _), order in orders.items():
+        assert sorted(order.values()) == list(range(n))
+    a, b = (np.array([orders[1025, k][i] for i in range(1025)]) for k in "ab")
+    assert (a != b).mean() > 0.9 and abs(np.corrcoef(a, np.arange(1025))[0, 1]) < 0.15
+    with pytest.raises(Exception, match="not in a permutation"):
+        spark.range(1).select(place_of(F.lit(5), F.lit(5), F.lit("7"))).collect()
+
+
+def test_keyed_batches_far_into_an_endless_mixture(spark):
+    """Twenty steps after a billion, over ten billion windows: a row for each draw of them, no more."""
+    per_pass = spark.createDataFrame([(s, 10_000_000_000) for s in WEIGHTS], "source string, windows long")
+    first, size = 1_000_000_000, 8
+    plan = mixture.draws(mixture.label_plan(spark, size, WEIGHTS, 3, first, first + 20), per_pass)
+    rows = mixture.keyed_draws(plan, per_pass, 3).collect()
+    assert len(rows) == 20 * size and len({(r["source"], r["window_index"]) for r in rows}) == len(rows)
+    assert all(0 <= r["window_index"] < 10_000_000_000 for r in rows)
+    some = mixture.keyed_draws(mixture.draws(mixture.label_plan(spark, size, WEIGHTS, 3, first + 5, first + 6), per_pass), per_pass, 3).collect()
+    assert {tuple(sorted(r.asDict().items())) for r in some} == {tuple(sorted(r.asDict().items())) for r in rows if r["step"] == first + 5}
