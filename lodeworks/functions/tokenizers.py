@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,10 +39,15 @@ class ByteTokenizer:
         return bytes(i - 3 for i in ids if i >= 3).decode("utf-8", "replace")
 
     def ids(self, text: Column) -> Column:
-        def bytes_of(column: pd.Series) -> pd.Series:
-            return column.map(lambda x: None if x is None else [b + 3 for b in x.encode("utf-8")])
-
-        return F.pandas_udf(bytes_of, "array<int>")(text)
+        def bytes_of(column: pa.Array) -> pa.Array:
+            held = pc.fill_null(column.cast(pa.string()), "")
+            _, offsets, data = held.buffers()
+            at = np.frombuffer(offsets, np.int32)[held.offset : held.offset + len(held) + 1]
+            values = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]].astype(np.int32) + 3
+            made = pa.ListArray.from_arrays(pa.array(at - at[0]), pa.array(values))
+            return pc.if_else(column.is_valid(), made, pa.scalar(None, made.type)) if column.null_count else made
+
+        return F.arrow_udf(bytes_of, "array<int>")(text)
 
     def length(self, text: Column) -> Column:
         return F.octet_length(text)

@@ -12,34 +12,49 @@ from .ordered import null_safe_join, with_prefix_sums
 BROADCAST_PIECES = 1_000_000
 
 
+def ends_in(tokens: Column, eos_id: int) -> Column:
+    """Places behind the end tokens of an array."""
+    return F.filter(F.transform(tokens, lambda x, i: F.when(x == eos_id, i + 1)), lambda i: i.isNotNull())
+
+
+def placed_pieces(outlines: DataFrame, order: list[str], by: list[str], block: Column | None = None) -> DataFrame:
+    """(by..., order..., n_tokens, ends) with ``_doc`` and ``_at``: the end tokens and the tokens before each
+    piece in its group.  Only these numbers are put in order."""
+    sizes = outlines.select(*by, *order, "n_tokens", "ends")
+    return with_prefix_sums(sizes, {"_doc": F.size("ends"), "_at": F.col("n_tokens")}, order, by, block)
+
+
+def cut_pieces(placed: DataFrame, by: list[str], tokens: str | None = None) -> DataFrame:
+    """(by..., doc_index, at, n_tokens, complete, and tokens if named): pieces with n_tokens, ends, ``_doc`` and
+    ``_at`` cut behind their ends."""
+    starts = F.concat(F.array(F.lit(0)), F.col("ends"))
+    stops = F.concat(F.col("ends"), F.array(F.col("n_tokens").cast("int")))
+    each = placed.withColumn("_n_ends", F.size("ends")).select("*", F.posexplode(F.arrays_zip(starts.alias("a"), stops.alias("b"))).alias("_k", "_cut")).filter("_cut.b > _cut.a")
+    a, n = F.col("_cut.a"), F.col("_cut.b") - F.col("_cut.a")
+    own = [F.slice(tokens, a + 1, n).alias("tokens")] if tokens else []
+    numbers = [(F.col("_doc") + F.col("_k")).alias("doc_index"), (F.col("_at") + a).alias("at"), n.cast("long").alias("n_tokens"), (F.col("_k") < F.col("_n_ends")).alias("complete")]
+    return each.select(*by, *numbers, *own)
+
+
+def with_places(pieces: DataFrame, placed: DataFrame, places: list[str], count: int, broadcast_pieces: int = BROADCAST_PIECES) -> DataFrame:
+    """``pieces`` with ``_doc`` and ``_at``, which come by a broadcast if the pieces are few enough."""
+    bases = placed.select(*places, "_doc", "_at")
+    return null_safe_join(pieces, F.broadcast(bases) if count <= broadcast_pieces else bases, places)
+
+
 def fragments(pieces: DataFrame, tokens: str, eos_id: int, order: list[str], by: list[str], block: Column | None = None, broadcast_pieces: int = BROADCAST_PIECES) -> DataFrame:
     """(by..., doc_index, at, n_tokens, complete, tokens): pieces of shards cut behind their end tokens.
 
     A document ends with, and includes, its end token, and may span pieces and shards; doc_index counts
     the end tokens before it in its group, at: the tokens.  ``complete``: this fragment has the end.
-    Ends are found inside the arrays; only their number for each piece is put in order (and goes back by
-    a broadcast, if the pieces are counted to be few enough), so no token becomes a row, and a document
-    of any length stays in fragments of at most a piece.
+    Ends are found inside the arrays; only their number for each piece is put in order, so no token becomes
+    a row, and a document of any length stays in fragments of at most a piece.
     """
-    t = F.col(tokens)
     places = [*by, *order]
-    sizes = pieces.select(*places, F.size(t).alias("_n"), F.size(F.filter(t, lambda x: x == eos_id)).alias("_e"))
-    bases = with_prefix_sums(sizes, {"_doc": F.col("_e"), "_at": F.col("_n")}, order, by, block).select(*places, "_doc", "_at")
-    few = pieces.select(F.lit(1)).count() <= broadcast_pieces
-    met = null_safe_join(pieces.select(*places, t.alias("_t")), F.broadcast(bases) if few else bases, places)
-    marked = met.withColumn("_ends", F.filter(F.transform("_t", lambda x, i: F.when(x == eos_id, i + 1)), lambda i: i.isNotNull()))
-    starts = F.concat(F.array(F.lit(0)), F.col("_ends"))
-    stops = F.concat(F.col("_ends"), F.array(F.size("_t")))
-    each = marked.select("*", F.posexplode(F.arrays_zip(starts.alias("a"), stops.alias("b"))).alias("_k", "_cut")).filter("_cut.b > _cut.a")
-    a, n = F.col("_cut.a"), F.col("_cut.b") - F.col("_cut.a")
-    return each.select(
-        *by,
-        (F.col("_doc") + F.col("_k")).alias("doc_index"),
-        (F.col("_at") + a).alias("at"),
-        n.cast("long").alias("n_tokens"),
-        (F.col("_k") < F.size("_ends")).alias("complete"),
-        F.slice("_t", a + 1, n).alias("tokens"),
-    )
+    t = F.col(tokens)
+    known = pieces.select(*places, t.alias("_t"), F.size(t).cast("long").alias("n_tokens"), ends_in(t, eos_id).alias("ends"))
+    placed = placed_pieces(known, order, by, block)
+    return cut_pieces(with_places(known, placed, places, pieces.select(F.lit(1)).count(), broadcast_pieces), by, "_t")
 
 
 def segments(pieces: DataFrame, tokens: str, eos_id: int, order: list[str], by: list[str], block: Column | None = None) -> DataFrame:

@@ -356,16 +356,25 @@ def scan(pieces: DataFrame, by: list[str], tokens: str, position: str, eos_id: i
     token becomes a row, and a shard is a few numbers for every piece.
     """
     t = F.col(tokens)
-    some = pieces.filter(F.size(t) > 0)
-    n, ends = F.size(t).cast("long"), F.size(F.filter(t, lambda x: x == eos_id)).cast("long")
-    each = some.select(*by, F.col(position).alias("_p"), n.alias("_n"), ends.alias("_e"), F.array_min(t).alias("_low"), F.array_max(t).alias("_high"), F.element_at(t, -1).alias("_last"))
+    ends = F.size(F.filter(t, lambda x: x == eos_id)).cast("long")
+    return _summed(pieces.filter(F.size(t) > 0), by, F.col(position), F.size(t).cast("long"), ends, F.array_min(t), F.array_max(t), F.element_at(t, -1) == eos_id, vocab_size)
+
+
+def scan_outline(outlines: DataFrame, by: list[str], vocab_size: int) -> DataFrame:
+    """``scan`` of shards whose reader has looked at the tokens (``sources.tokenfiles.read_outline``)."""
+    n = F.col("n_tokens")
+    return _summed(outlines, by, F.col("position"), n, F.size("ends").cast("long"), F.col("low"), F.col("high"), F.coalesce(F.try_element_at(F.col("ends"), F.lit(-1)) == n, F.lit(False)), vocab_size)
+
+
+def _summed(pieces: DataFrame, by: list[str], position: Column, n: Column, ends: Column, low: Column, high: Column, ended: Column, vocab_size: int) -> DataFrame:
+    each = pieces.select(*by, position.alias("_p"), n.alias("_n"), ends.alias("_e"), low.alias("_low"), high.alias("_high"), ended.alias("_ended"))
     made = each.groupBy(*by).agg(
         (F.sum("_n") * 2).alias("bytes"),
         F.sum("_n").alias("tokens"),
         F.sum("_e").alias("eos_tokens"),
         F.min("_low").alias("min_token_id"),
         F.max("_high").alias("max_token_id"),
-        (F.max_by("_last", "_p") == eos_id).alias("ends_with_eos"),
+        F.max_by("_ended", "_p").alias("ends_with_eos"),
     )
     out = F.concat(F.lit("ids "), F.col("min_token_id"), F.lit(" to "), F.col("max_token_id"), F.lit(f" do not fit vocabulary size {vocab_size}"))
     return made.withColumn("error", F.when((F.col("min_token_id") < 0) | (F.col("max_token_id") >= vocab_size), out)).withColumn(

@@ -11,36 +11,48 @@ from .functions.tokenizers import Tokenizer, check_narrow, with_end
 from .operators import documents, shards
 from .operators.ordered import null_safe_join, with_index, within_budget
 from .session import stored
-from .sources.tokenfiles import list_files, listing, read_shards, write_shards
+from .sources.tokenfiles import list_files, listing, read_ends, read_outline, read_shards, write_shards
 
 SHARD_TOKENS = 100_000_000
+#: Places of documents are broadcast up to so many bytes; a document's place takes about so many.
+BROADCAST_BYTES, _ROW_BYTES = 16_000_000, 64
 
 
 def tokenize(docs: DataFrame, tokenizer: Tokenizer, output: str, shard_tokens: int = SHARD_TOKENS, max_tokens: int | None = None) -> dict:
     """Documents (doc_id, source, text) into shards; returns the run's report.
 
     Blank texts are filtered before the tokenizer sees them and counted as skipped, as far as they
-    come before the stop.  The document that reaches the budget is the last of its source.
+    come before the stop.  The document that reaches the budget is the last of its source.  Documents are
+    in order of their ids, null first; rows with one id, equal ones too, are documents of their own, in the
+    order in which they were read.
     """
     check_narrow(tokenizer)
     usable = docs.select("source", "doc_id", "text").filter(is_nonblank(F.col("text")))
-    made = stored(usable.select("source", "doc_id", with_end(tokenizer.ids(F.col("text")), tokenizer).alias("tokens")).withColumn("n_tokens", F.size("tokens").cast("long")), "tokens")
-    lengths = made.select("source", "doc_id", "n_tokens")
-    kept = within_budget(lengths, "n_tokens", max_tokens, ["doc_id"], ["source"]) if max_tokens else lengths
-    placed = stored(shards.assign_shards(kept, shard_tokens, shards.AFTER, ["source"], "doc_id"), "placed")
-    pieces = null_safe_join(made.select("source", "doc_id", "tokens"), placed, ["source", "doc_id"])
+    ids = usable.select("source", "doc_id", with_end(tokenizer.ids(F.col("text")), tokenizer).alias("tokens"))
+    made = stored(ids.withColumn("n_tokens", F.size("tokens").cast("long")).withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    lengths = made.select("source", "doc_id", "_row", "n_tokens")
+    kept = within_budget(lengths, "n_tokens", max_tokens, ["doc_id", "_row"], ["source"]) if max_tokens else lengths
+    placed = stored(shards.assign_shards(kept, shard_tokens, shards.AFTER, ["source"], "doc_id", ties=["_row"]), "placed")
+    last = placed.groupBy("source").agg(F.count("*").alias("documents"), F.max("doc_id").alias("last"), F.sum("n_tokens").alias("n"), (F.max("shard_index") + 1).alias("shards"))
+    last = stored(last, "sources")  # a row for each source
+    row = last.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("documents", "n", "shards")]).first()
+    where = placed.select("_row", "shard_index", "position")
+    pieces = made.select("_row", "source", "tokens").join(_small(where, row["documents"]), "_row")
     write_shards(pieces.withColumn("split", F.lit(None).cast("string")), output)
-    last = placed.groupBy("source").agg(F.max("doc_id").alias("last"), F.sum("n_tokens").alias("n"))
-    stopped = F.lit(False) if max_tokens is None else F.col("n") >= max_tokens
-    blank = null_safe_join(docs.filter(~is_nonblank(F.col("text"))), last, ["source"], "left").filter(~F.coalesce(stopped, F.lit(False)) | (F.col("doc_id") < F.col("last")))
-    row = placed.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total_tokens")).first()
-    n_shards = placed.groupBy("source").agg((F.max("shard_index") + 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return {"documents": row["documents"], "skipped": blank.count(), "total_tokens": row["total_tokens"], "shards": n_shards}
+    stopped = F.lit(False) if max_tokens is None else F.coalesce(F.col("n") >= max_tokens, F.lit(False))
+    before = F.when(F.col("doc_id").isNull(), True).otherwise(F.coalesce(F.col("doc_id") < F.col("last"), F.lit(False)))
+    blank = null_safe_join(docs.select("source", "doc_id", "text").filter(~is_nonblank(F.col("text"))), last, ["source"], "left").filter(~stopped | before)
+    return {"documents": row["documents"], "skipped": blank.count(), "total_tokens": row["n"], "shards": row["shards"]}
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, broadcast if it is counted to be small."""
+    return F.broadcast(df) if rows * _ROW_BYTES <= BROADCAST_BYTES else df
 
 
 def scanned_shards(spark: SparkSession, root: str, vocab_size: int, eos_id: int) -> DataFrame:
     """A row for every file below a folder, unreadable ones too: its scan, source and shard index."""
-    scanned = shards.scan(read_shards(spark, root, bad="skip"), ["path"], "tokens", "position", eos_id, vocab_size)
+    scanned = shards.scan_outline(read_outline(spark, root, eos_id, bad="skip"), ["path"], vocab_size)
     nothing = {"tokens": "long", "eos_tokens": "long", "min_token_id": "int", "max_token_id": "int"}
     bad = listing(spark, root).filter("error is not null").select("path", "bytes", *[F.lit(None if c.startswith("m") else 0).cast(t).alias(c) for c, t in nothing.items()], F.lit(False).alias("ends_with_eos"), "error", F.lit(None).cast("string").alias("warning"))
     source, index = shards.name_parts(F.col("path"), root)
@@ -82,29 +94,48 @@ def samples(spark: SparkSession, root: str, tokenizer: Tokenizer, eos_id: int, m
     return documents.decoded_samples(read_shards(spark, root, bad="skip"), tokenizer, eos_id, ["path"], max_characters)
 
 
-def shard_fragments(spark: SparkSession, root: str, eos_id: int) -> DataFrame:
-    """(source, doc_index, at, n_tokens, complete, tokens) of all shards, in order of their paths."""
+_PIECE = ["file_order", "position"]
+
+
+def _outlined(spark: SparkSession, root: str, eos_id: int) -> tuple[DataFrame, int]:
+    """The pieces of all shards with their places in their sources (``documents.placed_pieces``), from one
+    read of the files, and their number."""
     source, _ = shards.name_parts(F.col("path"))
-    order = spark.createDataFrame([(p, i) for i, (p, _) in enumerate(list_files(root))], "path string, file_order int")
-    pieces = read_shards(spark, root).join(F.broadcast(order), "path").withColumn("source", source)
-    return documents.fragments(pieces, "tokens", eos_id, ["file_order", "position"], ["source"], F.col("file_order"))
+    lines = stored(read_outline(spark, root, eos_id).select(source.alias("source"), *_PIECE, "n_tokens", "ends"), "outline")
+    return documents.placed_pieces(lines, _PIECE, ["source"], F.col("file_order")), lines.count()
+
+
+def _cut(spark: SparkSession, root: str, eos_id: int, placed: DataFrame, count: int) -> DataFrame:
+    source, _ = shards.name_parts(F.col("path"))
+    pieces = read_ends(spark, root, eos_id).select(source.alias("source"), *_PIECE, "tokens", F.size("tokens").alias("n_tokens"), "ends")
+    return documents.cut_pieces(documents.with_places(pieces, placed, ["source", *_PIECE], count), ["source"], "tokens")
+
+
+def shard_fragments(spark: SparkSession, root: str, eos_id: int) -> DataFrame:
+    """(source, doc_index, at, n_tokens, complete, tokens) of all shards, in order of their paths.
+
+    Files are read twice: for the sizes and ends of their pieces, and to be cut.
+    """
+    return _cut(spark, root, eos_id, *_outlined(spark, root, eos_id))
 
 
 def split(spark: SparkSession, root: str, output: str, eos_id: int, seed: int = 42, fraction: float = 0.01, shard_tokens: int = SHARD_TOKENS, share=blake2b_share) -> dict:
     """Shards into train and val shards by a keyed hash of each document's index in its source.
 
-    Only numbers of documents are sorted and packed; their fragments are written where they belong, so a
-    document longer than a row, or a source without end tokens, is never gathered.  ``share``: the keyed
-    hash, a column from 0 to 1 of source, index and seed.
+    Files are read twice: once for the sizes and ends of their pieces, from which documents are numbered,
+    split and packed, and once to cut them and write the fragments where they belong.  So a document
+    longer than a row, or a source without end tokens, is never gathered.  ``share``: the keyed hash, a
+    column from 0 to 1 of source, index and seed.
     """
-    found = shard_fragments(spark, root, eos_id)
-    docs = documents.require_complete(documents.documents_of(found, ["source"])).filter("complete")
+    pieces, count = _outlined(spark, root, eos_id)
+    docs = documents.require_complete(documents.documents_of(documents.cut_pieces(pieces, ["source"]), ["source"])).filter("complete")
     docs = stored(docs.withColumn("split", split_name(share(F.col("source"), F.col("doc_index"), seed), fraction)), "documents")
     placed = stored(shards.assign_shards(docs, shard_tokens, shards.BEFORE, ["split", "source"], "doc_index", keep=["start"]), "placed")
-    met = found.select("source", "doc_index", "at", "tokens").join(placed, ["source", "doc_index"])
+    report = {r["source"]: r.asDict() for r in documents.split_report(placed, shard="shard_index").collect()}  # a row for each source
+    found = _cut(spark, root, eos_id, pieces, count).select("source", "doc_index", "at", "tokens")
+    met = null_safe_join(found, _small(placed.drop("n_tokens"), sum(r["documents"] for r in report.values())), ["source", "doc_index"])
     write_shards(met.withColumn("position", F.col("position") + F.col("at") - F.col("start")), output)
-    report = documents.split_report(placed, shard="shard_index")
-    return {"seed": seed, "validation_fraction": fraction, "sources": {r["source"]: r.asDict() for r in report.collect()}}
+    return {"seed": seed, "validation_fraction": fraction, "sources": report}
 
 
 def numbered(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,11 @@
 """Headerless files of unsigned 16-bit token ids as a Spark data source (``token_files``).
 
-Reading: a partition for every range of ``range_tokens`` tokens, so a shard of any size is read in
-parallel and in bounded memory; rows are (path, position, tokens) with at most ``batch_tokens`` ids.
+Reading: rows are (path, position, tokens) with at most ``batch_tokens`` ids.  Partitions are made by
+bytes: small files share one, up to ``PARTITION_BYTES`` or the table's part for each core, and only larger
+files are split, so a shard of any size is read in parallel and in bounded memory.  Filters on path and
+position are pushed to the files: those that cannot match are not opened, runs before or behind are not read.
+With the option ``ends`` (the end token) rows say where documents end, found as they are read; with
+``outline`` they say only that, and no token leaves the reader.
 Empty files and files of odd size appear in ``listing`` and are an error to read, unless the option
 ``bad`` is ``skip``.
 
@@ -21,10 +25,33 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-
-RANGE_TOKENS, BATCH_TOKENS = 8_000_000, 65_536
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    DataSourceWriter,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    StringContains,
+    StringEndsWith,
+    StringStartsWith,
+    WriterCommitMessage,
+)
+
+#: Most bytes of a partition, fewest (a core is not kept for less), and what opening a file counts as.
+PARTITION_BYTES, LEAST_BYTES, OPEN_BYTES = 256_000_000, 4_000_000, 500_000
+BATCH_TOKENS = 65_536
 READ_SCHEMA = "path string, position long, tokens array<int>"
+#: file_order: the file's place among all by path; ends: places behind end tokens, in the row's run.
+ENDS_SCHEMA = READ_SCHEMA + ", file_order long, ends array<int>"
+OUTLINE_SCHEMA = "path string, position long, n_tokens long, low int, high int, file_order long, ends array<int>"
+_PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -46,40 +73,93 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return df.withColumn("error", F.when(F.col("bytes") == 0, "empty file").when(F.col("bytes") % 2 != 0, "file size is not a multiple of two bytes"))
 
 
+#: How pushed filters compare a row's value with theirs.
+_TESTS = {
+    EqualTo: lambda x, v: x == v,
+    In: lambda x, v: x in v,
+    GreaterThan: lambda x, v: x > v,
+    GreaterThanOrEqual: lambda x, v: x >= v,
+    LessThan: lambda x, v: x < v,
+    LessThanOrEqual: lambda x, v: x <= v,
+    StringStartsWith: lambda x, v: x.startswith(v),
+    StringEndsWith: lambda x, v: x.endswith(v),
+    StringContains: lambda x, v: v in x,
+}
+
+
 @dataclass
-class TokenRange(InputPartition):
-    path: str
-    start: int
-    end: int
+class TokenRanges(InputPartition):
+    """(path, file_order, first token, end) of runs that one task reads."""
+
+    runs: list[tuple[str, int, int, int]]
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
-        self.range = int(options.get("range_tokens", RANGE_TOKENS))
         self.batch = int(options.get("batch_tokens", BATCH_TOKENS))
+        self.most = int(options.get("partition_bytes", PARTITION_BYTES))
+        self.cores = int(options.get("parallelism", 1))
         self.skip = options.get("bad", "fail") == "skip"
+        self.end = int(options["ends"]) if "ends" in options else None
+        self.outline = options.get("outline", "false") == "true"
+        self.wanted: list[tuple[str, type, object]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if type(f) in _TESTS and f.attribute in (("path",), ("position",)):
+                self.wanted.append((f.attribute[0], type(f), f.value))
+            yield f  # Spark looks again at what is read
+
+    def _fits(self, column: str, value) -> bool:
+        return all(_TESTS[kind](value, v) for c, kind, v in self.wanted if c == column)
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for path, size in list_files(self.root):
+        found = []
+        for i, (path, size) in enumerate(list_files(self.root)):
+            if not self._fits("path", path):
+                continue
             if size == 0 or size % 2:
                 if self.skip:
                     continue
                 raise ValueError(f"{path}: {'empty file' if not size else 'odd size'}")
-            out += [TokenRange(path, a, min(a + self.range, size // 2)) for a in range(0, size // 2, self.range)]
-        return out or [TokenRange("", 0, 0)]
-
-    def read(self, part: TokenRange) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
+            found.append((path, i, size // 2))
+        whole = sum(2 * n + OPEN_BYTES for _, _, n in found)
+        target = min(self.most, max(LEAST_BYTES, whole // self.cores))
+        longest = max(1, target // 2 // self.batch) * self.batch  # a row never spans partitions
+        out, now, held = [], [], 0
+        for path, i, n in found:
+            for a in range(0, n, longest):
+                end = min(a + longest, n)
+                cost = 2 * (end - a) + OPEN_BYTES
+                if now and held + cost > target + OPEN_BYTES:
+                    out.append(TokenRanges(now))
+                    now, held = [], 0
+                now.append((path, i, a, end))
+                held += cost
+        return [*out, TokenRanges(now)]
+
+    def read(self, part: TokenRanges) -> Iterator[pa.RecordBatch]:
         files, _ = _filesystem(self.root)
-        with files.open_input_file(part.path) as f:
-            for a in range(part.start, part.end, self.batch):
-                n = min(self.batch, part.end - a)
-                ids = np.frombuffer(f.read_at(2 * n, 2 * a), np.uint16).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array([a], pa.int64()), lists], ["path", "position", "tokens"])
+        for path, order, start, end in part.runs:
+            starts = [a for a in range(start, end, self.batch) if self._fits("position", a)]
+            if not starts:
+                continue
+            with files.open_input_file(path) as f:
+                for a in starts:
+                    n = min(self.batch, end - a)
+                    yield self._row(path, order, a, np.frombuffer(f.read_at(2 * n, 2 * a), np.uint16))
+
+    def _row(self, path: str, order: int, at: int, ids: np.ndarray) -> pa.RecordBatch:
+        def one(values: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(np.int32)))
+
+        place = {"path": pa.array([path]), "position": pa.array([at], pa.int64())}
+        ends = {} if self.end is None else {"file_order": pa.array([order], pa.int64()), "ends": one(np.flatnonzero(ids == self.end) + 1)}
+        if self.outline:
+            low, high = (pa.array([int(x)], pa.int32()) for x in (ids.min(), ids.max()))
+            return pa.RecordBatch.from_pydict(place | {"n_tokens": pa.array([len(ids)], pa.int64()), "low": low, "high": high} | ends)
+        return pa.RecordBatch.from_pydict(place | {"tokens": one(ids)} | ends)
 
 
 @dataclass
@@ -149,7 +229,9 @@ class TokenFiles(DataSource):
         return "token_files"
 
     def schema(self) -> str:
-        return READ_SCHEMA
+        if "ends" not in self.options:
+            return READ_SCHEMA
+        return OUTLINE_SCHEMA if self.options.get("outline") == "true" else ENDS_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
@@ -159,8 +241,22 @@ class TokenFiles(DataSource):
 
 
 def read_shards(spark: SparkSession, root: str, **options) -> DataFrame:
+    """(path, position, tokens) of all shards below a folder.  Filters on path and position are pushed down,
+    for which Spark's own setting for Python sources is switched on."""
     spark.dataSource.register(TokenFiles)
-    return spark.read.format("token_files").options(path=root, **options).load()
+    spark.conf.set(_PUSHDOWN, "true")
+    return spark.read.format("token_files").options(path=root, parallelism=spark.sparkContext.defaultParallelism, **options).load()
+
+
+def read_ends(spark: SparkSession, root: str, eos_id: int, **options) -> DataFrame:
+    """The same with file_order and the ends of documents in each row."""
+    return read_shards(spark, root, ends=eos_id, **options)
+
+
+def read_outline(spark: SparkSession, root: str, eos_id: int, **options) -> DataFrame:
+    """(path, position, n_tokens, low, high, file_order, ends) of the rows that ``read_shards`` gives: their
+    sizes, least and largest ids and ends, without the tokens."""
+    return read_shards(spark, root, ends=eos_id, outline="true", **options)
 
 
 def write_shards(pieces: DataFrame, root: str) -> None:

@@ -4,13 +4,14 @@ import os
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import StringStartsWith
 
 from lodeworks import pipelines
 from lodeworks.functions import hashing
 from lodeworks.functions.text import casefolded, is_nonblank, stripped
 from lodeworks.functions.tokenizers import ByteTokenizer, CodepointTokenizer, FileTokenizer, check_narrow, decoded, with_end
 from lodeworks.operators import shards
-from lodeworks.sources.tokenfiles import read_shards, write_shards
+from lodeworks.sources.tokenfiles import OPEN_BYTES, _Reader, list_files, read_ends, read_outline, read_shards, write_shards
 
 
 def put(folder, name, ids):
@@ -57,7 +58,7 @@ def test_token_files_round_trip_byte_for_byte(spark, tmp_path):
     write_shards(df, str(tmp_path / "o"))
     assert (tmp_path / "o/a/a_0000.bin").read_bytes() == np.array([1, 2, 3, 65535, 0], np.uint16).tobytes()
     assert (tmp_path / "o/val/b/b_12345.bin").exists() and not list((tmp_path / "o").rglob("*.tmp"))
-    got = read_shards(spark, str(tmp_path / "o"), range_tokens=2, batch_tokens=1).collect()
+    got = read_shards(spark, str(tmp_path / "o"), partition_bytes=4, batch_tokens=1).collect()
     ids = {r["path"].rsplit("/", 1)[1]: [] for r in got}
     for r in sorted(got, key=lambda r: (r["path"], r["position"])):
         ids[r["path"].rsplit("/", 1)[1]] += r["tokens"]
@@ -66,6 +67,76 @@ def test_token_files_round_trip_byte_for_byte(spark, tmp_path):
         write_shards(df, str(tmp_path / "o"))
 
 
+def test_small_files_share_partitions_and_large_ones_are_split(tmp_path):
+    root = tmp_path / "s"
+    for i in range(300):
+        put(root / f"s{i % 3}", f"s{i % 3}_{i // 3:04d}.bin", [i] * (i % 7 + 1))
+    put(root / "big", "big_0000.bin", np.zeros(20_000_000))
+    parts = _Reader({"path": str(root), "parallelism": "8"}).partitions()
+    assert len(parts) <= 45 and sorted({r[0] for p in parts for r in p.runs}) == sorted(p for p, _ in list_files(str(root)))
+    seen = sorted(r[2:] for p in parts for r in p.runs if "big" in r[0])
+    assert seen[0][0] == 0 and seen[-1][1] == 20_000_000 and all(a[1] == b[0] for a, b in zip(seen, seen[1:])) and len(seen) > 1
+    assert all(a % 65_536 == 0 for a, _ in seen)
+    few = _Reader({"path": str(root), "parallelism": "1"}).partitions()
+    assert len(few) == 1 and len(parts) < 12
+    bounded = _Reader({"path": str(root), "parallelism": "1", "partition_bytes": "3000000"}).partitions()
+    assert all(sum(2 * (e - a) + OPEN_BYTES for _, _, a, e in p.runs) <= 3_000_000 + 2 * OPEN_BYTES for p in bounded)
+
+
+def test_filters_reach_the_files(spark, tmp_path):
+    root = tmp_path / "s"
+    for s in ("a", "b", "c"):
+        for i in range(3):
+            put(root / s, f"{s}_{i:04d}.bin", range(10))
+    (root / "c" / "odd_0000.bin").write_bytes(b"abc")  # an error to anyone who looks at it
+    reader = _Reader({"path": str(root)})
+    wanted = [StringStartsWith(("path",), f"{root}/b/")]
+    assert list(reader.pushFilters(wanted)) == wanted
+    assert sorted(r[0] for p in reader.partitions() for r in p.runs) == [f"{root}/b/b_{i:04d}.bin" for i in range(3)]
+    df = read_shards(spark, str(root), batch_tokens=4)
+    with pytest.raises(Exception, match="odd size"):
+        df.count()
+    got = df.filter(F.col("path").startswith(f"{root}/b/") & (F.col("position") >= 4)).select("path", "position", "tokens").collect()
+    assert sorted((r["path"][-8:-4], r["position"], tuple(r["tokens"])) for r in got) == [(f"000{i}", a, tuple(range(a, min(a + 4, 10)))) for i in range(3) for a in (4, 8)]
+    one = df.filter(F.col("path").isin(f"{root}/a/a_0001.bin", "none") & (F.col("position") < 4)).collect()
+    assert len(one) == 1 and one[0]["tokens"] == [0, 1, 2, 3]
+
+
+def test_outlines_say_what_the_tokens_say(spark, tmp_path):
+    put(tmp_path / "s", "a_0000.bin", [5, 2, 6, 2, 2, 9])
+    put(tmp_path / "s", "a_0001.bin", [2])
+    put(tmp_path / "s", "b_0000.bin", [7])
+    rows = read_outline(spark, str(tmp_path / "s"), 2, batch_tokens=4).orderBy("file_order", "position").collect()
+    assert [(r["file_order"], r["position"], r["n_tokens"], r["low"], r["high"], r["ends"]) for r in rows] == [(0, 0, 4, 2, 6, [2, 4]), (0, 4, 2, 2, 9, [1]), (1, 0, 1, 2, 2, [1]), (2, 0, 1, 7, 7, [])]
+    cut = read_ends(spark, str(tmp_path / "s"), 2, batch_tokens=4).orderBy("file_order", "position").collect()
+    assert [(r["tokens"], r["ends"]) for r in cut] == [([5, 2, 6, 2], [2, 4]), ([2, 9], [1]), ([2], [1]), ([7], [])]
+    plain = shards.scan(read_shards(spark, str(tmp_path / "s")), ["path"], "tokens", "position", 2, 8)
+    outlined = shards.scan_outline(read_outline(spark, str(tmp_path / "s"), 2), ["path"], 8)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, outlined.collect()))
+
+
+def test_split_reads_the_files_twice(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, "s", "x" * (i % 9 + 1)) for i in range(30)], "doc_id long, source string, text string")
+    pipelines.tokenize(docs, ByteTokenizer(), str(tmp_path / "raw"), shard_tokens=40)
+    reads = []
+    for name in ("read_outline", "read_ends", "read_shards"):
+        real = getattr(pipelines, name)
+        monkeypatch.setattr(pipelines, name, lambda *a, _n=name, _f=real, **k: reads.append(_n) or _f(*a, **k))
+    pipelines.split(spark, str(tmp_path / "raw"), str(tmp_path / "parts"), 2, shard_tokens=40)
+    assert reads == ["read_outline", "read_ends"]
+
+
+@pytest.mark.parametrize("ids", [[1, 1, 2], [None, None, 3], [None, 1, 1, 1, None, 2]])
+def test_tokenize_rows_with_one_id(spark, tmp_path, ids):
+    texts = [f"text {min(i, 3)}" for i in range(len(ids))]
+    docs = spark.createDataFrame(list(zip(ids, ["s"] * len(ids), texts)) + [(5, None, "no source's"), (None, "s", " ")], "doc_id long, source string, text string").coalesce(1)
+    got = pipelines.tokenize(docs, ByteTokenizer(), str(tmp_path / "o"), shard_tokens=20)
+    assert got["documents"] == len(ids) + 1 and got["skipped"] == 1
+    files = sorted((tmp_path / "o" / "s").glob("*.bin"))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, i))
+    assert np.concatenate([np.fromfile(f, np.uint16) for f in files]).tolist() == [x for i in order for x in [*ByteTokenizer().encode(texts[i]), 2]]
+
+
 def test_ids_beyond_sixteen_bits_are_refused(spark, tmp_path):
     df = spark.createDataFrame([(None, "a", 0, 0, [70000])], "split string, source string, shard_index long, position long, tokens array<int>")
     with pytest.raises(Exception, match="16 bits"):
