@@ -75,12 +75,7 @@ def label_plan(spark: SparkSession, batch_size: int, weights: dict[str, float],
         for frame in frames:
             out = []
             for cycle in frame["id"]:
-                labels = list(unit)
-                np.random.default_rng(np.random.SeedSequence([seed, int(cycle)])).shuffle(labels)
-                served = {s: int(cycle) * n for s, n in per_cycle.items()}
-                for i, s in enumerate(labels):
-                    out.append((int(cycle) * length + i, s, served[s]))
-                    served[s] += 1
+                out += [(int(cycle) * length + i, *x) for i, x in enumerate(_cycle(unit, per_cycle, seed, int(cycle)))]
             yield pd.DataFrame(out, columns=["position", "source", "draw"])
 
     span = spark.range(cycles.start, cycles.stop) if len(cycles) else spark.range(0)
@@ -89,6 +84,42 @@ def label_plan(spark: SparkSession, batch_size: int, weights: dict[str, float],
     return made.select(step.alias("step"), (F.col("position") % batch_size).cast("int").alias("slot"), "source", "draw").filter((F.col("step") >= first) & (F.col("step") < end))
 
 
+def step_labels(steps: DataFrame, batch_size: int, weights: dict[str, float], seed: int) -> DataFrame:
+    """The label plan of the steps of a table or stream: (step, slot, source, draw), a batch for each step."""
+    check_weights(weights)
+    if batch_size <= 0:
+        raise ValueError("a batch size must be positive")
+    unit = unit_schedule(batch_size, weights)
+    per_cycle, length = {s: unit.count(s) for s in weights}, len(unit)
+
+    def labelled(frames):
+        known: dict[int, list] = {}
+        for frame in frames:
+            out = []
+            for step in frame["step"]:
+                for slot in range(batch_size):
+                    cycle, i = divmod(int(step) * batch_size + slot, length)
+                    if cycle not in known:
+                        if len(known) >= 1024:
+                            known.clear()
+                        known[cycle] = _cycle(unit, per_cycle, seed, cycle)
+                    out.append((int(step), slot, *known[cycle][i]))
+            yield pd.DataFrame(out, columns=["step", "slot", "source", "draw"])
+
+    return steps.select("step").mapInPandas(labelled, "step long, slot int, source string, draw long")
+
+
+def _cycle(unit: list[str], per_cycle: dict[str, int], seed: int, cycle: int) -> list[tuple[str, int]]:
+    """(source, draw) of the labels of a cycle, in its seeded order."""
+    labels = list(unit)
+    np.random.default_rng(np.random.SeedSequence([seed, cycle])).shuffle(labels)
+    served, out = {s: cycle * n for s, n in per_cycle.items()}, []
+    for s in labels:
+        out.append((s, served[s]))
+        served[s] += 1
+    return out
+
+
 def draws(plan: DataFrame, windows_per_pass: DataFrame) -> DataFrame:
     """``plan`` with the pass and the rank within it of each draw; sources without windows fail."""
     met = plan.join(F.broadcast(windows_per_pass.select("source", F.col("windows").alias("_w"))), "source", "left")

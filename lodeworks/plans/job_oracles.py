@@ -112,4 +112,8 @@ JOB_SQL: dict[str, str] = {
       SELECT doc_id, sample_index::BIGINT AS sample_index, source_id, source, shard_index, (sample_index - low)::BIGINT AS window_index, ((sample_index - low) * 65)::BIGINT AS start FROM ask ASOF JOIN placed ON sample_index >= low""",
     "window_lookup": f"""WITH {_RANGES}, ask AS (SELECT doc_id, b.source, (doc_id * 104729 % b.windows)::BIGINT AS source_window FROM documents d JOIN (SELECT * FROM bounds JOIN totals USING (source)) b ON b.source_id = d.doc_id % 3)
       SELECT doc_id, a.source, source_window, shard_index, (source_window - low)::BIGINT AS window_index, ((source_window - low) * 65)::BIGINT AS start FROM ask a ASOF JOIN filled f ON a.source = f.source AND source_window >= low""",
+    "stream_stop": f"WITH RECURSIVE {_DOCS}, {_BUDGET}, {_packed('after', 'kept', ['source'], 'doc_id')} SELECT source, doc_id, n_tokens, rn - 1 AS doc_index, shard_index FROM packed",
+    "streamed_shards": f"""WITH RECURSIVE {_AFTER}, sums AS (SELECT doc_id, list_sum(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT + 3)) + 2 AS s FROM documents WHERE text IS NOT NULL)
+      SELECT {_FILE} AS path, sum(n_tokens)::BIGINT AS tokens, sum(s.s)::BIGINT AS id_sum FROM packed JOIN sums s USING (doc_id) GROUP BY source, shard_index""",
+    "streamed_mixture": _MIXED,
 }

@@ -18,9 +18,9 @@ from ..functions.tokenizers import FileTokenizer, decoded
 from ..operators import batches, decoding, metrics, mixture, scoring, windows
 from ..operators import conversations as chat
 from ..operators.permutation import place_of, rank_of
-from ..session import shared_dir
+from ..session import shared_dir, stored
 from ..sources import artifacts, blobs
-from ..sources.tokenfiles import listing
+from ..sources.tokenfiles import list_files, listing
 from ..streaming import ingest
 from . import queries as q
 from .queries import BLOCK, BUDGET, BYTES, CAP, FRACTION, POINTS, SEED, query
@@ -410,6 +410,42 @@ def stream_budget(spark, sf_dir):
     return spark.read.parquet(f"{at}/out")
 
 
+@query
+def stream_stop(spark, sf_dir):
+    """The same from documents that come in files, ended once every source has its budget."""
+    docs = q._documents(spark, sf_dir)
+    at, low, high = _folder(spark, "stop"), *docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    part = F.floor((F.col("doc_id") - low) * 4 / (high - low + 1))
+    for i in range(4):  # one after another: a file source takes the oldest first
+        docs.filter(part == i).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    sources = [r[0] for r in docs.select("source").distinct().collect()]  # a name for each source
+    ingest.pack_until_budget(ingest.file_stream(spark, f"{at}/in", docs.schema), CAP, BUDGET, sources, f"{at}/out", f"{at}/state")
+    return spark.read.schema("source string, doc_id long, n_tokens long, doc_index long, shard_index long").parquet(f"{at}/out")
+
+
+@query
+def streamed_shards(spark, sf_dir):
+    """Shards read as a stream of files, a few for each micro-batch, and counted as they come."""
+    root, _ = _tokenized(spark, sf_dir)
+    at = _folder(spark, "streamed")
+    files = len(list_files(root))
+    rows = ingest.shard_stream(spark, root, -(-files // 3)).select(_below(root), F.size("tokens").alias("n"), q._sum("tokens").alias("id_sum"))
+    rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("path").agg(F.sum("n").alias("tokens"), F.sum("id_sum").alias("id_sum"))
+
+
+@query
+def streamed_mixture(spark, sf_dir):
+    """Windows served by the endless mixture in three runs of 3000 steps, each going on where the last ended."""
+    at = _folder(spark, "mixture")
+    wins = stored(q._source_windows(spark, sf_dir).select("source", "window_index", F.size("tokens").alias("tokens")), "windows")
+    per_pass = stored(q._per_pass(spark, sf_dir), "per_pass")
+    for _ in range(3):
+        ingest.serve(ingest.mixture_stream(spark, wins, q._role_weights(), 8, SEED, per_pass, 3000), f"{at}/out", f"{at}/state")
+    each = spark.read.parquet(f"{at}/out").groupBy("source", "window_index").agg(F.count("*").alias("n"))
+    return each.groupBy("source").agg(F.sum("n").alias("served"), F.count("*").alias("windows"), F.min("n").alias("fewest"), F.max("n").alias("most"))
+
+
 @query
 def stream_examples(spark, sf_dir):
     """Conversations classified as they come, in micro-batches, and read back with their offsets."""

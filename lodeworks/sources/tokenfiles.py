@@ -162,6 +162,17 @@ class _Reader(DataSourceReader):
         return pa.RecordBatch.from_pydict(place | {"tokens": one(ids)} | ends)
 
 
+def read_run(path: str, start: int, end: int, batch_tokens: int = BATCH_TOKENS) -> Iterator[pa.RecordBatch]:
+    """(path, position, tokens) of tokens start .. end - 1 of a file, named as Spark names it."""
+    files, at = _filesystem(path.removeprefix("file:") if "://" not in path else path)
+    with files.open_input_file(at) as f:
+        for a in range(start, end, batch_tokens):
+            n = min(batch_tokens, end - a)
+            ids = np.frombuffer(f.read_at(2 * n, 2 * a), np.uint16).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([a], pa.int64()), lists], ["path", "position", "tokens"])
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: list[tuple[str, str]]
