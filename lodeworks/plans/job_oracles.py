@@ -78,6 +78,7 @@ JOB_SQL: dict[str, str] = {
     "parameter_names": "SELECT p_partkey, p_brand AS name, CASE WHEN p_partkey % 2 = 0 THEN 'module.' ELSE '' END || p_brand AS other FROM part",
     "first_scanned": f"WITH {_EXAMPLES} SELECT conv_id, status, n_tokens, assistant_tokens FROM examples WHERE conv_id IN (SELECT DISTINCT conv_id FROM conversations ORDER BY conv_id LIMIT 40)",
     "artifact_examples": f'WITH {_OFFSETS} SELECT example_index, start, start + n_tokens AS "end", id_sum, assistant_tokens AS mask_sum FROM kept',
+    "flat_examples": f'WITH {_OFFSETS} SELECT example_index, start, start + n_tokens AS "end", id_sum, assistant_tokens AS mask_sum FROM kept',
     "artifact_metadata": f"""WITH {_EXAMPLES} SELECT 'points' AS tokenizer, 2048::BIGINT AS max_length, count(*) AS scanned, count(*) FILTER (status = 'retained') AS retained, count(*) FILTER (status = 'dropped') AS dropped,
       count(*) FILTER (status = 'invalid') AS invalid, coalesce(sum(n_tokens) FILTER (status = 'retained'), 0)::BIGINT AS total_tokens, coalesce(sum(assistant_tokens) FILTER (status = 'retained'), 0)::BIGINT AS assistant_tokens FROM examples""",
     "blob_texts": """SELECT doc_id, doc_id % 7 <> 0 AND doc_id % 11 <> 0 AS has_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 5 = 0 THEN '' ELSE 'text of content/' || doc_id END AS text,

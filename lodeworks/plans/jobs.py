@@ -243,6 +243,15 @@ def artifact_examples(spark, sf_dir):
     return made.select("example_index", "start", "end", q._sum("token_ids").alias("id_sum"), q._sum("loss_mask").alias("mask_sum"))
 
 
+@query
+def flat_examples(spark, sf_dir):
+    """Examples written as flat files, by the tasks that hold them, and read back in ranges."""
+    folder = _folder(spark, "flat")
+    artifacts.export(q._examples(spark, sf_dir), folder, tokenizer="points", max_length=q._LIMIT)
+    made = artifacts.read_export(spark, folder, range_tokens=100_000)
+    return made.select("example_index", "start", (F.col("start") + F.size("token_ids")).alias("end"), q._sum("token_ids").alias("id_sum"), q._sum("loss_mask").alias("mask_sum"))
+
+
 @query
 def artifact_metadata(spark, sf_dir):
     folder = _folder(spark, "artifact")

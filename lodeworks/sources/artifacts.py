@@ -1,21 +1,18 @@
 """Tuning artifacts: examples as Parquet with a metadata row, and the flat binary export.
 
-The table form is the one to work with; the export (tokens, masks, offsets, metadata) streams the
-rows in order through the driver, a partition at a time, for readers that map files into memory.
+The export (tokens, masks, offsets, metadata) is for readers that map files into memory; see ``flatfiles``.
 """
 
 from __future__ import annotations
 
 import json
-import os
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.conversations import audit, offsets
+from .flatfiles import FlatExamples, agreed, local, require_free
 
 FORMATTER = "role_lines_v1"
-_FILES = ("tokens.bin", "loss_mask.bin", "offsets.npy", "metadata.json")
 
 
 def metadata(examples: DataFrame, **more) -> dict:
@@ -33,45 +30,20 @@ def write_table(examples: DataFrame, folder: str, **more) -> None:
 
 
 def export(examples: DataFrame, folder: str, **more) -> None:
-    """The four files; refuses if any is there."""
-    os.makedirs(folder, exist_ok=True)
-    if there := [f for f in _FILES if os.path.exists(os.path.join(folder, f))]:
-        raise FileExistsError(f"{folder} holds {', '.join(there)}")
-    ends = [0]
-    rows = offsets(examples).select("example_index", "token_ids", "loss_mask").orderBy("example_index")
-    with open(os.path.join(folder, _FILES[0]), "wb") as tokens, open(os.path.join(folder, _FILES[1]), "wb") as masks:
-        for r in rows.toLocalIterator():
-            ids = np.asarray(r["token_ids"], np.int64)
-            if len(ids) and ids.max() > 0xFFFF:
-                raise OverflowError("a token id does not fit 16 bits")
-            tokens.write(ids.astype(np.uint16).tobytes())
-            masks.write(np.asarray(r["loss_mask"], np.uint8).tobytes())
-            ends.append(ends[-1] + len(ids))
-    np.save(os.path.join(folder, _FILES[2]), np.asarray(ends, np.int64))
-    with open(os.path.join(folder, _FILES[3]), "w", encoding="utf-8") as f:
-        json.dump(metadata(examples, **more), f, indent=2)
-
-
-def read_export(spark: SparkSession, folder: str) -> DataFrame:
-    """(example_index, token_ids, loss_mask) of exported files, in ranges of examples."""
-    with open(os.path.join(folder, _FILES[3]), encoding="utf-8") as f:
-        retained = json.load(f)["retained"]
-    ends = np.load(os.path.join(folder, _FILES[2]), mmap_mode="r")
-    n_tokens = os.path.getsize(os.path.join(folder, _FILES[0])) // 2
-    if n_tokens != os.path.getsize(os.path.join(folder, _FILES[1])) or len(ends) != retained + 1:
-        raise ValueError("the artifact's lengths do not agree")
-
-    def rows(frames):
-        import pandas as pd
-
-        tokens = np.memmap(os.path.join(folder, _FILES[0]), np.uint16, "r") if n_tokens else np.zeros(0, np.uint16)
-        masks = np.memmap(os.path.join(folder, _FILES[1]), np.uint8, "r") if n_tokens else np.zeros(0, np.uint8)
-        at = np.load(os.path.join(folder, _FILES[2]), mmap_mode="r")
-        for frame in frames:
-            spans = [(int(at[i]), int(at[i + 1])) for i in frame["id"]]
-            yield pd.DataFrame({"example_index": frame["id"], "token_ids": [tokens[a:b].astype(int).tolist() for a, b in spans], "loss_mask": [masks[a:b].astype(int).tolist() for a, b in spans]})
-
-    return spark.range(retained).mapInPandas(rows, "example_index long, token_ids array<int>, loss_mask array<int>")
+    """The four files, written by the tasks that hold the examples; refuses if any is there."""
+    require_free(local(folder))
+    examples.sparkSession.dataSource.register(FlatExamples)
+    meta = metadata(examples, **more)
+    rows = offsets(examples).select("example_index", "start", "token_ids", "loss_mask")
+    told = {"path": folder, "retained": meta["retained"], "total_tokens": meta["total_tokens"], "metadata": json.dumps(meta, indent=2)}
+    rows.write.format("flat_examples").mode("append").options(**told).save()
+
+
+def read_export(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """(example_index, start, token_ids, loss_mask) of exported files, in ranges of examples."""
+    agreed(local(folder))
+    spark.dataSource.register(FlatExamples)
+    return spark.read.format("flat_examples").options(path=folder, **options).load()
 
 
 def check_fits(meta: dict, tokenizer: str, block_size: int, formatter: str = FORMATTER) -> None:

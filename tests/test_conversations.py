@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeworks.functions.tokenizers import CodepointTokenizer
 from lodeworks.operators import conversations as chat
@@ -87,6 +89,9 @@ def test_artifacts(spark, tmp_path):
     artifacts.export(made, at, tokenizer="points", max_length=1000)
     got = artifacts.read_export(spark, at).orderBy("example_index").collect()
     assert [(r["token_ids"], r["loss_mask"]) for r in got] == [plain(c) for c in CHATS]
+    assert (tmp_path / "sft/tokens.bin").read_bytes() == np.concatenate([np.array(plain(c)[0], "<u2") for c in CHATS]).tobytes()
+    assert np.load(tmp_path / "sft/offsets.npy").tolist() == np.cumsum([0, *(len(plain(c)[0]) for c in CHATS)]).tolist()
+    assert sorted(p.name for p in (tmp_path / "sft").iterdir()) == ["loss_mask.bin", "metadata.json", "offsets.npy", "tokens.bin"]
     with pytest.raises(FileExistsError):
         artifacts.export(made, at)
     meta = artifacts.metadata(made, tokenizer="points", max_length=1000)
@@ -99,3 +104,25 @@ def test_artifacts(spark, tmp_path):
     (tmp_path / "sft/loss_mask.bin").write_bytes(b"\0")
     with pytest.raises(ValueError):
         artifacts.read_export(spark, at)
+
+
+def test_flat_files_from_many_tasks(spark, tmp_path):
+    """Scattered examples, empty ones and none at all; written twice they are refused, wide ids too."""
+    rows = [(i, "retained", [i % 7 + k for k in range(i * 5 % 11)], [k % 2 for k in range(i * 5 % 11)]) for i in range(200)]
+    schema = "conv_id long, status string, token_ids array<int>, loss_mask array<int>"
+
+    def frame(rows):
+        df = spark.createDataFrame(rows, schema).repartition(7)
+        return df.withColumn("n_tokens", F.size("token_ids").cast("long")).withColumn("assistant_tokens", chat.mask_total().cast("long"))
+
+    at = str(tmp_path / "a")
+    artifacts.export(frame(rows), at)
+    for options in ({}, {"range_tokens": 50}):
+        got = artifacts.read_export(spark, at, **options)
+        assert [(r["token_ids"], r["loss_mask"]) for r in got.orderBy("example_index").collect()] == [r[2:] for r in rows]
+    assert artifacts.read_export(spark, at, range_tokens=50).rdd.getNumPartitions() > 5
+    artifacts.export(frame(rows).filter("false"), str(tmp_path / "none"))
+    assert artifacts.read_export(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="16 bits"):
+        artifacts.export(frame([(0, "retained", [70_000], [0])]), str(tmp_path / "wide"))
+    assert not [p for p in (tmp_path / "wide").rglob("*") if p.is_file()]
