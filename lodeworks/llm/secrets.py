@@ -31,28 +31,26 @@ WIDTH = 20
 THRESHOLDS = {"hex": 3.0, "base64": 3.7, "lower": 3.4, "upper": 3.3}
 _LEAST = min(THRESHOLDS.values())
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % WIDTH)
-_HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _LOG = [0.0] + [n * math.log2(n) for n in range(1, WIDTH + 1)]
 #: A word, a number, or both in less than ``WIDTH`` characters (python3, 2nd).
 _WORD = r"(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+|(?:[a-z]{1,15}|[A-Z]{1,15}|[A-Z][a-z]{1,14})[0-9]{1,4}|[0-9]{1,15}(?:[a-z]{1,4}|[A-Z]{1,4}))"
-#: Strings that are no secrets though they look random: whole-string patterns.
+#: Strings that are no secrets though they look random: whole-string patterns.  Repeated groups are possessive,
+#: so a candidate of many megabytes is matched in constant memory.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
-    r"[A-Za-z]+([-_/][A-Za-z]+)*",  # words and paths of words
-    r"[0-9]+([-_/][0-9]+)*",  # numbers, dates, phone numbers
-    r"[-_/+=]*{0}([-_/+=]+{0})*[-_/+=]*".format(_WORD),  # words and numbers in a row, paths
+    r"[A-Za-z]++(?:[-_/][A-Za-z]++)*+",  # words and paths of words
+    r"[0-9]++(?:[-_/][0-9]++)*+",  # numbers, dates, phone numbers
+    r"[-_/+=]*+{0}(?:[-_/+=]++{0})*+[-_/+=]*+".format(_WORD + "(?![A-Za-z0-9])"),  # words and numbers in a row, paths
     r".*(?i:example|placeholder|changeme|your[-_]?(key|token|secret)|x{6,}|0{8,}).*",
     r".*(?:abcdefghij|ABCDEFGHIJ|0123456789).*",  # alphabets
 )
 
 
-def windows_of_entropy(text: str, width: int = WIDTH) -> list[float]:
-    """Entropy in bits a character of every window, by incremental counts."""
-    if len(text) < width:
-        return []
+def windows_of_entropy(text: str, width: int = WIDTH) -> Iterator[float]:
+    """Entropy in bits a character of every window, by incremental counts; a window at a time, so a text of
+    any length takes no memory."""
     counts: dict[str, int] = {}
-    total = 0.0  # sum of n log2 n
-    out = []
+    total, bits = 0.0, math.log2(width)  # total: sum of n log2 n
     for i, c in enumerate(text):
         n = counts.get(c, 0)
         total += _LOG[n + 1] - _LOG[n]
@@ -63,18 +61,30 @@ def windows_of_entropy(text: str, width: int = WIDTH) -> list[float]:
             total += _LOG[n - 1] - _LOG[n]
             counts[gone] = n - 1
         if i >= width - 1:
-            out.append(math.log2(width) - total / width)
-    return out
+            yield bits - total / width
+
 
+#: digit, lower case, upper case, lower and upper case of hex digits: what a character counts as.
+_SORTS = {c: (c.isdigit(), c.islower(), c.isupper(), c in "abcdef", c in "ABCDEF") for c in map(chr, range(128))}
 
-def window_class(window: str) -> str | None:
-    """The class of ``THRESHOLDS`` that a window is judged by; None: not judged."""
-    digits, lower, upper = (any(f(c) for c in window) for f in (str.isdigit, str.islower, str.isupper))
-    if not digits or not (lower or upper):
-        return None
-    if _HEX_ONLY.fullmatch(window):
-        return "hex"
-    return "base64" if lower and upper else "lower" if lower else "upper"
+
+def window_classes(text: str, width: int = WIDTH) -> Iterator[str | None]:
+    """The class of ``THRESHOLDS`` that every window is judged by, by counts kept up like the entropy's; None:
+    not judged."""
+    digits = lower = upper = low_hex = high_hex = 0
+    for i, c in enumerate(text):
+        d, a, b, x, y = _SORTS[c]
+        digits, lower, upper, low_hex, high_hex = digits + d, lower + a, upper + b, low_hex + x, high_hex + y
+        if i >= width:
+            d, a, b, x, y = _SORTS[text[i - width]]
+            digits, lower, upper, low_hex, high_hex = digits - d, lower - a, upper - b, low_hex - x, high_hex - y
+        if i >= width - 1:
+            if not digits or not (lower or upper):
+                yield None
+            elif width in (digits + low_hex, digits + high_hex):
+                yield "hex"
+            else:
+                yield "base64" if lower and upper else "lower" if lower else "upper"
 
 
 def entropy_spans(text: str, allowed: re.Pattern) -> list[tuple[int, int]]:
@@ -85,11 +95,8 @@ def entropy_spans(text: str, allowed: re.Pattern) -> list[tuple[int, int]]:
         if run.isalpha() or allowed.fullmatch(run):
             continue
         start = m.start()
-        for i, h in enumerate(windows_of_entropy(run)):
-            if h < _LEAST:
-                continue
-            kind = window_class(run[i : i + WIDTH])
-            if kind is None or h < THRESHOLDS[kind]:
+        for i, (h, kind) in enumerate(zip(windows_of_entropy(run), window_classes(run))):
+            if h < _LEAST or kind is None or h < THRESHOLDS[kind]:
                 continue
             a, b = start + i, start + i + WIDTH
             if spans and spans[-1][1] >= a:

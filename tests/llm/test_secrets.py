@@ -144,3 +144,29 @@ def test_many_spans_in_one_text():
     n = 200_000  # pairs of these would take hours
     base = [("hex", 70 * i, 70 * i + 64) for i in range(n)]
     assert secrets.outside([(a, b) for _, a, b in base] + [(70 * n, 70 * n + 40)], base) == [(70 * n, 70 * n + 40)]
+
+
+def test_one_unbroken_candidate_of_megabytes():
+    """Linear time, and memory that does not follow the text."""
+    import tracemalloc
+
+    rnd = random.Random(9)
+    texts = ["ab-" * 700_000 + "!", "".join(rnd.choices("0123456789abcdef", k=300_000)), "Zz9q" + "ab-" * 100_000, "".join(rnd.choices(UPPER + LOWER + DIGITS + "+/", k=300_000))]
+    for text in texts:
+        tracemalloc.start()
+        found = secrets.find_secrets(text, ALLOW)[1]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 20_000_000 and bool(found) == (text[0] not in "aZ")
+
+
+def test_words_in_a_row_are_known_as_before():
+    """The possessive patterns know the strings that plain repeated groups know."""
+    word = secrets._WORD
+    plain = re.compile(r"[A-Za-z]+([-_/][A-Za-z]+)*|[0-9]+([-_/][0-9]+)*|[-_/+=]*{0}([-_/+=]+{0})*[-_/+=]*".format(word))
+    now = re.compile("|".join(f"(?:{p})" for p in secrets.ALLOWED[1:4]))
+    rnd = random.Random(10)
+    parts = ["ab", "Ab", "AB", "aB", "12", "a1", "1a", "A12345", "abc123", "9", "-", "_", "/", "+", "=", "--", "x", "2nd", "q9Z"]
+    for _ in range(20_000):
+        run = "".join(rnd.choices(parts, k=rnd.randint(1, 8)))
+        assert bool(plain.fullmatch(run)) == bool(now.fullmatch(run)), run
