@@ -6,10 +6,12 @@ written table, so the search that follows needs no shuffle.  Once the corpus' co
 shard cuts its posting lists into blocks of variable size, by dynamic programming over where the
 blocks end (``blocks``), so that the best posting of a block says as much as it can about the others.
 
-An item's search lays the blocks of its terms side by side.  Between two block ends the sum of the
-open blocks' best scores bounds every document there, as a pivot in WAND does; such runs are taken
-from the highest bound down, their documents scored exactly, and the rest is abandoned once no bound
-reaches the last of the best.  Only what a run holds is looked at, many runs at a time with NumPy.
+An item's search is WAND, many documents at a time with NumPy.  Its terms are ordered by what they can add at
+most.  The documents of the first few set the score to reach; with it the pivot is found, the place from which on the
+remaining terms cannot reach it together, so documents that hold none of the terms before it are never
+looked at.  Of the terms before it, a block is skipped if it lies only over runs of documents that the best
+scores of all blocks there do not bring to that score.  The terms behind the pivot are looked up for the
+documents that they can still bring there, fewer with each term.  What is found is exact.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ SHARD_DOCS, SHARD_POSTINGS = 65_536, 2_000_000
 LONGEST_BLOCK, BLOCK_COST = 64, 1_000_000
 #: Bytes of items that one pass over the shards carries.
 PASS_BYTES = 8_000_000
-#: Runs that are scored first; each further round takes twice as many.
-_FIRST_RUNS = 64
+#: The first terms of a search have so many postings for each of the best that are wanted.
+_FIRST_POSTINGS = 2
 #: Posting lists that are cut side by side; buckets in which the shards' best meet first.
 _ABREAST, _MERGE = 4096, 64
 
@@ -206,57 +208,83 @@ class Postings:
         self.weights = counts.weight[self.terms]
         ends = block_ends(self.scores, self.firsts)
         starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        self.starts, self.ends, self.looked_at = starts, ends, 0
         self.block_first = np.searchsorted(starts, self.firsts)  # a list's blocks
         self.low, self.high = (self.docs[starts], self.docs[ends - 1]) if len(ends) else (ends, ends)
         self.best = np.maximum.reduceat(self.scores, starts) if len(ends) else ends
+        self.list_best = np.maximum.reduceat(self.scores, self.firsts[:-1]) if len(ends) else ends
 
     def search(self, wanted: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of the best for an item's terms, best first, equal ones by document."""
         lists = np.flatnonzero(np.isin(self.terms, wanted, assume_unique=True) & (self.weights > 0))
-        if not len(lists):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        blocks = np.concatenate([np.arange(self.block_first[i], self.block_first[i + 1]) for i in lists])
-        worth = np.repeat(self.weights[lists], self.block_first[lists + 1] - self.block_first[lists]) * self.best[blocks]
-        # runs of documents between block borders, and the sum of the blocks open in each
+        most = self.weights[lists] * self.list_best[lists]
+        order = np.argsort(-most, kind="stable")
+        lists, most = lists[order], most[order]
+        rest = np.append(np.cumsum(most[::-1])[::-1], 0)  # what the lists from here on can add
+        size = np.cumsum(self.firsts[lists + 1] - self.firsts[lists])
+        # the documents of the most telling terms set what the others must reach
+        some = min(len(lists), int(np.searchsorted(size, _FIRST_POSTINGS * best)) + 1)
+        docs, scores = self._best_of(lists, some, rest, 1, None, best)
+        least = int(scores[best - 1]) if len(scores) >= best else 1
+        # a document of none of the first lists, up to the pivot, cannot reach it
+        pivot = int(np.searchsorted(-rest, -least, side="right"))
+        if pivot <= some:
+            return docs, scores
+        return self._best_of(lists, pivot, rest, least, self._runs(lists, least), best)
+
+    def _runs(self, lists: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(borders, open): runs of documents between the ends of blocks, and whether the best scores of the
+        blocks that lie over a run come to ``least``."""
+        blocks, n = self._blocks(lists)
+        worth = np.repeat(self.weights[lists], n) * self.best[blocks]
         borders, at = np.unique(np.concatenate((self.low[blocks], self.high[blocks] + 1)), return_inverse=True)
-        change = np.zeros(len(borders) + 1, np.int64)
+        change = np.zeros(len(borders), np.int64)
         np.add.at(change, at[: len(blocks)], worth)
         np.add.at(change, at[len(blocks) :], -worth)
-        bound = np.cumsum(change)[: len(borders) - 1]
-        runs = np.argsort(-bound, kind="stable")
-        runs = runs[bound[runs] > 0]
-        docs, scores, done, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, _FIRST_RUNS
-        while done < len(runs):
-            least = scores[best - 1] if len(scores) >= best else 1
-            if bound[runs[done]] < least:
-                break
-            now = runs[done : done + step]
-            now = now[bound[now] >= least]
-            more_docs, more_scores = self._score(lists, np.sort(now), borders)
-            docs, scores = np.concatenate((docs, more_docs)), np.concatenate((scores, more_scores))
-            keep = np.lexsort((docs, -scores))[:best]
-            docs, scores = docs[keep], scores[keep]
-            done, step = done + step, 2 * step
-        return docs, scores
-
-    def _score(self, lists: np.ndarray, runs: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact scores above 0 of all documents in some runs (in order of documents)."""
-        begins, stops = borders[runs], borders[runs + 1]
+        return borders, np.cumsum(change) >= least
+
+    def _blocks(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, n = self.block_first[lists], self.block_first[lists + 1] - self.block_first[lists]
+        return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
+
+    def _best_of(self, lists: np.ndarray, pivot: int, rest: np.ndarray, least: int, runs: tuple[np.ndarray, np.ndarray] | None, best: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best documents that hold one of the first ``pivot`` terms and score ``least`` or more.
+
+        Of these terms, blocks that lie over no open run are skipped.  The other terms are looked up only
+        for documents that they can still bring to ``least``.
+        """
         found, worth = [], []
-        for i in lists:
-            own = self.docs[self.firsts[i] : self.firsts[i + 1]]
-            a, b = np.searchsorted(own, begins), np.searchsorted(own, stops)
-            n = b - a
-            if n.any():
-                at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                found.append(own[at])
-                worth.append(self.weights[i] * self.scores[self.firsts[i] + at])
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        docs, at = np.unique(np.concatenate(found), return_inverse=True)
+        for i in lists[:pivot]:
+            at = self._postings_in(i, runs)
+            found.append(self.docs[at])
+            worth.append(self.weights[i] * self.scores[at])
+            self.looked_at += len(at)
+        docs, of = np.unique(np.concatenate(found), return_inverse=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         total = np.zeros(len(docs), np.int64)
-        np.add.at(total, at, np.concatenate(worth))
-        return docs[total > 0], total[total > 0]
+        if found:
+            np.add.at(total, of, np.concatenate(worth))
+        for k in range(pivot, len(lists)):
+            able = total + rest[k] >= least
+            docs, total = docs[able], total[able]
+            a, b = self.firsts[lists[k]], self.firsts[lists[k] + 1]
+            at = a + np.minimum(np.searchsorted(self.docs[a:b], docs), b - a - 1)
+            hit = self.docs[at] == docs
+            total[hit] += self.weights[lists[k]] * self.scores[at[hit]]
+            self.looked_at += int(hit.sum())
+        docs, total = docs[total >= least], total[total >= least]
+        keep = np.lexsort((docs, -total))[:best]
+        return docs[keep], total[keep]
+
+    def _postings_in(self, i: int, runs: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """A list's postings in blocks that lie over an open run."""
+        a, b = self.block_first[i], self.block_first[i + 1]
+        if runs is None:
+            return np.arange(self.firsts[i], self.firsts[i + 1])
+        borders, is_open = runs
+        opened = np.concatenate(([0], np.cumsum(is_open)))
+        over = opened[np.searchsorted(borders, self.high[a:b] + 1)] > opened[np.searchsorted(borders, self.low[a:b])]
+        starts, n = self.starts[a:b][over], (self.ends[a:b] - self.starts[a:b])[over]
+        return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def _counts(spark: SparkSession, shards: DataFrame, words: int) -> Counts:

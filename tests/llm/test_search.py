@@ -49,7 +49,7 @@ def test_awkward_rows(spark):
 
 def test_many_documents_ties_and_few_best(spark, monkeypatch):
     monkeypatch.setattr(module, "SHARD_DOCS", 150)
-    monkeypatch.setattr(module, "_FIRST_RUNS", 2)
+    monkeypatch.setattr(module, "_FIRST_POSTINGS", 1)
     rnd = random.Random(4)
     words = [f"w{int(rnd.paretovariate(0.7)) % 60}" for _ in range(9000)]
     texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 25))) for _ in range(700)]
@@ -90,19 +90,52 @@ def test_blocks_cost_the_least():
             assert spent(own, mine, cost) == least
 
 
-def test_runs_that_cannot_win_are_not_scored(monkeypatch):
-    """One document in a thousand is far better than the others: few runs are looked at."""
-    n, scored = 20_000, []
-    row = {"n": np.full(n, 10, "<i8").tobytes(), "terms": np.array([0, 1], "<i4").tobytes(), "ends": np.array([0, n, n + n // 2], "<i8").tobytes()}
-    tf = np.where(np.arange(n) % 1000 == 0, 50, 1)
-    row |= {"docs": np.concatenate((np.arange(n), np.arange(0, n, 2))).astype("<i4").tobytes(), "tf": np.concatenate((tf, tf[::2])).astype("<i8").tobytes()}
-    shard = module.Postings(row, module.Counts(n, 10 * n, np.array([5, 7], np.int64)))
-    real = module.Postings._score
+def shard_of(postings, n):
+    """A shard of n documents of ten terms each; ``postings``: {term: (documents, occurrences)}."""
+    docs, tf = (np.concatenate([p[i] for p in postings.values()]) for i in (0, 1))
+    ends = np.cumsum([0, *(len(p[0]) for p in postings.values())])
+    row = {"n": np.full(n, 10, "<i8"), "terms": np.array(list(postings), "<i4"), "ends": ends.astype("<i8"), "docs": docs.astype("<i4"), "tf": tf.astype("<i8")}
+    return {k: v.tobytes() for k, v in row.items()}
 
-    def counted(self, lists, runs, borders):
-        scored.append(len(runs))
-        return real(self, lists, runs, borders)
 
-    monkeypatch.setattr(module.Postings, "_score", counted)
-    docs, scores = shard.search(np.array([0, 1]), 10)
-    assert docs.tolist() == list(range(0, 10_000, 1000)) and len(shard.low) > 500 and sum(scored) <= 64
+def test_blocks_that_cannot_win_are_skipped():
+    """One document in a thousand is far better than the others: few postings are looked at."""
+    n = 20_000
+    tf = np.where(np.arange(n) % 1000 == 0, 50, 1)
+    row = shard_of({0: (np.arange(n), tf), 1: (np.arange(0, n, 2), tf[::2])}, n)
+    shard = module.Postings(row, module.Counts(n, 10 * n, np.array([5, 7], np.int64)))
+    docs, _ = shard.search(np.array([0, 1]), 10)
+    assert docs.tolist() == list(range(0, 10_000, 1000)) and len(shard.low) > 500
+
+
+def test_frequent_terms_are_looked_up_for_few_documents():
+    """A rare telling term and a frequent one: the frequent list is not gone through."""
+    n = 50_000
+    row = shard_of({0: (np.arange(n), np.ones(n, int)), 1: (np.arange(0, n, 500), np.ones(n // 500, int))}, n)
+    shard = module.Postings(row, module.Counts(n, 10 * n, np.array([20, 6_000], np.int64)))
+    docs, scores = shard.search(np.array([0, 1]), 50)
+    assert docs.tolist() == list(range(0, 25_000, 500)) and len(set(scores.tolist())) == 1
+    assert shard.looked_at <= 2 * n // 500
+
+
+def test_search_of_random_shards_is_exact():
+    rng = np.random.default_rng(6)
+    for trial in range(60):
+        n, k = int(rng.integers(1, 3000)), int(rng.integers(1, 9))
+        postings = {}
+        for t in range(k):
+            docs = np.flatnonzero(rng.random(n) < rng.choice([0.002, 0.05, 0.5, 1.0]))
+            if len(docs):
+                postings[t] = (docs, np.minimum(rng.geometric(0.6, len(docs)) * rng.choice([1, 1, 30], len(docs)), 99))
+        if not postings:
+            continue
+        counts = module.Counts(n, 10 * n, rng.integers(0, 9000, k))
+        shard = module.Postings(shard_of(postings, n), counts)
+        total = np.zeros(n, np.int64)
+        for t, (docs, tf) in postings.items():
+            total[docs] += counts.weight[t] * module.impacts(tf.astype(np.int64), counts.norms(np.full(len(docs), 10)))
+        for best in (1, 5, 50):
+            docs, scores = shard.search(np.arange(k), best)
+            order = np.lexsort((np.arange(n), -total))
+            want = order[total[order] > 0][:best]
+            assert docs.tolist() == want.tolist() and scores.tolist() == total[want].tolist()
