@@ -47,7 +47,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
             p.add_argument("--root", required=True)
             p.add_argument("--vocab-size", type=int)
             p.add_argument("--decode-sample", action="store_true", help="decode the first document of every shard")
-            p.add_argument("--max-characters", type=int, default=500)
+            p.add_argument("--max-characters", type=int, default=1000)
         if verb == "split":
             p.add_argument("--input-root", required=True)
             p.add_argument("--output-root", required=True)

@@ -87,7 +87,7 @@ def first_document(pieces: DataFrame, tokens: str, eos_id: int, position: str, b
     return null_safe_join(ends.select(*by), ids, by, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
 
 
-def decoded_samples(pieces: DataFrame, tokenizer: Tokenizer, eos_id: int, by: list[str], max_characters: int = 500, tokens: str = "tokens", position: str = "position") -> DataFrame:
+def decoded_samples(pieces: DataFrame, tokenizer: Tokenizer, eos_id: int, by: list[str], max_characters: int = 1000, tokens: str = "tokens", position: str = "position") -> DataFrame:
     """(by..., n_tokens, sample): each shard's first document, decoded, cut to ``max_characters``."""
     found = first_document(pieces, tokens, eos_id, position, by)
     return found.select(*by, F.size("ids").cast("long").alias("n_tokens"), F.substring(decoded(tokenizer, F.col("ids")), 1, max_characters).alias("sample"))

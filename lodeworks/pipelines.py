@@ -89,7 +89,7 @@ def check(spark: SparkSession, root: str, vocab_size: int, eos_id: int, most: in
     return base | notes | {"error_count": counts["errors"], "warning_count": counts["warnings"], "sources": {s["source"]: s for s in per}, "shards": rows, "text": text} | totals | tables
 
 
-def samples(spark: SparkSession, root: str, tokenizer: Tokenizer, eos_id: int, max_characters: int = 500) -> DataFrame:
+def samples(spark: SparkSession, root: str, tokenizer: Tokenizer, eos_id: int, max_characters: int = 1000) -> DataFrame:
     """(path, n_tokens, sample): the first document of every shard below a folder, decoded."""
     return documents.decoded_samples(read_shards(spark, root, bad="skip"), tokenizer, eos_id, ["path"], max_characters)
 
