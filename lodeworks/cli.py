@@ -17,13 +17,19 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import pipelines
+from .functions.registry import NamedTokenizer, fingerprint
 from .functions.tokenizers import ByteTokenizer, FileTokenizer
 from .operators.conversations import classify
 from .sources.artifacts import export, metadata
 
 
-def _tokenizer(spec: str, bos: int | None, eos: int | None):
-    return ByteTokenizer() if spec == "bytes" else FileTokenizer(spec, bos, eos)
+def _tokenizer(spark: SparkSession, a: argparse.Namespace):
+    if a.tokenizer == "bytes":
+        return ByteTokenizer()
+    if a.tokenizer_root is None:
+        return FileTokenizer(a.tokenizer, a.bos_id, a.eos_id)
+    name, _, revision = a.tokenizer.partition("@")
+    return NamedTokenizer(spark, a.tokenizer_root, name, revision or "main", a.bos_id, a.eos_id)
 
 
 def _arguments(argv: list[str] | None) -> argparse.Namespace:
@@ -31,7 +37,8 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     verbs = top.add_subparsers(dest="verb", required=True)
     for verb in ("tokenize", "check", "split", "prepare-sft"):
         p = verbs.add_parser(verb)
-        p.add_argument("--tokenizer", default="bytes", help="bytes, or the path of a tokenizer file")
+        p.add_argument("--tokenizer", default="bytes", help="bytes, the path of a tokenizer file, or name@revision below the registry")
+        p.add_argument("--tokenizer-root", help="a registry: {name}/{revision}/tokenizer.json")
         p.add_argument("--bos-id", type=int)
         p.add_argument("--eos-id", type=int, default=2)
         p.add_argument("--report")
@@ -65,13 +72,14 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
 def main(argv: list[str] | None = None) -> int:
     a = _arguments(argv)
     spark = SparkSession.builder.getOrCreate()
-    tok = _tokenizer(a.tokenizer, a.bos_id, a.eos_id)
+    tok = _tokenizer(spark, a)
     code = 0
     if a.verb == "tokenize":
         docs = spark.read.parquet(a.input).withColumnRenamed(a.text_field, "text").withColumn("source", F.lit(a.source))
         report = pipelines.tokenize(docs, tok, a.output, a.shard_tokens, a.max_tokens)
     elif a.verb == "check":
-        report = pipelines.check(spark, a.root, a.vocab_size or tok.vocab_size, a.eos_id)
+        named = tok if a.tokenizer != "bytes" or a.vocab_size is None else None  # a vocabulary's size alone names none
+        report = pipelines.check(spark, a.root, a.vocab_size or tok.vocab_size, a.eos_id, tokenizer=named)
         print(report.pop("text"))
         code = 1 if report["error_count"] else 0
         tables = {name: report.pop(name) for name in ("shard_table", "message_table") if name in report}
@@ -86,8 +94,8 @@ def main(argv: list[str] | None = None) -> int:
     else:
         examples = classify(spark.read.parquet(a.input), tok, a.max_length, max_examples=a.max_examples).persist()
         if not a.dry_run:
-            export(examples, a.output_dir, tokenizer=a.tokenizer, max_length=a.max_length)
-        report = metadata(examples, tokenizer=a.tokenizer, max_length=a.max_length)
+            export(examples, a.output_dir, tokenizer=a.tokenizer, max_length=a.max_length, fingerprint=fingerprint(tok))
+        report = metadata(examples, tokenizer=a.tokenizer, max_length=a.max_length, fingerprint=fingerprint(tok))
     text = json.dumps(report, indent=2)
     print(text)
     if a.report:

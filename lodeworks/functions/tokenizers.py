@@ -88,6 +88,10 @@ class FileTokenizer:
             FileTokenizer._open[path] = File.from_file(path)
         return FileTokenizer._open[path]
 
+    def located(self) -> str:
+        """Where the file is on this machine."""
+        return self.path
+
     @property
     def vocab_size(self) -> int:
         return self._file(self.path).get_vocab_size(with_added_tokens=True)
@@ -103,10 +107,10 @@ class FileTokenizer:
         self._file(self.path).save(path)
 
     def ids(self, text: Column, add_special: bool = False) -> Column:
-        path = self.path
+        path, opened = self.path, type(self)._file
 
         def encoded(column: pd.Series) -> pd.Series:
-            got = FileTokenizer._file(path).encode_batch([x or "" for x in column], add_special_tokens=add_special)
+            got = opened(path).encode_batch([x or "" for x in column], add_special_tokens=add_special)
             return pd.Series([None if x is None else e.ids for x, e in zip(column, got)])
 
         return F.pandas_udf(encoded, "array<int>")(text)

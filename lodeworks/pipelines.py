@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashing import blake2b_share, split_name
+from .functions.registry import copy_manifest, fingerprint, read_manifest, write_manifest
 from .functions.text import is_nonblank
 from .functions.tokenizers import Tokenizer, check_narrow, with_end
 from .operators import documents, shards
@@ -39,6 +40,7 @@ def tokenize(docs: DataFrame, tokenizer: Tokenizer, output: str, shard_tokens: i
     where = placed.select("_row", "shard_index", "position")
     pieces = made.select("_row", "source", "tokens").join(_small(where, row["documents"]), "_row")
     write_shards(pieces.withColumn("split", F.lit(None).cast("string")), output)
+    write_manifest(output, tokenizer)
     stopped = F.lit(False) if max_tokens is None else F.coalesce(F.col("n") >= max_tokens, F.lit(False))
     before = F.when(F.col("doc_id").isNull(), True).otherwise(F.coalesce(F.col("doc_id") < F.col("last"), F.lit(False)))
     blank = null_safe_join(docs.select("source", "doc_id", "text").filter(~is_nonblank(F.col("text"))), last, ["source"], "left").filter(~stopped | before)
@@ -59,9 +61,11 @@ def scanned_shards(spark: SparkSession, root: str, vocab_size: int, eos_id: int)
     return scanned.unionByName(bad).withColumn("source", source).withColumn("shard_index", index)
 
 
-def check(spark: SparkSession, root: str, vocab_size: int, eos_id: int, most: int = 20) -> dict:
+def check(spark: SparkSession, root: str, vocab_size: int, eos_id: int, most: int = 20, tokenizer: Tokenizer | None = None) -> dict:
     """Scan every shard below a folder: per-shard and per-source figures, errors and warnings.
 
+    ``tokenizer``: the one that the shards should have been made with.  If they say that it was another, that
+    is the one error, and nothing is scanned.  ``tokenizer`` of the report: what they say (None: nothing).
     ``shard_table`` and ``message_table`` hold all rows and messages; of those the report itself carries
     the first ``most`` (shards by path, messages of each level in order) and their numbers.
     """
@@ -75,6 +79,10 @@ def check(spark: SparkSession, root: str, vocab_size: int, eos_id: int, most: in
     if not files:
         why = "root directory does not exist" if gone else "no token files found"
         return base | {"errors": [f"{why}: {root}"], "warnings": [], "error_count": 1, "warning_count": 0, "sources": {}, "shards": [], "text": shards.report_text(root, 0, vocab_size, eos_id, [], {"errors": [why], "warnings": []})}
+    base["tokenizer"] = said = read_manifest(root)
+    if tokenizer and said and said["fingerprint"] != fingerprint(tokenizer):
+        why = f"made with another tokenizer: {said['fingerprint']}, not {fingerprint(tokenizer)}"
+        return base | {"errors": [f"{why}: {root}"], "warnings": [], "error_count": 1, "warning_count": 0, "sources": {}, "shards": [], "text": shards.report_text(root, len(files), vocab_size, eos_id, [], {"errors": [why], "warnings": []})}
     scanned = stored(scanned_shards(spark, root, vocab_size, eos_id), "scan")
     sources = shards.source_report(scanned)
     told = stored(shards.messages(scanned, sources), "messages")
@@ -135,6 +143,7 @@ def split(spark: SparkSession, root: str, output: str, eos_id: int, seed: int =
     found = _cut(spark, root, eos_id, pieces, count).select("source", "doc_index", "at", "tokens")
     met = null_safe_join(found, _small(placed.drop("n_tokens"), sum(r["documents"] for r in report.values())), ["source", "doc_index"])
     write_shards(met.withColumn("position", F.col("position") + F.col("at") - F.col("start")), output)
+    copy_manifest(root, output)
     return {"seed": seed, "validation_fraction": fraction, "sources": report}
 
 
