@@ -360,7 +360,7 @@ def keyed_batches(spark, sf_dir):
 @query
 def sample_lookup(spark, sf_dir):
     """A sample of the full split for every document, looked up by its number."""
-    counts = windows.window_counts(q._shard_sizes(spark, sf_dir), BLOCK, ["source"])
+    counts = stored(windows.window_counts(q._shard_sizes(spark, sf_dir), BLOCK, ["source"]), "window_counts")
     total = counts.agg(F.sum("windows").alias("_n"))  # one row
     asked = q._table(spark, sf_dir, "documents").select("doc_id").join(F.broadcast(total)).select("doc_id", (F.col("doc_id") * 7919 % F.col("_n")).alias("sample_index"))
     return windows.locate_samples(asked, counts, BLOCK).select("doc_id", "sample_index", "source_id", "source", "shard_index", "window_index", "start")
@@ -369,7 +369,7 @@ def sample_lookup(spark, sf_dir):
 @query
 def window_lookup(spark, sf_dir):
     """A window of one of the sources for every document."""
-    counts = windows.window_counts(q._shard_sizes(spark, sf_dir), BLOCK, ["source"])
+    counts = stored(windows.window_counts(q._shard_sizes(spark, sf_dir), BLOCK, ["source"]), "window_counts")
     bounds = windows.source_bounds(counts).select("source_id", "source", (F.col("end_sample") - F.col("first_sample")).alias("windows"))
     docs = q._table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3).alias("source_id"))
     asked = docs.join(bounds, "source_id").select("doc_id", "source", (F.col("doc_id") * 104_729 % F.col("windows")).alias("source_window"))
