@@ -1,7 +1,9 @@
 """Evaluation requests through a pluggable model: log-likelihoods, rolling scores, generation.
 
-A scorer is made once in each worker.  Requests are encoded and cut by columns, sorted by length so
-that a batch holds like lengths, and scored in Arrow batches; results go back to their request.
+A scorer is made once in each worker.  Requests are encoded and cut by columns.  With a token ``budget``
+they are put into batches of like lengths over the whole table (``requests``) and dealt to the workers by
+batch; without one they stay where they are and each Arrow batch is sorted by length.  Results go back to
+their request.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 from ..functions.hashing import stable_seed
 from ..functions.text import cut_at_stops
 from ..functions.tokenizers import Tokenizer
+from ..session import shuffle_width, stored
 from . import metrics
 from .decoding import encode_pairs, left_truncated
+from .requests import token_batches
 from .windows import scoring_windows
 
 
@@ -43,40 +47,68 @@ def _target_rows(scorer: Scorer, ids: list[list[int]], firsts: list[int]) -> Ite
             yield row, float(logp[k, t]), int(part[k].argmax()) == t
 
 
-def _scored(windows: DataFrame, key: str, make: ScorerFactory, batch: int) -> DataFrame:
-    """(key, logp, greedy) of the targets of windows (key, ids, first)."""
+def _in_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One frame for each run of rows that are alike in band and batch, across Arrow batches."""
+    held: list[pd.DataFrame] = []
+    now = None
+    for frame in frames:
+        for name, part in frame.groupby(["band", "batch"], sort=False):
+            if held and name != now:
+                yield pd.concat(held)
+                held = []
+            held.append(part)
+            now = name
+    if held:
+        yield pd.concat(held)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = make()
+
+def _by_length(batch: int):
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame = frame.assign(n=frame["ids"].map(len)).sort_values("n")
             for a in range(0, len(frame), batch):
-                part = frame.iloc[a : a + batch]
-                rows = list(_target_rows(scorer, [list(map(int, x)) for x in part["ids"]], part["first"].tolist()))
-                yield pd.DataFrame({key: part[key].to_numpy()[[r[0] for r in rows]], "logp": [r[1] for r in rows], "greedy": [r[2] for r in rows]})
+                yield frame.iloc[a : a + batch]
+
+    return cut
+
+
+def _scored(windows: DataFrame, key: str, make: ScorerFactory, batch: int, budget: int | None, limit: int) -> DataFrame:
+    """(key, logp, greedy) of the targets of windows (key, ids, first), which have ``limit`` tokens at most."""
+    rows, cut = windows.select(key, "ids", "first"), _by_length(batch)
+    if budget is not None:
+        planned = token_batches(stored(rows, "requests"), budget, limit)  # the index reads it more than once
+        width = shuffle_width(windows.sparkSession)  # a number of its own: bytes say little of a model's work
+        rows, cut = planned.repartition(width, "band", "batch").sortWithinPartitions("band", "batch"), _in_batches
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = make()
+        for part in cut(frames):
+            found = list(_target_rows(scorer, [list(map(int, x)) for x in part["ids"]], part["first"].tolist()))
+            yield pd.DataFrame({key: part[key].to_numpy()[[r[0] for r in found]], "logp": [r[1] for r in found], "greedy": [r[2] for r in found]})
 
     kind = windows.schema[key].dataType.simpleString()
-    return windows.select(key, "ids", "first").mapInPandas(run, f"`{key}` {kind}, logp double, greedy boolean")
+    return rows.mapInPandas(run, f"`{key}` {kind}, logp double, greedy boolean")
 
 
-def loglikelihood(requests: DataFrame, key: str, tokenizer: Tokenizer, end_id: int, limit: int, make: ScorerFactory, batch: int = 8) -> DataFrame:
+def loglikelihood(requests: DataFrame, key: str, tokenizer: Tokenizer, end_id: int, limit: int, make: ScorerFactory, batch: int = 8, budget: int | None = None) -> DataFrame:
     """(key, log_likelihood, is_greedy) of continuations given their contexts.
 
     ``requests``: key, context and continuation.  Contexts are cut on the left to fit ``limit``; a
-    continuation without tokens, or too long for any context, is an error.
+    continuation without tokens, or too long for any context, is an error.  ``batch``: rows of a batch;
+    ``budget``: tokens of one, padding included, planned over the whole table instead.
     """
     coded = encode_pairs(requests, tokenizer, end_id)
     some = F.when(F.size("continuation_ids") > 0, F.col("continuation_ids")).otherwise(F.raise_error(F.lit("a continuation has no tokens")).cast("array<int>"))
     coded = coded.select(key, left_truncated(F.col("context_ids"), some, limit).alias("c"), some.alias("t"))
-    return metrics.sequence_scores(_scored(coded.select(key, F.concat("c", "t").alias("ids"), F.size("c").alias("first")), key, make, batch), key)
+    return metrics.sequence_scores(_scored(coded.select(key, F.concat("c", "t").alias("ids"), F.size("c").alias("first")), key, make, batch, budget, limit), key)
 
 
-def rolling_loglikelihood(requests: DataFrame, key: str, tokenizer: Tokenizer, end_id: int, limit: int, make: ScorerFactory, text: str = "text", batch: int = 8) -> DataFrame:
+def rolling_loglikelihood(requests: DataFrame, key: str, tokenizer: Tokenizer, end_id: int, limit: int, make: ScorerFactory, text: str = "text", batch: int = 8, budget: int | None = None) -> DataFrame:
     """(key, log_likelihood) of whole texts: one total for each request; an empty text has 0."""
     ids = F.concat(F.array(F.lit(end_id)), tokenizer.ids(F.coalesce(F.col(text), F.lit(""))))
     coded = requests.select(key, ids.alias("all"))
     cut = scoring_windows(coded, "all", limit).select(key, F.col("window").alias("ids"), F.lit(1).alias("first"))
-    sums = metrics.sequence_scores(_scored(cut, key, make, batch), key).select(key, "log_likelihood")
+    sums = metrics.sequence_scores(_scored(cut, key, make, batch, budget, limit), key).select(key, "log_likelihood")
     return requests.select(key).join(sums, key, "left").withColumn("log_likelihood", F.coalesce("log_likelihood", F.lit(0.0)))
 
 

@@ -16,6 +16,18 @@ _SERVED = f"""{_COUNTS}, totals AS (SELECT source, sum(windows)::BIGINT AS w FRO
 d AS (SELECT source, w, 3000 * k AS n FROM totals JOIN u USING (source))"""
 _MIXED = f"WITH {_SERVED} SELECT source, n::BIGINT AS served, least(n, w)::BIGINT AS windows, greatest(n // w, 1)::BIGINT AS fewest, ((n + w - 1) // w)::BIGINT AS most FROM d"
 
+_BATCHED = """WITH RECURSIVE edges(edge) AS (SELECT 512 UNION ALL SELECT floor(edge / 1.1)::INT FROM edges WHERE floor(edge / 1.1) > 0),
+sized AS (SELECT doc_id, s AS target_start, least(512, l - s + 1)::INT AS n FROM (SELECT doc_id, coalesce(length(text), 0) + 1 AS l FROM documents), unnest(range(1, l, 511)) AS u(s)),
+banded AS (SELECT n, min(edge)::INT AS band FROM (SELECT DISTINCT n FROM sized), edges WHERE edge >= n GROUP BY n),
+placed AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY doc_id, target_start) - 1 AS spot, greatest(8192 // band, 1) AS r FROM sized JOIN banded USING (n)),
+batched AS (SELECT doc_id, target_start, n, band, (spot // r)::BIGINT AS batch, (spot % r)::BIGINT AS place FROM placed)"""
+_BLOCKS = """WITH vectors AS (SELECT vec_id // 256 AS b, vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL),
+parts AS (SELECT b, v, NOT (vec_id % 97 = 0 AND i = 1) AS ok FROM (SELECT b, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM vectors)),
+held AS (SELECT b, count(*) AS elements, count(*) FILTER (NOT ok) AS nonfinite, min(v) FILTER (ok) AS low, max(v) FILTER (ok) AS high, sum(v) FILTER (ok) AS total FROM parts GROUP BY b),
+sized AS (SELECT *, (SELECT count(*) FROM vectors WHERE vectors.b = held.b) AS n FROM held),
+report AS (SELECT 'block.' || b || '.weight' AS name, elements, nonfinite, low, high,
+  list_filter([CASE WHEN b % 5 = 0 THEN 'unexpected' END, CASE WHEN b % 5 <> 0 AND n <> 256 THEN 'shape [' || n || ', ' || elements // n || '], not [256, 64]' END, CASE WHEN nonfinite > 0 THEN nonfinite || ' values are not finite' END], lambda e: e IS NOT NULL) AS errors FROM sized
+  UNION ALL SELECT 'block.' || b || '.bias', NULL, NULL, NULL, NULL, ['missing'] FROM sized WHERE b % 5 = 0)"""
 
 
 def _grouped(n: str, width: int) -> str:
@@ -63,6 +75,13 @@ JOB_SQL: dict[str, str] = {
     "vocabulary": "SELECT * FROM (VALUES ('bytes', 259, 1, 2, 0), ('points', 256, 1, 2, 2)) AS v(name, vocab_size, bos, eos, pad)",
     "replies": "SELECT conv_id, turn, (CASE WHEN turn % 3 = 0 THEN length('[EOS]') ELSE length(text) END)::BIGINT AS n_chars FROM conversations",
     "encoded_pairs": f"WITH {_PAIRS} SELECT item_id, length(head)::BIGINT AS n_context, length(tail)::BIGINT AS n_continuation, {_CODES.format('head')} AS context_sum, {_CODES.format('tail')} AS continuation_sum FROM heads",
+    "request_batches": f"{_BATCHED} SELECT * FROM batched",
+    "request_padding": f"""{_BATCHED}, each AS (SELECT band, batch, count(*) AS r, sum(n) AS t, count(*) * max(n) AS p FROM batched GROUP BY band, batch)
+      SELECT band, count(*) AS batches, sum(r)::BIGINT AS requests, sum(t)::BIGINT AS tokens, sum(p)::BIGINT AS padded_tokens, max(p)::BIGINT AS largest FROM each GROUP BY band""",
+    "tensor_values": f"{_BLOCKS} SELECT 'block.' || b || '.weight' AS name, elements, elements AS n, round(total, 4) AS total FROM sized",
+    "tensor_headers": f"{_BLOCKS} SELECT 'F32' AS dtype, true AS decays, count(*) AS tensors, sum(elements)::BIGINT AS parameters FROM sized",
+    "checkpoint_report": f"{_BLOCKS} SELECT * REPLACE (array_to_string(errors, '; ') AS errors) FROM report",
+    "checkpoint_summary": f"{_BLOCKS} SELECT sum(len(errors)) = 0 AS passed, count(elements) AS tensors, sum(elements)::BIGINT AS parameters, bool_and(coalesce(nonfinite, 0) = 0) AS weights_finite, sum(len(errors))::BIGINT AS errors FROM report",
     "scored_pairs": f"""WITH {_PAIRS}, each AS (SELECT item_id, unicode(substr(head || tail, i::INT, 1)) % 256 = (unicode(substr(head || tail, (i - 1)::INT, 1)) + 1) % 256 AS hit FROM heads, unnest(range(length(head) + 1, length(head || tail) + 1)) AS u(i))
       SELECT item_id, round(sum(CASE WHEN hit THEN {_RIGHT} ELSE {_WRONG} END), 6) AS log_likelihood, bool_and(hit) AS is_greedy FROM each GROUP BY item_id""",
     "rolling_scores": f"""WITH each AS (SELECT item_id, unicode(substr(text, i::INT, 1)) % 256 = (CASE WHEN i = 1 THEN 2 ELSE unicode(substr(text, (i - 1)::INT, 1)) END + 1) % 256 AS hit FROM benchmark, unnest(range(1, length(text) + 1)) AS u(i))
@@ -118,3 +137,4 @@ JOB_SQL: dict[str, str] = {
       SELECT {_FILE} AS path, sum(n_tokens)::BIGINT AS tokens, sum(s.s)::BIGINT AS id_sum FROM packed JOIN sums s USING (doc_id) GROUP BY source, shard_index""",
     "streamed_mixture": _MIXED,
 }
+JOB_SQL["scored_batches"] = JOB_SQL["scored_pairs"]

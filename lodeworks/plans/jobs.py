@@ -15,11 +15,11 @@ from .. import pipelines
 from ..functions.hashing import md5_share
 from ..functions.text import is_nonblank, shown_reply
 from ..functions.tokenizers import FileTokenizer, decoded
-from ..operators import batches, decoding, metrics, mixture, scoring, windows
+from ..operators import batches, checkpoints, decoding, metrics, mixture, requests, scoring, windows
 from ..operators import conversations as chat
 from ..operators.permutation import place_of, rank_of
 from ..session import shared_dir, stored
-from ..sources import artifacts, blobs
+from ..sources import artifacts, blobs, tensorfiles
 from ..sources.tokenfiles import list_files, listing
 from ..streaming import ingest
 from . import queries as q
@@ -190,6 +190,30 @@ def scored_pairs(spark, sf_dir):
     return q._rounded(scoring.loglikelihood(_pairs(spark, sf_dir), "item_id", POINTS, 2, 4096, NextPoint), 6)
 
 
+@query
+def scored_batches(spark, sf_dir):
+    """The same scores in batches of at most 2048 tokens, planned over the whole table."""
+    return q._rounded(scoring.loglikelihood(_pairs(spark, sf_dir), "item_id", POINTS, 2, 4096, NextPoint, budget=2048), 6)
+
+
+def _document_batches(spark, sf_dir) -> DataFrame:
+    """Rolling windows of all documents, 512 tokens wide at most, in batches of at most 8192."""
+    docs = q._table(spark, sf_dir, "documents")
+    coded = docs.select("doc_id", F.concat(F.array(F.lit(2)), POINTS.ids(F.coalesce("text", F.lit("")))).alias("all"))
+    rows = windows.scoring_windows(coded, "all", 512).select("doc_id", F.col("target_start").cast("long").alias("target_start"), F.col("window").alias("ids"))
+    return requests.token_batches(stored(rows, "requests"), 8192, 512, order=["doc_id", "target_start"])
+
+
+@query
+def request_batches(spark, sf_dir):
+    return _document_batches(spark, sf_dir).select("doc_id", "target_start", "n", "band", "batch", "place")
+
+
+@query
+def request_padding(spark, sf_dir):
+    return requests.padding_report(_document_batches(spark, sf_dir))
+
+
 @query
 def rolling_scores(spark, sf_dir):
     return q._rounded(scoring.rolling_loglikelihood(q._table(spark, sf_dir, "benchmark"), "item_id", POINTS, 2, 50, NextPoint), 6)
@@ -260,6 +284,60 @@ def artifact_metadata(spark, sf_dir):
     return spark.read.text(f"{folder}/metadata").select(F.from_json("value", fields).alias("m")).select("m.*").drop("formatter")
 
 
+# --- tensor files ---------------------------------------------------------------------------------
+
+
+def _weights(spark, sf_dir) -> tuple[str, DataFrame]:
+    """Vectors as matrices of up to 256 rows, some with a value that is not a number, written as tensor
+    files; and what is expected of them: full matrices, some of which are not there, not all that are."""
+    block = F.floor(F.col("vec_id") / 256)
+    vectors = q._table(spark, sf_dir, "embeddings").filter("embedding is not null").select(block.alias("b"), "vec_id", "embedding")
+    odd = F.when(F.col("vec_id") % 97 == 0, F.transform("embedding", lambda v, i: F.when(i == 0, float("nan")).otherwise(v))).otherwise(F.col("embedding"))
+    rows = vectors.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("vec_id", odd.alias("v")))).alias("rows"))
+    values = F.flatten(F.col("rows.v"))
+    shape = F.array(F.size("rows"), F.call_function("div", F.size(values), F.size("rows")))
+    made = rows.select(F.format_string("block.%d.weight", "b").alias("name"), shape.alias("shape"), values.alias("values"))
+    folder = _folder(spark, "tensors")
+    tensorfiles.write_tensors(made, folder, file_bytes=1_000_000)
+    blocks = vectors.select("b").distinct()
+    full = F.array(F.lit(256), F.lit(64))
+    weights = blocks.filter("b % 5 <> 0").select(F.format_string("block.%d.weight", "b").alias("name"), full.alias("shape"))
+    biases = blocks.filter("b % 5 = 0").select(F.format_string("block.%d.bias", "b").alias("name"), F.array(F.lit(256)).alias("shape"))
+    return folder, weights.unionAll(biases)
+
+
+def _inspected(spark, sf_dir) -> DataFrame:
+    folder, expected = _weights(spark, sf_dir)
+    return checkpoints.inspect(tensorfiles.read_tensors(spark, folder, outline=True, range_bytes=100_000), expected)
+
+
+@query
+def tensor_values(spark, sf_dir):
+    """Tensors read back in ranges that cut them anywhere: counts and sums of their values."""
+    folder, _ = _weights(spark, sf_dir)
+    found = tensorfiles.read_tensors(spark, folder, range_bytes=100_000, row_elements=1000).select("name", "elements", F.explode("values").alias("v"))
+    return found.groupBy("name", "elements").agg(F.count("*").alias("n"), F.round(F.sum(F.when(~F.isnan("v"), F.col("v"))), 4).alias("total"))
+
+
+@query
+def tensor_headers(spark, sf_dir):
+    """What the headers alone say, and the parameters by whether they take weight decay."""
+    folder, _ = _weights(spark, sf_dir)
+    found = tensorfiles.read_tensors(spark, folder, headers=True)
+    return found.groupBy("dtype", metrics.decays(F.col("name"), F.size("shape")).alias("decays")).agg(F.count("*").alias("tensors"), F.sum("elements").alias("parameters"))
+
+
+@query
+def checkpoint_report(spark, sf_dir):
+    found = _inspected(spark, sf_dir)
+    return found.select("name", "elements", "nonfinite", "low", "high", F.array_join("errors", "; ").alias("errors"))
+
+
+@query
+def checkpoint_summary(spark, sf_dir):
+    return checkpoints.summary(_inspected(spark, sf_dir))
+
+
 # --- blobs ----------------------------------------------------------------------------------------
 
 
