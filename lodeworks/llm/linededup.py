@@ -9,14 +9,17 @@
    * If the filters of all ranges have ``MAX_BITS`` or less, they go to the executors.
    * Beyond that they stay where they are: the documents' line hashes are filed under the same ranges
      and pass by their range's filter, and what it suspects comes back as a list of hashes for each
-     document.  Hashes that very many tasks send, whose rows would crowd one range, are suspects
-     without that way, as a list of at most ``HOT_KEYS``.  No text is shuffled, and the filters suspect
-     as few lines as before, at any size.
+     row.  Hashes that very many tasks send, whose rows would crowd one range, are suspects without that
+     way, as a list of at most ``HOT_KEYS``.  The filters suspect as few lines as before, at any size.
 4. Suspected lines are shuffled, as text, and counted exactly per key, pre-aggregated, with the
    largest id that holds the key.
 5. Keys in enough documents lose their lines everywhere but in that document.  The list of such
    keys goes to the executors if its measured size is at most ``BROADCAST_BYTES``; a longer list is
-   joined by key and by document instead.
+   joined by key and by row instead.
+
+Up to both bounds only suspected lines are shuffled as text.  Beyond one of them rows have to meet lists
+of their own: they are written once, bucketed by a key of each row (so no id, source or group of
+copies crowds a bucket), and the joins with either list move the list, not the text.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lean, shuffle_width, written
+from .common import bucketed, discard, lean, shuffle_width, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Bits of a filter for each line, and the most bits that are broadcast (64 MB).
@@ -41,6 +44,8 @@ BROADCAST_BYTES = 16 << 20
 RANGE_LINES, _GATHERED = 1 << 22, 1 << 18
 #: A key is hot if so many sendings hold it; so many hot keys go to all executors.
 HOT_TIMES, HOT_KEYS = 256, 1 << 20
+#: Bytes of text of a bucket, about.
+BUCKET_BYTES = 128 << 20
 _LEAST_RANGES, _PROBES, _SPACE, _CHUNK = 10, 4, b" \t\n\x0b\x0c\r", 1 << 16
 
 
@@ -204,7 +209,7 @@ def broadcast_filter(filters: DataFrame, range_bits: int, bits: int) -> TwiceSee
 
 def suspects_by_range(docs: DataFrame, filters: DataFrame, range_bits: int, bits: int, least: int) -> tuple[DataFrame, np.ndarray]:
     """(lists, hot): for each document (k) the hashes of its lines that their range's filter suspects,
-    but for hot ones, which are listed once.  ``docs``: k, text; documents that share a k share a list."""
+    but for hot ones, which are listed once.  ``docs``: k, text."""
     most = filters.filter("kind = 1").orderBy(F.col("part").desc(), "data").limit(HOT_KEYS).select("data").collect()  # the rest takes the common way
     hot = np.sort(np.array([np.frombuffer(bytes(r["data"]), np.uint64)[0] for r in most], np.uint64))
 
@@ -243,24 +248,21 @@ def suspects_by_range(docs: DataFrame, filters: DataFrame, range_bits: int, bits
     return written(lists, "suspectlists"), hot
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS, hot_times: int = HOT_TIMES) -> tuple[DataFrame, DataFrame]:
-    """(decisions, suspects): key and keeper of every key in at least ``min_docs`` documents, and the
-    (key, id) rows that were counted."""
-    filters, range_bits, bits = twice_seen(docs, text_col, least, hot_times)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if bits << range_bits <= max_bits:
-        seen, hot = broadcast_filter(filters, range_bits, bits), None
-    else:
-        seen = None
-        keyed = rows.withColumn("k", F.xxhash64("id", "text"))  # rows that clash only share a list of suspects
-        lists, hot = suspects_by_range(keyed, filters, range_bits, bits, least)
-        rows = keyed.join(lists, "k", "left").select("id", "text", "maybe")
+def _by_row(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``columns`` of ``docs`` under the names given, with k, a key of each row that holds once it is written,
+    by which the table is bucketed."""
+    rows = docs.select(F.monotonically_increasing_id().alias("k"), *[F.col(c).alias(n) for n, c in columns.items()])
+    size = docs.agg(F.sum(F.octet_length(columns["text"]).cast("long"))).first()[0] or 0
+    return bucketed(rows, "linerows", ["k"], max(shuffle_width(docs.sparkSession), -(-size // BUCKET_BYTES)))
+
+
+def _suspect_lines(rows: DataFrame, least: int, seen: TwiceSeen | None, hot: np.ndarray | None) -> DataFrame:
+    """(key, id, and k if ``rows`` have it) of lines that ``seen`` suspects, or else the row's list (maybe) or
+    the list of hot hashes."""
+    listed, columns = seen is None, ["id", "text", *(c for c in ("k", "maybe") if c in rows.columns)]
 
     def suspected(h: np.ndarray, maybe) -> np.ndarray:
-        if seen is not None:
-            return seen.suspects(h)
-        own = np.array(maybe.as_py() or [], np.int64).view(np.uint64)
-        return np.isin(h, own) | np.isin(h, hot)
+        return np.isin(h, np.array(maybe.as_py() or [], np.int64).view(np.uint64)) | np.isin(h, hot)
 
     @lean
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,18 +270,52 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             keys, at = [], []
             for i, x in enumerate(batch.column(1)):
                 own = list({k for _, k in line_keys(x.as_py(), least) if k})
-                if seen is None and own:
-                    own = [own[j] for j in np.flatnonzero(suspected(_hashes(own), batch.column(2)[i]))]
+                if listed and own:
+                    own = [own[j] for j in np.flatnonzero(suspected(_hashes(own), batch.column(3)[i]))]
                 keys.extend(own)
                 at.extend([i] * len(own))
-            some = range(len(keys)) if seen is None or not keys else np.flatnonzero(suspected(_hashes(keys), None))
-            ids = batch.column(0).take(pa.array([at[i] for i in some], pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.binary()), ids], ["key", "id"])
+            some = range(len(keys)) if listed or not keys else np.flatnonzero(seen.suspects(_hashes(keys)))
+            place = pa.array([at[i] for i in some], pa.int32())
+            more = [batch.column(2).take(place)] if "k" in columns else []
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.binary()), batch.column(0).take(place), *more], ["key", "id", "k"][: 2 + len(more)])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return written(rows.select(*columns).mapInArrow(pick, f"key binary, id {kind}" + (", k long" if "k" in columns else "")), "suspects")
+
+
+class _Lines:
+    """What the steps leave: ``decisions`` (key, keeper), ``suspects`` (key, id, and k beyond the filters' bound),
+    the filter that was broadcast (``seen``) or the bucketed ``rows``."""
+
+    def __init__(self, docs: DataFrame, columns: dict[str, str], least: int, min_docs: int, max_bits: int, hot_times: int):
+        self.docs, self.columns, self.least, self.rows, self.seen = docs, columns, least, None, None
+        filters, range_bits, bits = twice_seen(docs, columns["text"], least, hot_times)
+        if bits << range_bits <= max_bits:
+            self.seen = broadcast_filter(filters, range_bits, bits)
+            self.suspects = _suspect_lines(docs.select(*[F.col(columns[c]).alias(c) for c in ("id", "text")]), least, self.seen, None)
+        else:
+            self.rows = _by_row(docs, columns)
+            lists, hot = suspects_by_range(self.rows, filters, range_bits, bits, least)
+            self.suspects = _suspect_lines(self.rows.join(lists.hint("shuffle_hash"), "k", "left"), least, None, hot)
+        counted = self.suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
+        self.decisions = written(counted.filter(F.col("n") >= min_docs).select("key", "keeper"), "repeated")
+
+    def with_lists(self) -> DataFrame:
+        """The bucketed rows with ``gone``, (key, keeper) of those of their keys that are kept elsewhere."""
+        suspects = self.suspects
+        if self.rows is None:
+            self.rows = _by_row(self.docs, self.columns)
+            suspects = _suspect_lines(self.rows, self.least, self.seen, None)
+        gone = suspects.join(self.decisions, "key").filter(~F.col("id").eqNullSafe(F.col("keeper")))
+        lists = written(gone.groupBy("k").agg(F.collect_list(F.struct("key", "keeper")).alias("gone")), "gone")  # a row's own lines
+        return self.rows.join(lists.hint("shuffle_hash"), "k", "left")
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    suspects = written(rows.mapInArrow(pick, f"key binary, id {kind}"), "suspects")
-    counted = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
-    return written(counted.filter(F.col("n") >= min_docs).select("key", "keeper"), "repeated"), suspects
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS, hot_times: int = HOT_TIMES) -> tuple[DataFrame, DataFrame]:
+    """(decisions, suspects): key and keeper of every key in at least ``min_docs`` documents, and the
+    (key, id) rows that were counted."""
+    found = _Lines(docs, {"id": id_col, "text": text_col}, least, min_docs, max_bits, hot_times)
+    return found.decisions, found.suspects
 
 
 def _apply(drop: Callable[[object, bytes], bool], ids, texts, least: int) -> tuple[list[str], list[int], list[int]]:
@@ -314,11 +350,11 @@ def dedup_lines(
     text) in place of kept_text, so that no text leaves the executors.
     """
     keep = [id_col] if keep is None else keep
-    decisions, suspects = repeated_lines(docs, id_col, text_col, least, min_docs, max_bits, HOT_TIMES)
-    size = decisions.agg(F.sum(F.length("key") + 64)).first()[0] or 0
+    kept = {f"c{i}": c for i, c in enumerate(keep)}  # names that cannot clash
+    found = _Lines(docs, {**kept, "id": id_col, "text": text_col}, least, min_docs, max_bits, HOT_TIMES)
+    size = found.decisions.agg(F.sum(F.length("key") + 64)).first()[0] or 0
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     out = f"{fields}, {'kept_sha256' if digest else 'kept_text'} string, n_lines long, n_dropped long"
-    source = docs.select(*keep, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     width = len(keep)
 
     def finish(batch: pa.RecordBatch, drop) -> pa.RecordBatch:
@@ -329,23 +365,21 @@ def dedup_lines(
         return pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names)
 
     if size <= broadcast_bytes:
-        keeper = {bytes(r["key"]): r["keeper"] for r in decisions.collect()}
+        keeper = {bytes(r["key"]): r["keeper"] for r in found.decisions.collect()}
 
         @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield finish(batch, lambda i, key: key in keeper and keeper[key] != i)
 
+        source = docs.select(*keep, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         return source.mapInArrow(run, out)
 
-    gone = suspects.join(decisions, "key").filter(~F.col("id").eqNullSafe(F.col("keeper")))
-    lists = gone.groupBy(F.col("id").alias("_of")).agg(F.collect_set("key").alias("_gone"))  # a document's own lines
-    joined = source.join(lists, F.col("_id").eqNullSafe(F.col("_of")), "left").drop("_of")
-
-    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def run_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [set(x.as_py() or ()) for x in batch.column(width + 2)]
-            for at, own in enumerate(sets):
-                yield finish(batch.slice(at, 1), lambda i, key, own=own: key in own)
+            for at, x in enumerate(batch.column(width + 2)):
+                own = {g["key"]: g["keeper"] for g in x.as_py() or ()}
+                yield finish(batch.slice(at, 1), lambda i, key, own=own: key in own and own[key] != i)
 
-    return joined.mapInArrow(run_joined, out)
+    return found.with_lists().select(*kept, "id", "text", "gone").mapInArrow(run_listed, out)

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import re
 
 import helpers
 import numpy as np
@@ -86,3 +87,43 @@ def test_code_points_count(spark):
 
 def test_no_documents(spark):
     assert linededup.dedup_lines(helpers.empty(spark)).count() == 0
+
+
+def moved(df):
+    """The columns of every exchange of the plan."""
+    told = df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", told)
+
+
+@pytest.mark.parametrize("max_bits", [0, linededup.MAX_BITS])
+def test_beyond_the_bounds_lists_move_and_not_the_text(spark, max_bits, monkeypatch):
+    """Rows are bucketed once; the joins with lists exchange the lists alone.  Null and repeated ids have lists
+    of their own for each row."""
+    joined = []
+    pick, lists = linededup._suspect_lines, linededup._Lines.with_lists
+    monkeypatch.setattr(linededup, "_suspect_lines", lambda rows, *more: joined.append(rows) or pick(rows, *more))
+    monkeypatch.setattr(linededup._Lines, "with_lists", lambda self: joined.append(lists(self)) or joined[-1])
+    rows = [(None if i % 2 else i % 7, "\n".join(f"a line of the text with number {j % 90}" for j in range(i, i + 30))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = linededup.dedup_lines(docs, max_bits=max_bits, broadcast_bytes=-1)
+        assert sorted(map(tuple, got.collect()), key=str) == plain(rows)
+        met = [x for x in joined if {"maybe", "gone"} & set(x.columns)]
+        assert len(met) == (2 if max_bits == 0 else 1)
+        for x in met:
+            assert moved(x) and not any("text#" in columns for columns in moved(x))
+        most = max(len(r["gone"] or ()) for r in met[-1].collect())
+        assert most <= 30  # a row's own lines
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+@pytest.mark.parametrize("max_bits", [0, linededup.MAX_BITS])
+def test_columns_whose_names_clash_are_kept_beyond_the_bounds(spark, max_bits):
+    rows = [(i, "the same line is in every document", f"k{i}", i * 2, "t") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, body string, k string, id long, text string")
+    got = linededup.dedup_lines(docs, text_col="body", keep=["k", "id", "text"], max_bits=max_bits, broadcast_bytes=-1)
+    assert got.columns == ["k", "id", "text", "kept_text", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, got.collect())) == [(f"k{i}", i * 2, "t", rows[0][1] if i == 4 else "", 1, int(i < 4)) for i in range(5)]
