@@ -76,7 +76,7 @@ class Codes:
         planes = np.stack([np.packbits(level >> p & 1, axis=1, bitorder="little").view(np.uint64) for p in range(_PLANES)], axis=1)
         return cls(code, factor, planes, low, step, turned.sum(axis=1))
 
-    def estimates(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def estimates(self, a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
         """(estimate, standard error at the threshold's angle) of rows a as queries and b as data."""
         weighted = np.zeros((len(a), len(b)))
         ones = np.bitwise_count(self.code[b]).sum(axis=1, dtype=np.int64)
@@ -90,7 +90,7 @@ class Codes:
         estimate = dot / math.sqrt(self.bits) / f
         spread = np.sqrt((1 - f**2).clip(0) / f**2 / (self.bits - 1))
         rounding = self.step[a][:, None] / 2 / f
-        return estimate, np.sqrt((spread * math.sqrt(1 - THRESHOLD**2)) ** 2 + rounding**2)
+        return estimate, np.sqrt((spread * math.sqrt(max(0.0, 1 - threshold**2))) ** 2 + rounding**2)
 
 
 def _unit(column: pa.Array, dimension: int) -> np.ndarray:
@@ -156,7 +156,7 @@ def _screen(code_bits: int, threshold: float, errors: float):
             a, b = _pairs(own, i, j)
             if not len(a) or not len(b) or rows.num_rows < 2:
                 continue
-            estimate, error = c.estimates(a, b)
+            estimate, error = c.estimates(a, b, threshold)
             may = estimate + errors * error >= threshold
             if i == j:
                 np.fill_diagonal(may, False)

@@ -127,3 +127,18 @@ def test_ids_of_any_type(spark):
     got = embeddings.near_duplicates(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id string, embedding array<double>")).collect()
     want = {i: (n, c) for i, n, c in plain([(i, list(map(float, r))) for i, r in zip(ids, x)])}
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
+def test_the_bound_holds_at_the_threshold_given(threshold):
+    rng, n, d = np.random.default_rng(12), 400, 64
+    turn, dropped = embeddings.rotation(d, 64), 0
+    for _ in range(25):
+        base, side = rng.standard_normal((2, n, d))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        side -= (side * base).sum(axis=1, keepdims=True) * base
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        both = np.concatenate([base, threshold * base + math.sqrt(1 - threshold**2) * side])
+        estimate, error = embeddings.Codes.of(both, turn).estimates(np.arange(n), np.arange(n, 2 * n), threshold)
+        dropped += int((np.diag(estimate) + embeddings.ERRORS * np.diag(error) < threshold).sum())
+    assert dropped <= 5  # of 10,000
