@@ -72,6 +72,23 @@ class CodepointTokenizer:
         return F.char_length(text)
 
 
+#: Bytes of text that a file's tokenizer encodes together: what it says of each token is many times its id.
+TOGETHER = 250_000
+
+
+def _together(sizes: np.ndarray, most: int):
+    """Stretches of values that hold about ``most`` together; a larger one is alone with few others."""
+    cuts = (np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist()
+    return [(a, b) for a, b in zip([0, *cuts], [*cuts, len(sizes)]) if b > a]
+
+
+def _lists(ids: list[np.ndarray], sizes: list[int], like: pa.Array) -> pa.Array:
+    """Arrays of ids from their values end to end; null where ``like`` is."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+    return pc.if_else(like.is_valid(), made, pa.scalar(None, made.type)) if like.null_count else made
+
+
 class FileTokenizer:
     """A JSON file of the ``tokenizers`` library; its path must be readable on every worker."""
 
@@ -109,11 +126,15 @@ class FileTokenizer:
     def ids(self, text: Column, add_special: bool = False) -> Column:
         path, opened = self.path, type(self)._file
 
-        def encoded(column: pd.Series) -> pd.Series:
-            got = opened(path).encode_batch([x or "" for x in column], add_special_tokens=add_special)
-            return pd.Series([None if x is None else e.ids for x, e in zip(column, got)])
+        def encoded(column: pa.Array) -> pa.Array:
+            held, ids, sizes = pc.fill_null(column.cast(pa.string()), ""), [], []
+            for a, b in _together(pc.binary_length(held).to_numpy(zero_copy_only=False).astype(np.int64), TOGETHER):
+                got = [np.array(e.ids, np.int32) for e in opened(path).encode_batch(held.slice(a, b - a).to_pylist(), add_special_tokens=add_special)]
+                ids.append(np.concatenate(got))
+                sizes += map(len, got)
+            return _lists(ids, sizes, column)
 
-        return F.pandas_udf(encoded, "array<int>")(text)
+        return F.arrow_udf(encoded, "array<int>")(text)
 
     def length(self, text: Column) -> Column:
         return F.size(self.ids(text))

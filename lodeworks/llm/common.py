@@ -13,20 +13,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, small_batches
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
-BATCH_ROWS = 1_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``BATCH_ROWS`` (they are never raised)."""
-    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
-
 
 def lean(run):
     """A worker's batch function that gives freed memory back when its task ends: workers are kept,

@@ -18,7 +18,7 @@ from ..functions.tokenizers import FileTokenizer, decoded
 from ..operators import batches, checkpoints, decoding, metrics, mixture, requests, scoring, windows
 from ..operators import conversations as chat
 from ..operators.permutation import place_of, rank_of
-from ..session import shared_dir, stored
+from ..session import shared_dir, small_batches, stored
 from ..sources import artifacts, blobs, tensorfiles
 from ..sources.tokenfiles import list_files, listing
 from ..streaming import ingest
@@ -137,6 +137,7 @@ def tokenizer_file_ids(spark, sf_dir):
     """Whole documents by a public tokenizer's file, and the text that the ids stand for."""
     import public_tokenizers
 
+    small_batches(spark)
     tok = FileTokenizer(public_tokenizers.path("byte_bpe_50k.json"), eos_token_id=50256)
     docs = q._table(spark, sf_dir, "documents").select("doc_id", "text", tok.ids(F.col("text")).alias("ids"))
     made = docs.select("doc_id", "text", "ids", decoded(tok, F.col("ids")).alias("again"))
