@@ -10,6 +10,7 @@ Learning is an aggregation of bundles (languages x dimension numbers); no text l
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,16 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, small_batches
+from ..operators.ordered import with_prefix_sum
+from .common import lean, small_batches, written
 
 #: Dimension of the vectors, letters of an n-gram, seed of the letter vectors.
 DIMENSION, ORDER, SEED = 512, 3, 20_011
-#: Expected number of labelled rows that prototypes are learnt from (a documented bound; rows are
-#: chosen by a hash of their id and text, evenly over the table).
-TRAIN_ROWS = 20_000
 #: Share of held-out rows that ``least_score`` leaves below it, and the fewest rows that can tell.
 REJECT_SHARE, LEAST_HELD = 0.001, 50
 UNKNOWN = "und"
+#: Even ranges of the score in which held-out rows are counted.
+SCORE_RANGES = 4_096
 _BITS = 21  # of a code point; 0 is the boundary between words
 _TABLE_SIZE = 0x250
 #: Letters whose vectors a worker keeps, texts that are multiplied together, n-grams in a slice.
@@ -149,17 +150,19 @@ class Prototypes:
     seed: int = SEED
 
 
-def _sampled(usable: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
+def _sampled(usable: DataFrame, id_col: str, text_col: str, rows: int | None) -> DataFrame:
+    if rows is None:
+        return usable
     share = min(1.0, rows / max(1, usable.select(F.lit(1)).count()))
     return usable if share == 1.0 else usable.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
 def learn(
-    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS, dimension: int = DIMENSION, seed: int = SEED
+    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int | None = None, dimension: int = DIMENSION, seed: int = SEED
 ) -> Prototypes:
-    """Prototypes from the labelled rows: those with text and a language.
+    """Prototypes from all labelled rows: those with text and a language.
 
-    About ``rows`` of them are used (all, if there are fewer), chosen by a hash of id and text: rows
+    If ``rows`` is given, about so many of them are used, chosen by a hash of id and text: rows
     that repeat an id, or have none, are chosen singly as far as their texts differ, and rows alike in
     both are used all or none.  Languages whose texts have no letters are not learnt.
     """
@@ -220,14 +223,21 @@ def identify(
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{fields}`{lang_name}` string, `{score_name}` double, `{lead_name}` double")
 
 
-def least_score(held: DataFrame, prototypes: Prototypes, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", share: float = REJECT_SHARE, rows: int = TRAIN_ROWS) -> float:
+def least_score(held: DataFrame, prototypes: Prototypes, text_col: str = "text", lang_col: str = "lang", share: float = REJECT_SHARE) -> float:
     """The score that all but ``share`` of labelled rows kept apart from learning reach: a text below it
-    is less like any language than they are.  About ``rows`` of them are used; 0 if they are
-    fewer than ``LEAST_HELD``."""
-    picked = _sampled(held.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), id_col, text_col, rows)
-    found = identify(picked.select(F.col(text_col).alias("text")), prototypes, keep=["text"])
-    least, n = found.filter(F.col("lang_pred") != UNKNOWN).agg(F.percentile("score", share), F.count("*")).first()
-    return least if n >= LEAST_HELD else 0.0
+    is less like any language than they are.  All of them count; 0 if they are fewer than ``LEAST_HELD``."""
+    usable = held.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    found = identify(usable.select(F.col(text_col).alias("text")), prototypes, keep=[]).filter(F.col("lang_pred") != UNKNOWN)
+    scores = written(found.groupBy("score").count(), "scores")
+    n = scores.agg(F.sum("count")).first()[0] or 0
+    if n < LEAST_HELD:
+        return 0.0
+    place = (n - 1) * share
+    # equal scores are one row; those before it are counted in ranges of the score, so none is sorted whole
+    ranked = with_prefix_sum(scores, F.col("count"), "_before", ["score"], [], F.floor(F.col("score") * SCORE_RANGES))
+    near = [F.max(F.when((F.col("_before") <= k) & (F.col("_before") + F.col("count") > k), F.col("score"))) for k in (math.floor(place), math.ceil(place))]
+    low, high = ranked.agg(*near).first()
+    return low + (high - low) * (place - math.floor(place))
 
 
 def held_out(id_col: str = "doc_id"):
