@@ -19,6 +19,8 @@ from .permutation import place_of
 
 #: Ranges of the hash in which the windows of a pass are ranked.
 HASH_BLOCKS = 1024
+#: Windows of a pass that are given out, or listed, together.
+CHUNK = 65_536
 
 
 def check_weights(weights: dict[str, float], exact: float = 1e-6) -> None:
@@ -155,20 +157,33 @@ def position_at(spark: SparkSession, batch_size: int, weights: dict[str, float],
 def pass_order(passes: DataFrame, seed: int) -> DataFrame:
     """(source, pass, rank, window_index): each pass's permutation of a source's windows.
 
-    ``passes``: source, pass and windows, one row for each pass that the plan needs.
+    ``passes``: source, pass and windows, one row for each pass that the plan needs.  A pass is permuted by
+    one task, which holds four bytes for each of its windows and gives them out ``CHUNK`` at a time.
     """
 
     def permuted(frames):
         for frame in frames:
             for source, number, windows in frame[["source", "pass", "windows"]].itertuples(index=False):
                 rng = np.random.default_rng(np.random.SeedSequence([stable_seed("stream", seed, source), int(number)]))
-                order = rng.permutation(int(windows))
-                yield pd.DataFrame({"source": source, "pass": int(number), "rank": np.arange(len(order)), "window_index": order})
+                order = np.arange(int(windows), dtype=np.uint32 if windows < 1 << 32 else np.int64)
+                rng.shuffle(order)  # as rng.permutation does
+                for at in range(0, len(order), CHUNK):
+                    part = order[at : at + CHUNK].astype(np.int64)
+                    yield pd.DataFrame({"source": source, "pass": int(number), "rank": np.arange(at, at + len(part)), "window_index": part})
 
     return passes.select("source", "pass", "windows").mapInPandas(permuted, "source string, pass long, rank long, window_index long")
 
 
-def hashed_order(passes: DataFrame, seed: int, chunk: int = 65_536) -> DataFrame:
+def listed_ranks(passes: DataFrame, rank: str = "rank", chunk: int = CHUNK) -> DataFrame:
+    """``passes`` (source, pass, windows) with a row for each rank 0 .. windows - 1; a pass of more than a
+    chunk is dealt out before it is listed."""
+    most = F.col("windows") - 1
+    starts = passes.filter(most >= 0).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), most, F.lit(chunk).cast("long"))))
+    dealt = starts.repartition(max(1, starts.count()), "source", "pass", "_from")
+    return dealt.withColumn(rank, F.explode(F.sequence("_from", F.least(most, F.col("_from") + chunk - 1)))).drop("_from")
+
+
+def hashed_order(passes: DataFrame, seed: int, chunk: int = CHUNK) -> DataFrame:
     """The same by hash, in generated code: windows of a pass in order of SHA-256.
 
     Two levels: windows are listed in chunks, and each finds its rank within a range of the hash, of

@@ -17,6 +17,7 @@ from ..functions.text import is_nonblank, shown_reply
 from ..functions.tokenizers import FileTokenizer, decoded
 from ..operators import batches, checkpoints, decoding, metrics, mixture, requests, scoring, windows
 from ..operators import conversations as chat
+from ..operators.ordered import null_safe_join
 from ..operators.permutation import place_of, rank_of
 from ..session import shared_dir, small_batches, stored
 from ..sources import artifacts, blobs, tensorfiles
@@ -390,9 +391,18 @@ def drawn_ranks(spark, sf_dir):
 @query
 def pass_permutations(spark, sf_dir):
     """Each pass is a permutation of its source's windows."""
-    made = q.QUERIES["pass_order"](spark, sf_dir)
-    sums = [f(c).alias(f"{n}_{c}") for c in ("rank", "window_index") for n, f in (("least", F.min), ("last", F.max), ("different", F.count_distinct))]
-    return made.groupBy("source", "pass").agg(F.count("*").alias("windows"), *sums)
+    made = stored(q.QUERIES["pass_order"](spark, sf_dir), "pass_order")
+    rows, chunk = made.count(), 1 << 18
+
+    def told(c: str) -> DataFrame:
+        """Least, last and number of different values; a value is counted in the stretch that it is in."""
+        part = made.select("source", "pass", F.floor(F.col(c) / chunk).alias("_part"), c).repartition(max(1, -(-rows // chunk)), "source", "pass", "_part")
+        each = part.groupBy("source", "pass", "_part").agg(F.count("*").alias("n"), F.min(c).alias("a"), F.max(c).alias("z"), F.count_distinct(c).alias("d"))
+        sums = [F.sum("n").alias(f"n_{c}"), F.min("a").alias(f"least_{c}"), F.max("z").alias(f"last_{c}"), F.sum("d").alias(f"different_{c}")]
+        return each.groupBy("source", "pass").agg(*sums)
+
+    met = null_safe_join(told("rank"), told("window_index"), ["source", "pass"])
+    return met.select("source", "pass", F.col("n_rank").alias("windows"), *[f"{n}_{c}" for c in ("rank", "window_index") for n in ("least", "last", "different")])
 
 
 @query
