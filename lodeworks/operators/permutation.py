@@ -32,10 +32,12 @@ def _pair(x: Column, y: Column) -> Column:
 
 
 def _walked(value: Column, n: Column, step: Callable[[Column], Column]) -> Column:
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(WALK - 1)), step(value), lambda p, _: F.when(p < n, p).otherwise(step(p)))
-    return F.when((value < 0) | (value >= n), F.raise_error(F.concat(F.lit("not in a permutation of "), n, F.lit(": "), value)).cast("long")).otherwise(
-        F.when(found < n, found).otherwise(F.raise_error(F.lit("a permutation did not come back")).cast("long"))
-    )
+    def back(p: Column) -> Column:
+        return F.when(p < n, p).otherwise(F.raise_error(F.lit("a permutation did not come back")).cast("long"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(WALK - 1)), step(value), lambda p, _: F.when(p < n, p).otherwise(step(p)), back)
+    outside = F.raise_error(F.concat(F.lit("not in a permutation of "), n, F.lit(": "), value)).cast("long")
+    return F.when((value < 0) | (value >= n), outside).otherwise(found)
 
 
 def place_of(rank: Column, n: Column, *key: Column) -> Column:

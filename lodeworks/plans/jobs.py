@@ -427,7 +427,7 @@ def hashed_batches(spark, sf_dir):
 def keyed_pass_order(spark, sf_dir):
     """Two passes over each source by the keyed permutation, and back."""
     passes = q._per_pass(spark, sf_dir).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
-    ranks = passes.filter("windows > 0").withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("windows") - 1)))
+    ranks = mixture.listed_ranks(stored(passes, "passes"))
     key = [F.lit(str(SEED)), F.col("source"), F.col("pass")]
     made = ranks.withColumn("window_index", place_of(F.col("rank"), F.col("windows"), *key))
     back = rank_of(F.col("window_index"), F.col("windows"), *key) == F.col("rank")
