@@ -27,6 +27,10 @@ from . import queries as q
 from .queries import BLOCK, BUDGET, BYTES, CAP, FRACTION, POINTS, SEED, query
 
 
+#: Documents of a file that a stream takes in, about.
+STREAM_ROWS = 1_000_000
+
+
 def _folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/lodeworks/{name}-{uuid.uuid4().hex}"
 
@@ -511,11 +515,12 @@ def stream_budget(spark, sf_dir):
 @query
 def stream_stop(spark, sf_dir):
     """The same from documents that come in files, ended once every source has its budget."""
-    docs = q._documents(spark, sf_dir)
-    at, low, high = _folder(spark, "stop"), *docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    part = F.floor((F.col("doc_id") - low) * 4 / (high - low + 1))
-    for i in range(4):  # one after another: a file source takes the oldest first
-        docs.filter(part == i).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    docs = stored(q._documents(spark, sf_dir), "lengths")  # texts are read once, by as many tasks as there are
+    at, low, high, n = _folder(spark, "stop"), *docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    parts = max(4, -(-n // STREAM_ROWS))
+    part = F.floor((F.col("doc_id") - low) * parts / (high - low + 1))
+    for i in range(parts):  # one after another: a file source takes the oldest first
+        docs.filter(part == i).repartition(1).write.mode("append").parquet(f"{at}/in")
     sources = [r[0] for r in docs.select("source").distinct().collect()]  # a name for each source
     ingest.pack_until_budget(ingest.file_stream(spark, f"{at}/in", docs.schema), CAP, BUDGET, sources, f"{at}/out", f"{at}/state")
     return spark.read.schema("source string, doc_id long, n_tokens long, doc_index long, shard_index long").parquet(f"{at}/out")
