@@ -11,7 +11,7 @@ from .functions.text import is_nonblank
 from .functions.tokenizers import Tokenizer, check_narrow, with_end
 from .operators import documents, shards
 from .operators.ordered import null_safe_join, with_index, within_budget
-from .session import stored
+from .session import small_batches, stored
 from .sources.tokenfiles import list_files, listing, read_ends, read_outline, read_shards, write_shards
 
 SHARD_TOKENS = 100_000_000
@@ -28,6 +28,7 @@ def tokenize(docs: DataFrame, tokenizer: Tokenizer, output: str, shard_tokens: i
     order in which they were read.
     """
     check_narrow(tokenizer)
+    small_batches(docs.sparkSession)
     usable = docs.select("source", "doc_id", "text").filter(is_nonblank(F.col("text")))
     ids = usable.select("source", "doc_id", with_end(tokenizer.ids(F.col("text")), tokenizer).alias("tokens"))
     made = stored(ids.withColumn("n_tokens", F.size("tokens").cast("long")).withColumn("_row", F.monotonically_increasing_id()), "tokens")
