@@ -142,9 +142,33 @@ class FileTokenizer:
 
 def with_end(ids: Column, tokenizer: Tokenizer) -> Column:
     """A document's tokens: its ids and the end token."""
+    return F.array_append(ids, F.lit(end_of(tokenizer)))
+
+
+def end_of(tokenizer: Tokenizer) -> int:
     if tokenizer.eos_token_id is None:
         raise ValueError("the tokenizer has no end token")
-    return F.array_append(ids, F.lit(int(tokenizer.eos_token_id)))
+    return int(tokenizer.eos_token_id)
+
+
+def narrowed(ids: Column, end: int) -> Column:
+    """Arrays of ids, each with the id ``end`` behind it, as the bytes that shards hold (unsigned 16-bit, binary).
+
+    A column of them is half as large as one of arrays, and is stored and moved without a look at each id.
+    """
+
+    def bytes_of(column: pa.Array) -> pa.Array:
+        offsets = column.offsets.to_numpy()
+        values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        if len(values) and (values.min() < 0 or values.max() > 0xFFFF):
+            raise OverflowError("a token id does not fit 16 bits")
+        at = (offsets - offsets[0]).astype(np.int64)
+        packed = np.insert(values.astype("<u2"), at[1:], end)
+        bounds = 2 * (at + np.arange(len(at)))
+        made = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(bounds), pa.py_buffer(packed)]).cast(pa.binary())
+        return pc.if_else(column.is_valid(), made, pa.scalar(None, made.type)) if column.null_count else made
+
+    return F.arrow_udf(bytes_of, "binary")(ids)
 
 
 def check_narrow(tokenizer: Tokenizer) -> None:

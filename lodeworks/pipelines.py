@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.hashing import blake2b_share, split_name
 from .functions.registry import copy_manifest, fingerprint, read_manifest, write_manifest
 from .functions.text import is_nonblank
-from .functions.tokenizers import Tokenizer, check_narrow, with_end
+from .functions.tokenizers import Tokenizer, check_narrow, end_of, narrowed
 from .operators import documents, shards
 from .operators.ordered import null_safe_join, with_index, within_budget
 from .session import small_batches, stored
@@ -30,8 +30,8 @@ def tokenize(docs: DataFrame, tokenizer: Tokenizer, output: str, shard_tokens: i
     check_narrow(tokenizer)
     small_batches(docs.sparkSession)
     usable = docs.select("source", "doc_id", "text").filter(is_nonblank(F.col("text")))
-    ids = usable.select("source", "doc_id", with_end(tokenizer.ids(F.col("text")), tokenizer).alias("tokens"))
-    made = stored(ids.withColumn("n_tokens", F.size("tokens").cast("long")).withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    ids = usable.select("source", "doc_id", narrowed(tokenizer.ids(F.col("text")), end_of(tokenizer)).alias("tokens"))
+    made = stored(ids.withColumn("n_tokens", F.expr("octet_length(tokens) div 2")).withColumn("_row", F.monotonically_increasing_id()), "tokens")
     lengths = made.select("source", "doc_id", "_row", "n_tokens")
     kept = within_budget(lengths, "n_tokens", max_tokens, ["doc_id", "_row"], ["source"]) if max_tokens else lengths
     placed = stored(shards.assign_shards(kept, shard_tokens, shards.AFTER, ["source"], "doc_id", ties=["_row"]), "placed")

@@ -13,6 +13,9 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 #: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
 BATCH_ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Tasks, for each core, that look up files given one by one.
+LOOKUPS = 4
+_LOOKUPS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -21,6 +24,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(_BATCH, str(rows))
 
 
+def few_lookups(spark: SparkSession) -> None:
+    """Lower the session's tasks that look up files to ``LOOKUPS`` a core (they are never raised): Spark's own
+    bound makes one for each of 10,000 files."""
+    most = LOOKUPS * spark.sparkContext.defaultParallelism
+    if int(spark.conf.get(_LOOKUPS)) > most:
+        spark.conf.set(_LOOKUPS, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 

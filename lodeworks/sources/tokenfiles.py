@@ -17,7 +17,7 @@ half-written shard.  Files are opened through pyarrow, local or remote.
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -173,6 +173,21 @@ def read_run(path: str, start: int, end: int, batch_tokens: int = BATCH_TOKENS)
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([a], pa.int64()), lists], ["path", "position", "tokens"])
 
 
+def _runs(column: pa.Array) -> Callable[[int], bytes | memoryview]:
+    """The bytes of a row's tokens, which are arrays of ids or such bytes already."""
+    if not pa.types.is_list(column.type):
+        return lambda i: memoryview(column[i].as_buffer())
+    bounds, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+
+    def run(i: int) -> bytes:
+        ids = values[bounds[i] : bounds[i + 1]]
+        if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
+            raise OverflowError("a token id does not fit 16 bits")
+        return ids.astype("<u2").tobytes()
+
+    return run
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: list[tuple[str, str]]
@@ -197,8 +212,7 @@ class _Writer(DataSourceArrowWriter):
         done, out, now, end = [], None, None, 0
         for batch in batches:  # rows sorted by shard and position
             split, source, shard, position = (batch.column(i).to_pylist() for i in range(4))
-            lists = batch.column(4)
-            bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            runs = _runs(batch.column(4))
             for i in range(batch.num_rows):
                 key = split[i], source[i], shard[i]
                 if key != now:
@@ -210,13 +224,14 @@ class _Writer(DataSourceArrowWriter):
                     part = f"{final}.{uuid.uuid4().hex}.tmp"
                     out, now, end = files.open_output_stream(part), key, 0
                     done.append((part, final))
-                ids = values[bounds[i] : bounds[i + 1]]
-                if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
-                    raise OverflowError(f"{now}: a token id does not fit 16 bits")
                 if position[i] != end:
                     raise ValueError(f"{now}: tokens are missing before position {position[i]}")
-                end += len(ids)
-                out.write(ids.astype(np.uint16).tobytes())
+                try:
+                    held = runs(i)
+                except OverflowError as wide:
+                    raise OverflowError(f"{now}: {wide}") from None
+                end += len(held) // 2
+                out.write(held)
         if out:
             out.close()
         return _Written(done)
@@ -272,7 +287,7 @@ def read_outline(spark: SparkSession, root: str, eos_id: int, **options) -> Data
 
 def write_shards(pieces: DataFrame, root: str) -> None:
     """``pieces``: split (may be null: no such folder), source, shard_index, position in the shard
-    and tokens."""
+    and tokens (arrays of ids, or their bytes as ``functions.tokenizers.narrowed`` makes them)."""
     pieces.sparkSession.dataSource.register(TokenFiles)
     keys = ["split", "source", "shard_index"]
     dealt = pieces.select(*keys, "position", "tokens").repartition(*keys).sortWithinPartitions(*keys, "position")

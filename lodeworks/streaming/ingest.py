@@ -18,12 +18,15 @@ from ..functions.tokenizers import Tokenizer
 from ..operators import mixture
 from ..operators.conversations import classify
 from ..operators.shards import AFTER, placed
+from ..session import few_lookups
 from ..sources.tokenfiles import BATCH_TOKENS, READ_SCHEMA, read_run
 
 _OUT = "source string, doc_id long, n_tokens long, doc_index long, shard_index long, reached boolean"
 _STATE = "documents long, shard long, held long, total long"
 #: Bytes of a range of a streamed shard that one task reads.
 RANGE_BYTES = 64_000_000
+#: Tasks, for each core, that read them.
+READERS = 4
 
 
 def packed(docs: DataFrame, cap: int, budget: int | None = None, told: str | None = None) -> DataFrame:
@@ -111,9 +114,12 @@ def shard_stream(spark: SparkSession, root: str, files_per_batch: int = 1_000, r
     """A stream of (path, position, tokens) of the shards below a folder, those that come later too.
 
     Spark's own file source keeps account of the files and is asked for their names and sizes alone; ranges
-    of them are dealt out and read by tasks, so a shard of any size is read in parallel.  A file of odd size
-    is an error, an empty one has no rows.
+    of them are dealt out and read by tasks, so a shard of any size is read in parallel.  The number of these
+    tasks is given, as a range's row is so small that Spark would join all of them to one task.  A micro-batch
+    looks its files up by name: in a few tasks a core (``session.few_lookups``), not in one for each file.  A
+    file of odd size is an error, an empty one has no rows.
     """
+    few_lookups(spark)
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bin").option("maxFilesPerTrigger", files_per_batch).load(root)
     step = max(1, range_bytes // 2 // batch_tokens) * batch_tokens
@@ -126,7 +132,7 @@ def shard_stream(spark: SparkSession, root: str, files_per_batch: int = 1_000, r
             for row in batch.to_pylist():  # a few numbers for each range
                 yield from read_run(row["path"], row["start"], min(row["start"] + step, row["n"]), batch_tokens)
 
-    return ranges.repartition("path", "start").mapInArrow(read, READ_SCHEMA)
+    return ranges.repartition(READERS * spark.sparkContext.defaultParallelism, "path", "start").mapInArrow(read, READ_SCHEMA)
 
 
 def file_stream(spark, folder: str, schema, files_per_batch: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.datasource import StringStartsWith
 from lodeworks import pipelines
 from lodeworks.functions import hashing
 from lodeworks.functions.text import casefolded, is_nonblank, stripped
-from lodeworks.functions.tokenizers import ByteTokenizer, CodepointTokenizer, FileTokenizer, check_narrow, decoded, with_end
+from lodeworks.functions.tokenizers import ByteTokenizer, CodepointTokenizer, FileTokenizer, check_narrow, decoded, narrowed, with_end
 from lodeworks.operators import shards
 from lodeworks.sources.tokenfiles import OPEN_BYTES, _Reader, list_files, read_ends, read_outline, read_shards, write_shards
 
@@ -143,6 +143,28 @@ def test_ids_beyond_sixteen_bits_are_refused(spark, tmp_path):
         write_shards(df, str(tmp_path / "o"))
 
 
+def test_narrowed_ids_are_the_bytes_of_a_shard(spark):
+    ids = [[5, 0, 65535], [], None, [9] * 70_000, [1]]
+    made = spark.createDataFrame(list(enumerate(ids)), "i int, ids array<int>").coalesce(1).select("i", narrowed(F.col("ids"), 2).alias("b"))
+    assert dict(made.collect()) == {i: None if x is None else np.array([*x, 2], np.uint16).tobytes() for i, x in enumerate(ids)}
+    wide = spark.createDataFrame([([65536],)], "ids array<int>").select(narrowed(F.col("ids"), 2))
+    with pytest.raises(Exception, match="16 bits"):
+        wide.collect()
+
+
+@pytest.mark.parametrize("tokenizer", [ByteTokenizer(), CodepointTokenizer()])
+def test_tokens_are_stored_in_two_bytes_each(spark, tmp_path, monkeypatch, tokenizer):
+    held, real = {}, pipelines.stored
+    monkeypatch.setattr(pipelines, "stored", lambda df, name: held.setdefault(name, real(df, name)))
+    texts = ["abc", "d", "é" * 9]
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    pipelines.tokenize(docs, tokenizer, str(tmp_path / "o"), shard_tokens=1000)
+    want = [[*tokenizer.encode(t), 2] for t in texts]
+    assert [bytes(r["tokens"]) for r in held["tokens"].orderBy("doc_id").collect()] == [np.array(x, np.uint16).tobytes() for x in want]
+    assert [r["n_tokens"] for r in held["tokens"].orderBy("doc_id").collect()] == [len(x) for x in want]
+    assert np.fromfile(tmp_path / "o/s/s_0000.bin", np.uint16).tolist() == sum(want, [])
+
+
 def test_tokenize_check_split(spark, tmp_path):
     texts = [f"document {i} " + "x" * (i * 5 % 40) for i in range(60)] + ["", None, " \t", "　", "\x1c"]
     docs = spark.createDataFrame([(i, "web" if i % 3 else "code", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")

@@ -71,6 +71,23 @@ def test_streamed_shards_and_those_that_come_later(spark, tmp_path):
     assert go() == [*first, ("c_0000.bin", 0, [7, 8])]
 
 
+def test_a_batch_of_many_shards_is_dealt_to_tasks_and_looked_up_in_few(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(60):
+        np.arange(i + 1, dtype=np.uint16).tofile(tmp_path / "in" / f"a_{i:04d}.bin")
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", "10000")
+    rows = ingest.shard_stream(spark, str(tmp_path / "in")).select("path", "tokens", F.spark_partition_id().alias("task"))
+    job = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r["tokens"] for r in got) == [list(range(i + 1)) for i in range(60)]
+    cores = spark.sparkContext.defaultParallelism
+    assert len({r["task"] for r in got}) >= cores
+    told = spark.sparkContext.statusTracker()
+    tasks = [told.getStageInfo(s).numTasks for j in told.getJobIdsForGroup(str(job.runId)) for s in told.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 4 * cores < 60
+
+
 def test_the_mixture_goes_on_where_a_run_ended(spark, tmp_path):
     weights = {"books": 0.15, "news": 0.75, "scripts": 0.10}
     per_pass = spark.createDataFrame([("books", 5), ("news", 17), ("scripts", 1)], "source string, windows long")
